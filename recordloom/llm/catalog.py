@@ -7,8 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import mixing, quality, sharding, token_counts
-from recordloom.llm.common import Scratch, read_table
+from recordloom.llm import decontamination, licenses, mixing, quality, sharding, token_counts
+from recordloom.llm.common import LOWER, UPPER, Scratch, read_table
+
+
+#: The words of a lower-cased text, as a DuckDB list.
+SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS body
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS body
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw))),
+h AS (SELECT doc_id, s, dw.n, item_id FROM dw JOIN iw USING (body)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +40,31 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_suffix_sums(Scratch(spark, "token-counts").table(histogram, "histogram"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def _op5_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    templates = ", ".join(f"({quoted(label)}, {quoted(t)})" for label, t in licenses.TEMPLATES)
+    phrases = ", ".join(f"({quoted(p)}, {quoted(label)})" for p, label in licenses.PHRASES)
+    return f"""
+WITH d AS (SELECT doc_id, text, {SQL_WORDS} AS w FROM documents),
+t AS (SELECT label, list_distinct({SQL_WORDS}) AS tw FROM (VALUES {templates}) v(label, text)),
+p AS (SELECT string_split(phrase, ' ') AS pw, label FROM (VALUES {phrases}) v(phrase, label)),
+q AS (SELECT doc_id, label, s FROM (SELECT doc_id, w, pw, label, unnest(range(1, len(w) - len(pw) + 2)) AS s FROM d, p) WHERE w[s:s + len(pw) - 1] = pw),
+b AS (SELECT doc_id, count(*) AS n, min(s) - 1 AS f, max(s) - 1 AS l, list(DISTINCT label) AS labels FROM q GROUP BY doc_id),
+x AS (SELECT doc_id, list_distinct({SQL_WORDS}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM d)),
+m AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM (
+        SELECT doc_id, label, len(list_intersect(w, tw)) / len(tw) AS share FROM x, t WHERE len(list_intersect(w, tw)) >= ceil(round(0.8 * len(tw), 9))) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+       CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     _, rows = sharding.compacted(docs, f"{Scratch(spark, 'sharding').root}/store")
@@ -37,7 +86,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontamination": op2_decontamination,
         "op4_token_counts": op4_token_counts,
+        "op5_licenses": op5_licenses,
         "op6_sharding": op6_sharding,
         "op7_mixing": op7_mixing,
         "op10_quality": op10_quality,
@@ -45,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": OP6_SQL}
+    return {"op2_decontamination": OP2_SQL, "op5_licenses": _op5_sql(), "op6_sharding": OP6_SQL}
