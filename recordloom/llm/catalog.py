@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import decontamination, licenses, mixing, quality, sharding, token_counts
+from recordloom.llm import decontamination, licenses, line_dedup, mixing, quality, sharding, token_counts
 from recordloom.llm.common import LOWER, UPPER, Scratch, read_table
 
 
@@ -78,6 +78,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
+w AS (SELECT doc_id, p, array_to_string(l[p:p + 2], chr(10)) AS body FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM d)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY body ORDER BY doc_id, p) > 1 AS later FROM w),
+c AS (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM f WHERE later) GROUP BY doc_id),
+j AS (SELECT doc_id, l, coalesce(gone, []) AS gone FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, len(l)::BIGINT AS n_lines, len(gone)::BIGINT AS n_removed, len(list_filter(gone, lambda q: NOT list_contains(gone, q - 1)))::BIGINT AS n_runs,
+       sha256(coalesce(array_to_string([l[q] FOR q IN range(1, len(l) + 1) IF NOT list_contains(gone, q)], chr(10)), '')) AS kept_sha256
+FROM j
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     trees = quality.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -91,9 +108,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_licenses": op5_licenses,
         "op6_sharding": op6_sharding,
         "op7_mixing": op7_mixing,
+        "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op5_licenses": _op5_sql(), "op6_sharding": OP6_SQL}
+    return {"op2_decontamination": OP2_SQL, "op5_licenses": _op5_sql(), "op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL}
