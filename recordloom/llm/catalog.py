@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import decontamination, licenses, line_dedup, mixing, quality, sharding, token_counts
+from recordloom.llm import decontamination, licenses, line_dedup, mixing, near_dedup, quality, sharding, token_counts
 from recordloom.llm.common import LOWER, UPPER, Scratch, read_table
 
 
@@ -15,6 +15,24 @@ from recordloom.llm.common import LOWER, UPPER, Scratch, read_table
 SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: All pairs that share a shingle; then the smallest id that each document reaches.
+OP1_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+r AS (SELECT doc_id AS v, doc_id AS u FROM d UNION SELECT r.v, l.b FROM r JOIN l ON r.u = l.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v AS doc_id, min(u) AS c FROM r GROUP BY v) USING (doc_id)
+"""
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -103,6 +121,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_decontamination": op2_decontamination,
         "op4_token_counts": op4_token_counts,
         "op5_licenses": op5_licenses,
@@ -114,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op5_licenses": _op5_sql(), "op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_licenses": _op5_sql(), "op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL}
