@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import decontamination, licenses, line_dedup, mixing, near_dedup, quality, sharding, token_counts
+from recordloom.llm import decontamination, licenses, line_dedup, mixing, near_dedup, quality, sharding, suffix_dedup, token_counts
 from recordloom.llm.common import LOWER, UPPER, Scratch, read_table
 
 
@@ -96,6 +96,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
@@ -127,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_licenses": op5_licenses,
         "op6_sharding": op6_sharding,
         "op7_mixing": op7_mixing,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
     }

@@ -65,15 +65,14 @@ class ShardStore:
         tier = F.floor(F.log(float(self.fan_in), F.greatest(F.col("n_bytes"), F.lit(1)).cast("double")))
         return rows.select(name.alias("shard"), F.lit(version).alias("version"), tier.cast("int").alias("tier"), "n_bytes", "n_rows")
 
-    def _write(self, rows: DataFrame, folder: str) -> None:
-        w = rows.write.option("compression", "zstd")
-        (w.option("maxRecordsPerFile", self.max_rows) if self.max_rows else w).parquet(f"{self.root}/{folder}")
+    def _write(self, rows: DataFrame, folder: str, max_rows: int = 0) -> None:
+        rows.write.option("compression", "zstd").option("maxRecordsPerFile", max_rows).parquet(f"{self.root}/{folder}")
 
     def append(self, rows: DataFrame) -> int:
         """Adds an arrival as small shards; returns the new version."""
         version = self.version() + 1
         folder = f"data/{version:08d}"
-        self._write(rows, folder)
+        self._write(rows, folder, self.max_rows)
         self.commit(self.manifest(version - 1).unionByName(self._described(folder, version, rows.schema)), version)
         return version
 

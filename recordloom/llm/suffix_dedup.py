@@ -32,7 +32,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from recordloom.llm.common import Scratch, bounded_batches, small
 
