@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import decontamination, licenses, line_dedup, mixing, near_dedup, quality, sharding, suffix_dedup, token_counts
+from recordloom.llm import decontamination, licenses, line_dedup, mixing, near_dedup, quality, sharding, suffix_dedup, token_counts, url_filter
 from recordloom.llm.common import LOWER, UPPER, Scratch, read_table
 
 
@@ -53,6 +53,10 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = token_counts.length_histogram(read_table(spark, sf_dir, "documents"))
     return token_counts.with_suffix_sums(Scratch(spark, "token-counts").table(histogram, "histogram"))
@@ -127,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_decontamination": op2_decontamination,
+        "op3_url_filter": op3_url_filter,
         "op4_token_counts": op4_token_counts,
         "op5_licenses": op5_licenses,
         "op6_sharding": op6_sharding,
