@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 TOKEN_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 _own_folder: dict[str, str] = {}
+_sent: set[str] = set()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +79,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end at 16 MB, however long the texts are."""
+def python_ready(spark: SparkSession) -> None:
+    """Before Python runs on the executors: sends them this package, once a session, however the driver found it,
+    and ends Arrow batches at 16 MB, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _sent or not package.is_dir():
+        return
+    archive = f"{tempfile.mkdtemp(prefix='recordloom-')}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(archive)
+    _sent.add(context.applicationId)

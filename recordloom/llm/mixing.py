@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recordloom.llm.common import Scratch, word_count
+from recordloom.llm.common import Scratch, python_ready, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Documents in a hash range on average; what one task sorts for a source.
@@ -100,6 +100,7 @@ def repetitions() -> Column:
 
 def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: tuple[int, int] = (3, 2), max_epochs: int = 2, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep_rows: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken; with keep_rows the rows of docs themselves, each as often as it is taken."""
+    python_ready(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "mixing")
     key = seeded_key(seed, F.col(doc_id), F.col(text))
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import Scratch, bounded_batches, small
+from recordloom.llm.common import Scratch, python_ready, small
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 40, 5
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """doc_id, t1 (hash of the text), n_shingles, component_id: the smallest doc_id that links lead to, the document's
     own included; kept: whether that is its own id."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    python_ready(spark)
     scratch = Scratch(spark, "near-dedup")
     signed = _texts(docs, doc_id, text).mapInArrow(_signed(words, bands, rows), "doc_id long, t1 long, n long, s1 long, s2 long, bands array<long>, sig binary")
     signed = scratch.table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import bounded_batches
+from recordloom.llm.common import python_ready
 
 #: Most labelled documents that the trees are fitted on.
 SAMPLE = 20_000
@@ -156,7 +156,7 @@ def _flat(nodes: list, roots: list, depth: int, start: int = 0, bias: float = 0.
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Trees | None:
     """Trees for the labelled documents that are in docs; None if they are not of two classes. Of labels and repeated
     documents with one id the smallest label and text count."""
-    bounded_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     picked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     have = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")  # at most `sample` rows
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
 def judge(text: Column, spark: SparkSession, trees: Trees | None, threshold: float = 0.5) -> Column:
     """A struct of the base counts, base_failed, score and kept. A document that fails no base rule is kept if its
     score reaches the threshold."""
-    bounded_batches(spark)
+    python_ready(spark)
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import Scratch, bounded_batches, small
+from recordloom.llm.common import Scratch, python_ready, small
 
 LENGTH, GRAM = 100, 40
 #: Occurrences of an anchor hash from which its windows are grouped by hash.
@@ -398,7 +398,7 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     """doc_id, h1, h2, n_bytes, sha256, first for every row (first: whether its id is the first with its text), and
     h1, h2, n_removed, spans, kept_sha256, kept for the distinct texts that lose bytes in their first document."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    python_ready(spark)
     scratch = Scratch(spark, "suffix-dedup")
     texts = _hashed(docs, doc_id, text)
     rows = scratch.table(texts.select("doc_id", *_KEY, F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("sha256")), "rows")

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import Scratch, bounded_batches, lower_ascii, small
+from recordloom.llm.common import Scratch, python_ready, lower_ascii, small
 
 #: Fixed values: (action, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Words that mark an example of `block`. They also have a place in the unigram model.
 SEEDS = (
-    "adult", "bet", "betting", "bonus", "casino", "cheap", "crack", "escort", "jackpot", "keygen", "loan", "loans", "lottery", "malware", "payday",
+    "adult", "ads", "bet", "bets", "betting", "bonus", "casino", "cheap", "crack", "escort", "jackpot", "keygen", "loan", "loans", "lottery", "malware", "payday",
     "phish", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "torrent", "viagra", "warez", "xxx",
 )
 SEED_COUNT = 100
@@ -118,7 +118,7 @@ def segmentations(labels: DataFrame, counts: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, words, score: score is the log-odds of `block`, from the words alone."""
     spark = pages.sparkSession
-    bounded_batches(spark)
+    python_ready(spark)
     scratch = Scratch(spark, "url-filter")
     host, path = parsed(F.col(url))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
