@@ -69,9 +69,12 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def drop(self, *names: str) -> None:
-        for name in names:
-            delete(self.spark, f"{self.root}/{name}")
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for x in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at):
+            if x.getPath().getName() not in names:
+                delete(self.spark, f"{self.root}/{x.getPath().getName()}")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

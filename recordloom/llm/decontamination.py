@@ -73,7 +73,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, doc_id:
     ids = found.select("doc_id", "key", "body").distinct().join(windows.select("body", "item_id").distinct(), "body")
     ids = ids.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     both = covered.join(ids.withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    return scratch.table(both.select("doc_id", "key", "n_hit", "items"), "found")
+    both = scratch.table(both.select("doc_id", "key", "n_hit", "items"), "found")
+    scratch.keep("found")
+    return both
 
 
 def report(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -60,7 +60,9 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "d
     # a document's own line numbers
     runs = active.filter("name < at").select(*_TEXT, F.sequence("pos", F.col("pos") + min_lines - 1).alias("run"))
     removed = runs.groupBy(*_TEXT).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("run")))).alias("removed"))
-    firsts = lines.filter("pos = 0").select(*_TEXT, "first")
+    firsts = scratch.table(lines.filter("pos = 0").select(*_TEXT, "first"), "firsts")
+    removed = scratch.table(removed, "removed")
+    scratch.keep("firsts", "removed")
     return firsts, removed
 
 

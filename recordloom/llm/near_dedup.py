@@ -225,7 +225,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     named = named.join(firsts, F.col("root") == F.col("r")).select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), "component_id")
     out = signed.select("doc_id", "t1", "n", "s1", "s2").join(named, (F.col("n") > 0) & (F.col("s1") == F.col("x1")) & (F.col("s2") == F.col("x2")), "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return scratch.table(out.select("doc_id", "t1", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept")), "out")
+    out = scratch.table(out.select("doc_id", "t1", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept")), "out")
+    scratch.keep("out")
+    return out
 
 
 def _linked(members: DataFrame, sig: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -439,10 +439,11 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         found = found.union(later.select("doc", "start", (F.col("start") + length).alias("end")))
     found = scratch.table(found, "found")
     spans = found.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found")).withColumnRenamed("doc", "d")
-    cut = held.join(spans, F.col("doc") == F.col("d")).select(*_KEY, "text", "found").mapInArrow(_cut, _CUT)
+    cut = scratch.table(held.join(spans, F.col("doc") == F.col("d")).select(*_KEY, "text", "found").mapInArrow(_cut, _CUT), "cut")
     firsts = firsts.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first_id")
     rows = rows.join(firsts, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
-    return rows.select("doc_id", *_KEY, "n_bytes", "sha256", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("first")), scratch.table(cut, "cut")
+    scratch.keep("rows", "cut")
+    return rows.select("doc_id", *_KEY, "n_bytes", "sha256", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("first")), cut
 
 
 def report(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:

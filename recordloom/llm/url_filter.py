@@ -143,7 +143,8 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
     odds = F.log((F.col("bad") + 1) / F.lit(float((t["bad"] or 0) + v))) - F.log((F.col("good") + 1) / F.lit(float((t["good"] or 0) + v)))
     weights = small(sums.select(F.col("word").alias("w"), odds.alias("odds")), BROADCAST_ROWS)
     scores = worded.select("row", F.explode("words").alias("word")).join(weights, F.col("word") == F.col("w")).groupBy("row").agg(F.sum("odds").alias("odds"))
-    scores = worded.join(scores.withColumnRenamed("row", "q"), F.col("row") == F.col("q")).select(F.col("row").alias("r"), "words", "odds")
+    scores = scratch.table(worded.join(scores.withColumnRenamed("row", "q"), F.col("row") == F.col("q")).select(F.col("row").alias("r"), "words", "odds"), "scores")
+    scratch.keep("rows", "scores")
     score = F.round(F.coalesce("odds", F.lit(0.0)) + F.lit(prior), 6)
     rule = rule_for(F.col("host"), F.col("path"), rules)
     out = rows.join(scores, F.col("row") == F.col("r"), "left").select("page_id", "host", "path", rule.alias("found"), "words", score.alias("score"))
