@@ -3,11 +3,13 @@
 1. Every whole text is cut to words, its set of word shingles is hashed to 64 bits, and a SuperMinHash signature is
    made: an element visits the registers in the order of a permutation of its own, with a rank that grows by one each
    step, and a document stops once no later rank can lower a register. Equal sets form one class.
-2. Signatures are cut into bands. Classes that share a band are compared with hubs of the band: first the smallest
-   class, then a growing share of the others, until each band's classes are connected or all have been hubs. So no
-   band emits all pairs as long as its classes belong together, and no link is lost.
+2. Signatures are cut into bands. Classes that share a band are compared with hubs of the band: the smallest class,
+   the most central one, then a growing share of the others, until each band's classes are connected or all have been
+   hubs. Classes whose own shingles rule out any link drop out before. So a band emits few pairs however many copies
+   it holds, and no link is lost.
 3. A pair whose signatures agree well enough is verified on the full shingle sets, recomputed from the texts.
-4. Verified links are grouped by union-find inside partitions and star contraction between them.
+4. Verified links are grouped by union-find, inside partitions and then in one task, or, if they are too many for one,
+   by star contraction between partitions.
 
 Pairs with a Jaccard similarity of the threshold share a band but for about 1e-7 of them. Null and blank texts have
 empty sets and link with nothing; a text with fewer words than a shingle is one shingle. Rows that repeat doc_id are
@@ -33,6 +35,10 @@ BANDS, ROWS = 40, 5
 LIKELY = 0.6
 #: Most class ids that are sent to all executors to pick their texts (16 MB).
 BROADCAST_ROWS = 1_000_000
+#: Most pairs, hubs or roots (16 MB), and most signatures (20 MB), that are; above, joins are shuffled.
+PAIRS, SIGNATURES = 500_000, 100_000
+#: Most links that one task joins (16 MB).
+LINKS_AT_ONCE = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
@@ -181,12 +187,16 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(find(v), v) for v in parent if find(v) != v], columns=["a", "b"], dtype="int64")
 
 
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str, at_once: int = LINKS_AT_ONCE) -> DataFrame:
     """v, root for the vertices of links (a < b) that are not the smallest of their component.
 
-    Partitions are contracted by union-find; large-star and small-star steps join them until nothing changes."""
-    stars = scratch.table(links.select("a", "b").mapInPandas(_forest, "a long, b long").distinct(), f"{name}-0")
+    Partitions are contracted by union-find. If at most `at_once` links are left, one task joins them; else large-star
+    and small-star steps do, until nothing changes."""
+    stars = scratch.table(links.select("a", "b").mapInPandas(_forest, "a long, b long"), f"{name}-0")
     step, seen = 0, None
+    if stars.count() <= at_once:
+        stars = scratch.table(stars.coalesce(1).mapInPandas(_forest, "a long, b long"), f"{name}-1")
+        return stars.select(F.col("b").alias("v"), F.col("a").alias("root"))
     while True:
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
@@ -215,11 +225,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     banded = reps.select("class", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("least")).filter("size > 1")
     members = scratch.table(banded.join(sizes, "key").select("key", "class", "size", "least"), "members")
-    held = scratch.table(reps.select("class", "doc_id", "t1", "sig").join(members.select("class").distinct(), "class"), "held")
+    held = scratch.table(reps.select("class", "doc_id", "t1", "n", "sig").join(members.select("class").distinct(), "class"), "held")
     wanted = small(held.select("class", F.col("doc_id").alias("d"), F.col("t1").alias("t")), BROADCAST_ROWS)
     texts = _texts(docs, doc_id, text)
     texts = scratch.table(texts.join(wanted, (texts["t1"] == wanted["t"]) & texts["doc_id"].eqNullSafe(wanted["d"])).select("class", "text"), "texts")
-    links, roots = _linked(members, held.select("class", "sig"), texts, words, percent, scratch)
+    links, roots = _linked(members, held, texts, words, percent, scratch)
     named = classes.join(roots, F.col("class") == F.col("v"), "left").withColumn("root", F.coalesce("root", "class"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
     named = named.join(firsts, F.col("root") == F.col("r")).select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), "component_id")
@@ -230,36 +240,73 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return out
 
 
-def _linked(members: DataFrame, sig: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _hashes(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, words) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"class": pa.array(np.repeat(b.column("class").to_numpy(), [len(x) for x in sets])), "h": pa.array(np.concatenate(sets).view(np.int64))})
+
+    return run
+
+
+def _bounds(classes: DataFrame, sizes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """class, n, shared: how many of a class's shingles another of the classes has, too; no link can have more in common."""
+    open_ = small(classes.select(F.col("class").alias("c")), PAIRS)
+    hashes = texts.join(open_, F.col("class") == F.col("c")).select("class", "text").mapInArrow(_hashes(words), "class long, h long")
+    own = hashes.groupBy("h").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c = d").groupBy("c").agg(F.count("*").alias("own"))
+    sizes = sizes.join(open_.withColumnRenamed("c", "o"), F.col("class") == F.col("o"))
+    return sizes.join(own, F.col("class") == F.col("c"), "left").select("class", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def _possible(shared, n, m, percent: int):
+    """Whether sets of n and m shingles that have at most `shared` in common can be similar enough."""
+    return 100 * shared >= percent * (n + m - shared)
+
+
+def _linked(members: DataFrame, held: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The verified links and the roots they lead to.
 
-    In round 0 the smallest class of a band is its hub; round k takes as hubs about 16^k classes of each band that is
-    not connected yet, by a hash, so that after log16 of the largest band's size every class of such a band has been
-    one. A hub is compared with the band's classes outside its component."""
+    In round 0 the smallest class of a band is its hub. For classes in bands that are not connected then, it is counted
+    how many of their shingles occur in any other such class. That bounds what two of them can have in common, so most
+    copies with many edits drop out, whatever the size of their group. Round 1 takes as hub the class with the
+    fewest shingles of its own, round k > 1 about 64^(k-1) classes of each band by a hash, so that in the end every
+    class of a band that is still not connected has been one. A hub is compared with the band's classes outside its
+    component."""
     largest = members.agg(F.max("size")).first()[0] or 0
-    named, tested, links, roots, k = members.withColumn("root", F.col("class")), None, None, None, 0
+    named, tested, links, roots, bounds, k = None, None, None, None, None, 0
     chance = F.pmod(F.xxhash64(F.lit(11), "class"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
+    sig = small(held.select("class", "sig"), SIGNATURES)
     while True:
-        hub = F.col("class") == F.col("least") if k == 0 else (chance < float(16**k)) & (chance >= float(16 ** (k - 1) if k > 1 else 0))
-        hubs = named.filter(hub).select(F.col("key").alias("k"), F.col("class").alias("hub"), F.col("root").alias("hub_root"))
-        pairs = named.join(hubs, (F.col("key") == F.col("k")) & (F.col("root") != F.col("hub_root")))
-        pairs = pairs.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if k == 0:
+            pairs = members.select(F.col("least").alias("a"), F.col("class").alias("b")).filter("a < b").distinct()
+        else:
+            hub = F.col("class") == F.col("central") if k == 1 else (chance < float(64 ** (k - 1))) & (chance >= float(64 ** (k - 2) if k > 2 else 0))
+            hubs = named.filter(hub).select(F.col("key").alias("k"), F.col("class").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("m"), F.col("shared").alias("hub_shared"))
+            possible = _possible(F.least("shared", "hub_shared"), F.col("n"), F.col("m"), percent)
+            pairs = named.join(small(hubs, PAIRS), (F.col("key") == F.col("k")) & (F.col("root") != F.col("hub_root")) & possible)
+            pairs = pairs.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+            pairs = pairs.join(small(tested, PAIRS), ["a", "b"], "left_anti")
         pairs = pairs.join(sig.select(F.col("class").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("class").alias("b"), F.col("sig").alias("y")), "b")
         pairs = scratch.table(pairs.filter(F.pandas_udf(_likely, "boolean")("x", "y")).select("a", "b"), f"pairs-{k}")
         tested = pairs if tested is None else tested.union(pairs)
-        both = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a")
-        found = scratch.table(both.select("a", "b", "x", "y").mapInPandas(_similar(words, percent), "a long, b long").distinct(), f"links-{k}")
+        both = texts.select(F.col("class").alias("b"), F.col("text").alias("y")).join(small(pairs, PAIRS), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a")
+        found = scratch.table(both.select("a", "b", "x", "y").mapInPandas(_similar(words, percent), "a long, b long"), f"links-{k}")
         links = found if links is None else links.union(found)
         roots = components(links, scratch, f"roots-{k}")
-        if k and 16**k >= largest:
-            return links, roots
-        named = members.join(roots, F.col("class") == F.col("v"), "left").withColumn("root", F.coalesce("root", "class")).drop("v")
-        split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(F.col("key").alias("k"))
-        named = scratch.table(named.join(split, F.col("key") == F.col("k")).drop("k"), f"open-{k}")
-        if named.isEmpty():
+        if k > 1 and 64 ** (k - 1) >= largest:
             return links, roots
+        named = members.join(small(roots, PAIRS), F.col("class") == F.col("v"), "left").withColumn("root", F.coalesce("root", "class")).drop("v")
+        for part in ("open", "live"):
+            if part == "live":
+                if bounds is None:
+                    bounds = scratch.table(_bounds(named.select("class").distinct(), held.select("class", "n"), texts, words), "bounds")
+                named = named.join(small(bounds, PAIRS), "class")
+                least = named.groupBy(F.col("key").alias("k")).agg(F.min("n").alias("m"))
+                named = named.join(least, F.col("key") == F.col("k")).filter(_possible(F.col("shared"), F.col("n"), F.col("m"), percent)).drop("k", "m")
+            split = named.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("low"), F.max("root").alias("high"), *([F.min_by("class", F.struct(F.col("n") - F.col("shared"), "class")).alias("central")] if part == "live" else []))
+            named = scratch.table(named.join(split.filter("low < high").drop("low", "high"), F.col("key") == F.col("k")).drop("k"), f"{part}-{k}")
+            if named.isEmpty():
+                return links, roots
         k += 1
 
 

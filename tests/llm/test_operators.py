@@ -123,8 +123,17 @@ def test_components_of_a_long_chain(spark):
     random.Random(2).shuffle(order)
     links = [(min(a, b), max(a, b)) for a, b in zip(order, order[1:], strict=False)]
     links += [(1000, 1001), (1001, 1002)]
-    found = near_dedup.components(spark.createDataFrame(links, "a long, b long").repartition(7), Scratch(spark, "t"), "c")
-    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(1, n)} | {(1001, 1000), (1002, 1000)}
+    table = spark.createDataFrame(links, "a long, b long").repartition(7)
+    for at_once in (1000, 0):
+        found = near_dedup.components(table, Scratch(spark, "t"), "c", at_once)
+        assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(1, n)} | {(1001, 1000), (1002, 1000)}
+
+
+def test_near_duplicates_by_shuffled_joins(docs, rows, monkeypatch):
+    for name in ("BROADCAST_ROWS", "PAIRS", "SIGNATURES", "LINKS_AT_ONCE"):
+        monkeypatch.setattr(near_dedup, name, 0)
+    found = near_dedup.near_duplicates(docs, words=4).select("doc_id", "n_shingles", "component_id", "kept")
+    assert result(found) == jaccard_components(rows, 4)
 
 
 # decontamination
