@@ -44,6 +44,10 @@ RUN, GROUP = 100_000, 100_000
 SAMPLE = 20_000
 #: Most ids of texts that are sent to all executors to pick those texts (about 60 MB).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text whose windows are hashed at once.
+CHUNK = 1 << 19
+#: Most documents whose stretches are sent to all executors (about 40 MB).
+SPANS = 200_000
 #: Members of an interval up to which they are compared in pairs.
 PAIRED = 64
 _TABLE = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64)
@@ -81,21 +85,24 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - n)], x[width - n :]) if width > n else x
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors of the documents that lie one after the other in data, from starts[i] to
-    starts[i + 1]."""
-    if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = _gram_hashes(data, gram)
+    starts[i + 1]. Windows that start in one chunk are looked at together, so memory does not grow with the data."""
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
     width = length - gram + 1
-    least = _sliding(h, width, np.minimum)  # for each window start
-    ends = starts[1:]
-    inside = np.repeat(ends, np.diff(starts))[: len(least)] - np.arange(len(least)) >= length
-    least[~inside] = 0
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    most = _sliding(padded, width, np.maximum)[: len(h)]  # over the windows that hold a position
-    at = np.flatnonzero(most == h)
-    return at, h[at]
+    edge = np.zeros(width - 1, np.uint64)
+    for s in range(0, max(len(data) - length + 1, 0), chunk):
+        piece = data[s : s + chunk + length - 1]
+        h = _gram_hashes(piece, gram)
+        least = _sliding(h, width, np.minimum)  # for each window start
+        at = np.arange(s, s + len(least))
+        least[starts[np.searchsorted(starts, at, "right")] - at < length] = 0  # windows that would leave their document
+        most = _sliding(np.concatenate([edge, least, edge]), width, np.maximum)[: len(h)]  # over the windows that hold a position
+        hit = np.flatnonzero(most == h)
+        found.append((hit + s, h[hit]))
+    at, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    at, first = np.unique(at, return_index=True)
+    return at, h[first]
 
 
 def _anchored(length: int, gram: int):
@@ -144,9 +151,6 @@ class Rows:
         self.start.append(at - before)
         self.end.append(at + after)
 
-    def table(self) -> dict:
-        return {"doc": pa.array(self.doc, pa.int64()), "start": pa.array(self.start, pa.int32()), "end": pa.array(self.end, pa.int32())}
-
 
 def collapsed(items: list[tuple[bytes, int, int]], found: Rows) -> list[tuple[bytes, int, int]]:
     """Sorted (key, doc, position) with the first of equal keys; the others are found."""
@@ -191,9 +195,10 @@ def _runs(splitters: list[bytes], length: int, gram: int, run_size: int):
             cuts.setdefault(bisect_right(splitters, item[0][:gram]), []).append(item)
         for part, piece in cuts.items():
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in coded(piece).items()}, **{k: pa.array([None], t) for k, t in (("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()))}})
-        n = len(found.doc)
-        if n:
-            yield pa.RecordBatch.from_pydict({"part": pa.nulls(n, pa.int32()), **{k: pa.nulls(n, pa.binary()) for k in names}, **found.table()})
+        if found.doc:
+            table = joined(np.array(found.doc), np.array(found.start), np.array(found.end))
+            n, kinds = len(table), {"doc": pa.int64(), "start": pa.int32(), "end": pa.int32()}
+            yield pa.RecordBatch.from_pydict({"part": pa.nulls(n, pa.int32()), **{k: pa.nulls(n, pa.binary()) for k in names}, **{k: pa.array(table[k], t) for k, t in kinds.items()}})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: list[tuple[bytes, int, int]] = []
@@ -331,10 +336,24 @@ def _crowd(members, keys, left, left_len, right, docs, places, length: int, gram
             found.add(int(docs[members[i]]), int(places[members[i]]), o, length - o)
 
 
+def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+    """Stretches of each document, with those that overlap or touch as one."""
+    order = np.lexsort((start, doc))
+    doc, start, end = (np.asarray(x, np.int64)[order] for x in (doc, start, end))
+    if not len(doc):
+        return pd.DataFrame({"doc": doc, "start": start, "end": end})
+    number = np.cumsum(np.diff(doc, prepend=doc[0]) != 0)
+    shift = number * (int(end.max()) + 2)  # documents side by side, apart
+    reach = np.maximum.accumulate(end + shift)
+    first = np.flatnonzero(np.concatenate([[True], (start + shift)[1:] > reach[:-1]]))
+    last = np.concatenate([first[1:], [len(doc)]]) - 1
+    return pd.DataFrame({"doc": doc[first], "start": start[first], "end": reach[last] - shift[last]})
+
+
 def _merge(length: int, gram: int):
     def run(runs: pd.DataFrame) -> pd.DataFrame:
         found = repeats(merged([decoded(*r) for r in runs[["shared", "lengths", "rest", "docs", "places"]].itertuples(index=False)]), length, gram)
-        return pd.DataFrame({"doc": found.doc, "start": found.start, "end": found.end}, dtype="int64").drop_duplicates()
+        return joined(np.array(found.doc, np.int64), np.array(found.start, np.int64), np.array(found.end, np.int64))
 
     return run
 
@@ -356,31 +375,21 @@ def _windows(length: int, gram: int):
 # removal
 
 
-def union(starts, ends) -> list[tuple[int, int]]:
-    """Sorted disjoint stretches; those that touch are one."""
-    out: list[list[int]] = []
-    for s, e in sorted(zip(starts, ends, strict=True)):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        kept, removed, spans = [], [], []
-        for text, found in zip(b.column("text").cast(pa.large_binary()).to_pylist(), b.column("found").to_pylist(), strict=True):
-            gone = union([x["start"] for x in found], [x["end"] for x in found])
-            edges = [0, *(x for span in gone for x in span), len(text)]
-            kept.append(b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
-            removed.append(sum(e - s for s, e in gone))
-            spans.append(gone)
-        pairs = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-        yield pa.RecordBatch.from_pydict({**{c: b.column(c) for c in _KEY}, "n_removed": pa.array(removed, pa.int64()), "spans": pairs, "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]), "kept": pa.array(kept, pa.binary())})
+        kept, removed, starts, ends = [], [], [], []
+        for text, first, last in zip(b.column("text").cast(pa.large_binary()).to_pylist(), b.column("starts").to_pylist(), b.column("ends").to_pylist(), strict=True):
+            gone = joined(np.zeros(len(first), np.int64), np.array(first), np.array(last))
+            s, e = gone["start"].tolist(), gone["end"].tolist()
+            kept.append(b"".join(text[i:k] for i, k in zip([0, *e], [*s, len(text)], strict=True)))
+            removed.append(sum(e) - sum(s))
+            starts.append(s)
+            ends.append(e)
+        lists = {"starts": pa.array(starts, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32()))}
+        yield pa.RecordBatch.from_pydict({**{c: b.column(c) for c in _KEY}, "n_removed": pa.array(removed, pa.int64()), **lists, "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]), "kept": pa.array(kept, pa.binary())})
 
 
-_CUT = "h1 long, h2 long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary"
+_CUT = "h1 long, h2 long, n_removed long, starts array<int>, ends array<int>, kept_sha256 string, kept binary"
 
 
 def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -396,7 +405,7 @@ def _picked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text", run_size: int = RUN, group_size: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """doc_id, h1, h2, n_bytes, sha256, first for every row (first: whether its id is the first with its text), and
-    h1, h2, n_removed, spans, kept_sha256, kept for the distinct texts that lose bytes in their first document."""
+    h1, h2, n_removed, starts, ends, kept_sha256, kept for the distinct texts that lose bytes in their first document."""
     spark = docs.sparkSession
     python_ready(spark)
     scratch = Scratch(spark, "suffix-dedup")
@@ -411,35 +420,39 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     anchored = scratch.table(anchored.withColumn("row", F.monotonically_increasing_id()), "anchors")
     pairs = anchored.select("row", F.explode(F.arrays_zip("hash", "at")).alias("a")).select("row", F.col("a.hash").alias("hash"), F.col("a.at").alias("at"))
     shared = scratch.table(pairs.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("hash", "x"), "shared")
-    kept = pairs.join(shared, F.col("hash") == F.col("x")).groupBy("row", (F.col("n") > hot).alias("hot")).agg(F.collect_list("at").alias("places"))
-    # corpus order of the documents that have such an anchor; rows that repeat a document get the same number twice only in content
+    is_hot = F.col("n") > hot
+    kept = pairs.join(shared, F.col("hash") == F.col("x")).groupBy("row").agg(F.collect_list(F.when(~is_hot, F.col("at"))).alias("places"), F.collect_list(F.when(is_hot, F.col("at"))).alias("hot"))
+    # corpus order; rows that repeat a document have its first number
     ordered = anchored.select("row", "doc_id", *_KEY).orderBy(F.col("doc_id").asc_nulls_last(), *_KEY, "row")
     ordered = scratch.table(ordered.withColumn("doc", F.monotonically_increasing_id()), "order")
-    ordered = ordered.groupBy("doc_id", *_KEY).agg(F.min("doc").alias("doc"), F.min("row").alias("row"))
-    places = scratch.table(kept.join(ordered, "row").select("doc", "hot", "places", "doc_id", *_KEY), "places")
-    wanted = places.select("doc_id", *_KEY, "doc").distinct()
-    held = scratch.table(_picked(texts, wanted).dropDuplicates(["doc"]).select("doc", *_KEY, "text"), "texts")
-    work = places.select(F.col("doc").alias("d"), "hot", "places").join(held, F.col("d") == F.col("doc")).select("doc", "text", "hot", "places")
-    total = places.filter("not hot").agg(F.sum(F.size("places"))).first()[0] or 0
+    ordered = ordered.groupBy("doc_id", *_KEY).agg(F.min("doc").alias("doc"), F.min("row").alias("row"), F.count("*").alias("n"))
+    places = scratch.table(kept.join(ordered, "row").select("doc", "n", "hot", "places", "doc_id", *_KEY), "places")
+    held = _picked(texts, places.select("doc_id", *_KEY, "doc"))
+    if places.filter("n > 1").limit(1).count():
+        held = held.dropDuplicates(["doc"])
+    work = held.join(places.select(F.col("doc").alias("d"), "hot", "places"), F.col("doc") == F.col("d")).select("doc", *_KEY, "text", "hot", "places")
+    work = scratch.table(work, "work")
+    total = places.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(1, round(total / group_size))
     sample = min(1.0, SAMPLE / max(total, 1))
-    keys = work.filter("not hot").select("text", F.explode("places").alias("at")).filter(F.rand(3) < sample) if parts > 1 else None
+    keys = work.select("text", F.explode("places").alias("at")).filter(F.rand(3) < sample) if parts > 1 else None
     splitters: list[bytes] = []
     if keys is not None:
         grams = sorted(bytes(r["g"]) for r in keys.select(F.substring(F.encode("text", "UTF-8"), F.col("at") + 1, F.lit(gram)).alias("g")).collect())  # about SAMPLE rows
         splitters = sorted({grams[i * len(grams) // parts] for i in range(1, parts)} if grams else [])
     schema = "part int, shared binary, lengths binary, rest binary, docs binary, places binary, doc long, start int, end int"
-    runs = scratch.table(work.filter("not hot").select("doc", "text", "places").mapInArrow(_runs(splitters, length, gram, run_size), schema), "runs")
+    runs = scratch.table(work.select("doc", "text", "places").mapInArrow(_runs(splitters, length, gram, run_size), schema), "runs")
     found = runs.filter("part is not null").select("part", "shared", "lengths", "rest", "docs", "places").groupBy("part").applyInPandas(_merge(length, gram), "doc long, start long, end long")
     found = found.select("doc", F.col("start").cast("int"), F.col("end").cast("int")).union(runs.filter("part is null").select("doc", "start", "end"))
-    if places.filter("hot").limit(1).count():
-        windows = scratch.table(work.filter("hot").select("doc", "text", "places").mapInArrow(_windows(length, gram), "w1 long, w2 long, doc long, start int"), "windows")
+    if places.filter(F.size("hot") > 0).limit(1).count():
+        windows = scratch.table(work.filter(F.size("hot") > 0).select("doc", "text", F.col("hot").alias("places")).mapInArrow(_windows(length, gram), "w1 long, w2 long, doc long, start int"), "windows")
         first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").withColumnsRenamed({"w1": "v1", "w2": "v2"})
         later = windows.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).filter(F.struct("doc", "start") != F.col("first"))
         found = found.union(later.select("doc", "start", (F.col("start") + length).alias("end")))
     found = scratch.table(found, "found")
-    spans = found.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found")).withColumnRenamed("doc", "d")
-    cut = scratch.table(held.join(spans, F.col("doc") == F.col("d")).select(*_KEY, "text", "found").mapInArrow(_cut, _CUT), "cut")
+    spans = found.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")).withColumnRenamed("doc", "d")
+    spans = small(scratch.table(spans, "spans"), SPANS)
+    cut = scratch.table(work.join(spans, F.col("doc") == F.col("d")).select(*_KEY, "text", "starts", "ends").mapInArrow(_cut, _CUT), "cut")
     firsts = firsts.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first_id")
     rows = rows.join(firsts, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
     scratch.keep("rows", "cut")
@@ -449,7 +462,7 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
 def report(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     rows, cut = repeated_stretches(docs, length, **options)
-    cut = cut.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "n_removed", F.size("spans").alias("n"), "kept_sha256")
+    cut = cut.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "n_removed", F.size("starts").alias("n"), "kept_sha256")
     both = rows.join(cut, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")), "left")
     gone = ~F.col("first") & (F.col("n_bytes") >= length)
     own = F.col("first")

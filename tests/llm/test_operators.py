@@ -451,7 +451,9 @@ def test_loser_tree_keeps_shared_prefixes():
 def test_anchors_depend_on_the_window_alone():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 100, 700, dtype=np.uint8)
-    at, _ = suffix_dedup.anchors(data, np.array([0, 700]), 100, 40)
+    at, h = suffix_dedup.anchors(data, np.array([0, 700]), 100, 40)
+    again = suffix_dedup.anchors(data, np.array([0, 700]), 100, 40, chunk=150)
+    assert (again[0] == at).all() and (again[1] == h).all()
     for p in range(0, 601, 37):
         alone, _ = suffix_dedup.anchors(data[p : p + 100].copy(), np.array([0, 100]), 100, 40)
         assert len(alone) and set(alone + p) <= set(at)
