@@ -37,6 +37,15 @@ def split_numeric(c: Column) -> Column:
     return F.when(t.rlike(SHAPE) & kind.isNotNull(), F.struct(kind.alias("kind"), numbers[0].alias("a"), numbers[1].alias("b"), numbers[2].alias("c"), F.length(part[2]).alias("year_digits")))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use mentions it; ladders stay small enough to compile."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _parts(c: Column) -> Column:
+    return F.struct(split_numeric(c).alias("s"), written(c).alias("w"))
+
+
 def written(c: Column) -> Column:
     """ISO of an ISO date, an ISO datetime at midnight, or a date with a month's name; else null."""
     t = F.lower(strip(bounded(c)))
@@ -55,35 +64,40 @@ def written(c: Column) -> Column:
 def interpret(c: Column, order: str | None = None) -> Column:
     """A struct status (valid, ambiguous, invalid), iso, candidates. Without an order a numeric date counts only if it
     has one reading; two-digit years have none here."""
-    s = split_numeric(c)
-    ymd = F.when(s["kind"] == "ymd", valid_ymd(s["a"], s["b"], s["c"]))
-    four = (s["kind"] == "xxy") & (s["year_digits"] == 4)
-    mdy = F.when(four, valid_ymd(s["c"], s["a"], s["b"]))
-    dmy = F.when(four, valid_ymd(s["c"], s["b"], s["a"]))
-    wanted = {"MDY": [mdy], "DMY": [dmy], None: [mdy, dmy]}[order]
-    options = F.array_sort(F.array_distinct(F.array_compact(F.array(written(c), ymd, *wanted))))
-    status = F.when(F.size(options) == 1, "valid").when(F.size(options) > 1, "ambiguous").otherwise("invalid")
-    return F.struct(status.alias("status"), F.when(F.size(options) == 1, options[0]).alias("iso"), options.alias("candidates"))
+
+    def readings(p: Column) -> Column:
+        s = p["s"]
+        ymd = F.when(s["kind"] == "ymd", valid_ymd(s["a"], s["b"], s["c"]))
+        four = (s["kind"] == "xxy") & (s["year_digits"] == 4)
+        mdy = F.when(four, valid_ymd(s["c"], s["a"], s["b"]))
+        dmy = F.when(four, valid_ymd(s["c"], s["b"], s["a"]))
+        wanted = {"MDY": [mdy], "DMY": [dmy]}.get(order, [mdy, dmy])
+        return F.array_sort(F.array_distinct(F.array_compact(F.array(p["w"], ymd, *wanted))))
+
+    def result(options: Column) -> Column:
+        status = F.when(F.size(options) == 1, "valid").when(F.size(options) > 1, "ambiguous").otherwise("invalid")
+        return F.struct(status.alias("status"), F.when(F.size(options) == 1, options[0]).alias("iso"), options.alias("candidates"))
+
+    return _once(_once(_parts(c), readings), result)
 
 
 def order_evidence(c: Column) -> Column:
     """What a value says about the order of its column: decisive_mdy, decisive_dmy, ambiguous, order_invariant, ymd,
     written, invalid; null for blanks. With a two-digit year only month and day ranges count."""
-    s = split_numeric(c)
-    two = s["year_digits"] == 2
-    month_day = lambda m, d: F.when(two, m.between(1, 12) & d.between(1, 31)).otherwise(valid_ymd(s["c"], m, d).isNotNull())
-    mdy, dmy = month_day(s["a"], s["b"]), month_day(s["b"], s["a"])
-    numeric = (
-        F.when(mdy & dmy & (s["a"] == s["b"]), "order_invariant").when(mdy & dmy, "ambiguous").when(mdy, "decisive_mdy").when(dmy, "decisive_dmy").otherwise("invalid")
-    )
-    ymd = F.when(valid_ymd(s["a"], s["b"], s["c"]).isNotNull(), "ymd").otherwise("invalid")
-    return (
-        F.when(strip(c) == "", F.lit(None))
-        .when(written(c).isNotNull(), F.when(strip(c).rlike(r"^\d{4}-"), "ymd").otherwise("written"))
-        .when(s["kind"] == "ymd", ymd)
-        .when(s["kind"] == "xxy", numeric)
-        .when(c.isNotNull(), "invalid")
-    )
+
+    def evidence(p: Column) -> Column:
+        s = p["s"]
+        two = s["year_digits"] == 2
+        month_day = lambda m, d: F.when(two, m.between(1, 12) & d.between(1, 31)).otherwise(valid_ymd(s["c"], m, d).isNotNull())
+        both = F.struct(month_day(s["a"], s["b"]).alias("mdy"), month_day(s["b"], s["a"]).alias("dmy"), (s["a"] == s["b"]).alias("same"))
+        numeric = _once(both, lambda e: F.when(e["mdy"] & e["dmy"], F.when(e["same"], "order_invariant").otherwise("ambiguous")).when(e["mdy"], "decisive_mdy").when(e["dmy"], "decisive_dmy").otherwise("invalid"))
+        return (
+            F.when(p["w"].isNotNull(), F.when(strip(c).rlike(r"^\d{4}-"), "ymd").otherwise("written"))
+            .when(s["kind"] == "ymd", F.when(valid_ymd(s["a"], s["b"], s["c"]).isNotNull(), "ymd").otherwise("invalid"))
+            .when(s["kind"] == "xxy", numeric).otherwise("invalid")
+        )
+
+    return F.when(c.isNotNull() & (strip(c) != ""), _once(_parts(c), evidence))
 
 
 def permitted(iso: Column, rules: Mapping, reference_date: str) -> Column:
@@ -109,20 +123,21 @@ def apply_order(c: Column, order: Column | str, rules: Mapping, reference_date:
     if pivot is not None and not 0 <= pivot <= 99:
         raise ValueError("a century pivot is a two-digit year")
     order = F.lit(order) if isinstance(order, str) else order
-    s = split_numeric(c)
-    m = F.when(order == "MDY", s["a"]).otherwise(s["b"])
-    d = F.when(order == "MDY", s["b"]).otherwise(s["a"])
-    known = F.coalesce(
-        written(c),
-        F.when(s["kind"] == "ymd", valid_ymd(s["a"], s["b"], s["c"])),
-        F.when((s["kind"] == "xxy") & (s["year_digits"] == 4) & order.isin("MDY", "DMY"), valid_ymd(s["c"], m, d)),
-    )
-    short = (s["kind"] == "xxy") & (s["year_digits"] == 2) & order.isin("MDY", "DMY")
-    late, early = valid_ymd(s["c"] + 2000, m, d), valid_ymd(s["c"] + 1900, m, d)
-    if pivot is not None:
-        centuries = F.array_compact(F.array(F.when(s["c"] <= pivot, late).otherwise(early)))
-    else:
-        centuries = F.filter(F.array(early, late), lambda x: x.isNotNull() & permitted(x, rules, reference_date))
-    options = F.when(known.isNotNull(), F.array(known)).when(short, centuries).otherwise(F.array().cast("array<string>"))
-    status = F.when(F.size(options) == 1, "valid").when(F.size(options) == 2, "ambiguous_century").otherwise("invalid")
-    return F.struct(status.alias("status"), F.when(F.size(options) == 1, options[0]).alias("iso"), options.alias("candidates"))
+
+    def readings(p: Column) -> Column:
+        s = p["s"]
+        m, d = F.when(order == "MDY", s["a"]).otherwise(s["b"]), F.when(order == "MDY", s["b"]).otherwise(s["a"])
+        either = (s["kind"] == "xxy") & order.isin("MDY", "DMY")
+        known = F.coalesce(p["w"], F.when(s["kind"] == "ymd", valid_ymd(s["a"], s["b"], s["c"])), F.when(either & (s["year_digits"] == 4), valid_ymd(s["c"], m, d)))
+        late, early = valid_ymd(s["c"] + 2000, m, d), valid_ymd(s["c"] + 1900, m, d)
+        if pivot is not None:
+            centuries = F.array_compact(F.array(F.when(s["c"] <= pivot, late).otherwise(early)))
+        else:
+            centuries = F.filter(F.array(early, late), lambda x: x.isNotNull() & permitted(x, rules, reference_date))
+        return F.when(known.isNotNull(), F.array(known)).when(either & (s["year_digits"] == 2), centuries).otherwise(F.array().cast("array<string>"))
+
+    def result(options: Column) -> Column:
+        status = F.when(F.size(options) == 1, "valid").when(F.size(options) == 2, "ambiguous_century").otherwise("invalid")
+        return F.struct(status.alias("status"), F.when(F.size(options) == 1, options[0]).alias("iso"), options.alias("candidates"))
+
+    return _once(_once(_parts(c), readings), result)

@@ -18,7 +18,7 @@ def status_counts(rows: DataFrame, by: Sequence[str], status: str, values: Seque
 
 def span_seconds(rows: DataFrame, by: Sequence[str], opened: str, closed: str) -> DataFrame:
     """by, n, seconds from the first opening to the last close."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), (F.unix_micros(F.max(closed)) - F.unix_micros(F.min(opened))).alias("micros"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), (F.unix_micros(F.max(closed).cast("timestamp")) - F.unix_micros(F.min(opened).cast("timestamp"))).alias("micros"))
 
 
 def token_cost(tokens_in: Column, tokens_out: Column, price_in: float = PRICE_IN, price_out: float = PRICE_OUT) -> Column:

@@ -342,7 +342,7 @@ _ITEMS = """i AS (SELECT l_orderkey AS k, l_linenumber::VARCHAR AS id, l_returnf
 WITH {_ITEMS}
 SELECT k::VARCHAR AS entity_key, id AS identity, CASE WHEN count(DISTINCT nullif(flag, '')) > 1 THEN NULL ELSE min(nullif(flag, '')) END AS flag, CASE WHEN count(DISTINCT nullif(st, '')) > 1 THEN NULL ELSE min(nullif(st, '')) END AS st,
   count(*) AS n_rows, count(DISTINCT coalesce(flag, '') || '|' || coalesce(st, '')) AS n_variants, CASE WHEN count(DISTINCT nullif(flag, '')) > 1 OR count(DISTINCT nullif(st, '')) > 1 THEN 'conflict' ELSE 'resolved' END AS status
-FROM i GROUP BY k, id
+FROM i WHERE coalesce(flag, '') <> '' OR coalesce(st, '') <> '' GROUP BY k, id
 """)
 def collection_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("string").alias("line"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("st"))
@@ -422,8 +422,8 @@ def applied_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.applied(t, changes, "k", ["name", "seg"]).select("k", "name", "seg", "revision")
 
 
-_HALVES = """o AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS flag, l_linestatus AS st FROM lineitem WHERE (l_orderkey + l_linenumber) % 5 <> 0),
-w AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_orderkey % 4 = 0 THEN 'X' ELSE l_returnflag END AS flag, l_linestatus AS st FROM lineitem WHERE (l_orderkey + l_linenumber) % 7 <> 0)"""
+_HALVES = """o AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_returnflag AS flag, l_linestatus AS st FROM lineitem WHERE (l_orderkey + l_linenumber) % 5 <> 0),
+w AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_orderkey % 4 = 0 THEN 'X' ELSE l_returnflag END AS flag, l_linestatus AS st FROM lineitem WHERE (l_orderkey + l_linenumber) % 7 <> 0)"""
 
 
 @_query(f"""
@@ -433,7 +433,7 @@ SELECT coalesce(w.k, o.k) AS k, coalesce(w.n, o.n) AS n, CASE WHEN o.k IS NULL T
 def item_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("st")).distinct()
     old = li.filter("(k + n) % 5 <> 0")
-    new = li.filter("(k + n) % 7 <> 0").withColumn("flag", F.when(F.pmod("k", F.lit(4)) == 0, "X").otherwise(F.col("flag")))
+    new = li.filter("(k + n) % 7 <> 0").withColumn("flag", F.when(F.pmod("k", F.lit(4)) == 0, "X").otherwise(F.col("flag"))).distinct()
     return diff.item_diff(old, new, ["k", "n"], ["flag", "st"]).drop("changed_fields")
 
 
