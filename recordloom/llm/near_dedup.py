@@ -3,9 +3,8 @@
 1. Every whole text is cut to words, its set of word shingles is hashed to 64 bits, and a SuperMinHash signature is
    made: an element visits the registers in the order of a permutation of its own, with a rank that grows by one each
    step, and a document stops once no later rank can lower a register. Equal sets form one class.
-2. Signatures are cut into bands. Classes that share a band are compared with hubs of the band: the smallest class,
-   the most central one, then a growing share of the others, until each band's classes are connected or all have been
-   hubs. Classes whose own shingles rule out any link drop out before. So a band emits few pairs however many copies
+2. Signatures are cut into bands. Classes that share a band are compared with hubs of the band: the most central
+   class, then a growing share of the others, until each band's classes are connected or all have been hubs. Classes whose own shingles rule out any link drop out before. So a band emits few pairs however many copies
    it holds, and no link is lost.
 3. A pair whose signatures agree well enough is verified on the full shingle sets, recomputed from the texts.
 4. Verified links are grouped by union-find, inside partitions and then in one task, or, if they are too many for one,
@@ -39,6 +38,8 @@ BROADCAST_ROWS = 1_000_000
 PAIRS, SIGNATURES = 500_000, 100_000
 #: Most links that one task joins (16 MB).
 LINKS_AT_ONCE = 1_000_000
+#: Hubs of a band after the first; squared, cubed and so on in later rounds.
+HUBS = 4096
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
@@ -223,8 +224,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = scratch.table(full.groupBy("s1", "s2").agg(F.min("row").alias("class"), F.min("doc_id").alias("first")), "classes")
     reps = full.join(classes.select("class"), F.col("row") == F.col("class"))
     banded = reps.select("class", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("least")).filter("size > 1")
-    members = scratch.table(banded.join(sizes, "key").select("key", "class", "size", "least"), "members")
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = scratch.table(banded.join(shared, "key").select("key", "class"), "members")
     held = scratch.table(reps.select("class", "doc_id", "t1", "n", "sig").join(members.select("class").distinct(), "class"), "held")
     wanted = small(held.select("class", F.col("doc_id").alias("d"), F.col("t1").alias("t")), BROADCAST_ROWS)
     texts = _texts(docs, doc_id, text)
@@ -249,12 +250,11 @@ def _hashes(words: int):
     return run
 
 
-def _bounds(classes: DataFrame, sizes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """class, n, shared: how many of a class's shingles another of the classes has, too; no link can have more in common."""
-    open_ = small(classes.select(F.col("class").alias("c")), PAIRS)
-    hashes = texts.join(open_, F.col("class") == F.col("c")).select("class", "text").mapInArrow(_hashes(words), "class long, h long")
+def _bounds(sizes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """class, n, shared: how many of a class's shingles another of these classes has, too; no link can have more in
+    common."""
+    hashes = texts.mapInArrow(_hashes(words), "class long, h long")
     own = hashes.groupBy("h").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c = d").groupBy("c").agg(F.count("*").alias("own"))
-    sizes = sizes.join(open_.withColumnRenamed("c", "o"), F.col("class") == F.col("o"))
     return sizes.join(own, F.col("class") == F.col("c"), "left").select("class", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
@@ -266,24 +266,29 @@ def _possible(shared, n, m, percent: int):
 def _linked(members: DataFrame, held: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The verified links and the roots they lead to.
 
-    In round 0 the smallest class of a band is its hub. For classes in bands that are not connected then, it is counted
-    how many of their shingles occur in any other such class. That bounds what two of them can have in common, so most
-    copies with many edits drop out, whatever the size of their group. Round 1 takes as hub the class with the
-    fewest shingles of its own, round k > 1 about 64^(k-1) classes of each band by a hash, so that in the end every
-    class of a band that is still not connected has been one. A hub is compared with the band's classes outside its
-    component."""
+    First it is counted how many shingles of each class occur in any other candidate. That bounds what two of them can
+    have in common, so copies with many edits of their own drop out, whatever the size of their group. In round 0 the
+    hub of a band is the class with the fewest shingles of its own. Round k takes about HUBS^k classes of each band
+    that is not connected yet, by a hash, so that in the end every class of such a band has been a hub. A hub is
+    compared with the band's classes outside its component."""
+    bounds = small(scratch.table(_bounds(held.select("class", "n"), texts, words), "bounds"), PAIRS)
+    members = members.join(bounds, "class")
+    bands = members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size"), F.min("n").alias("least"), F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "class", "n", "shared")).alias("hub"))
+    members = members.join(bands, F.col("key") == F.col("k")).filter(_possible(F.col("shared"), F.col("n"), F.col("least"), percent))
+    members = scratch.table(members.select("key", "class", "size", "n", "shared", "hub"), "live")
     largest = members.agg(F.max("size")).first()[0] or 0
-    named, tested, links, roots, bounds, k = None, None, None, None, None, 0
+    named, tested, links, roots, k = None, None, None, None, 0
     chance = F.pmod(F.xxhash64(F.lit(11), "class"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
     sig = small(held.select("class", "sig"), SIGNATURES)
     while True:
         if k == 0:
-            pairs = members.select(F.col("least").alias("a"), F.col("class").alias("b")).filter("a < b").distinct()
+            pairs = members.filter((F.col("class") != F.col("hub.class")) & _possible(F.least("shared", "hub.shared"), F.col("n"), F.col("hub.n"), percent))
+            pairs = pairs.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
         else:
-            hub = F.col("class") == F.col("central") if k == 1 else (chance < float(64 ** (k - 1))) & (chance >= float(64 ** (k - 2) if k > 2 else 0))
-            hubs = named.filter(hub).select(F.col("key").alias("k"), F.col("class").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("m"), F.col("shared").alias("hub_shared"))
+            hubs = named.filter((chance < float(HUBS**k)) & (chance >= float(HUBS ** (k - 1) if k > 1 else 0)))
+            hubs = small(hubs.select(F.col("key").alias("k"), F.col("class").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("m"), F.col("shared").alias("hub_shared")), PAIRS)
             possible = _possible(F.least("shared", "hub_shared"), F.col("n"), F.col("m"), percent)
-            pairs = named.join(small(hubs, PAIRS), (F.col("key") == F.col("k")) & (F.col("root") != F.col("hub_root")) & possible)
+            pairs = named.join(hubs, (F.col("key") == F.col("k")) & (F.col("root") != F.col("hub_root")) & possible)
             pairs = pairs.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
             pairs = pairs.join(small(tested, PAIRS), ["a", "b"], "left_anti")
         pairs = pairs.join(sig.select(F.col("class").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("class").alias("b"), F.col("sig").alias("y")), "b")
@@ -293,20 +298,13 @@ def _linked(members: DataFrame, held: DataFrame, texts: DataFrame, words: int, p
         found = scratch.table(both.select("a", "b", "x", "y").mapInPandas(_similar(words, percent), "a long, b long"), f"links-{k}")
         links = found if links is None else links.union(found)
         roots = components(links, scratch, f"roots-{k}")
-        if k > 1 and 64 ** (k - 1) >= largest:
+        if k and HUBS**k >= largest:
+            return links, roots
+        named = members.join(small(roots, PAIRS), F.col("class") == F.col("v"), "left").withColumn("root", F.coalesce("root", "class")).drop("v", "hub")
+        split = named.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("k")
+        named = scratch.table(named.join(split, F.col("key") == F.col("k")).drop("k"), f"open-{k}")
+        if named.isEmpty():
             return links, roots
-        named = members.join(small(roots, PAIRS), F.col("class") == F.col("v"), "left").withColumn("root", F.coalesce("root", "class")).drop("v")
-        for part in ("open", "live"):
-            if part == "live":
-                if bounds is None:
-                    bounds = scratch.table(_bounds(named.select("class").distinct(), held.select("class", "n"), texts, words), "bounds")
-                named = named.join(small(bounds, PAIRS), "class")
-                least = named.groupBy(F.col("key").alias("k")).agg(F.min("n").alias("m"))
-                named = named.join(least, F.col("key") == F.col("k")).filter(_possible(F.col("shared"), F.col("n"), F.col("m"), percent)).drop("k", "m")
-            split = named.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("low"), F.max("root").alias("high"), *([F.min_by("class", F.struct(F.col("n") - F.col("shared"), "class")).alias("central")] if part == "live" else []))
-            named = scratch.table(named.join(split.filter("low < high").drop("low", "high"), F.col("key") == F.col("k")).drop("k"), f"{part}-{k}")
-            if named.isEmpty():
-                return links, roots
         k += 1
 
 
