@@ -105,3 +105,27 @@ def may_retry(operations: DataFrame, attempts: DataFrame) -> DataFrame:
     j = operations.join(last, F.col("operation_id") == F.col("_o"), "left")
     ok = (F.col("status") == "RETRYABLE") | ((F.col("status") == "FAILED") & (F.col("_e") == "retryable"))
     return j.withColumn("can_retry", F.coalesce(ok, F.lit(False))).drop("_o", "_e")
+
+
+def contract_errors(changes: DataFrame, contract: DataFrame, key: str, creates: bool = True) -> DataFrame:
+    """key, path, error for payload entries that a contract table (path, type, required, options) refuses: unknown
+    field, unknown label, and, for creates, required fields that are blank."""
+    c = contract.select(F.col("path").alias("_p"), "type", "required", "options")
+    given = changes.select(F.col(key).alias("key"), "operation", F.explode("payload").alias("path", "value")).join(F.broadcast(c), F.col("path") == F.col("_p"), "left")  # a contract is a few dozen rows
+    error = F.when(F.col("_p").isNull(), "unknown_field").when((F.col("type") == "enum") & ~F.array_contains("options", F.col("value")), "unknown_label")
+    wrong = given.select("key", "path", error.alias("error")).filter("error is not null")
+    if not creates:
+        return wrong
+    need = changes.filter("operation = 'CREATE'").select(F.col(key).alias("key"), "payload").join(F.broadcast(c.filter("required").select(F.col("_p").alias("path"))))
+    need = need.filter(text.is_blank(F.try_element_at("payload", F.col("path"))))
+    return wrong.unionByName(need.select("key", "path", F.lit("required").alias("error")))
+
+
+def recovered(stale: DataFrame, incoming: DataFrame, target: DataFrame, key: str, email: str, fields: Sequence[str], kinds: dict[str, str] | None = None, job: str = "job") -> tuple[DataFrame, DataFrame]:
+    """For operations that met another revision: the outcomes against the target as it is now, and new operations for
+    those that are still clear. The same code path as the first time, on the affected keys only."""
+    from recordloom.operators import diff
+
+    again = incoming.join(stale.select(key).distinct(), key, "left_semi")
+    o = diff.outcomes(again, target, key, email, fields, kinds)
+    return o, change_set(o, again, target, key, fields, f"{job}|again")

@@ -218,3 +218,42 @@ def decision_error(issue: str, action: str, value: str | None = None, options: S
         if set((value_map or {}).values()) - set(labels):
             return "maps to a label that does not exist"
     return None
+
+
+#: Words that the offline proposer looks for, and the path that each stands for, in order.
+HEADER_WORDS = (
+    (("manager", "supervisor"), "manager_employee_id"), (("birth", "dob"), "date_of_birth"), (("join", "joined", "joining", "hire", "hired", "date"), "hire_date"), (("personal", "email"), "personal_email"),
+    (("email", "mail"), "work_email"), (("mobile", "phone"), "mobile_phone"), (("department", "function"), "department"), (("status",), "employment_status"), (("sex", "gender"), "gender"), (("name",), "full_name"), (("id", "number", "reference"), "employee_id"),
+)
+
+
+def propose_headers(headers: Sequence[str | None]) -> list[str | None]:
+    """The offline proposer: the first path one of whose words is in a header. It is too sure of itself on purpose, so that
+    the policy has something to hold back."""
+    return [next((path for words, path in HEADER_WORDS if tokens_of(h or "") & set(words)), None) for h in headers]
+
+
+def custom_proposals(job: str, decisions: Sequence[Mapped], profiles: Mapping[int, Mapping], contract: Contract, types: Mapping[int, tuple[str, Sequence[str] | None]]) -> dict[int, dict]:
+    """A custom field for every unresolved column with values: a stable id, a key of its own, and the inferred type."""
+    import hashlib
+
+    taken = {f.path for f in contract.fields} | {c.key for c in contract.collections} | {f.key for f in contract.custom}
+    out: dict[int, dict] = {}
+    for d in decisions:
+        if d.status in SETTLED or not (profiles.get(d.col_index) or {}).get("non_empty"):
+            continue
+        base = re.sub(r"\b([a-z])-(?=[a-z])", r"\1", d.header.lower())
+        base = re.sub("[^a-z0-9]+", "_", base).strip("_")[:48].rstrip("_") or "field"
+        key = unique_key(base if base[0].isalpha() else f"f_{base}", taken)
+        taken.add(key)
+        kind, options = types.get(d.col_index, ("string", None))
+        out[d.col_index] = {"id": f"cfp_{hashlib.sha1(f'{job}|{d.col_index}'.encode()).hexdigest()[:12]}", "key": key, "type": kind, "options": list(options or ())}
+    return out
+
+
+def alias_inventory(contract: Contract) -> str:
+    """SHA-256 of the contract's alias surface; it changes when anybody widens it."""
+    import hashlib
+
+    lines = sorted(f"{f.path}={','.join(sorted(map(compact_of, f.aliases)))}" for f in [*contract.fields, *(x for c in contract.collections for x in c.fields)])
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()

@@ -168,3 +168,22 @@ def last_wins(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
 
 def first_wins(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter("_n = 1").drop("_n")
+
+
+def whole_snapshots(merged: DataFrame, paths: Sequence[str], items: DataFrame | None = None, item_fields: Sequence[str] = ()) -> DataFrame:
+    """snapshots with custom_attributes (sorted key and value structs of filled ones) and collections (sorted structs of
+    resolved items), and record_hash over all of it. An entity's items are as many as its records list."""
+    custom = merged.filter(F.col("path").startswith("custom_attributes.") & (F.col("status") == "resolved") & ~text.is_blank(F.col("value")))
+    custom = custom.groupBy("entity_key").agg(F.array_sort(F.collect_list(F.struct(F.substring("path", 19, 1 << 20).alias("key"), "value"))).alias("custom_attributes"))
+    out = snapshots(merged, paths).join(custom, "entity_key", "left")
+    if items is not None:
+        kept = items.filter("status = 'resolved'").groupBy("entity_key").agg(F.array_sort(F.collect_list(F.struct("collection", "identity", *sorted(item_fields)))).alias("collections"))
+        out = out.join(kept, "entity_key", "left")
+    return out.withColumn("record_hash", values.snapshot_hash([c for c in out.columns if c != "entity_key"]))
+
+
+def dataset(snapshots_: DataFrame, eligibility: DataFrame, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The prepared records, and the entities that people excluded."""
+    good = snapshots_.join(eligibility.filter("eligibility = 'eligible'").select("entity_key"), "entity_key", "left_semi")
+    none = eligibility.select("entity_key").limit(0)
+    return good, none if decisions is None else decisions.filter("action = 'exclude'").select("entity_key").distinct()

@@ -129,3 +129,19 @@ def categorical_members(profiles: DataFrame) -> DataFrame:
     """Columns worth comparing in pairs: 2 to 64 values, fewer than rows, no identifiers."""
     d, n = F.col("distinct_count"), F.col("non_empty")
     return profiles.filter((n >= 2) & d.between(2, 64) & (d < n) & ~F.col("likely_identifier"))
+
+
+def evidence(profiles: DataFrame) -> DataFrame:
+    """table_id, col_index, header, signals: the shares and flags of a column that are true or above zero, as a map. What a
+    proposer may see beside redacted samples."""
+    shares = [F.struct(F.lit(f"{n}_ratio").alias("key"), F.format_number(F.col(f"{n}_ratio"), 3).alias("value")) for n in PATTERNS]
+    flags = [F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in ("boolean_domain", "constant", "likely_identifier", "low_cardinality", "has_negative")]
+    kept = F.map_filter(F.map_from_entries(F.array(*shares, *flags)), lambda k, v: v.isNotNull() & ~v.isin("0.000", "false"))
+    return profiles.select("table_id", "col_index", "header", kept.alias("signals"))
+
+
+def safe_samples(profiles: DataFrame, samples: DataFrame) -> DataFrame:
+    """table_id, col_index, kind, samples: representative values under their column's redaction class."""
+    kind = profiles.select("table_id", "col_index", redaction_class(F.col("header")).alias("kind"))
+    j = samples.select("table_id", "col_index", "samples").join(kind, ["table_id", "col_index"])
+    return j.select("table_id", "col_index", "kind", F.transform("samples", lambda v: redacted(v, F.col("kind"))).alias("samples"))

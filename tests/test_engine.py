@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.operators import delivery, diff, infer, mapping, metrics, prepare, profile, versions
+from recordloom.operators import decisions, delivery, diff, infer, mapping, metrics, prepare, profile, versions
 from recordloom.plans import contract as contracts
 from recordloom.plans import job
 from recordloom.sources import files
@@ -282,3 +282,53 @@ def test_streaming_ingestion(spark, tmp_path):
             (inbox / n).write_text("h\n1\n2\n")
         arriving_cells(spark, str(inbox), str(tmp_path / "cp"), root, lambda df, k: seen.append(df.count())).awaitTermination(120)
     assert spark.read.parquet(root).count() == 6 and seen == [2, 4]
+
+
+def test_decisions(spark):
+    current = spark.createDataFrame([("i1", 1, "open"), ("i2", 1, "resolved")], "issue_id string, version int, status string")
+    asked = spark.createDataFrame([("i1", 1, 2), ("i1", 1, 1), ("i1", 9, 3), ("i2", 1, 4), ("i3", 1, 5)], "issue_id string, version int, seq int")
+    assert {r["seq"]: r["outcome"] for r in decisions.resolved(asked, current).collect()} == {1: "resolved", 2: "stale", 3: "stale", 4: "noop", 5: "not_found"}
+    old = spark.createDataFrame([("a", "open", 1), ("b", "resolved", 2), ("c", "superseded", 1), ("d", "open", 1)], "k string, status string, version int")
+    got = decisions.upserted(old, spark.createDataFrame([("a",), ("b",), ("c",), ("e",)], "k string"), ["k"])
+    assert {tuple(r) for r in got.collect()} == {("a", "open", 1), ("b", "resolved", 2), ("c", "open", 2), ("d", "superseded", 1), ("e", "open", 1)}
+    p = "table_id string, col_index int, plan string, actor string"
+    kept = decisions.plans(spark.createDataFrame([("t", 0, "x", "human"), ("t", 1, "y", "rule")], p), spark.createDataFrame([("t", 0, "z", "rule"), ("t", 2, "w", "rule")], p))
+    assert {(r["col_index"], r["plan"]) for r in kept.collect()} == {(0, "x"), (2, "w")}
+    c = decisions.corrected(spark.createDataFrame([("correct", " a@B.de"), ("correct", "x"), ("null", None)], "action string, value string"), "email")
+    assert {(r["value"], r["error"]) for r in c.collect()} == {("a@b.de", None), ("x", "invalid_value"), (None, None)}
+    ops = spark.createDataFrame([("j1", "SUCCEEDED"), ("j2", "ROLLED_BACK")], "job_id string, status string")
+    assert decisions.without_job(ops, "j2", ops).count() == 1
+    with pytest.raises(ValueError, match="roll them back"):
+        decisions.without_job(ops, "j1", ops)
+
+
+def test_target_checks_and_recovery(spark):
+    table = spark.createDataFrame([("name", "string", True, []), ("seg", "enum", False, ["A"])], "path string, type string, required boolean, options array<string>")
+    changes = spark.createDataFrame([("1", "CREATE", {"seg": "B"}), ("2", "UPDATE", {"zip": "9"})], "k string, operation string, payload map<string,string>")
+    assert {tuple(r) for r in delivery.contract_errors(changes, table, "k").collect()} == {("1", "seg", "unknown_label"), ("1", "name", "required"), ("2", "zip", "unknown_field")}
+    s = "k string, name string, email string"
+    target = spark.createDataFrame([("1", None, "a@x.de", 5)], s + ", revision long")
+    o, again = delivery.recovered(spark.createDataFrame([("1",)], "k string"), spark.createDataFrame([("1", "N", "a@x.de"), ("2", "M", "b@x.de")], s), target, "k", "email", ["name", "email"])
+    assert [(r["k"], r["outcome"]) for r in o.collect()] == [("1", "READY_UPDATE")] and again.first()["base_revision"] == 5
+
+
+def test_whole_snapshots_do_not_depend_on_order(spark):
+    rows = [("e", "name", "A", "resolved"), ("e", "custom_attributes.b", "2", "resolved"), ("e", "custom_attributes.a", "1", "resolved"), ("e", "x", None, "missing")]
+    m = spark.createDataFrame(rows, "entity_key string, path string, value string, status string")
+    items = spark.createDataFrame([("e", "v", "2", "car", "resolved"), ("e", "v", "1", None, "resolved"), ("e", "v", "3", "q", "conflict")], "entity_key string, collection string, identity string, kind string, status string")
+    one, two = (prepare.whole_snapshots(a, ["name"], b, ["kind"]).first() for a, b in ((m, items), (m.orderBy(F.desc("path")).repartition(3), items.orderBy(F.desc("identity")).repartition(2))))
+    assert one == two and [c["key"] for c in one["custom_attributes"]] == ["a", "b"] and [c["identity"] for c in one["collections"]] == ["1", "2"]
+
+
+def test_what_a_proposer_sees(spark):
+    d = long(spark, Email=["a@b.de", "c@d.de"], Size=["S", "M", "S"], Note=["Tall 1", "Box 22"])
+    p = profile.profile(d)
+    seen = by(profile.safe_samples(p, profile.representative(d)), "col_index")
+    assert seen[0]["samples"] == ["<email>", "<email>"] and seen[1]["kind"] == "enum" and set(seen[1]["samples"]) == {"S", "M"} and "Aaaa #" in seen[2]["samples"]
+    assert "email_ratio" in by(profile.evidence(p), "col_index")[0]["signals"] and "email_ratio" not in by(profile.evidence(p), "col_index")[1]["signals"]
+    c = contracts.load()
+    m = mapping.map_table("s", ["Grade", "T-Shirt Size", "Grade Level!", "T Shirt-Size"], c)
+    made = mapping.custom_proposals("j", m, {i: {"non_empty": 3} for i in range(4)}, c, {1: ("enum", ["S", "M"])})
+    assert [x["key"] for x in made.values()] == ["tshirt_size", "grade_level", "t_shirt_size"] and made[1]["options"] == ["S", "M"]
+    assert mapping.propose_headers(["Start Date", "Foo", None]) == ["hire_date", None, None]
+    assert mapping.alias_inventory(c) == mapping.alias_inventory(contracts.load())
