@@ -21,9 +21,10 @@ BUDGET, BATCH = 2000, 25
 def date_orders(long: DataFrame) -> DataFrame:
     """Evidence counts and a status and order per column: not_date, single_format, mixed_format, inferred,
     ambiguous_needs_review."""
-    e = long.select("table_id", "col_index", dates.order_evidence(F.col("value")).alias("e"))
+    values_ = long.groupBy("table_id", "col_index", "value").agg(F.count("*").alias("n"))  # each distinct value is read once
+    e = values_.select("table_id", "col_index", "n", dates.order_evidence(F.col("value")).alias("e"))
     kinds = ("decisive_mdy", "decisive_dmy", "ambiguous", "order_invariant", "ymd", "written", "invalid")
-    n = e.groupBy("table_id", "col_index").agg(*(F.coalesce(F.sum((F.col("e") == k).cast("long")), F.lit(0)).alias(k) for k in kinds), F.count("e").alias("n"))
+    n = e.groupBy("table_id", "col_index").agg(*(F.coalesce(F.sum(F.when(F.col("e") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds), F.coalesce(F.sum(F.when(F.col("e").isNotNull(), F.col("n"))), F.lit(0)).alias("n"))
     mdy, dmy, amb = F.col("decisive_mdy"), F.col("decisive_dmy"), F.col("ambiguous")
     numeric = mdy + dmy + amb + F.col("order_invariant")
     dated = numeric + F.col("ymd") + F.col("written")
@@ -37,8 +38,9 @@ def date_orders(long: DataFrame) -> DataFrame:
 
 def century_evidence(long: DataFrame, order: str, rules: dict, reference_date: str) -> DataFrame:
     """How many values of a column are valid, have two possible centuries, or none."""
-    s = dates.apply_order(F.col("value"), order, rules, reference_date)["status"]
-    return long.filter(~text.is_blank(F.col("value"))).groupBy("table_id", "col_index").agg(*(F.sum((s == k).cast("long")).alias(k) for k in ("valid", "ambiguous_century", "invalid")))
+    values_ = long.filter(~text.is_blank(F.col("value"))).groupBy("table_id", "col_index", "value").agg(F.count("*").alias("n"))
+    s = values_.select("table_id", "col_index", "n", dates.apply_order(F.col("value"), order, rules, reference_date)["status"].alias("s"))
+    return s.groupBy("table_id", "col_index").agg(*(F.coalesce(F.sum(F.when(F.col("s") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("valid", "ambiguous_century", "invalid")))
 
 
 # functional dependencies

@@ -332,3 +332,11 @@ def test_what_a_proposer_sees(spark):
     assert [x["key"] for x in made.values()] == ["tshirt_size", "grade_level", "t_shirt_size"] and made[1]["options"] == ["S", "M"]
     assert mapping.propose_headers(["Start Date", "Foo", None]) == ["hire_date", None, None]
     assert mapping.alias_inventory(c) == mapping.alias_inventory(contracts.load())
+
+
+def test_century_evidence(spark):
+    d = long(spark, x=["3/4/85", "3/4/85", "3/4/55", "x", " ", None])
+    r = infer.century_evidence(d, "MDY", {"min_year": 1950, "allow_future": True}, "2024-01-01").first()
+    assert (r["valid"], r["ambiguous_century"], r["invalid"]) == (0, 3, 1)
+    r = infer.century_evidence(d, "MDY", {"not_future": True}, "2024-01-01").first()
+    assert (r["valid"], r["ambiguous_century"], r["invalid"]) == (3, 0, 1)
