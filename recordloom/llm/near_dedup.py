@@ -3,9 +3,9 @@
 1. Every whole text is cut to words, its set of word shingles is hashed to 64 bits, and a SuperMinHash signature is
    made: an element visits the registers in the order of a permutation of its own, with a rank that grows by one each
    step, and a document stops once no later rank can lower a register. Equal sets form one class.
-2. Signatures are cut into bands. Classes that share a band are compared with hubs of the band: the most central
-   class, then a growing share of the others, until each band's classes are connected or all have been hubs. Classes whose own shingles rule out any link drop out before. So a band emits few pairs however many copies
-   it holds, and no link is lost.
+2. Signatures are cut into bands. Classes whose own shingles rule out any link drop out; the others are compared with
+   the most central class of their band. Those of bands that are not connected then are joined by their rarest
+   shingles. So a band emits few pairs however many copies it holds, and no link is lost.
 3. A pair whose signatures agree well enough is verified on the full shingle sets, recomputed from the texts.
 4. Verified links are grouped by union-find, inside partitions and then in one task, or, if they are too many for one,
    by star contraction between partitions.
@@ -38,8 +38,6 @@ BROADCAST_ROWS = 1_000_000
 PAIRS, SIGNATURES = 500_000, 100_000
 #: Most links that one task joins (16 MB).
 LINKS_AT_ONCE = 1_000_000
-#: Hubs of a band after the first; squared, cubed and so on in later rounds.
-HUBS = 4096
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
@@ -263,49 +261,55 @@ def _possible(shared, n, m, percent: int):
     return 100 * shared >= percent * (n + m - shared)
 
 
+def _prefixes(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """class, root, n, h, at: of each class the shingles, rarest first, of which a similar set must have one; those that
+    no other of these classes has are left out, but keep their place."""
+    open_ = small(classes.select(F.col("class").alias("c")), PAIRS)
+    hashes = texts.join(open_, F.col("class") == F.col("c")).select("class", "text").mapInArrow(_hashes(words), "class long, h long")
+    counts = hashes.groupBy("h").agg(F.count("*").alias("df")).withColumnRenamed("h", "g")
+    ranked = hashes.join(counts, F.col("h") == F.col("g")).groupBy("class").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("all"))  # one set
+    length = F.size("all") - F.floor((percent * F.size("all") + 99) / 100) + 1
+    first = ranked.select(F.col("class").alias("c"), F.size("all").alias("n"), F.posexplode(F.slice("all", F.lit(1), length.cast("int"))).alias("at", "x")).filter("x.df > 1")
+    return first.join(classes.select("class", "root"), F.col("c") == F.col("class")).select("class", "root", "n", F.col("x.h").alias("h"), "at")
+
+
 def _linked(members: DataFrame, held: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The verified links and the roots they lead to.
 
     First it is counted how many shingles of each class occur in any other candidate. That bounds what two of them can
-    have in common, so copies with many edits of their own drop out, whatever the size of their group. In round 0 the
-    hub of a band is the class with the fewest shingles of its own. Round k takes about HUBS^k classes of each band
-    that is not connected yet, by a hash, so that in the end every class of such a band has been a hub. A hub is
-    compared with the band's classes outside its component."""
+    have in common, so copies with many edits of their own drop out. The class with the fewest shingles of its own is
+    the hub of its band, with which the others are compared. Classes of bands that are not connected then are joined by
+    their rarest shingles: two similar sets share one among the first few, and so early that what follows suffices
+    (prefix and positional filter). So copies that differ too much give no pair, however many there are, and no link is
+    lost."""
     bounds = small(scratch.table(_bounds(held.select("class", "n"), texts, words), "bounds"), PAIRS)
     members = members.join(bounds, "class")
-    bands = members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size"), F.min("n").alias("least"), F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "class", "n", "shared")).alias("hub"))
+    bands = members.groupBy(F.col("key").alias("k")).agg(F.min("n").alias("least"), F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "class", "n", "shared")).alias("hub"))
     members = members.join(bands, F.col("key") == F.col("k")).filter(_possible(F.col("shared"), F.col("n"), F.col("least"), percent))
-    members = scratch.table(members.select("key", "class", "size", "n", "shared", "hub"), "live")
-    largest = members.agg(F.max("size")).first()[0] or 0
-    named, tested, links, roots, k = None, None, None, None, 0
-    chance = F.pmod(F.xxhash64(F.lit(11), "class"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
+    members = scratch.table(members.select("key", "class", "n", "shared", "hub"), "live")
     sig = small(held.select("class", "sig"), SIGNATURES)
-    while True:
-        if k == 0:
-            pairs = members.filter((F.col("class") != F.col("hub.class")) & _possible(F.least("shared", "hub.shared"), F.col("n"), F.col("hub.n"), percent))
-            pairs = pairs.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
-        else:
-            hubs = named.filter((chance < float(HUBS**k)) & (chance >= float(HUBS ** (k - 1) if k > 1 else 0)))
-            hubs = small(hubs.select(F.col("key").alias("k"), F.col("class").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("m"), F.col("shared").alias("hub_shared")), PAIRS)
-            possible = _possible(F.least("shared", "hub_shared"), F.col("n"), F.col("m"), percent)
-            pairs = named.join(hubs, (F.col("key") == F.col("k")) & (F.col("root") != F.col("hub_root")) & possible)
-            pairs = pairs.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-            pairs = pairs.join(small(tested, PAIRS), ["a", "b"], "left_anti")
+
+    def verified(pairs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         pairs = pairs.join(sig.select(F.col("class").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("class").alias("b"), F.col("sig").alias("y")), "b")
         pairs = scratch.table(pairs.filter(F.pandas_udf(_likely, "boolean")("x", "y")).select("a", "b"), f"pairs-{k}")
-        tested = pairs if tested is None else tested.union(pairs)
         both = texts.select(F.col("class").alias("b"), F.col("text").alias("y")).join(small(pairs, PAIRS), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a")
-        found = scratch.table(both.select("a", "b", "x", "y").mapInPandas(_similar(words, percent), "a long, b long"), f"links-{k}")
-        links = found if links is None else links.union(found)
-        roots = components(links, scratch, f"roots-{k}")
-        if k and HUBS**k >= largest:
-            return links, roots
-        named = members.join(small(roots, PAIRS), F.col("class") == F.col("v"), "left").withColumn("root", F.coalesce("root", "class")).drop("v", "hub")
-        split = named.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("k")
-        named = scratch.table(named.join(split, F.col("key") == F.col("k")).drop("k"), f"open-{k}")
-        if named.isEmpty():
-            return links, roots
-        k += 1
+        return pairs, scratch.table(both.select("a", "b", "x", "y").mapInPandas(_similar(words, percent), "a long, b long"), f"links-{k}")
+
+    pairs = members.filter((F.col("class") != F.col("hub.class")) & _possible(F.least("shared", "hub.shared"), F.col("n"), F.col("hub.n"), percent))
+    tested, links = verified(pairs.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct(), 0)
+    roots = components(links, scratch, "roots-0")
+    named = members.join(small(roots, PAIRS), F.col("class") == F.col("v"), "left").withColumn("root", F.coalesce("root", "class"))
+    split = named.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("k")
+    open_ = scratch.table(named.join(split, F.col("key") == F.col("k")).select("class", "root").distinct(), "open")
+    if open_.isEmpty():
+        return links, roots
+    x = scratch.table(_prefixes(open_, texts, words, percent), "prefixes")
+    y = x.withColumnsRenamed({"class": "b", "root": "other", "n": "m", "h": "g", "at": "to"})
+    enough = _possible(F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")), F.col("n"), F.col("m"), percent)
+    pairs = x.join(y, (F.col("h") == F.col("g")) & (F.col("class") < F.col("b")) & (F.col("root") != F.col("other")) & enough)
+    pairs = pairs.select(F.col("class").alias("a"), "b").distinct().join(small(tested, PAIRS), ["a", "b"], "left_anti")
+    links = links.union(verified(pairs, 1)[1])
+    return links, components(links, scratch, "roots-1")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

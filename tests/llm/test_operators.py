@@ -132,7 +132,6 @@ def test_components_of_a_long_chain(spark):
 def test_near_duplicates_by_shuffled_joins(docs, rows, monkeypatch):
     for name in ("BROADCAST_ROWS", "PAIRS", "SIGNATURES", "LINKS_AT_ONCE"):
         monkeypatch.setattr(near_dedup, name, 0)
-    monkeypatch.setattr(near_dedup, "HUBS", 3)
     found = near_dedup.near_duplicates(docs, words=4).select("doc_id", "n_shingles", "component_id", "kept")
     assert result(found) == jaccard_components(rows, 4)
 
