@@ -7,21 +7,29 @@ at `min_lines`: the groups that share a name then are the intervals of the suffi
 at least min_lines, and their union is the maximal repeated runs. Of each group the first position stays; lines
 covered by a later one are deleted, in all copies.
 
+With `min_words`, a run also counts if it has fewer lines but at least so many words (of any characters between white
+space): depths then grow by one, and of those under min_lines the shared windows with min_words words are taken. Longer
+windows need no other rule, as each is made of shared windows of min_lines lines.
+
 Corpus order is doc_id (null last), then position; texts under one doc_id are ordered by hash. Equal texts are ranked
-once: copies after the first lose all lines if there are min_lines, else none. Rows that repeat doc_id and text are
+once: copies after the first lose all lines if there are min_lines lines or min_words words, else none. Rows that repeat doc_id and text are
 one document and get the same result. Runs never cross documents. Null text has no lines, empty text one empty line.
 Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import Scratch
+from recordloom.llm.common import Scratch, word_count
 
 MIN_LINES = 3
 _TEXT = ["h1", "h2"]
+#: Words of a window, and of its last line.
+_WORDS = ["words", "last"]
 
 
 def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -33,32 +41,43 @@ def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows whose `by` occurs more than once, with the smallest `at` of it as `name`."""
     names = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("at").alias("name")).filter("n > 1").select(*(F.col(c).alias(f"_{c}") for c in by), "name")
     same = [rows[c] == names[f"_{c}"] for c in by]
-    return rows.join(names, same).select(*_TEXT, "pos", "at", "name")
+    return rows.join(names, same).select(*_TEXT, "pos", "at", *(c for c in rows.columns if c in _WORDS), "name")
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text", min_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables over distinct texts: h1, h2, first (the first doc_id with the text; null: a null id), and h1, h2,
     removed (the sorted line numbers to delete in that first document, for texts with any)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     d = _hashed(docs, doc_id, text).filter(F.col("text").isNotNull())
     lines = d.select("doc_id", *_TEXT, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", *_TEXT, "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line", F.length("line")).alias("b"))
+    size = [] if min_words is None else [word_count(F.col("line")).alias("words")]
+    lines = lines.select("doc_id", *_TEXT, "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line", F.length("line")).alias("b"), *size)
     # one copy of each text; a copy's lines are equal, so any will do
-    lines = lines.groupBy(*_TEXT, "pos").agg(F.min("doc_id").alias("first"), F.min("a").alias("a"), F.min("b").alias("b"))
+    size = [F.min("words").alias("words")] if size else []
+    lines = lines.groupBy(*_TEXT, "pos").agg(F.min("doc_id").alias("first"), F.min("a").alias("a"), F.min("b").alias("b"), *size)
     lines = scratch.table(lines, "lines")
     at = F.monotonically_increasing_id().alias("at")
-    placed = scratch.table(lines.orderBy(F.col("first").asc_nulls_last(), *_TEXT, "pos").select(*_TEXT, "pos", "a", "b", at), "placed")
+    placed = scratch.table(lines.orderBy(F.col("first").asc_nulls_last(), *_TEXT, "pos").select(*_TEXT, "pos", "a", "b", at, *(["words", F.col("words").alias("last")] if size else [])), "placed")
     active = scratch.table(_shared(placed, ["a", "b"]), "depth-1")
     depth = 1
+
+    def later_runs(enough: Column) -> DataFrame:
+        # a document's own line numbers
+        return active.filter("name < at").filter(enough).select(*_TEXT, F.sequence("pos", F.col("pos") + depth - 1).alias("run"))
+
+    short = []
     while depth < min_lines:
         step = min(depth, min_lines - depth)
-        later = active.select(*(F.col(c).alias(f"_{c}") for c in _TEXT), (F.col("pos") - step).alias("_pos"), F.col("name").alias("then"))
-        pairs = active.join(later, [active[c] == later[f"_{c}"] for c in [*_TEXT, "pos"]]).select(*_TEXT, "pos", "at", "name", "then")
-        pairs = pairs.withColumnRenamed("name", "now")
+        sums = []
+        if size:
+            short.append(later_runs(F.col("words") >= min_words))
+            step = 1
+            sums = [(F.col("words") + F.col("_last")).alias("words"), F.col("_last").alias("last")]
+        later = active.select(*(F.col(c).alias(f"_{c}") for c in _TEXT), (F.col("pos") - step).alias("_pos"), F.col("name").alias("then"), *([F.col("last").alias("_last")] if size else []))
+        pairs = active.join(later, [active[c] == later[f"_{c}"] for c in [*_TEXT, "pos"]]).select(*_TEXT, "pos", "at", F.col("name").alias("now"), "then", *sums)
         depth += step
         active = scratch.table(_shared(pairs, ["now", "then"]), f"depth-{depth}")
-    # a document's own line numbers
-    runs = active.filter("name < at").select(*_TEXT, F.sequence("pos", F.col("pos") + min_lines - 1).alias("run"))
+    runs = reduce(DataFrame.union, short, later_runs(F.lit(True)))
     removed = runs.groupBy(*_TEXT).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("run")))).alias("removed"))
     firsts = scratch.table(lines.filter("pos = 0").select(*_TEXT, "first"), "firsts")
     removed = scratch.table(removed, "removed")
@@ -66,9 +85,9 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "d
     return firsts, removed
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text", min_words: int | None = None) -> DataFrame:
     """doc_id, text, n_lines, n_removed, n_runs, kept: kept is the text without repeated runs, its lines joined by \\n."""
-    firsts, removed = repeated_lines(docs, min_lines, doc_id, text)
+    firsts, removed = repeated_lines(docs, min_lines, doc_id, text, min_words)
     found = firsts.join(removed, _TEXT, "left").select(*(F.col(c).alias(f"_{c}") for c in _TEXT), "first", "removed")
     d = _hashed(docs, doc_id, text)
     d = d.join(found, [d[c] == found[f"_{c}"] for c in _TEXT], "left").select("doc_id", "text", "first", "removed", F.split("text", "\n").alias("lines"))
@@ -77,7 +96,10 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_
     none = F.array().cast("array<int>")
     numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
     copy = ~F.col("doc_id").eqNullSafe(F.col("first")) & F.col("text").isNotNull()
-    out = F.when(copy & (n >= min_lines), numbers).when(copy, none).otherwise(F.coalesce("removed", none))
+    long = n >= min_lines
+    if min_words is not None:
+        long = long | (word_count(F.col("text")) >= min_words)
+    out = F.when(copy & long, numbers).when(copy, none).otherwise(F.coalesce("removed", none))
     d = d.select("doc_id", "text", "lines", n.cast("long").alias("n_lines"), numbers.alias("numbers"), out.alias("out"))
     kept = F.transform(F.array_except("numbers", "out"), lambda i: F.element_at("lines", i + 1))
     starts = F.array_except("out", F.transform("out", lambda i: i + 1))

@@ -488,6 +488,34 @@ def test_line_dedup_removes_later_runs(spark, rows, m):
     assert result(got) == brute_lines(more, m)
 
 
+def brute_lines_or_words(rows, m, least):
+    """brute_lines, where windows of fewer lines with at least so many words count, too."""
+    out, seen = {}, set()
+    for none, d, text in sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None}, key=lambda x: (x[0], x[1], x[2])):
+        lines = text.split("\n")
+        gone = set()
+        for p in range(len(lines)):
+            for k in range(1, len(lines) - p + 1):
+                if (window := tuple(lines[p : p + k])) in seen and (k >= m or sum(len(re.findall(WORD, x)) for x in window) >= least):
+                    gone |= set(range(p, p + k))
+                seen.add(window)
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out[none, d, text] = (len(lines), len(gone), sum(i - 1 not in gone for i in gone), kept)
+    return Counter((r[0], *(out[r[0] is None, r[0] or 0, r[1]] if r[1] is not None else (0, 0, 0, None))) for r in rows)
+
+
+@pytest.mark.parametrize(("m", "least"), [(1, 5), (3, 50), (3, 4), (5, 7), (4, 0)])
+def test_line_dedup_removes_short_runs_of_many_words(spark, rows, m, least):
+    rng = random.Random(m)
+    lines = ["a b c", "b", "c d", "", "dd e f g", " ".join(f"w{i}" for i in range(49)), " ".join(f"v{i}" for i in range(50))]
+    texts = ["\n".join(rng.choices(lines, k=rng.randint(1, 12))) for _ in range(25)] + lines[-2:] * 2 + ["\n".join(lines[-2:])] * 2
+    # ids that order texts without ties, as equal ids are ordered by hash
+    more = [(1000 + i, t, "s", 0) for i, t in enumerate(texts)] + [r for r in rows if r[0] is not None]
+    d = spark.createDataFrame(more, SCHEMA).repartition(3)
+    got = line_dedup.dedup_lines(d, m, min_words=least).select("doc_id", "n_lines", "n_removed", "n_runs", "kept")
+    assert result(got) == brute_lines_or_words(more, m, least)
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
