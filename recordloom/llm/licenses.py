@@ -1,10 +1,12 @@
 """License scans by an exact set-similarity join, without Python on the executors.
 
-A text block is a line. A block matches a template if it holds at least THRESHOLD of the template's distinct words.
+A text block is a line, or a window across lines of as many consecutive words as the template has, so notices wrapped
+over lines are found. A block matches a template if it holds at least THRESHOLD of the template's distinct words.
 Words get a global order, rarest first, by the number of blocks that hold them, counted over all documents. If enough
 of a template is in a block, one of the template's first |T| - need + 1 words is (prefix filter); the block needs at
 least `need` template words (length filter); and the words after a first common word, on either side, must suffice
-(positional filter). Candidates are verified on the full sets.
+(positional filter). Candidates are verified on the full sets. Windows are counted in texts whose lines together hold
+enough of a template; windows within one line add nothing to the line.
 
 Blocks are cut to words of the templates while the text is read, so what is written and joined is small. Beside this,
 fixed phrases are located exactly. Null text counts as empty; empty texts have no words and no labels; long texts
@@ -36,8 +38,12 @@ TEMPLATES = (
 )
 
 
+def _all_words(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
 def _template_words(text: str) -> list[str]:
-    return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in text.lower()).split()))
+    return list(dict.fromkeys(_all_words(text)))
 
 
 def _strings(words) -> Column:
@@ -59,6 +65,30 @@ def _places(text: Column, n_words: Column, phrase: str) -> Column:
     return F.when(likely & (F.size(parts) > 1), found)
 
 
+def _in_windows(lines: Column, words: list[str], length: int) -> Column:
+    """The most of `words` that `length` consecutive words of a text hold, across its lines; null if it has none."""
+    wanted = _strings(words)
+    placed = F.transform(F.flatten(lines), lambda w, at: F.when(F.array_contains(wanted, w), F.struct(at.alias("at"), w.alias("word"))))
+    held = lambda p, x, i: F.filter(F.slice(p, i + 1, length), lambda y: y["at"] < x["at"] + length)
+    distinct = lambda p: F.transform(p, lambda x, i: F.size(F.array_distinct(held(p, x, i)["word"])))
+    # an array of one, so that the places are made once
+    return F.element_at(F.transform(F.array(F.array_compact(placed)), lambda p: F.array_max(distinct(p))), 1)
+
+
+def _wrapped(blocks: Column, lines: Column, sets: list[tuple[str, list[str], int, int]]) -> Column:
+    """Structs label, share of the templates (label, words, length in words, words needed) that windows of a text hold."""
+    held = F.array_distinct(F.flatten(F.transform(blocks, lambda b: b["words"])))
+
+    def one(label: str, words: list[str], length: int, need: int) -> Column:
+        candidate = (F.size(blocks) > 1) & (F.size(F.array_intersect(held, _strings(words))) >= need)
+        most = F.when(candidate, _in_windows(lines, words, length))
+        return F.transform(F.array(most), lambda n: F.when(n >= need, F.struct(F.lit(label).alias("label"), (n / len(words)).alias("share"))))
+
+    found = [one(*s) for s in sets]
+    none = F.array().cast("array<struct<label:string,share:double>>")
+    return F.array_compact(F.concat(*found)) if found else none
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. score is 1 where a phrase stands, else
     the largest share of a template that a matching block holds, else 0."""
@@ -70,8 +100,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     rows = rows.select("doc_id", "t", F.transform(F.split("t", "\n"), tokens).alias("lines"))
     kept = F.transform("lines", lambda line, at: F.struct(at.alias("line"), F.array_intersect(line, _strings(vocabulary)).alias("words")))
     n_words = F.aggregate("lines", F.lit(0).cast("long"), lambda n, line: n + F.size(line))
-    rows = rows.select("doc_id", "t", n_words.alias("n_words"), F.filter(kept, lambda b: F.size(b["words"]) > 0).alias("blocks"))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "blocks", F.array(*(_places(F.col("t"), F.col("n_words"), p) for p, _ in phrases)).alias("places"))
+    rows = rows.select("doc_id", "t", "lines", n_words.alias("n_words"), F.filter(kept, lambda b: F.size(b["words"]) > 0).alias("blocks"))
+    needs = [(label, words, len(_all_words(templates[k][1])), math.ceil(round(threshold * len(words), 9))) for k, label, words in sets]
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "blocks", _wrapped(F.col("blocks"), F.col("lines"), needs).alias("wrapped"), F.array(*(_places(F.col("t"), F.col("n_words"), p) for p, _ in phrases)).alias("places"))
     rows = scratch.table(rows, "rows")  # also fixes the row numbers
     blocks = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.line", "b.words")
     # at most as many rows as the templates have words
@@ -88,12 +119,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     overlap = F.size(F.array_intersect("all", "words"))
     matches = probe.filter((F.size("words") >= F.col("need")) & (room + F.least("t_at", "b_at") >= F.col("need"))).withColumn("overlap", overlap).filter("overlap >= need")
     found = matches.groupBy("row").agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.size("all")).alias("share"))
+    wrapped = F.transform("wrapped", lambda x: x["label"]), F.array_max(F.transform("wrapped", lambda x: x["share"]))
     some = lambda c: F.filter(F.transform("places", lambda p: p[c]), lambda x: x.isNotNull())
     base = F.array_compact(F.array(*(F.when(F.col("places")[i].isNotNull(), F.lit(label)) for i, (_, label) in enumerate(phrases))))
-    rows = rows.select("row", "doc_id", "n_words", F.aggregate(some("n"), F.lit(0).cast("long"), lambda a, b: a + b).alias("n_base"), F.array_min(some("first")).alias("first_word"), F.array_max(some("last")).alias("last_word"), F.array_sort(F.array_distinct(base)).alias("base"))
+    rows = rows.select("row", "doc_id", "n_words", F.aggregate(some("n"), F.lit(0).cast("long"), lambda a, b: a + b).alias("n_base"), F.array_min(some("first")).alias("first_word"), F.array_max(some("last")).alias("last_word"), F.array_sort(F.array_distinct(base)).alias("base"), wrapped[0].alias("over"), wrapped[1].alias("over_share"))
     none = F.array().cast("array<string>")
     return rows.join(found, "row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base").alias("base_labels"),
-        F.concat_ws(",", F.array_sort(F.array_union("base", F.coalesce("more", none)))).alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.concat_ws(",", F.array_sort(F.array_union(F.array_union("base", F.coalesce("more", none)), "over"))).alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.greatest("share", "over_share"), F.lit(0.0))).alias("score"),
     )

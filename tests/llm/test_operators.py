@@ -321,6 +321,40 @@ def test_license_candidates_are_all_blocks_over_the_threshold(spark):
         assert got[i] == (",".join(sorted(share)), max(share.values(), default=0.0))
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"
+    mit = " * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation\n * files (the \"Software\")"
+    far = "\n".join("zz " * 30 + w for w in bsd.split())
+    texts = [bsd, f"Copyright x\n\n{mit}\n\nmore", f"{mit}\n{bsd}", far, "\n".join(bsd.split()[:16]), "\n".join(bsd.split()[:18])]
+    got = [tuple(r)[6:] for r in sorted(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
+    assert got[:4] == [("bsd", 1.0), ("mit", 1.0), ("bsd,mit", 1.0), ("", 0.0)]
+    # 'and' and 'are' repeat: 15 of 19 words, then 17
+    assert got[4:] == [("", 0.0), ("bsd", 17 / 19)]
+
+
+def test_wrapped_license_notices_are_all_windows_over_the_threshold(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):
+        words = [w for _, t in rng.sample(licenses.TEMPLATES, 2) for w in t.split() if rng.random() < 0.9]
+        texts.append("".join(w + (rng.choice([" zz ", "\n"]) if rng.random() < 0.2 else " ") for w in words))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases=(("no such phrase", "none"),)).collect()}
+    crossing = 0
+    for i, text in enumerate(texts):
+        by_line, share = set(), {}
+        found = re.findall(TOKEN, low(text))
+        for label, t in licenses.TEMPLATES:
+            words_of, length = set(licenses._template_words(t)), len(re.findall(TOKEN, low(t)))
+            blocks = [set(re.findall(TOKEN, low(x))) for x in text.split("\n")]
+            by_line |= {label for b in blocks if len(b & words_of) / len(words_of) >= 0.8}
+            blocks += [set(found[p : p + length]) for p in range(len(found))]
+            if (s := max(len(b & words_of) / len(words_of) for b in blocks)) >= 0.8:
+                share[label] = max(share.get(label, 0), s)
+        crossing += by_line != set(share)
+        assert got[i] == (",".join(sorted(share)), max(share.values(), default=0.0))
+    assert crossing > 5
+
+
 # sharding
 
 
