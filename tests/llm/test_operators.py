@@ -243,6 +243,15 @@ def test_naive_bayes_on_held_out_hosts(spark):
     assert next(r["words"] for r in got if r["page_id"] == 1001) == "mega poker com win"
 
 
+def test_url_filter_knows_seeds_and_their_company_alone(spark):
+    urls = [f"http://garden-river{i}.org/music" for i in range(40)] + [f"http://{s}-royal-mega.org/{i}" for i, s in enumerate(["casino", "poker", "pills"] * 8)]
+    held = {"http://royal-mega.org/7": "block", "http://mega.org/music": "allow", "http://wager-dice.org/1": "allow"}
+    rows = [(i, u, "<p>garden river music royal mega wager dice</p>") for i, u in enumerate([*urls, *held])]
+    assert not set(url_filter.SEEDS) & {"royal", "mega", "wager", "dice"}
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=(("block", "net/"),)).collect()}
+    assert {u: got[len(urls) + k] for k, u in enumerate(held)} == held
+
+
 def test_url_filter_of_nothing(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
