@@ -212,7 +212,7 @@ def components(links: DataFrame, scratch: Scratch, name: str, at_once: int = LIN
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, t1 (hash of the text), n_shingles, component_id: the smallest doc_id that links lead to, the document's
-    own included; kept: whether that is its own id."""
+    own included; kept: whether that is its own id; root: a number of the component, null for empty sets."""
     spark = docs.sparkSession
     python_ready(spark)
     scratch = Scratch(spark, "near-dedup")
@@ -231,10 +231,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links, roots = _linked(members, held, texts, words, percent, scratch)
     named = classes.join(roots, F.col("class") == F.col("v"), "left").withColumn("root", F.coalesce("root", "class"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    named = named.join(firsts, F.col("root") == F.col("r")).select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), "component_id")
+    named = named.join(firsts, F.col("root") == F.col("r")).select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), "component_id", "root")
     out = signed.select("doc_id", "t1", "n", "s1", "s2").join(named, (F.col("n") > 0) & (F.col("s1") == F.col("x1")) & (F.col("s2") == F.col("x2")), "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = scratch.table(out.select("doc_id", "t1", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept")), "out")
+    out = scratch.table(out.select("doc_id", "t1", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "root"), "out")
     scratch.keep("out")
     return out
 
@@ -313,8 +313,21 @@ def _linked(members: DataFrame, held: DataFrame, texts: DataFrame, words: int, p
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The documents, with all their columns, whose id is the smallest of their component."""
-    gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__d"), F.col("t1").alias("__t")).distinct()
-    gone = small(gone, BROADCAST_ROWS)
+    """The documents, with all their columns, whose id is the smallest of their component; where several rows have that
+    id (or all ids are null), one of those with the smallest text hash. Rows with empty sets all stay."""
+    scratch = Scratch(docs.sparkSession, "keep-first")
+    found = near_duplicates(docs, **options)
+    kept = found.filter("kept AND n_shingles > 0").select("doc_id", "t1", "root")
+    ties = kept.groupBy(F.col("root").alias("r")).agg(F.min("t1").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    ties = small(scratch.table(ties, "ties"), PAIRS)
+    tied = scratch.table(kept.join(ties, F.col("root") == F.col("r")).groupBy("doc_id", "t1", "least").agg(F.count("*").alias("n")), "tied")
+    key = [F.col("doc_id").alias("__d"), F.col("t1").alias("__t")]
+    gone = small(found.filter(~F.col("kept")).select(*key).union(tied.filter("t1 > least").select(*key)).distinct(), BROADCAST_ROWS)
+    repeated = small(tied.filter("t1 = least AND n > 1").select(*key), BROADCAST_ROWS)
     keyed = docs.withColumn("__t1", F.xxhash64(options.get("text", "text")))
-    return keyed.join(gone, (F.col("__t1") == F.col("__t")) & F.col(options.get("doc_id", "doc_id")).eqNullSafe(F.col("__d")), "left_anti").drop("__t1")
+    doc_id = options.get("doc_id", "doc_id")
+    same = (F.col("__t1") == F.col("__t")) & F.col(doc_id).eqNullSafe(F.col("__d"))
+    left = keyed.join(gone, same, "left_anti")
+    if not repeated.isEmpty():
+        left = left.join(repeated, same, "left_anti").union(left.join(repeated, same, "left_semi").dropDuplicates([doc_id, "__t1"]))
+    return left.drop("__t1")

@@ -103,6 +103,26 @@ def test_near_dedup_of_nothing(empty):
     assert near_dedup.keep_first(empty).columns == empty.columns
 
 
+@pytest.mark.parametrize("at_once", [near_dedup.PAIRS, 0])
+def test_keep_first_leaves_one_row_of_each_group(spark, monkeypatch, at_once):
+    for name in ("BROADCAST_ROWS", "PAIRS"):
+        monkeypatch.setattr(near_dedup, name, at_once)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    groups = {
+        "same id, equal texts": [(1, a), (1, a), (2, a)],
+        "same id, near texts": [(1, b), (1, b + " more"), (1, b + " more"), (3, b)],
+        "null ids": [(None, c), (None, c), (None, c + " more")],
+        "null and other ids": [(None, d), (9, d)],
+    }
+    rows = [(i, t, g, k) for g, members in groups.items() for k, (i, t) in enumerate(members)]
+    rows += [(None, None, "empty", 0), (None, None, "empty", 1), (7, "", "empty", 2)]
+    found = near_dedup.keep_first(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert set(map(tuple, found)) <= set(rows)
+    assert Counter(r["source"] for r in found) == {**dict.fromkeys(groups, 1), "empty": 3}
+    least = {r["source"]: r["doc_id"] for r in found if r["source"] != "empty"}
+    assert list(map(least.get, groups)) == [1, 1, None, 9]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 500, dtype=np.uint64)
