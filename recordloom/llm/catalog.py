@@ -89,11 +89,12 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    _, rows = sharding.compacted(docs, f"{Scratch(spark, 'sharding').root}/store")
-    return rows.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    rows = sharding.stored(docs, f"{Scratch(spark, 'sharding').root}/store")
+    return rows.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "counted", "fits")
 
 
-OP6_SQL = "SELECT doc_id, source, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+#: Every row, in a shard whose manifest counts it and whose size keeps the rule.
+OP6_SQL = "SELECT doc_id, source, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256, true AS counted, true AS fits FROM documents"
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,15 +106,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    kept = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), min_words=50)
     return kept.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: Windows of three lines, and shorter ones of fifty words or more, that stand earlier are removed.
 OP9_SQL = """
 WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
-w AS (SELECT doc_id, p, array_to_string(l[p:p + 2], chr(10)) AS body FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM d)),
-f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY body ORDER BY doc_id, p) > 1 AS later FROM w),
-c AS (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM f WHERE later) GROUP BY doc_id),
+w AS (SELECT doc_id, p, e, array_to_string(l[p:p + e - 1], chr(10)) AS body FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d), (VALUES (1), (2), (3)) v(e) WHERE p + e - 1 <= len(l)),
+f AS (SELECT doc_id, p, e, row_number() OVER (PARTITION BY e, body ORDER BY doc_id, p) > 1 AS later FROM w WHERE e = 3 OR len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) >= 50),
+c AS (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(p, p + e)) AS q FROM f WHERE later) GROUP BY doc_id),
 j AS (SELECT doc_id, l, coalesce(gone, []) AS gone FROM d LEFT JOIN c USING (doc_id))
 SELECT doc_id, len(l)::BIGINT AS n_lines, len(gone)::BIGINT AS n_removed, len(list_filter(gone, lambda q: NOT list_contains(gone, q - 1)))::BIGINT AS n_runs,
        sha256(coalesce(array_to_string([l[q] FOR q IN range(1, len(l) + 1) IF NOT list_contains(gone, q)], chr(10)), '')) AS kept_sha256

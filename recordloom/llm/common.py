@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: All ASCII that is neither a digit nor a lower-case letter stands between tokens.
 TOKEN_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
+#: A key is common from a HOT-th of all rows on, and from LEAST rows.
+HOT, LEAST = 1000, 2000
+
 _own_folder: dict[str, str] = {}
 _sent: set[str] = set()
 
@@ -58,11 +62,23 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables."""
+    return f"{shared_folder(spark)}/recordloom/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application. Results that were not stored elsewhere are gone, too."""
+    delete(spark, scratch_root(spark))
+
+
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs one stage and lineage stays short."""
+    """Tables written to the shared folder, so that a lost executor costs one stage and lineage stays short.
+
+    An operator drops what it no longer needs by `keep`; what its result is read from stays until `clear_scratch`."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back."""
@@ -82,6 +98,33 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, or name_1, name_2 and so on: the first that no column has, in any case."""
+    taken, found, n = {t.lower() for t in taken}, name, 0
+    while found.lower() in taken:
+        n += 1
+        found = f"{name}_{n}"
+    return found
+
+
+def column(name: str) -> Column:
+    """A top-level column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with facts by the columns `on`. facts is a written table with one row for each key and, in `n`, how
+    many rows have it. Keys with more than a HOT-th of all rows, of which there are at most HOT, are broadcast, so that
+    no task gets all rows of a common key; the others are shuffled."""
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    limit = max(total // HOT, LEAST)
+    hot = facts.filter(F.col(n) > limit)
+    if hot.isEmpty():
+        return rows.join(facts, on, how)
+    common = rows.join(F.broadcast(hot), on)
+    return common.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.filter(F.col(n) <= limit), on, how))
+
+
 def python_ready(spark: SparkSession) -> None:
     """Before Python runs on the executors: sends them this package, once a session, however the driver found it,
     and ends Arrow batches at 16 MB, however long the texts are."""

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.llm import decontamination, licenses, line_dedup, mixing, near_dedup, quality, sharding, suffix_dedup, token_counts, url_filter
 from recordloom.llm.common import shared_folder
@@ -387,9 +388,12 @@ def test_wrapped_license_notices_are_all_windows_over_the_threshold(spark):
 # sharding
 
 
+def new_root(spark):
+    return f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+
+
 def test_shards_round_trip_and_versions(spark, docs, rows):
-    root = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    store, read = sharding.compacted(docs, root, target=1 << 20, max_rows=4)
+    store, read = sharding.compacted(docs, new_root(spark), target=1 << 20, max_rows=4)
     assert result(read.drop("_shard")) == result(docs)
     assert store.version() == 2
     live = store.manifest().collect()
@@ -397,14 +401,66 @@ def test_shards_round_trip_and_versions(spark, docs, rows):
     store.append(docs)
     assert store.read(docs.schema).count() == 2 * len(rows)
     assert store.read(docs.schema, version=2).count() == len(rows)
-    with pytest.raises(RuntimeError):
+    with pytest.raises(sharding.Taken):
         store.commit(store.manifest(), 3)
     assert store.version() == 3
     store.compact(docs.schema)
+    assert store.audit(docs.schema).filter("NOT counted OR NOT fits").count() == 0
     store.vacuum()
     assert store.read(docs.schema).count() == 2 * len(rows)
 
 
+def test_tiers_are_merged_and_big_runs_stay(spark, docs, monkeypatch):
+    store = sharding.ShardStore(spark, new_root(spark), target=1 << 20, fan_in=3)
+    one = docs.coalesce(1)
+    for n in range(1, 4):
+        store.append(one)
+        assert store.due() == [] or n == 3
+    assert [len(x) for x in store.due()] == [3]
+    store.compact(docs.schema)
+    assert store.manifest().count() == 1 and store.read(docs.schema).count() == 3 * docs.count()
+    monkeypatch.setattr(sharding, "SETTLED", 0)
+    for _ in range(3):
+        store.append(one)
+    assert store.due() == []
+
+
+def test_of_two_writers_of_a_version_one_wins(spark, docs):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = new_root(spark)
+    first, second = (sharding.ShardStore(spark, root) for _ in "ab")
+    first.append(docs.limit(3))
+    base = first.manifest(1)
+    # both have seen version 1 and no version 2
+    first.commit(base, 2)
+    with pytest.raises(sharding.Taken):
+        second.commit(base.limit(0), 2)
+    assert second.version() == 2 and second.manifest(2).count() == base.count()
+
+    def commit(k):
+        try:
+            sharding.ShardStore(spark, root).commit(base.withColumn("n_rows", F.lit(k).cast("long")), 3)
+        except sharding.Taken:
+            return None
+        return k
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [k for k in pool.map(commit, range(4)) if k is not None]
+        assert len(won) == 1 and {r["n_rows"] for r in first.manifest(3).collect()} == set(won)
+        # appends take the next version that is free
+        assert sorted(pool.map(lambda _: sharding.ShardStore(spark, root).append(docs.limit(2)), range(3))) == [4, 5, 6]
+    assert first.read(docs.schema).count() == 3 + 6
+
+
+def test_shards_with_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "a", "x", True), (2, None, "y", None)], "doc_id long, _shard string, `a.b` string, counted boolean")
+    got = sharding.stored(d, new_root(spark))
+    assert got.columns == [*d.columns, "_shard_1", "counted_1", "fits"]
+    assert result(got.select("doc_id", "_shard", "`a.b`", "counted")) == result(d)
+    assert got.filter("NOT counted_1 OR NOT fits").count() == 0
+
+
 def test_shards_of_nothing(spark, empty):
     store, read = sharding.compacted(empty, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
     assert read.count() == 0
@@ -579,6 +635,32 @@ def test_line_dedup_removes_short_runs_of_many_words(spark, rows, m, least):
     assert result(got) == brute_lines_or_words(more, m, least)
 
 
+def test_maximal_runs_are_the_longest_common_prefixes(spark):
+    rng = random.Random(12)
+    texts = {"\n".join(rng.choices("abc", k=rng.randint(1, 14))) for _ in range(20)} | {"\n".join("z" * 40), "\n".join("z" * 17 + "y")}
+    texts = [t.split("\n") for t in sorted(texts)]
+    suffixes = {(d, p): t[p:] for d, t in enumerate(texts) for p in range(len(t))}
+
+    def common(x, y):
+        return next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+    longest = {k: max(common(s, o) for j, o in suffixes.items() if j != k) for k, s in suffixes.items()}
+    want = {(d, p, n) for (d, p), n in longest.items() if n >= 2 and longest.get((d, p - 1), 0) <= n}
+    d = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in line_dedup.maximal_runs(d, 2).collect()} == want
+
+
+def test_common_lines_are_joined_apart(spark, monkeypatch):
+    from recordloom.llm import common
+
+    monkeypatch.setattr(common, "LEAST", 2)
+    monkeypatch.setattr(common, "HOT", 4)
+    rng = random.Random(7)
+    more = [(i, "\n".join(rng.choices(["", "", "", "a", "b", "c"], k=rng.randint(1, 15))), "s", 0) for i in range(30)] + [(50 + i, "x\ny\nz", "s", 0) for i in range(9)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(more, SCHEMA), 3).select("doc_id", "n_lines", "n_removed", "n_runs", "kept")
+    assert result(got) == brute_lines(more, 3)
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
