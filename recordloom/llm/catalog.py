@@ -67,18 +67,23 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op5_sql() -> str:
+    """Blocks are lines, and windows of as many words as the template has; a text without `need` of a template's words
+    has no such window."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     templates = ", ".join(f"({quoted(label)}, {quoted(t)})" for label, t in licenses.TEMPLATES)
     phrases = ", ".join(f"({quoted(p)}, {quoted(label)})" for p, label in licenses.PHRASES)
     return f"""
 WITH d AS (SELECT doc_id, text, {SQL_WORDS} AS w FROM documents),
-t AS (SELECT label, list_distinct({SQL_WORDS}) AS tw FROM (VALUES {templates}) v(label, text)),
+t AS (SELECT label, tw, len(w) AS n, ceil(round(0.8 * len(tw), 9)) AS need FROM (SELECT label, w, list_distinct(w) AS tw FROM (SELECT label, {SQL_WORDS} AS w FROM (VALUES {templates}) v(label, text)))),
 p AS (SELECT string_split(phrase, ' ') AS pw, label FROM (VALUES {phrases}) v(phrase, label)),
 q AS (SELECT doc_id, label, s FROM (SELECT doc_id, w, pw, label, unnest(range(1, len(w) - len(pw) + 2)) AS s FROM d, p) WHERE w[s:s + len(pw) - 1] = pw),
 b AS (SELECT doc_id, count(*) AS n, min(s) - 1 AS f, max(s) - 1 AS l, list(DISTINCT label) AS labels FROM q GROUP BY doc_id),
 x AS (SELECT doc_id, list_distinct({SQL_WORDS}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM d)),
+c AS (SELECT doc_id, w, label, tw, n, need FROM d, t WHERE len(list_intersect(list_distinct(w), tw)) >= need),
+z AS (SELECT doc_id, label, tw, need, list_distinct(w[s:s + n - 1]) AS w FROM (SELECT *, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) AS s FROM c)
+      UNION ALL SELECT doc_id, label, tw, need, w FROM x, t),
 m AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM (
-        SELECT doc_id, label, len(list_intersect(w, tw)) / len(tw) AS share FROM x, t WHERE len(list_intersect(w, tw)) >= ceil(round(0.8 * len(tw), 9))) GROUP BY doc_id)
+        SELECT doc_id, label, len(list_intersect(w, tw)) / len(tw) AS share FROM z WHERE len(list_intersect(w, tw)) >= need) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,

@@ -1,53 +1,32 @@
 """License scans by an exact set-similarity join, without Python on the executors.
 
-A text block is a line, or a window across lines of as many consecutive words as the template has, so notices wrapped
-over lines are found. A block matches a template if it holds at least THRESHOLD of the template's distinct words.
-Words get a global order, rarest first, by the number of blocks that hold them, counted over all documents. If enough
-of a template is in a block, one of the template's first |T| - need + 1 words is (prefix filter); the block needs at
-least `need` template words (length filter); and the words after a first common word, on either side, must suffice
-(positional filter). Candidates are verified on the full sets. Windows are counted in texts whose lines together hold
-enough of a template; windows within one line add nothing to the line.
-
-Blocks are cut to words of the templates while the text is read, so what is written and joined is small. Beside this,
-fixed phrases are located exactly. Null text counts as empty; empty texts have no words and no labels; long texts
-are read whole; each row, repeated or not, gets a result of its own; extra columns are ignored.
+The blocks of a text are its lines, and its windows of as many consecutive words as a template has, whatever lines and
+paragraphs they cross. A block matches a template if it holds at least THRESHOLD of the template's distinct words.
+Template words get a global order, rarest first, by the number of lines that hold them, counted over all documents. A
+block with `need` of a template's words has one of the first |T| - need + 1 of them (prefix filter), so the words of
+all texts are joined to these few rare words. A line, or what a text has within a template's length of such a word,
+must have room for `need` words (length and positional filter). What is left is verified on the full sets.
+
+Templates are a table of (label, text); they reach the texts by joins, which are broadcasts up to BROADCAST_ROWS words
+and shuffled beyond. Beside this, fixed phrases are located exactly. Null text counts as empty; empty texts have no
+words and no labels; long texts are read whole; each row, repeated or not, gets a result of its own; extra columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from recordloom.llm.common import TOKEN_GAP, Scratch, lower_ascii, tokens
+from recordloom.llm.common import TOKEN_GAP, Scratch, column, lower_ascii, small, tokens
+from recordloom.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
 #: Phrases, as words, and their labels. No phrase may overlap itself.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Customary notices and the labels that they stand for.
-TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-)
-
-
-def _all_words(text: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
-
-
-def _template_words(text: str) -> list[str]:
-    return list(dict.fromkeys(_all_words(text)))
-
-
-def _strings(words) -> Column:
-    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+#: Most words of templates, or candidates, that are sent to all executors.
+BROADCAST_ROWS = 200_000
 
 
 def _places(text: Column, n_words: Column, phrase: str) -> Column:
@@ -65,67 +44,86 @@ def _places(text: Column, n_words: Column, phrase: str) -> Column:
     return F.when(likely & (F.size(parts) > 1), found)
 
 
-def _in_windows(lines: Column, words: list[str], length: int) -> Column:
-    """The most of `words` that `length` consecutive words of a text hold, across its lines; null if it has none."""
-    wanted = _strings(words)
-    placed = F.transform(F.flatten(lines), lambda w, at: F.when(F.array_contains(wanted, w), F.struct(at.alias("at"), w.alias("word"))))
-    held = lambda p, x, i: F.filter(F.slice(p, i + 1, length), lambda y: y["at"] < x["at"] + length)
-    distinct = lambda p: F.transform(p, lambda x, i: F.size(F.array_distinct(held(p, x, i)["word"])))
-    # an array of one, so that the places are made once
-    return F.element_at(F.transform(F.array(F.array_compact(placed)), lambda p: F.array_max(distinct(p))), 1)
-
+def template_table(templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """template, label, words (distinct), length (in words), need: the words that a block must hold."""
+    t = templates.select("label", tokens(lower_ascii(F.col("text"))).alias("all")).filter(F.size("all") > 0)
+    t = t.select(F.xxhash64("label", "all").alias("template"), "label", F.array_distinct("all").alias("words"), F.size("all").alias("length")).distinct()
+    return t.withColumn("need", F.ceil(F.round(F.lit(threshold) * F.size("words"), 9)).cast("int"))
 
-def _wrapped(blocks: Column, lines: Column, sets: list[tuple[str, list[str], int, int]]) -> Column:
-    """Structs label, share of the templates (label, words, length in words, words needed) that windows of a text hold."""
-    held = F.array_distinct(F.flatten(F.transform(blocks, lambda b: b["words"])))
 
-    def one(label: str, words: list[str], length: int, need: int) -> Column:
-        candidate = (F.size(blocks) > 1) & (F.size(F.array_intersect(held, _strings(words))) >= need)
-        most = F.when(candidate, _in_windows(lines, words, length))
-        return F.transform(F.array(most), lambda n: F.when(n >= need, F.struct(F.lit(label).alias("label"), (n / len(words)).alias("share"))))
+def _positions(lines: Column, line: Column, k: Column) -> Column:
+    """The place in the text of the k-th word of a line."""
+    return k + F.aggregate(F.slice(lines, 1, line), F.lit(0), lambda n, x: n + F.size(x))
 
-    found = [one(*s) for s in sets]
-    none = F.array().cast("array<struct<label:string,share:double>>")
-    return F.array_compact(F.concat(*found)) if found else none
 
-
-def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _most_in_windows(near: Column, words: Column, length: Column) -> Column:
+    """The most of `words` that `length` consecutive words of `near` hold."""
+    placed = F.filter(F.transform(near, lambda w, at: F.struct(at.alias("at"), w.alias("word"))), lambda x: F.array_contains(words, x["word"]))
+    held = lambda p, x, i: F.filter(F.slice(p, i + 1, length), lambda y: y["at"] < x["at"] + length)
+    most = lambda p: F.array_max(F.transform(p, lambda x, i: F.size(F.array_distinct(F.transform(held(p, x, i), lambda y: y["word"])))))
+    # an array of one, so that the places are made once
+    return F.element_at(F.transform(F.array(placed), most), 1)
+
+
+def matches(rows: DataFrame, templates: DataFrame, scratch: Scratch) -> DataFrame:
+    """row, label, share: the largest share of each template that a block of a text holds, from the threshold on. rows
+    is a written table of row, n_words and lines, the words of each line; templates is a template_table."""
+    words = templates.select("template", "need", F.size("words").alias("size"), F.explode("words").alias("word"))
+    vocabulary = small(words.select("word").distinct(), BROADCAST_ROWS)
+    by_line = rows.select(F.explode("lines").alias("line")).select(F.explode(F.array_distinct("line")).alias("word"))
+    counts = scratch.table(by_line.join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n")), "counts")  # at most the templates' words
+    order = Window.partitionBy("template").orderBy(F.coalesce("n", F.lit(0)), "word")
+    prefix = words.join(counts, "word", "left").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= F.col("size") - F.col("need") + 1)
+    prefix = small(scratch.table(prefix.filter("n > 0").select("word", "template", "need"), "prefix"), BROADCAST_ROWS)
+    placed = rows.select("row", "n_words", F.posexplode("lines").alias("line", "ws")).select("row", "n_words", "line", F.size("ws").alias("in_line"), F.posexplode("ws").alias("k", "word"))
+    # a block with `need` words does not fit into a text with fewer
+    found = placed.join(prefix, "word").filter(F.col("n_words") >= F.col("need"))
+    found = scratch.table(found.select("row", "template", "line", "k", (F.col("in_line") >= F.col("need")).alias("whole")).distinct(), "candidates")
+    # a text's own places, which are at most its words
+    found = found.groupBy("row", "template").agg(F.collect_set(F.when(F.col("whole"), F.col("line"))).alias("whole"), F.collect_list(F.struct("line", "k")).alias("places"))
+    found = small(scratch.table(found, "texts"), BROADCAST_ROWS)
+    both = found.join(rows.select("row", "lines"), "row").join(small(templates, BROADCAST_ROWS), "template")
+    share = lambda n: n / F.size("words")
+    lines = F.array_max(F.transform("whole", lambda at: F.size(F.array_intersect(F.element_at("lines", at + 1), "words"))))
+    at = F.array_sort(F.transform("places", lambda p: _positions(F.col("lines"), p["line"], p["k"])))
+    both = both.select("row", "label", "words", "length", "need", lines.alias("in_lines"), F.flatten("lines").alias("all"), at.alias("at"))
+    # places less than two lengths apart are looked at together
+    start = lambda p, i: (i == 0) | (p >= F.element_at("at", F.greatest(i, F.lit(1))) + 2 * F.col("length"))
+    first = F.filter("at", start)
+    last = F.concat(F.transform(F.slice(first, 2, F.size(first)), lambda f: F.array_max(F.filter("at", lambda p: p < f))), F.array(F.element_at("at", -1)))
+    both = both.select("row", "label", "words", "length", "need", "in_lines", "all", F.explode(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("x"))
+    begin = F.greatest(F.lit(0), F.col("x.first") - F.col("length") + 1)
+    near = F.slice("all", begin + 1, F.col("x.last") + F.col("length") - begin)
+    both = both.select("row", "label", "words", "length", "need", "in_lines", near.alias("near")).filter((F.size("near") >= F.col("need")) | F.col("in_lines").isNotNull())
+    most = F.greatest(F.coalesce("in_lines", F.lit(0)), F.coalesce(_most_in_windows(F.col("near"), F.col("words"), F.col("length")), F.lit(0)))
+    both = both.withColumn("most", most).filter(F.col("most") >= F.col("need"))
+    return both.groupBy("row", "label").agg(F.max(share(F.col("most"))).alias("share"))
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None, phrases=PHRASES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. score is 1 where a phrase stands, else
-    the largest share of a template that a matching block holds, else 0."""
-    scratch = Scratch(docs.sparkSession, "licenses")
-    sets = [(k, label, _template_words(t)) for k, (label, t) in enumerate(templates)]
-    sets = [(k, label, words) for k, label, words in sets if words]
-    vocabulary = sorted({w for _, _, words in sets for w in words})
-    rows = docs.select(F.col(doc_id).alias("doc_id"), lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    the largest share of a template that a matching block holds, else 0. templates has columns label and text."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "licenses")
+    if templates is None:
+        templates = spark.createDataFrame(TEMPLATES, "label string, text string")
+    rows = docs.select(column(doc_id).alias("doc_id"), lower_ascii(F.coalesce(column(text), F.lit(""))).alias("t"))
     rows = rows.select("doc_id", "t", F.transform(F.split("t", "\n"), tokens).alias("lines"))
-    kept = F.transform("lines", lambda line, at: F.struct(at.alias("line"), F.array_intersect(line, _strings(vocabulary)).alias("words")))
-    n_words = F.aggregate("lines", F.lit(0).cast("long"), lambda n, line: n + F.size(line))
-    rows = rows.select("doc_id", "t", "lines", n_words.alias("n_words"), F.filter(kept, lambda b: F.size(b["words"]) > 0).alias("blocks"))
-    needs = [(label, words, len(_all_words(templates[k][1])), math.ceil(round(threshold * len(words), 9))) for k, label, words in sets]
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "blocks", _wrapped(F.col("blocks"), F.col("lines"), needs).alias("wrapped"), F.array(*(_places(F.col("t"), F.col("n_words"), p) for p, _ in phrases)).alias("places"))
+    rows = rows.withColumn("n_words", F.aggregate("lines", F.lit(0).cast("long"), lambda n, line: n + F.size(line)))
+    places = F.array(*(_places(F.col("t"), F.col("n_words"), p) for p, _ in phrases)) if phrases else F.array().cast("array<struct<n:long,first:long,last:long>>")
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "lines", places.alias("places"))
     rows = scratch.table(rows, "rows")  # also fixes the row numbers
-    blocks = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.line", "b.words")
-    # at most as many rows as the templates have words
-    seen = {r["word"]: r["n"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
-    sets = [(k, label, sorted(words, key=order.index), math.ceil(round(threshold * len(words), 9))) for k, label, words in sets]
-    spark = docs.sparkSession
-    prefixes = [(k, label, words, need, at, w) for k, label, words, need in sets for at, w in enumerate(words[: len(words) - need + 1])]
-    prefixes = spark.createDataFrame(prefixes, "template int, label string, all array<string>, need int, t_at int, word string")
-    # a block has at most the templates' words; in the global order, as array_intersect keeps its first argument's
-    ordered = blocks.filter(F.size("words") >= min((s[3] for s in sets), default=0)).select("row", "line", F.array_intersect(_strings(order), "words").alias("words"))
-    probe = ordered.select("row", "line", "words", F.posexplode("words").alias("b_at", "word")).join(F.broadcast(prefixes), "word")  # a row per template word
-    room = F.least(F.size("all") - F.col("t_at"), F.size("words") - F.col("b_at"))
-    overlap = F.size(F.array_intersect("all", "words"))
-    matches = probe.filter((F.size("words") >= F.col("need")) & (room + F.least("t_at", "b_at") >= F.col("need"))).withColumn("overlap", overlap).filter("overlap >= need")
-    found = matches.groupBy("row").agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.size("all")).alias("share"))
-    wrapped = F.transform("wrapped", lambda x: x["label"]), F.array_max(F.transform("wrapped", lambda x: x["share"]))
+    known = scratch.table(template_table(templates, threshold), "templates")
+    found = matches(rows, known, scratch).groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("more"), F.max("share").alias("share"))  # at most the templates' labels
+    found = scratch.table(found, "found")
     some = lambda c: F.filter(F.transform("places", lambda p: p[c]), lambda x: x.isNotNull())
-    base = F.array_compact(F.array(*(F.when(F.col("places")[i].isNotNull(), F.lit(label)) for i, (_, label) in enumerate(phrases))))
-    rows = rows.select("row", "doc_id", "n_words", F.aggregate(some("n"), F.lit(0).cast("long"), lambda a, b: a + b).alias("n_base"), F.array_min(some("first")).alias("first_word"), F.array_max(some("last")).alias("last_word"), F.array_sort(F.array_distinct(base)).alias("base"), wrapped[0].alias("over"), wrapped[1].alias("over_share"))
+    base = F.array_compact(F.array(*(F.when(F.col("places")[i].isNotNull(), F.lit(label)) for i, (_, label) in enumerate(phrases)))) if phrases else F.array().cast("array<string>")
+    rows = rows.select("row", "doc_id", "n_words", F.aggregate(some("n"), F.lit(0).cast("long"), lambda a, b: a + b).alias("n_base"), F.array_min(some("first")).alias("first_word"), F.array_max(some("last")).alias("last_word"), F.array_sort(F.array_distinct(base)).alias("base"))
+    rows = scratch.table(rows, "base")
+    scratch.keep("base", "found")
     none = F.array().cast("array<string>")
-    return rows.join(found, "row", "left").select(
+    return rows.join(small(found, BROADCAST_ROWS), "row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base").alias("base_labels"),
-        F.concat_ws(",", F.array_sort(F.array_union(F.array_union("base", F.coalesce("more", none)), "over"))).alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.greatest("share", "over_share"), F.lit(0.0))).alias("score"),
+        F.concat_ws(",", F.array_sort(F.array_union("base", F.coalesce("more", none)))).alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )

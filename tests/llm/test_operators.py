@@ -312,6 +312,23 @@ def test_histogram_of_nothing(empty):
 # licenses
 
 
+SHORT = (
+    ("mit", "Released under the MIT License."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("apache", "Licensed under the Apache License, Version 2.0."),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+)
+NO_PHRASE = (("no such phrase", "none"),)
+
+
+def scanned(spark, texts, templates=SHORT, **options):
+    table = spark.createDataFrame(templates, "label string, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(docs, table, **options).collect()}
+
+
 def test_license_scan(spark):
     texts = [
         "MIT License and mit-license; Apache LICENSE",
@@ -324,7 +341,7 @@ def test_license_scan(spark):
         "",
         "Permission is hereby granted free to any person obtaining a copy of this software and associated documentation files charge",
     ]
-    got = [tuple(r)[1:] for r in sorted(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
+    got = scanned(spark, texts)
     assert got[0] == (7, 3, 0, 5, "apache,mit", "apache,mit", 1.0)
     assert got[1] == (8, 1, 5, 5, "mit", "mit", 1.0)
     assert got[2] == (5, 1, 1, 1, "gpl", "gpl", 1.0)
@@ -335,54 +352,59 @@ def test_license_scan(spark):
     assert got[8][5] == "mit" and got[8][6] == 1.0
 
 
-def test_license_candidates_are_all_blocks_over_the_threshold(spark):
+def brute_licenses(text, templates, threshold=0.8):
+    share, found = {}, re.findall(TOKEN, low(text))
+    for label, t in templates:
+        words, length = set(re.findall(TOKEN, low(t))), len(re.findall(TOKEN, low(t)))
+        blocks = [set(re.findall(TOKEN, low(x))) for x in (text or "").split("\n")] + [set(found[p : p + length]) for p in range(len(found))]
+        if (s := max(len(b & words) / len(words) for b in blocks)) >= threshold:
+            share[label] = max(share.get(label, 0), s)
+    return ",".join(sorted(share)), max(share.values(), default=0.0)
+
+
+@pytest.mark.parametrize("rows_at_once", [licenses.BROADCAST_ROWS, 0])
+def test_license_blocks_are_all_lines_and_windows_over_the_threshold(spark, monkeypatch, rows_at_once):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", rows_at_once)
     rng = random.Random(9)
-    words = [w for _, t in licenses.TEMPLATES for w in licenses._template_words(t)]
-    texts = [" ".join(rng.sample(words, 45)) if i % 2 else "\n".join(t if rng.random() < 0.5 else " ".join(t.split()[: rng.randint(3, 20)]) for _, t in rng.sample(licenses.TEMPLATES, 3)) for i in range(60)]
-    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases=(("no such phrase", "none"),)).collect()}
+    templates = licenses.TEMPLATES if rows_at_once else SHORT
+    every = sorted({w for _, t in templates for w in re.findall(TOKEN, low(t))})
+    texts = [" ".join(rng.sample(every, 45)) for _ in range(10)]
+    texts += ["\n".join(t if rng.random() < 0.5 else " ".join(t.split()[: rng.randint(3, 20)]) for _, t in rng.sample(templates, 3)) for _ in range(20)]
+    for _ in range(40):
+        words = [w for _, t in rng.sample(templates, 2) for w in t.split() if rng.random() < 0.92]
+        texts.append("".join(w + (rng.choice([" zz ", "\n", "\n\n"]) if rng.random() < 0.2 else " ") for w in words))
+    texts.append(" zz " * 300 + templates[1][1] + " zz " * 500 + templates[4][1].replace(" ", "\n") + " zz " * 7)
+    got = scanned(spark, texts, templates, phrases=NO_PHRASE)
     for i, text in enumerate(texts):
-        share = {}
-        for line in text.split("\n"):
-            block = set(re.findall(TOKEN, low(line)))
-            for label, t in licenses.TEMPLATES:
-                words_of = set(licenses._template_words(t))
-                if (s := len(block & words_of) / len(words_of)) >= 0.8:
-                    share[label] = max(share.get(label, 0), s)
-        assert got[i] == (",".join(sorted(share)), max(share.values(), default=0.0))
+        assert got[i][5:] == brute_licenses(text, templates), text
 
 
 def test_license_notices_wrapped_over_lines(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"
-    mit = " * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation\n * files (the \"Software\")"
+    mit = " * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation\n *\n * files (the \"Software\")"
     far = "\n".join("zz " * 30 + w for w in bsd.split())
     texts = [bsd, f"Copyright x\n\n{mit}\n\nmore", f"{mit}\n{bsd}", far, "\n".join(bsd.split()[:16]), "\n".join(bsd.split()[:18])]
-    got = [tuple(r)[6:] for r in sorted(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
-    assert got[:4] == [("bsd", 1.0), ("mit", 1.0), ("bsd,mit", 1.0), ("", 0.0)]
+    got = scanned(spark, texts)
+    assert [got[i][5:] for i in range(4)] == [("bsd", 1.0), ("mit", 1.0), ("bsd,mit", 1.0), ("", 0.0)]
     # 'and' and 'are' repeat: 15 of 19 words, then 17
-    assert got[4:] == [("", 0.0), ("bsd", 17 / 19)]
+    assert [got[i][5:] for i in (4, 5)] == [("", 0.0), ("bsd", 17 / 19)]
 
 
-def test_wrapped_license_notices_are_all_windows_over_the_threshold(spark):
-    rng = random.Random(4)
-    texts = []
-    for _ in range(60):
-        words = [w for _, t in rng.sample(licenses.TEMPLATES, 2) for w in t.split() if rng.random() < 0.9]
-        texts.append("".join(w + (rng.choice([" zz ", "\n"]) if rng.random() < 0.2 else " ") for w in words))
-    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases=(("no such phrase", "none"),)).collect()}
-    crossing = 0
-    for i, text in enumerate(texts):
-        by_line, share = set(), {}
-        found = re.findall(TOKEN, low(text))
-        for label, t in licenses.TEMPLATES:
-            words_of, length = set(licenses._template_words(t)), len(re.findall(TOKEN, low(t)))
-            blocks = [set(re.findall(TOKEN, low(x))) for x in text.split("\n")]
-            by_line |= {label for b in blocks if len(b & words_of) / len(words_of) >= 0.8}
-            blocks += [set(found[p : p + length]) for p in range(len(found))]
-            if (s := max(len(b & words_of) / len(words_of) for b in blocks)) >= 0.8:
-                share[label] = max(share.get(label, 0), s)
-        crossing += by_line != set(share)
-        assert got[i] == (",".join(sorted(share)), max(share.values(), default=0.0))
-    assert crossing > 5
+def test_a_full_license_at_72_columns(spark):
+    import textwrap
+
+    full = [t for label, t in licenses.TEMPLATES if label == "mit"][1]
+    text = "\n".join(f" * {x}" for x in textwrap.wrap(full, 72))
+    got = licenses.scan(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
+    assert [(r["labels"], r["score"]) for r in got] == [("mit", 1.0)] * 2
+
+
+def test_license_scan_of_nothing_and_of_clashing_columns(spark, docs, rows, empty):
+    none = spark.createDataFrame([], "label string, text string")
+    assert licenses.scan(empty).count() == 0
+    assert {r["labels"] for r in licenses.scan(docs, none).collect()} == {""}
+    d = spark.createDataFrame([(1, "MIT license", "x", 2, "y"), (None, None, None, None, None)], "doc_id long, text string, word string, line int, `a.b` string")
+    assert result(licenses.scan(d)) == Counter([(1, 2, 1, 0, 0, "mit", "mit", 1.0), (None, 0, 0, None, None, "", "", 0.0)])
 
 
 # sharding
