@@ -112,6 +112,14 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def positioned(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns renamed by position, so that their names clash with none of an operator's, and the new names
+    of some: a column of just that name counts before one in another case."""
+    lower = [c.lower() for c in docs.columns]
+    at = [docs.columns.index(n) if n in docs.columns else lower.index(n.lower()) for n in names]
+    return docs.toDF(*(f"input_{i}" for i in range(len(lower)))), [f"input_{i}" for i in at]
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str = "n", how: str = "inner") -> DataFrame:
     """rows joined with facts by the columns `on`. facts is a written table with one row for each key and, in `n`, how
     many rows have it. Keys with more than a HOT-th of all rows, of which there are at most HOT, are broadcast, so that
