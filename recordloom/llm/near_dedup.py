@@ -5,7 +5,7 @@
    step, and a document stops once no later rank can lower a register. Equal sets form one class.
 2. Signatures are cut into bands. Classes whose own shingles rule out any link drop out; the others are compared with
    the most central class of their band. Those of bands that are not connected then are joined by their rarest
-   shingles. So a band emits few pairs however many copies it holds, and no link is lost.
+   shingles. So a band emits few pairs however many copies it holds, and no link inside it is lost.
 3. A pair whose signatures agree well enough is verified on the full shingle sets, recomputed from the texts.
 4. Verified links are grouped by union-find, inside partitions and then in one task, or, if they are too many for one,
    by star contraction between partitions.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import Scratch, python_ready, small
+from recordloom.llm.common import Scratch, positioned, python_ready, small
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 40, 5
@@ -214,6 +214,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """doc_id, t1 (hash of the text), n_shingles, component_id: the smallest doc_id that links lead to, the document's
     own included; kept: whether that is its own id; root: a number of the component, null for empty sets."""
     spark = docs.sparkSession
+    docs, (doc_id, text) = positioned(docs, doc_id, text)
     python_ready(spark)
     scratch = Scratch(spark, "near-dedup")
     signed = _texts(docs, doc_id, text).mapInArrow(_signed(words, bands, rows), "doc_id long, t1 long, n long, s1 long, s2 long, bands array<long>, sig binary")
@@ -273,6 +274,23 @@ def _prefixes(classes: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return first.join(classes.select("class", "root"), F.col("c") == F.col("class")).select("class", "root", "n", F.col("x.h").alias("h"), "at")
 
 
+def _joined_by_prefix(prefixes: DataFrame, percent: int) -> DataFrame:
+    """a, b of the classes that share a shingle and may be similar by their sizes and by the places of the shingle.
+
+    A similar set is at most 100 / percent times as large, so sizes are cut into ranges of that ratio, and a class meets
+    its own range and the next one up only. Of two classes the smaller needs fewer of its shingles: as many as a set of
+    its own size would need. Both are in the key, so what is no candidate is not compared."""
+    ratio = F.lit(100 / percent)
+    at_level = F.floor(F.log(F.col("n").cast("double")) / F.log(ratio)).cast("int")
+    least = F.ceil(F.lit(2 * percent / (100 + percent)) * F.col("n") - 1e-6)
+    lower = prefixes.filter(F.col("n") - F.col("at") >= least).select(F.col("h").alias("g"), at_level.alias("level"), F.col("class").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("at").alias("to"))
+    upper = prefixes.select("h", "class", "root", "n", "at", F.explode(F.array(at_level, at_level - 1)).alias("range"))
+    smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("class")))
+    enough = _possible(F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")), F.col("n"), F.col("m"), percent)
+    pairs = upper.join(lower, (F.col("h") == F.col("g")) & (F.col("range") == F.col("level")) & smaller & (F.col("root") != F.col("other")) & enough)
+    return pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
+
+
 def _linked(members: DataFrame, held: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The verified links and the roots they lead to.
 
@@ -280,8 +298,8 @@ def _linked(members: DataFrame, held: DataFrame, texts: DataFrame, words: int, p
     have in common, so copies with many edits of their own drop out. The class with the fewest shingles of its own is
     the hub of its band, with which the others are compared. Classes of bands that are not connected then are joined by
     their rarest shingles: two similar sets share one among the first few, and so early that what follows suffices
-    (prefix and positional filter). So copies that differ too much give no pair, however many there are, and no link is
-    lost."""
+    (prefix and positional filter). So copies that differ too much give no pair, however many there are, and no link between
+    classes that share a band is lost."""
     bounds = small(scratch.table(_bounds(held.select("class", "n"), texts, words), "bounds"), PAIRS)
     members = members.join(bounds, "class")
     bands = members.groupBy(F.col("key").alias("k")).agg(F.min("n").alias("least"), F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "class", "n", "shared")).alias("hub"))
@@ -303,31 +321,28 @@ def _linked(members: DataFrame, held: DataFrame, texts: DataFrame, words: int, p
     open_ = scratch.table(named.join(split, F.col("key") == F.col("k")).select("class", "root").distinct(), "open")
     if open_.isEmpty():
         return links, roots
-    x = scratch.table(_prefixes(open_, texts, words, percent), "prefixes")
-    y = x.withColumnsRenamed({"class": "b", "root": "other", "n": "m", "h": "g", "at": "to"})
-    enough = _possible(F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")), F.col("n"), F.col("m"), percent)
-    pairs = x.join(y, (F.col("h") == F.col("g")) & (F.col("class") < F.col("b")) & (F.col("root") != F.col("other")) & enough)
-    pairs = pairs.select(F.col("class").alias("a"), "b").distinct().join(small(tested, PAIRS), ["a", "b"], "left_anti")
+    pairs = _joined_by_prefix(scratch.table(_prefixes(open_, texts, words, percent), "prefixes"), percent)
+    pairs = pairs.join(small(tested, PAIRS), ["a", "b"], "left_anti")
     links = links.union(verified(pairs, 1)[1])
     return links, components(links, scratch, "roots-1")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, whose id is the smallest of their component; where several rows have that
     id (or all ids are null), one of those with the smallest text hash. Rows with empty sets all stay."""
+    names = docs.columns
+    docs, (doc_id, text) = positioned(docs, doc_id, text)
     scratch = Scratch(docs.sparkSession, "keep-first")
-    found = near_duplicates(docs, **options)
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
     kept = found.filter("kept AND n_shingles > 0").select("doc_id", "t1", "root")
     ties = kept.groupBy(F.col("root").alias("r")).agg(F.min("t1").alias("least"), F.count("*").alias("n")).filter("n > 1")
     ties = small(scratch.table(ties, "ties"), PAIRS)
     tied = scratch.table(kept.join(ties, F.col("root") == F.col("r")).groupBy("doc_id", "t1", "least").agg(F.count("*").alias("n")), "tied")
-    key = [F.col("doc_id").alias("__d"), F.col("t1").alias("__t")]
-    gone = small(found.filter(~F.col("kept")).select(*key).union(tied.filter("t1 > least").select(*key)).distinct(), BROADCAST_ROWS)
-    repeated = small(tied.filter("t1 = least AND n > 1").select(*key), BROADCAST_ROWS)
-    keyed = docs.withColumn("__t1", F.xxhash64(options.get("text", "text")))
-    doc_id = options.get("doc_id", "doc_id")
-    same = (F.col("__t1") == F.col("__t")) & F.col(doc_id).eqNullSafe(F.col("__d"))
+    gone = small(found.filter(~F.col("kept")).select("doc_id", "t1").union(tied.filter("t1 > least").select("doc_id", "t1")).distinct(), BROADCAST_ROWS)
+    repeated = small(tied.filter("t1 = least AND n > 1").select("doc_id", "t1"), BROADCAST_ROWS)
+    keyed = docs.withColumn("text_hash", F.xxhash64(text))
+    same = (F.col("text_hash") == F.col("t1")) & F.col(doc_id).cast("long").eqNullSafe(F.col("doc_id"))
     left = keyed.join(gone, same, "left_anti")
     if not repeated.isEmpty():
-        left = left.join(repeated, same, "left_anti").union(left.join(repeated, same, "left_semi").dropDuplicates([doc_id, "__t1"]))
-    return left.drop("__t1")
+        left = left.join(repeated, same, "left_anti").union(left.join(repeated, same, "left_semi").dropDuplicates([doc_id, "text_hash"]))
+    return left.drop("text_hash").toDF(*names)
