@@ -13,7 +13,7 @@ order, neighbours that share a whole GRAM form an interval; the shared prefix of
 them, and with the bytes before the anchors it gives the stretch that the later one repeats.
 
 Hash values that occur more than `hot` times don't go through one task: their windows are hashed to 128 bits and
-grouped, with partial aggregation. Equal texts are handled once: a copy of at least `length` bytes loses everything.
+grouped, with partial aggregation; all but the first of each group are later copies. Equal texts are handled once: a copy of at least `length` bytes loses everything.
 
 Corpus order is doc_id (null last); texts under one doc_id are ordered by hash; rows that repeat doc_id and text are
 one document and get the same result. Null text is empty. Texts are read whole; a match never crosses documents.
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import Scratch, python_ready, small
+from recordloom.llm.common import Scratch, positioned, python_ready, small
 
 LENGTH, GRAM = 100, 40
 #: Occurrences of an anchor hash from which its windows are grouped by hash.
@@ -393,6 +393,7 @@ _CUT = "h1 long, h2 long, n_removed long, starts array<int>, ends array<int>, ke
 
 
 def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    docs, (doc_id, text) = positioned(docs, doc_id, text)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return d.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text", F.octet_length("text")).alias("h2"))
 
@@ -446,8 +447,9 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     found = found.select("doc", F.col("start").cast("int"), F.col("end").cast("int")).union(runs.filter("part is null").select("doc", "start", "end"))
     if places.filter(F.size("hot") > 0).limit(1).count():
         windows = scratch.table(work.filter(F.size("hot") > 0).select("doc", "text", F.col("hot").alias("places")).mapInArrow(_windows(length, gram), "w1 long, w2 long, doc long, start int"), "windows")
-        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").withColumnsRenamed({"w1": "v1", "w2": "v2"})
-        later = windows.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).filter(F.struct("doc", "start") != F.col("first"))
+        # of equal windows all but the first; what is subtracted has a row for each window, so a common one is no burden
+        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first")).select("first.doc", "first.start")
+        later = windows.join(first, ["doc", "start"], "left_anti")
         found = found.union(later.select("doc", "start", (F.col("start") + length).alias("end")))
     found = scratch.table(found, "found")
     spans = found.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")).withColumnRenamed("doc", "d")
