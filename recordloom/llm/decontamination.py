@@ -15,11 +15,11 @@ all documents clean, and extra columns are ignored, or kept by `clean`, whatever
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recordloom.llm.common import Scratch, column, free_name, lower_ascii, small, tokens
+from recordloom.llm.common import Scratch, column, lower_ascii, positioned, small, tokens
 
 WIDTH = 10
 #: Most windows, shingles of windows, or candidates that are sent to all executors (about 30 MB).
@@ -67,6 +67,7 @@ def hits(words: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """row, doc_id, key (a hash of doc_id and text), n_words of each document, and row, n_hit (words inside any window),
     items (sorted ids) of those with a hit."""
+    docs, (doc_id, text) = positioned(docs, doc_id, text)
     scratch = Scratch(docs.sparkSession, "decontamination")
     windows = scratch.table(windows_of(items, width), "windows")
     words = docs.select(column(doc_id).alias("doc_id"), column(text).alias("t"))
@@ -96,14 +97,11 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, **names: str)
     )
 
 
-def _same(a: Column, b: Column, key: Column, other: Column) -> Column:
-    return (key == other) & a.eqNullSafe(b)
-
-
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, with all their columns, that hold no window of the benchmark."""
+    names = docs.columns
+    docs, (doc_id, text) = positioned(docs, doc_id, text)
     rows, found = decontaminate(docs, items, width, doc_id, text)
-    k = free_name("key", docs.columns)
-    hit = rows.join(found, "row", "left_semi").select(F.col("doc_id").alias(free_name("hit_id", docs.columns)), F.col("key").alias(free_name("hit_key", docs.columns))).distinct()
-    keyed = docs.withColumn(k, F.xxhash64(column(doc_id), column(text)))
-    return keyed.join(small(hit, BROADCAST_ROWS), _same(keyed[f"`{doc_id}`"], hit[hit.columns[0]], keyed[k], hit[hit.columns[1]]), "left_anti").drop(k)
+    hit = small(rows.join(found, "row", "left_semi").select("doc_id", "key").distinct(), BROADCAST_ROWS)
+    keyed = docs.withColumn("text_key", F.xxhash64(doc_id, text))
+    return keyed.join(hit, (F.col("text_key") == F.col("key")) & F.col(doc_id).eqNullSafe(F.col("doc_id")), "left_anti").drop("text_key").toDF(*names)

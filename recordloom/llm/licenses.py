@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recordloom.llm.common import TOKEN_GAP, Scratch, column, lower_ascii, small, tokens
+from recordloom.llm.common import TOKEN_GAP, Scratch, column, lower_ascii, positioned, small, tokens
 from recordloom.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
@@ -104,6 +104,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, phrases=PHRASES, t
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. score is 1 where a phrase stands, else
     the largest share of a template that a matching block holds, else 0. templates has columns label and text."""
     spark = docs.sparkSession
+    docs, (doc_id, text) = positioned(docs, doc_id, text)
     scratch = Scratch(spark, "licenses")
     if templates is None:
         templates = spark.createDataFrame(TEMPLATES, "label string, text string")

@@ -27,14 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recordloom.llm.common import Scratch, column, spread_join, word_count
+from recordloom.llm.common import Scratch, positioned, spread_join, word_count
 
 MIN_LINES = 3
 _TEXT = ["h1", "h2"]
 
 
 def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    d = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
+    docs, (doc_id, text) = positioned(docs, doc_id, text)
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return d.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text", F.length("text")).alias("h2"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recordloom.llm.common import Scratch, python_ready, word_count
+from recordloom.llm.common import Scratch, positioned, python_ready, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Documents in a hash range on average; what one task sorts for a source.
@@ -100,6 +100,8 @@ def repetitions() -> Column:
 
 def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: tuple[int, int] = (3, 2), max_epochs: int = 2, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep_rows: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken; with keep_rows the rows of docs themselves, each as often as it is taken."""
+    names = docs.columns
+    docs, (doc_id, text, source) = positioned(docs, doc_id, text, source)
     python_ready(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "mixing")
     key = seeded_key(seed, F.col(doc_id), F.col(text))
@@ -108,8 +110,8 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: tuple[int, int]
     targets = scratch.table(source_targets(sized, weights, share, max_epochs), "targets")
     planned = scratch.table(plan(sized.select("source", "size", "key"), targets), "plan").withColumnRenamed("source", "s")
     if keep_rows:
-        rows = docs.withColumns({"__source": F.col(source), "__key": key}).select(F.struct(*docs.columns).alias("__row"), F.col("__source").alias("source"), F.col("__key").alias("key"))
-        rows = rows.join(planned, F.col("source").eqNullSafe(F.col("s"))).select("__row", repetitions().cast("int").alias("n"))
-        return rows.filter("n > 0").select("__row", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("__row.*")
+        rows = docs.select(F.struct(*docs.columns).alias("stored_row"), F.col(source).alias("source"), key.alias("key"))
+        rows = rows.join(planned, F.col("source").eqNullSafe(F.col("s"))).select("stored_row", repetitions().cast("int").alias("n"))
+        return rows.filter("n > 0").select("stored_row", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("stored_row.*").toDF(*names)
     taken = sized.join(planned, F.col("source").eqNullSafe(F.col("s")))
     return taken.select("doc_id", "size", "source_size", "target", (repetitions() * F.col("size")).alias("taken"))

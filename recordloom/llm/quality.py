@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import python_ready
+from recordloom.llm.common import positioned, python_ready
 
 #: Most labelled documents that the trees are fitted on.
 SAMPLE = 20_000
@@ -157,7 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     """Trees for the labelled documents that are in docs; None if they are not of two classes. Of labels and repeated
     documents with one id the smallest label and text count."""
     python_ready(docs.sparkSession)
-    picked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
+    labels, (label_id, label) = positioned(labels, doc_id, label)
+    docs, (doc_id, text) = positioned(docs, doc_id, text)
+    picked = labels.select(F.col(label_id).alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     have = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")  # at most `sample` rows
 
@@ -189,3 +191,10 @@ def judge(text: Column, spark: SparkSession, trees: Trees | None, threshold: flo
             yield out
 
     return judged(text)
+
+
+def passing(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents, with all their columns, that judge keeps by trees fitted on those of them that have labels."""
+    trees = fit(docs, labels, text=text, **options)
+    named, (own,) = positioned(docs, text)
+    return named.withColumn("kept", judge(F.col(own), docs.sparkSession, trees)["kept"]).filter("kept").drop("kept").toDF(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recordloom.llm.common import python_ready
+from recordloom.llm.common import positioned, python_ready
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published split pattern of this byte-level vocabulary.
@@ -52,6 +52,7 @@ def encoded_length(spark: SparkSession, text: Column, vocabulary: str = VOCABULA
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = SPLIT, text: str = "text") -> DataFrame:
     """n_tokens, n_docs: how many documents have each encoded length."""
     python_ready(docs.sparkSession)
+    docs, (text,) = positioned(docs, text)
     n = encoded_length(docs.sparkSession, F.col(text), vocabulary, pattern)
     return docs.select(n.cast("long").alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
