@@ -16,9 +16,7 @@ from recordloom.llm.common import Scratch, read_table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the trees."""
-    trees = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    kept = quality.judge(F.col("text"), spark, trees)["kept"]
-    return docs.withColumn("__kept", kept).filter("__kept").drop("__kept")
+    return quality.passing(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_bytes and shard of every stored row, read from the committed version."""
     _, rows = sharding.compacted(docs, f"{Scratch(spark, 'pipeline').root}/store")
-    return rows.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.col("_shard").alias("shard"))
+    return rows.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.col(f"`{rows.columns[-1]}`").alias("shard"))
 
 
 STAGES = [
@@ -55,9 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage's rows are written to the shared folder and read again."""
+    """All stages over documents; every stage's rows are written to the shared folder and read again. A stage's rows are
+    deleted once the next one's are written."""
     scratch = Scratch(spark, "pipeline-run")
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{k}")
+        scratch.keep(f"stage-{k}")
     return docs
