@@ -102,25 +102,28 @@ def order_evidence(c: Column) -> Column:
 
 def permitted(iso: Column, rules: Mapping, reference_date: str) -> Column:
     """Whether a date keeps a field's temporal rules: not_future, allow_future, min_year, max_age_years, min_age_years.
-    Ages count in years. The reference date is given, so that a later run finds the same."""
+    Ages count in years. Rules are values, or columns where they differ by row (null: none). The reference date is given, so that a later run finds the same."""
     year, now = F.substring(iso, 1, 4).cast("int"), int(reference_date[:4])
     ok = F.lit(True)
-    if rules.get("not_future") or rules.get("allow_future") is False:
+    past = rules.get("not_future") if rules.get("not_future") is not None else rules.get("allow_future") is False
+    if isinstance(past, Column):
+        ok &= ~F.coalesce(past, F.lit(False)) | (iso <= reference_date)
+    elif past:
         ok &= iso <= reference_date
-    if rules.get("min_year"):
-        ok &= year >= rules["min_year"]
-    if rules.get("max_age_years"):
-        ok &= now - year <= rules["max_age_years"]
-    if rules.get("min_age_years"):
-        ok &= now - year >= rules["min_age_years"]
+    for name, holds in (("min_year", lambda v: year >= v), ("max_age_years", lambda v: now - year <= v), ("min_age_years", lambda v: now - year >= v)):
+        bound = rules.get(name)
+        if isinstance(bound, Column):
+            ok &= bound.isNull() | holds(bound)
+        elif bound:
+            ok &= holds(bound)
     return ok
 
 
-def apply_order(c: Column, order: Column | str, rules: Mapping, reference_date: str, pivot: int | None = None) -> Column:
+def apply_order(c: Column, order: Column | str, rules: Mapping, reference_date: str, pivot: int | Column | None = None) -> Column:
     """A struct status (valid, ambiguous_century, ambiguous, invalid), iso, candidates for a value of a column whose
     order (MDY, DMY, YMD) is known. A two-digit year takes the century that the pivot (0 to 99: years up to it are
     20xx) or the field's rules leave."""
-    if pivot is not None and not 0 <= pivot <= 99:
+    if isinstance(pivot, int) and not 0 <= pivot <= 99:
         raise ValueError("a century pivot is a two-digit year")
     order = F.lit(order) if isinstance(order, str) else order
 

@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 PATTERN_BOUND = 320
 
 
+#: White space of any Unicode kind.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space of any Unicode kind at either end; `trim` takes off spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any Unicode kind at either end; `trim` alone takes off spaces only."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:

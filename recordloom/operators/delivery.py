@@ -71,12 +71,11 @@ def error_kind(status: Column, code: Column) -> Column:
     )
 
 
-def backoff(attempt: int, base: float = 1.0, cap: float = 60.0, retry_after: float | None = None, jitter: float = 1.0) -> float:
+def backoff(attempt: int, base: float = 0.5, cap: float = 30.0, retry_after: float | None = None, jitter: float = 1.0) -> float:
     """Seconds to wait after an attempt (from 1): doubling up to a cap, times a jitter from 0.5 to 1.5; a wait that the
-    server asks for is kept to, up to the cap."""
-    if retry_after is not None:
-        return min(retry_after, cap)
-    return min(base * 2 ** (attempt - 1), cap) * jitter
+    server asks for, up to the cap, is kept if it is longer."""
+    delay = min(base * 2 ** (attempt - 1), cap) * jitter
+    return delay if retry_after is None else max(delay, min(retry_after, cap))
 
 
 def latest(operations: DataFrame, by: str, updated: str = "updated_at", created: str = "created_at", status: str | None = "SUCCEEDED") -> DataFrame:
@@ -87,18 +86,44 @@ def latest(operations: DataFrame, by: str, updated: str = "updated_at", created:
 
 
 def job_status(operations: DataFrame, by: str = "job_id") -> DataFrame:
-    """by, n, status of a job from its operations' statuses, the first that fits: RUNNING, PARTIAL, FAILED, REVIEW,
-    ROLLED_BACK, COMPLETED."""
+    """by, n, status of a job from its operations' statuses, by the first rule that fits."""
     s = operations.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("status")).alias("seen"))
     has = lambda *x: F.arrays_overlap("seen", F.array(*map(F.lit, x)))
     only = lambda *x: F.size(F.array_except("seen", F.array(*map(F.lit, x)))) == 0
+    unwritten = ("SKIPPED_NO_CHANGE", "SKIPPED_EXCLUDED")
+    back = (
+        F.when(has("ROLLBACK_FAILED"), "rollback_partial_failure").when(~only("ROLLED_BACK", "ROLLBACK_PLANNED", *unwritten), "rollback_in_progress")
+        .when(has("ROLLBACK_PLANNED"), "rollback_in_progress").otherwise("rollback_complete")
+    )
     status = (
-        F.when(has("PENDING", "IN_FLIGHT", "RETRYABLE"), "RUNNING").when(has("FAILED") & has("SUCCEEDED"), "PARTIAL").when(has("FAILED"), "FAILED")
-        .when(has("NEEDS_REVIEW"), "REVIEW").when(only("ROLLED_BACK"), "ROLLED_BACK").otherwise("COMPLETED")
+        F.when(only("SUCCEEDED", *unwritten), "migration_complete").when(has("STALE_TARGET"), "stale_target_review_required").when(has("ROLLBACK_PLANNED", "ROLLED_BACK", "ROLLBACK_FAILED"), back)
+        .when(has("RETRYABLE", "PROCESSING", "PLANNED"), "delivering").when(has("FAILED"), F.when(has("SUCCEEDED"), "delivery_partial_failure").otherwise("error")).otherwise("delivering")
     )
     return s.select(by, "n", status.alias("status"))
 
 
+def attempt_counts(operations: DataFrame, attempts: DataFrame, by: str = "job_id") -> DataFrame:
+    """by, n_attempts: attempts of the operations of each job."""
+    return attempts.select("operation_id").join(operations.select("operation_id", by), "operation_id").groupBy(by).agg(F.count("*").alias("n_attempts"))
+
+
+def edited(target: DataFrame, edits: DataFrame, contract: DataFrame, key: str, job: str = "edit") -> tuple[DataFrame, DataFrame]:
+    """Operations for people's edits (key, path, value; path null: delete the record) of records in the target, and the edits
+    that are refused, with error: not_found, key_is_fixed, unknown_field, unknown_label, required."""
+    c = contract.select(F.col("path").alias("_p"), "type", "required", "options")
+    t = target.select(F.col(key).alias("_k"), F.col("revision").alias("base_revision"))
+    j = edits.join(F.broadcast(c), F.col("path") == F.col("_p"), "left").join(t, F.col(key) == F.col("_k"), "left")  # a contract is a few dozen rows
+    error = (
+        F.when(F.col("_k").isNull(), "not_found").when(F.col("path") == key, "key_is_fixed").when(F.col("path").isNotNull() & F.col("_p").isNull(), "unknown_field")
+        .when((F.col("type") == "enum") & F.col("value").isNotNull() & ~F.array_contains("options", F.col("value")), "unknown_label").when(F.col("required") & text.is_blank(F.col("value")), "required")
+    )
+    j = j.withColumn("error", error)
+    ok = j.filter("error is null").groupBy(key).agg(F.bool_or(F.col("path").isNull()).alias("gone"), F.map_from_entries(F.array_sort(F.array_compact(F.collect_set(F.when(F.col("path").isNotNull(), F.struct("path", "value")))))).alias("payload"), F.max("base_revision").alias("base_revision"))
+    op = F.when(F.col("gone"), "DELETE").otherwise("UPDATE")
+    made = ok.select(key, op.alias("operation"), stable_id("op_", F.lit(job), F.col(key), op, F.to_json("payload")).alias("operation_id"), F.when(~F.col("gone"), F.col("payload")).alias("payload"), "base_revision")
+    return made, j.filter("error is not null").select(key, "path", "value", "error")
+
+
 def may_retry(operations: DataFrame, attempts: DataFrame) -> DataFrame:
     """operations with can_retry: RETRYABLE ones, and FAILED ones whose last attempt was retryable."""
     last = latest(attempts, "operation_id", "attempt_no", "attempt_no", None).select(F.col("operation_id").alias("_o"), F.col("error_kind").alias("_e"))

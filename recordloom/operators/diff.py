@@ -94,3 +94,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str
     long = j.select(F.coalesce(key, "_k").alias(key), F.inline(cells))
     change = F.when(F.col("old").eqNullSafe(F.col("new")), "unchanged").when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "cleared").otherwise("changed")
     return long.select(key, "field", change.alias("change"))
+
+
+def attribute_diff(incoming: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """key, attribute, incoming, target, outcome of custom attributes (arrays of key and value structs) by their key: on one
+    side only they fill or stay, on both the rule of a field applies."""
+    cut = lambda d, name: d.select(key, F.explode("custom_attributes").alias("x")).select(key, F.col("x.key").alias("attribute"), F.col("x.value").alias(name))
+    j = cut(incoming, "incoming").join(cut(target, "target"), [key, "attribute"], "full_outer")
+    return j.withColumn("outcome", field_outcome(F.col("incoming"), F.col("target")))

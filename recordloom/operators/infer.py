@@ -87,6 +87,40 @@ def candidate_pairs(profiles: Iterable[dict], cap: int = 200) -> list[tuple[int,
     return found[:cap]
 
 
+def pair_kinds(cells: DataFrame, pairs: DataFrame) -> DataFrame:
+    """table_id, a, b, rows, distinct_a, distinct_b, coverage_ab, coverage_ba, kind for candidate pairs (table_id, a, b: column
+    indexes, a few hundred at most), from aligned rows of the long form. All pairs at once; counts before comparisons."""
+    filled = cells.filter(~text.is_blank(F.col("value"))).select("table_id", "row_number", "col_index", text.strip(F.col("value")).alias("v"))
+    wanted = F.broadcast(pairs.select("table_id", "a", "b").distinct())
+    x = filled.join(wanted, "table_id").filter(F.col("col_index") == F.col("a")).select("table_id", "row_number", "a", "b", F.col("v").alias("va"))
+    y = filled.select("table_id", "row_number", F.col("col_index").alias("b"), F.col("v").alias("vb"))
+    n = x.join(y, ["table_id", "row_number", "b"]).groupBy("table_id", "a", "b", "va", "vb").agg(F.count("*").alias("n"))
+    at = ["table_id", "a", "b"]
+
+    def one_way(src: str, name: str) -> DataFrame:
+        g = n.groupBy(*at, src).agg(F.sum("n").alias("rows"), F.max("n").alias("held")).groupBy(*at).agg(F.sum("rows").alias("rows"), F.sum("held").alias("held"), F.count("*").alias(f"distinct_{name[0]}"))
+        return g.select(*at, "rows", f"distinct_{name[0]}", (F.col("held") / F.col("rows")).alias(f"coverage_{name}"))
+
+    both = one_way("va", "ab").join(one_way("vb", "ba").drop("rows"), at)
+    p, q = F.col("coverage_ab"), F.col("coverage_ba")
+    kind = F.when(F.col("rows") < 2, "unrelated").when((p >= ONE_TO_ONE) & (q >= ONE_TO_ONE), "one_to_one").when((p >= ONE_TO_ONE) | (q >= ONE_TO_ONE), "code_display").when((p >= 0.9) | (q >= 0.9), "inconsistent").otherwise("unrelated")
+    return both.withColumn("kind", kind)
+
+
+def domain_union(*domains: DataFrame) -> DataFrame:
+    """value: the distinct filled values of several one-column tables."""
+    out = None
+    for d in domains:
+        one = d.select(text.nonblank(F.col(d.columns[0]).cast("string")).alias("value")).filter("value is not null")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+def unresolved_values(observed: DataFrame, accepted: DataFrame) -> DataFrame:
+    """observed (value, ...) without the values that a map has."""
+    return observed.join(accepted.select("value").distinct(), "value", "left_anti")
+
+
 def is_redundant(kind: Column, label_mapped: Column, code_mapped: Column, score: Column, rows: Column, distinct_code: Column) -> Column:
     """Whether a code column may be retired in favour of its label."""
     return (kind == "one_to_one") & label_mapped & ~code_mapped & (score >= CODED) & (rows > distinct_code)
@@ -146,11 +180,15 @@ def checked_map(proposals: DataFrame, domain: DataFrame, labels: Sequence[str])
 
 def batches(domain: DataFrame, budget: int = BUDGET, batch: int = BATCH) -> DataFrame:
     """fold_key, value (the most frequent spelling), weight, place, in_budget, batch: values that fold alike are
-    proposed once; what is over the budget stays visible. Windows run over distinct values, not over rows."""
+    proposed once; what is over the budget stays visible, without a place. Windows run over distinct values, not over rows."""
     g = domain.groupBy(text.fold(F.col("value")).alias("fold_key")).agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"), F.sum("n").alias("weight"))
-    place = F.row_number().over(Window.orderBy("fold_key"))
-    g = g.withColumn("place", place)
-    return g.withColumn("in_budget", F.col("place") <= budget).withColumn("batch", F.when(F.col("in_budget"), F.floor((F.col("place") - 1) / batch)))
+    # the places of those over the budget don't matter: of each range of keys at most `budget` are ranked together
+    near = Window.partitionBy(F.substring("fold_key", 1, 2)).orderBy("fold_key")
+    g = g.withColumn("near", F.row_number().over(near))
+    ranked = g.filter(F.col("near") <= budget).withColumn("place", F.row_number().over(Window.orderBy("fold_key")))
+    ranked = ranked.unionByName(g.filter(F.col("near") > budget).withColumn("place", F.lit(None).cast("int")))
+    g = ranked.drop("near").withColumn("place", F.when(F.col("place") <= budget, F.col("place")))
+    return g.withColumn("in_budget", F.col("place").isNotNull()).withColumn("batch", F.when(F.col("in_budget"), F.floor((F.col("place") - 1) / batch)))
 
 
 def propose(domain: DataFrame, labels: Sequence[str], proposer: Callable[[list[str], Sequence[str]], dict[str, str | None]], budget: int = BUDGET, batch: int = BATCH) -> tuple[dict[str, str], list[str], int]:
@@ -190,8 +228,11 @@ def field_types(long: DataFrame) -> DataFrame:
     every = lambda c: F.bool_and(c)
     a = filled.groupBy("table_id", "col_index").agg(
         every(values.boolean(v).isNotNull()).alias("b"), every(values.number(v).isNotNull()).alias("m"), every(dates.order_evidence(v) != "invalid").alias("d"), every(v.contains(";")).alias("s"),
-        F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.length(v)).alias("long"), F.array_sort(F.collect_set(F.when(F.length(v) <= 40, F.substring(v, 1, 40)))).alias("all"),
+        F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.length(v)).alias("long"),
     )
     labels = (F.col("k") <= 8) & (F.col("k") < F.col("n")) & (F.col("long") <= 40)
     kind = F.when(F.col("b"), "boolean").when(F.col("m"), "number").when(F.col("d"), "date").when(F.col("s"), "multiselect").when(labels, "enum").otherwise("string")
-    return a.select("table_id", "col_index", kind.alias("custom_type"), F.when(kind == "enum", F.col("all")).alias("options"))
+    typed = a.select("table_id", "col_index", kind.alias("custom_type"))
+    # options of enums only, which have at most eight
+    options = filled.join(typed.filter("custom_type = 'enum'"), ["table_id", "col_index"], "left_semi").groupBy("table_id", "col_index").agg(F.array_sort(F.collect_list("v")).alias("options"))
+    return typed.join(options, ["table_id", "col_index"], "left")

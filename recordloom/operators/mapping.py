@@ -112,20 +112,30 @@ def quality_flags(profile: Mapping, f: Field) -> tuple[str, ...]:
     return tuple(flags)
 
 
+def _role_words(path: str, group: Mapping, contract: Contract) -> set[str]:
+    """Words that point to a member of a group: its qualifiers and keywords."""
+    f = contract.resolve(path)
+    return {str(q) for q in group["qualifiers"].get(path, ())} | {t for k in (f.keywords if f else ()) for t in tokens_of(k)}
+
+
 def role_verdict(header: str, path: str, contract: Contract) -> str | None:
-    """Why a header does not tell a field from its siblings: `generic_role` or `other_role`; None if it does."""
-    words = tokens_of(header)
-    for g in contract.sibling_groups:
-        if path not in g["members"]:
-            continue
-        own = set(map(str, g["qualifiers"].get(path, ())))
-        other = {str(q) for m, qs in g["qualifiers"].items() if m != path for q in qs}
-        generic = set(map(str, g["generic"]))
-        if words & (other - own - generic):
-            return "other_role"
-        if not words & (own - generic - other):
-            return "generic_role"
-    return None
+    """Why a header does not tell a field from its siblings: `generic_role` for family words alone, `other_role` where it
+    points to another one; `own_role` if it tells it; None outside of groups and without any family word."""
+    group = next((g for g in contract.sibling_groups if path in g["members"]), None)
+    if group is None or path in contract.date_roles:
+        return None
+    words, generic = tokens_of(header), set(map(str, group["generic"]))
+    of = {m: _role_words(m, group, contract) for m in group["members"]}
+    told = [m for m in of if words & (of[m] - generic - set().union(*(w for o, w in of.items() if o != m)))]
+    if told:
+        return "own_role" if told == [path] else "other_role"
+    return "generic_role" if words & generic else None
+
+
+def date_role_told(header: str, path: str, contract: Contract) -> bool:
+    """Whether a keyword of a date field, a word or a phrase, is in the header."""
+    low = (header or "").lower()
+    return any(k in low if " " in k else k in tokens_of(header) for k in map(str, contract.resolve(path).keywords))
 
 
 def judge_proposal(header: str, proposed: str | None, alternatives: Sequence[str], profile: Mapping, contract: Contract) -> tuple[str, str]:
@@ -137,12 +147,15 @@ def judge_proposal(header: str, proposed: str | None, alternatives: Sequence[str
         return "needs_review", "unknown target"
     if not type_fits(profile, f):
         return "needs_review", "type mismatch"
-    if role := role_verdict(header, proposed, contract):
-        return "needs_review", "date role" if f.type == "date" else role
+    if proposed in contract.date_roles and not date_role_told(header, proposed, contract):
+        return "needs_review", "date role"
+    role = role_verdict(header, proposed, contract)
+    if role in ("generic_role", "other_role"):
+        return "needs_review", role
     if any(a != proposed and contract.resolve(a) for a in alternatives):
         return "needs_review", "competing alternatives"
     support = tokens_of(proposed.replace("_", " ")) | {t for a in (*f.aliases, *f.keywords) for t in tokens_of(a)} | {str(q) for g in contract.sibling_groups for q in g["qualifiers"].get(proposed, ())}
-    if not tokens_of(header) & support:
+    if role != "own_role" and not tokens_of(header) & support:
         return "needs_review", "no word of the header supports it"
     return "auto_accepted", "policy"
 

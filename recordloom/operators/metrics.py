@@ -38,9 +38,30 @@ def scores(results: DataFrame) -> DataFrame:
     return g.withColumn("accuracy", (F.col("correct_auto") + F.col("correct_escalate")) / F.col("cases"))
 
 
-def audit_category(actor: Column, action: Column) -> Column:
-    """human, delivery, mapping, preparation or system for an audit row: people first, then what the action is about."""
+def audit_category(actor: Column, event: Column) -> Column:
+    """human, error, delivery, target, ingestion, preparation or mapping for an audit row: people first, then what the event
+    is about."""
+    e = F.coalesce(event, F.lit(""))
+    starts = lambda *x: e.rlike(f"^(?:{'|'.join(x)})")
     return (
-        F.when(actor.startswith("human") | (actor == "user"), "human").when(action.startswith("deliver") | action.endswith("_delivered") | action.startswith("rollback"), "delivery")
-        .when(action.startswith("map") | action.endswith("_mapped"), "mapping").when(action.startswith("prepare") | action.endswith("_prepared"), "preparation").otherwise("system")
+        F.when(actor == "human", "human").when(e.endswith("_failed") | e.isin("model_error", "ingest_checksum_mismatch"), "error")
+        .when(starts("delivery", "rollback", "stale_") | (e == "migration_complete"), "delivery").when(starts("target", "employee") | e.contains("reconcil"), "target")
+        .when(starts("ingest") | e.isin("queued", "file_parsed"), "ingestion").when(e.contains("preparation") | e.isin("records_prepared", "record_review_prepared"), "preparation").otherwise("mapping")
     )
+
+
+def stage_seconds(events: DataFrame, by: Sequence[str] = ("job_id", "stage")) -> DataFrame:
+    """by, n, seconds: the time that runs of a stage (started, ended) took together."""
+    took = (F.unix_micros("ended") - F.unix_micros("started")) / 1e6
+    return events.groupBy(*by).agg(F.count("*").alias("n"), F.sum(took).alias("seconds"))
+
+
+def portfolio(jobs: DataFrame) -> DataFrame:
+    """jobs, done, failed, entities, blocked over all jobs, from a row for each (status, entities, blocked)."""
+    done, failed = F.col("status").isin("migration_complete", "rollback_complete"), F.col("status").isin("error", "delivery_partial_failure", "rollback_partial_failure")
+    return jobs.agg(F.count("*").alias("jobs"), F.count_if(done).alias("done"), F.count_if(failed).alias("failed"), F.coalesce(F.sum("entities"), F.lit(0)).alias("entities"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked"))
+
+
+def plan_metrics(plans: DataFrame) -> DataFrame:
+    """operation, n, settled, review of transformation plans (operation, status): what source intelligence found."""
+    return plans.groupBy("operation").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "auto_accepted").alias("settled"), F.count_if(F.col("status") == "needs_review").alias("review"))

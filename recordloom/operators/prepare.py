@@ -37,10 +37,23 @@ def merge_fields(contributions: DataFrame) -> DataFrame:
     return m.select("entity_key", "path", F.when(F.col("k") == 1, F.col("one")).alias("value"), status.alias("status"), "n_sources", F.when(F.col("k") > 1, F.col("all")).otherwise(F.array().cast("array<string>")).alias("options"))
 
 
+def _by_value(merged: DataFrame, path: str) -> DataFrame:
+    return merged.filter((F.col("path") == path) & (F.col("status") == "resolved")).select(F.lower("value").alias("key"), "entity_key").distinct()
+
+
 def shared_values(merged: DataFrame, path: str = "work_email") -> DataFrame:
-    """key, n, entities of values of a field that more than one entity has."""
-    v = merged.filter((F.col("path") == path) & (F.col("status") == "resolved")).select(F.lower("value").alias("key"), "entity_key").distinct()
-    return v.groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("entity_key")).alias("entities")).filter("n > 1")
+    """key, n, entities of values of a field that more than one entity has; of the entities the first IDS are listed."""
+    v = _by_value(merged, path)
+    n = v.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    listed = v.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("entity_key"))).filter(F.col("place") <= IDS)
+    return n.join(listed.groupBy("key").agg(F.array_sort(F.collect_list("entity_key")).alias("entities")), "key")
+
+
+def shared_email_issues(merged: DataFrame, path: str = "work_email") -> DataFrame:
+    """entity_key, path, issue of every entity that shares its address, however many do."""
+    v = _by_value(merged, path)
+    shared = v.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return v.join(shared, "key", "left_semi").select("entity_key", F.lit(path).alias("path"), F.lit("shared_email").alias("issue"))
 
 
 def attach_children(children: DataFrame, parents: DataFrame, key: str = "entity_key") -> tuple[DataFrame, DataFrame]:
@@ -56,12 +69,14 @@ def attach_children(children: DataFrame, parents: DataFrame, key: str = "entity_
 def merge_items(items: DataFrame, fields: Sequence[str]) -> DataFrame:
     """entity_key, collection, identity, the fields, n_rows, n_variants, status, conflicts: per item, equal rows
     collapse, blanks are filled from other rows, and a field with more than one value is a conflict (null here)."""
-    filled = items.filter(values_present(fields))
     by = ["entity_key", "collection", "identity"]
-    aggs = [F.count("*").alias("n_rows"), F.count_distinct(F.struct(*(F.coalesce(text.nonblank(F.col(f)), F.lit("")) for f in fields))).alias("n_variants")]
+    plain = items.select(*by, *(text.nonblank(F.col(f)).alias(f) for f in fields))  # each value is stripped once
+    filled = plain.filter(F.coalesce(*fields).isNotNull())
+    variants = filled.groupBy(*by, *fields).agg(F.count("*").alias("n"))
+    aggs = [F.sum("n").alias("n_rows"), F.count("*").alias("n_variants")]
     for f in fields:
-        aggs += [F.min(text.nonblank(F.col(f))).alias(f), (F.min(text.nonblank(F.col(f))) != F.max(text.nonblank(F.col(f)))).alias(f"_{f}")]
-    g = filled.groupBy(*by).agg(*aggs)
+        aggs += [F.min(f).alias(f), (F.min(f) != F.max(f)).alias(f"_{f}")]
+    g = variants.groupBy(*by).agg(*aggs)
     clash = lambda f: F.coalesce(F.col(f"_{f}"), F.lit(False))
     conflicts = F.array_compact(F.array(*(F.when(clash(f), F.lit(f)) for f in fields)))
     return g.select(*by, *(F.when(~clash(f), F.col(f)).alias(f) for f in fields), "n_rows", "n_variants", F.when(F.size(conflicts) > 0, "conflict").otherwise("resolved").alias("status"), conflicts.alias("conflicts"))
@@ -187,3 +202,85 @@ def dataset(snapshots_: DataFrame, eligibility: DataFrame, decisions: DataFrame
     good = snapshots_.join(eligibility.filter("eligibility = 'eligible'").select("entity_key"), "entity_key", "left_semi")
     none = eligibility.select("entity_key").limit(0)
     return good, none if decisions is None else decisions.filter("action = 'exclude'").select("entity_key").distinct()
+
+
+# collections of a job
+
+
+def job_items(rows: DataFrame, merged: DataFrame, contract, child_tables: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """entity_key, collection, identity, values (field -> value), n_slots, conflicts, invalid, status of a job's items, and
+    per child table the rows without a parent: table_id, n_orphans, keys.
+
+    rows are contributions of collection fields. A slot is a row of a child table, a numbered or single column, or a
+    part of a delimited one; blank slots make no items. Slots of one identity are one item: equal values collapse,
+    blanks are filled, and a field with several values is a conflict."""
+    spark = rows.sparkSession
+    r = rows.select("entity_key", "table_id", "row_number", "slot", F.col("table_id").isin(list(child_tables)).alias("child"), F.split("path", r"\[\]\.").alias("p"), "fv").filter("fv.status <> 'missing'")
+    r = r.select("entity_key", "table_id", "row_number", F.coalesce("slot", F.lit(0)).alias("slot"), "child", F.col("p")[0].alias("collection"), F.col("p")[1].alias("field"), "fv.value", "fv.status")
+    known = merged.select("entity_key").distinct()
+    lost = r.filter("child").join(known, "entity_key", "left_anti").select("entity_key", "table_id", "row_number").distinct()
+    _, orphans = attach_children(lost, known)
+    r = r.join(known, "entity_key", "left_semi")
+    by_slot = ["entity_key", "table_id", "row_number", "slot", "collection"]
+    slots = r.groupBy(*by_slot).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("field", F.struct("value", "status").alias("v"))))).alias("f"))  # a slot has the contract's fields at most
+    parts = spark.createDataFrame([(c.key, list(c.identity)) for c in contract.collections], "collection string, parts array<string>")
+    slots = slots.join(F.broadcast(parts), "collection")  # a row for each collection of the contract
+    part = F.transform("parts", lambda p: F.coalesce(F.lower(text.strip(F.try_element_at("f", p)["value"])), F.lit("")))
+    whole = F.concat(F.lit("~"), F.substring(F.sha1(F.to_json("f")), 1, 10))
+    slots = slots.withColumn("identity", F.when(F.exists(part, lambda x: x != ""), F.array_join(part, "|")).otherwise(whole))
+    by = ["entity_key", "collection", "identity"]
+    fields = slots.select(*by, F.explode("f").alias("field", "v")).groupBy(*by, "field").agg(
+        F.count_distinct(F.when(F.col("v.status") == "resolved", F.col("v.value"))).alias("k"), F.min(F.when(F.col("v.status") == "resolved", F.col("v.value"))).alias("value"), F.max((F.col("v.status") != "resolved").cast("int")).alias("bad")
+    )
+    n = slots.groupBy(*by).agg(F.count("*").alias("n_slots"))
+    entry = F.when(F.col("k") == 1, F.struct("field", "value"))
+    items = fields.groupBy(*by).agg(
+        F.map_from_entries(F.array_sort(F.array_compact(F.collect_list(entry)))).alias("values"), F.array_sort(F.array_compact(F.collect_list(F.when(F.col("k") > 1, F.col("field"))))).alias("conflicts"),
+        F.array_sort(F.array_compact(F.collect_list(F.when((F.col("k") == 0) & (F.col("bad") == 1), F.col("field"))))).alias("invalid"),
+    )
+    status = F.when(F.size("conflicts") > 0, "conflict").when(F.size("invalid") > 0, "invalid").otherwise("resolved")
+    return items.join(n, by).withColumn("status", status), orphans
+
+
+def item_issues(items: DataFrame, contract) -> DataFrame:
+    """entity_key, path (the collection), issue: collection_conflict, and collection_item_invalid for items with a value that
+    is not valid or without a required one."""
+    need = {c.key: [f.key for f in c.fields if f.required] for c in contract.collections}
+    lacks = F.lit(False)
+    for key, fields in need.items():
+        for f in fields:
+            lacks |= (F.col("collection") == key) & text.is_blank(F.try_element_at("values", F.lit(f))) & ~F.array_contains("conflicts", f)
+    issue = F.when(F.size("conflicts") > 0, "collection_conflict").when((F.size("invalid") > 0) | lacks, "collection_item_invalid")
+    return items.select("entity_key", F.col("collection").alias("path"), issue.alias("issue")).filter("issue is not null").distinct()
+
+
+def orphan_issues(orphans: DataFrame) -> DataFrame:
+    """entity_key (null), path (the table), issue: one orphan_child_row for each child table."""
+    return orphans.select(F.lit(None).cast("string").alias("entity_key"), F.col("table_id").alias("path"), F.lit("orphan_child_row").alias("issue"))
+
+
+def without_dropped(items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """items without those that people dropped: action drop_item, path the collection, value the identity."""
+    gone = decisions.filter("action = 'drop_item'").select("entity_key", F.col("path").alias("collection"), F.col("value").alias("identity")).distinct()
+    return items.join(gone, ["entity_key", "collection", "identity"], "left_anti")
+
+
+def column_choices(decisions: DataFrame) -> tuple[dict, dict, dict]:
+    """Date orders, century pivots and value maps by table and column, from people's decisions on columns (table_id,
+    col_index, action, value, label, seq): confirm_convention, confirm_century_pivot, map_values. The last one holds."""
+    last = decisions.filter("action in ('confirm_convention', 'confirm_century_pivot', 'map_values')")
+    of = F.when(F.col("action") == "map_values", F.col("value"))
+    rows = last.groupBy("table_id", "col_index", "action", of.alias("raw")).agg(F.max_by(F.struct("value", "label"), "seq").alias("d")).collect()  # what people decided, by hand
+    at = lambda r: (r["table_id"], r["col_index"])
+    orders = {at(r): r["d"]["value"] for r in rows if r["action"] == "confirm_convention"}
+    pivots = {at(r): int(r["d"]["value"]) for r in rows if r["action"] == "confirm_century_pivot"}
+    maps: dict = {}
+    for r in rows:
+        if r["action"] == "map_values":
+            maps.setdefault(at(r), {})[r["raw"]] = r["d"]["label"]
+    return orders, pivots, maps
+
+
+def ordered(records: DataFrame, key: str = "entity_key") -> DataFrame:
+    """records by key, those without one last."""
+    return records.orderBy(F.col(key).asc_nulls_last())

@@ -13,7 +13,12 @@ from recordloom.functions import text, values
 DOMAIN, FEW, SHARE, CUT = 50, 12, 0.5, 120
 SAMPLES = 5
 #: Parts of headers that mark sensitive columns.
-SENSITIVE = ("name", "address", "salary", "bank", "account", "passport", "ssn", "tax", "national", "birth", "phone", "mobile", "email")
+SENSITIVE = (
+    "ssn", "social security", "aadhaar", "aadhar", "passport", "national id", "nationalid", "tax id", "taxid", "pan number", "pan_no", "bank", "account number", "account_no", "iban",
+    "routing", "salary", "compensation", "ctc", "payslip", "credit card", "card number",
+)
+#: Fixed value: from this share of matching values on a column counts as personal data of that kind.
+PERSONAL = 0.3
 PATTERNS = {
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
     "url": r"^(?i)https?://\S+$",
@@ -88,41 +93,37 @@ def representative(long: DataFrame) -> DataFrame:
     smallest others, five in all. Ties go to the smaller value; the least common with ties to the larger count order."""
     counts = long.filter(~text.is_blank(F.col("value"))).groupBy("table_id", "col_index", "value").agg(F.count("*").alias("n"))
     v, size = F.col("value"), F.length("value")
-    from pyspark.sql.window import Window
-
-    by = Window.partitionBy("table_id", "col_index")
-    placed = counts.withColumns(
-        {
-            "r1": F.row_number().over(by.orderBy(F.col("n").desc(), v)),
-            "r2": F.row_number().over(by.orderBy("n", v)),
-            "r3": F.row_number().over(by.orderBy(size, v)),
-            "r4": F.row_number().over(by.orderBy(size.desc(), v)),
-            "r5": F.row_number().over(by.orderBy(v)),
-        }
+    at = ["table_id", "col_index"]
+    picks = counts.groupBy(*at).agg(
+        F.min(F.struct(-F.col("n"), v)).alias("a"), F.min(F.struct("n", v)).alias("b"), F.min(F.struct(size, v)).alias("c"), F.min(F.struct(-size, v)).alias("d"), F.min("value").alias("r1"), *(F.lit(None).cast("string").alias(f"r{k}") for k in range(2, SAMPLES + 1))
     )
-    some = placed.filter("r1 = 1 or r2 = 1 or r3 = 1 or r4 = 1 or r5 <= 5")
-    pick = lambda r: F.min(F.when(F.col(r) == 1, v))
-    out = some.groupBy("table_id", "col_index").agg(pick("r1").alias("most_common"), pick("r2").alias("least_common"), pick("r3").alias("shortest"), pick("r4").alias("longest"), F.array_sort(F.collect_list(F.when(F.col("r5") <= 5, v))).alias("rest"))
+    # the next smaller values, one aggregate after the other: no column's values meet in one task
+    for k in range(2, SAMPLES + 1):
+        later = counts.join(F.broadcast(picks.select(*at, F.col(f"r{k - 1}").alias("last"))), at).filter(v > F.col("last")).groupBy(*at).agg(F.min("value").alias("next"))  # a row per column
+        picks = picks.drop(f"r{k}").join(later.withColumnRenamed("next", f"r{k}"), at, "left")
+    named = picks.select(*at, F.col("a.value").alias("most_common"), F.col("b.value").alias("least_common"), F.col("c.value").alias("shortest"), F.col("d.value").alias("longest"), F.array_compact(F.array(*(f"r{k}" for k in range(1, SAMPLES + 1)))).alias("rest"))
     samples = F.slice(F.array_distinct(F.concat(F.array("most_common", "least_common", "shortest", "longest"), "rest")), 1, SAMPLES)
-    return out.select("table_id", "col_index", "most_common", "least_common", "shortest", "longest", F.transform(samples, lambda x: text.truncate(x, CUT)).alias("samples"))
+    return named.select(*at, "most_common", "least_common", "shortest", "longest", F.transform(samples, lambda x: text.truncate(x, CUT)).alias("samples"))
 
 
 def redaction_class(header: Column) -> Column:
-    """How a column's values may be shown, from a profile row: email, url, date, phone, sensitive, enum, identifier, text."""
+    """How a column's values may be shown, from a profile row: email, url, date, phone, text (headers that are sensitive, too),
+    enum, identifier. Whole numbers of phone length are identifiers, not phones (declared difference)."""
     sensitive = F.lit(False)
     for part in SENSITIVE:
         sensitive |= F.lower(header).contains(part)
     labels = F.col("boolean_domain") | (F.col("low_cardinality") & (F.col("distinct_count") < F.col("non_empty")))
+    share = lambda name: F.col(f"{name}_ratio") >= PERSONAL
     return (
-        F.when(F.col("email_ratio") >= 0.5, "email").when(F.col("url_ratio") >= 0.5, "url").when(F.col("date_ratio") >= 0.5, "date")
-        .when((F.col("phone_ratio") >= 0.5) & (F.col("number_ratio") < 0.5), "phone").when(sensitive, "sensitive").when(labels, "enum").when(F.col("likely_identifier"), "identifier").otherwise("text")
+        F.when(share("email"), "email").when(share("url"), "url").when(share("date"), "date").when(share("phone") & ~F.coalesce(F.col("leading_zero_count") + F.col("integer_count") == F.col("non_empty"), F.lit(False)), "phone")
+        .when(sensitive, "text").when(labels, "enum").when(F.col("likely_identifier"), "identifier").otherwise("text")
     )
 
 
 def redacted(value: Column, kind: Column) -> Column:
     """A value as it may leave the engine: a placeholder, a mask or, for labels, itself."""
     masked = text.mask(value)
-    return F.when(kind == "enum", value).when(kind.isin("email", "url", "sensitive"), F.concat(F.lit("<"), kind, F.lit(">"))).otherwise(masked)
+    return F.when(kind == "enum", value).when(kind.isin("email", "url"), F.concat(F.lit("<"), kind, F.lit(">"))).otherwise(masked)
 
 
 def categorical_members(profiles: DataFrame) -> DataFrame:

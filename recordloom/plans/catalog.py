@@ -6,40 +6,15 @@ an operator needs messy input, the same expression on keys derives it on both si
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import dates, text, values
 from recordloom.operators import delivery, diff, infer, metrics, prepare, profile, versions
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from recordloom.plans import records  # noqa: F401  registers its queries
+from recordloom.plans.registry import oracle_sql, queries  # noqa: F401
+from recordloom.plans.registry import query as _query
+from recordloom.plans.registry import table as _t
 
 # profiles
 
@@ -84,10 +59,13 @@ def value_domain_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""
 WITH c AS (SELECT p_type AS v, count(*) AS n FROM part GROUP BY 1)
 SELECT (SELECT v FROM c ORDER BY n DESC, v LIMIT 1) AS most_common, (SELECT v FROM c ORDER BY n, v LIMIT 1) AS least_common,
-       (SELECT v FROM c ORDER BY length(v), v LIMIT 1) AS shortest, (SELECT v FROM c ORDER BY length(v) DESC, v LIMIT 1) AS longest
+       (SELECT v FROM c ORDER BY length(v), v LIMIT 1) AS shortest, (SELECT v FROM c ORDER BY length(v) DESC, v LIMIT 1) AS longest,
+       (SELECT string_agg(v, '|' ORDER BY p) FROM (SELECT v, min(p) AS p FROM (
+          (SELECT v, 1 AS p FROM c ORDER BY n DESC, v LIMIT 1) UNION ALL (SELECT v, 2 FROM c ORDER BY n, v LIMIT 1) UNION ALL (SELECT v, 3 FROM c ORDER BY length(v), v LIMIT 1)
+          UNION ALL (SELECT v, 4 FROM c ORDER BY length(v) DESC, v LIMIT 1) UNION ALL (SELECT v, 4 + row_number() OVER (ORDER BY v) FROM c ORDER BY v LIMIT 5)) GROUP BY v ORDER BY min(p) LIMIT 5)) AS samples
 """)
 def representative_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.representative(profile.long_form(_t(spark, sf_dir, "part"), ["p_type"])).select("most_common", "least_common", "shortest", "longest")
+    return profile.representative(profile.long_form(_t(spark, sf_dir, "part"), ["p_type"])).select("most_common", "least_common", "shortest", "longest", F.array_join("samples", "|").alias("samples"))
 
 
 _BUCKET = "CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN event_id::VARCHAR WHEN 3 THEN '3/4/2024' WHEN 4 THEN 'Yes' ELSE event_type END"
@@ -112,9 +90,18 @@ def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", text.mask(F.col("url")).alias("masked"))
 
 
-@_query("SELECT * FROM (VALUES ('c_custkey', 'identifier'), ('c_name', 'sensitive'), ('c_nationkey', 'enum'), ('c_mktsegment', 'enum')) v(header, redaction)")
+def _redaction_sql() -> str:
+    columns = {"c_custkey": "c_custkey::VARCHAR", "c_name": "c_name", "c_nationkey": "c_nationkey::VARCHAR", "c_mktsegment": "c_mktsegment", "email": "CASE WHEN c_custkey % 5 < 2 THEN 'u@x.org' ELSE 'none ' || c_custkey::VARCHAR END", "salary band": "'B' || (c_custkey % 3)::VARCHAR"}
+    one = "SELECT '{h}' AS header, count(*) AS n, count(DISTINCT v) AS d, count(*) FILTER (v LIKE '%_@_%._%') AS m FROM (SELECT {e} AS v FROM customer)"
+    return f"""SELECT header, CASE WHEN m / n >= 0.3 THEN 'email' WHEN header = 'salary band' THEN 'text' WHEN d <= 50 AND (d <= 12 OR d / n <= 0.5) AND d < n THEN 'enum' WHEN d = n THEN 'identifier' ELSE 'text' END AS redaction
+      FROM ({" UNION ALL ".join(one.format(h=h, e=e) for h, e in columns.items())})"""
+
+
+@_query(_redaction_sql())
 def redaction_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profile.profile(profile.long_form(_t(spark, sf_dir, "customer"), list(_CUSTOMER)))
+    k = F.col("c_custkey")
+    rows = _t(spark, sf_dir, "customer").withColumns({"email": F.when(F.pmod(k, F.lit(5)) < 2, "u@x.org").otherwise(F.concat(F.lit("none "), k.cast("string"))), "salary band": F.concat(F.lit("B"), F.pmod(k, F.lit(3)).cast("string"))})
+    p = profile.profile(profile.long_form(rows, [*_CUSTOMER, "email", "salary band"]))
     return p.select("header", profile.redaction_class(F.col("header")).alias("redaction"))
 
 
@@ -149,11 +136,11 @@ def date_order_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'valid' WHEN year(o_orderdate) % 100 >= 50 THEN 'ambiguous_century' ELSE 'valid' END AS status,
   CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN year(o_orderdate) % 100 >= 50 THEN NULL ELSE '20' || strftime(o_orderdate, '%y-%m-%d') END AS iso
-FROM orders WHERE o_orderkey % 3 = 0 OR strftime(o_orderdate, '%m-%d') <> '02-29'
+FROM orders
 """)
 def date_apply_century(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-digit years are read as they are; of two-digit ones, 1950 and later leaves one century or two."""
-    rows = _t(spark, sf_dir, "orders").filter((F.pmod("o_orderkey", F.lit(3)) == 0) | (F.date_format("o_orderdate", "MM-dd") != "02-29"))
+    rows = _t(spark, sf_dir, "orders")
     v = F.when(F.pmod("o_orderkey", F.lit(3)) == 0, F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.date_format("o_orderdate", "M/d/yy"))
     d = dates.apply_order(v, "MDY", {"min_year": 1950, "allow_future": True}, "2025-01-01")
     return rows.select("o_orderkey", d.alias("d")).select("o_orderkey", "d.status", "d.iso")
@@ -177,25 +164,33 @@ def fd_part_brand_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.dependency(_t(spark, sf_dir, "part"), "p_brand", "p_type")
 
 
-@_query("SELECT count(*) AS rows, 'one_to_one' AS kind, 0::BIGINT AS null_mismatch FROM nation")
+@_query("""
+WITH c AS (SELECT CASE WHEN n_nationkey % 6 <> 0 THEN n_nationkey END AS a, CASE WHEN n_nationkey % 4 <> 0 THEN n_regionkey END AS b FROM nation), n AS (SELECT a, b, count(*) AS n FROM c WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+x AS (SELECT (SELECT sum(h) / sum(r) FROM (SELECT max(n) AS h, sum(n) AS r FROM n GROUP BY a)) AS ab, (SELECT sum(h) / sum(r) FROM (SELECT max(n) AS h, sum(n) AS r FROM n GROUP BY b)) AS ba)
+SELECT (SELECT sum(n)::BIGINT FROM n) AS rows, CASE WHEN ab >= 0.999 AND ba >= 0.999 THEN 'one_to_one' WHEN ab >= 0.999 OR ba >= 0.999 THEN 'code_display' WHEN ab >= 0.9 OR ba >= 0.9 THEN 'inconsistent' ELSE 'unrelated' END AS kind,
+       (SELECT count(*) FROM c WHERE (a IS NULL) <> (b IS NULL)) AS null_mismatch FROM x
+""")
 def pair_kind_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.pair_kind(_t(spark, sf_dir, "nation"), "n_nationkey", "n_name").select("rows", "kind", "null_mismatch")
+    n = _t(spark, sf_dir, "nation")
+    pairs = n.select(F.when(F.pmod("n_nationkey", F.lit(6)) != 0, F.col("n_nationkey")).alias("a"), F.when(F.pmod("n_nationkey", F.lit(4)) != 0, F.col("n_regionkey")).alias("b"))
+    return infer.pair_kind(pairs, "a", "b").select("rows", "kind", "null_mismatch")
 
 
 def _reference_sql(left: str, column: str, domain: str, key: str) -> str:
-    return f"""SELECT count(*) AS non_null, count(k) AS matched, count(k)::DOUBLE / count(*)::DOUBLE AS coverage, count(k)::DOUBLE / count(*)::DOUBLE >= 0.9 AS is_valid
+    return f"""SELECT count(*) AS non_null, count(k) AS matched, count(k)::DOUBLE / count(*)::DOUBLE AS coverage, count(k)::DOUBLE / count(*)::DOUBLE >= 0.9 AS is_valid,
+  coalesce(array_to_string(list_sort(list(DISTINCT {column}::VARCHAR) FILTER (k IS NULL))[1:8], ','), '') AS unmatched
 FROM {left} LEFT JOIN (SELECT DISTINCT {key} AS k FROM {domain}) ON {column} = k WHERE {column} IS NOT NULL"""
 
 
 @_query(_reference_sql("lineitem", "l_orderkey", "orders WHERE o_orderkey % 10 <> 0", "o_orderkey"))
 def reference_lineitem_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = _t(spark, sf_dir, "orders").filter("o_orderkey % 10 <> 0")
-    return infer.reference_coverage(_t(spark, sf_dir, "lineitem"), "l_orderkey", domain, "o_orderkey").drop("unmatched")
+    return infer.reference_coverage(_t(spark, sf_dir, "lineitem"), "l_orderkey", domain, "o_orderkey").withColumn("unmatched", F.array_join("unmatched", ","))
 
 
 @_query(_reference_sql("orders", "o_custkey", "customer", "c_custkey"))
 def reference_orders_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.reference_coverage(_t(spark, sf_dir, "orders"), "o_custkey", _t(spark, sf_dir, "customer"), "c_custkey").drop("unmatched")
+    return infer.reference_coverage(_t(spark, sf_dir, "orders"), "o_custkey", _t(spark, sf_dir, "customer"), "c_custkey").withColumn("unmatched", F.array_join("unmatched", ","))
 
 
 @_query("""
@@ -225,7 +220,7 @@ def enum_map_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""
 WITH d AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE replace(p_type, ' ', '_') END AS value, count(*) AS n FROM part GROUP BY 1),
 f AS (SELECT regexp_replace(lower(trim(value)), '[\\s_\\-]+', ' ', 'g') AS fold_key, arg_min(value, {'a': -n, 'b': value}) AS value, sum(n)::BIGINT AS weight FROM d GROUP BY 1)
-SELECT fold_key, value, weight, row_number() OVER (ORDER BY fold_key) AS place, row_number() OVER (ORDER BY fold_key) <= 60 AS in_budget,
+SELECT fold_key, value, weight, CASE WHEN row_number() OVER (ORDER BY fold_key) <= 60 THEN row_number() OVER (ORDER BY fold_key) END AS place, row_number() OVER (ORDER BY fold_key) <= 60 AS in_budget,
        CASE WHEN row_number() OVER (ORDER BY fold_key) <= 60 THEN (row_number() OVER (ORDER BY fold_key) - 1) // 25 END AS batch FROM f
 """)
 def distinct_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,11 +288,11 @@ def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 WITH {_SIDES}, u AS (SELECT k, 'name' AS path, name AS v FROM a UNION ALL SELECT k, 'seg', seg FROM a UNION ALL SELECT k, 'name', name FROM b UNION ALL SELECT k, 'seg', seg FROM b),
-g AS (SELECT k, path, count(DISTINCT v) FILTER (trim(v) <> '') AS d, count(*) FILTER (trim(v) <> '') AS n, min(v) FILTER (trim(v) <> '') AS one FROM u GROUP BY ALL)
-SELECT k::VARCHAR AS entity_key, path, CASE WHEN d = 1 THEN one END AS value, CASE WHEN d > 1 THEN 'conflict' WHEN d = 1 THEN 'resolved' ELSE 'missing' END AS status, n AS n_sources FROM g
+g AS (SELECT k, path, count(DISTINCT v) FILTER (trim(v) <> '') AS d, count(*) FILTER (trim(v) <> '') AS n, min(v) FILTER (trim(v) <> '') AS one, string_agg(DISTINCT v, '|' ORDER BY v) FILTER (trim(v) <> '') AS options FROM u GROUP BY ALL)
+SELECT k::VARCHAR AS entity_key, path, CASE WHEN d > 1 THEN options ELSE '' END AS options, CASE WHEN d = 1 THEN one END AS value, CASE WHEN d > 1 THEN 'conflict' WHEN d = 1 THEN 'resolved' ELSE 'missing' END AS status, n AS n_sources FROM g
 """)
 def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.merge_fields(_contributions(spark, sf_dir)).drop("options")
+    return prepare.merge_fields(_contributions(spark, sf_dir)).withColumn("options", F.array_join("options", "|"))
 
 
 @_query(f"""
@@ -320,18 +315,18 @@ def eligibility_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.metrics(prepare.eligible(merged, prepare.issues(merged, ["name", "seg"])))
 
 
-@_query("SELECT 'm' || (c_custkey % 400)::VARCHAR || '@x.org' AS key, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
+@_query("SELECT 'm' || (c_custkey % 400)::VARCHAR || '@x.org' AS key, count(*) AS n, array_to_string(list_sort(list(c_custkey::VARCHAR))[1:200], ',') AS entities FROM customer GROUP BY 1 HAVING count(*) > 1")
 def shared_value_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = F.concat(F.when(F.pmod("c_custkey", F.lit(2)) == 0, "M").otherwise("m"), F.pmod("c_custkey", F.lit(400)).cast("string"), F.lit("@x.org"))
     rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("entity_key"), F.lit("work_email").alias("path"), mail.alias("value"), F.lit("resolved").alias("status"))
-    return prepare.shared_values(rows).select("key", "n")
+    return prepare.shared_values(rows).select("key", "n", F.array_join("entities", ",").alias("entities"))
 
 
-@_query("SELECT l_returnflag AS table_id, count(*) AS n_orphans FROM lineitem ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 <> 0) ON l_orderkey = o_orderkey GROUP BY 1")
+@_query("SELECT l_returnflag AS table_id, count(*) AS n_orphans, array_to_string(list_sort(list(DISTINCT l_orderkey))[1:50], ',') AS keys FROM lineitem ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 <> 0) ON l_orderkey = o_orderkey GROUP BY 1")
 def orphan_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     children = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity_key"), F.col("l_returnflag").alias("table_id"))
     parents = _t(spark, sf_dir, "orders").filter("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("entity_key"))
-    return prepare.attach_children(children, parents)[1].select("table_id", "n_orphans")
+    return prepare.attach_children(children, parents)[1].select("table_id", "n_orphans", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
 
 
 _ITEMS = """i AS (SELECT l_orderkey AS k, l_linenumber::VARCHAR AS id, l_returnflag AS flag, l_linestatus AS st FROM lineitem UNION ALL
@@ -341,7 +336,8 @@ _ITEMS = """i AS (SELECT l_orderkey AS k, l_linenumber::VARCHAR AS id, l_returnf
 @_query(f"""
 WITH {_ITEMS}
 SELECT k::VARCHAR AS entity_key, id AS identity, CASE WHEN count(DISTINCT nullif(flag, '')) > 1 THEN NULL ELSE min(nullif(flag, '')) END AS flag, CASE WHEN count(DISTINCT nullif(st, '')) > 1 THEN NULL ELSE min(nullif(st, '')) END AS st,
-  count(*) AS n_rows, count(DISTINCT coalesce(flag, '') || '|' || coalesce(st, '')) AS n_variants, CASE WHEN count(DISTINCT nullif(flag, '')) > 1 OR count(DISTINCT nullif(st, '')) > 1 THEN 'conflict' ELSE 'resolved' END AS status
+  count(*) AS n_rows, count(DISTINCT coalesce(flag, '') || '|' || coalesce(st, '')) AS n_variants, CASE WHEN count(DISTINCT nullif(flag, '')) > 1 OR count(DISTINCT nullif(st, '')) > 1 THEN 'conflict' ELSE 'resolved' END AS status,
+  concat_ws(',', CASE WHEN count(DISTINCT nullif(flag, '')) > 1 THEN 'flag' END, CASE WHEN count(DISTINCT nullif(st, '')) > 1 THEN 'st' END) AS conflicts
 FROM i WHERE coalesce(flag, '') <> '' OR coalesce(st, '') <> '' GROUP BY k, id
 """)
 def collection_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +345,7 @@ def collection_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     six = F.pmod("k", F.lit(6))
     again = li.filter((F.pmod("k", F.lit(2)) == 0) | (six == 1)).withColumns({"flag": F.when(six == 0, "Z").when(six != 1, F.col("flag")), "st": F.when(F.pmod("k", F.lit(5)) == 0, "").otherwise(F.col("st"))})
     rows = li.unionByName(again).select(F.col("k").cast("string").alias("entity_key"), F.lit("lines").alias("collection"), "line", "flag", "st")
-    return prepare.merge_items(prepare.with_identity(rows, ["line"], ["line", "flag", "st"]), ["flag", "st"]).drop("collection", "conflicts")
+    return prepare.merge_items(prepare.with_identity(rows, ["line"], ["line", "flag", "st"]), ["flag", "st"]).drop("collection").withColumn("conflicts", F.array_join("conflicts", ","))
 
 
 # differences
@@ -428,13 +424,14 @@ w AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_orderkey %
 
 @_query(f"""
 WITH {_HALVES}
-SELECT coalesce(w.k, o.k) AS k, coalesce(w.n, o.n) AS n, CASE WHEN o.k IS NULL THEN 'added' WHEN w.k IS NULL THEN 'removed' WHEN o.flag <> w.flag OR o.st <> w.st THEN 'changed' ELSE 'unchanged' END AS change FROM w FULL JOIN o ON w.k = o.k AND w.n = o.n
+SELECT coalesce(w.k, o.k) AS k, coalesce(w.n, o.n) AS n, CASE WHEN o.k IS NULL THEN 'added' WHEN w.k IS NULL THEN 'removed' WHEN o.flag <> w.flag OR o.st <> w.st THEN 'changed' ELSE 'unchanged' END AS change,
+  CASE WHEN o.k IS NOT NULL AND w.k IS NOT NULL THEN concat_ws(',', CASE WHEN o.flag <> w.flag THEN 'flag' END, CASE WHEN o.st <> w.st THEN 'st' END) ELSE '' END AS changed_fields FROM w FULL JOIN o ON w.k = o.k AND w.n = o.n
 """)
 def item_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("st")).distinct()
     old = li.filter("(k + n) % 5 <> 0")
     new = li.filter("(k + n) % 7 <> 0").withColumn("flag", F.when(F.pmod("k", F.lit(4)) == 0, "X").otherwise(F.col("flag"))).distinct()
-    return diff.item_diff(old, new, ["k", "n"], ["flag", "st"]).drop("changed_fields")
+    return diff.item_diff(old, new, ["k", "n"], ["flag", "st"]).withColumn("changed_fields", F.array_join("changed_fields", ","))
 
 
 @_query(f"""
@@ -458,12 +455,12 @@ def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.history(states, "o_custkey", "o_orderkey", "record_hash").withColumn("version", F.col("version").cast("long"))
 
 
-_STATUS = "CASE event_id % 11 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'ROLLED_BACK' ELSE 'SUCCEEDED' END"
+_STATUSES = ("SUCCEEDED", "SKIPPED_NO_CHANGE", "FAILED", "RETRYABLE", "PROCESSING", "STALE_TARGET", "ROLLBACK_PLANNED", "ROLLED_BACK", "ROLLBACK_FAILED", "SKIPPED_EXCLUDED", "PLANNED")
+_STATUS = "CASE event_id % 11 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_STATUSES)) + " END"
 
 
 def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.pmod("event_id", F.lit(11))
-    status = F.when(k == 0, "FAILED").when(k == 1, "PENDING").when(k == 2, "ROLLED_BACK").otherwise("SUCCEEDED")
+    status = F.get(F.array(*map(F.lit, _STATUSES)), F.pmod("event_id", F.lit(11)).cast("int"))
     return _t(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("updated_at"), F.col("event_id").alias("created_at"), status.alias("status"))
 
 
@@ -473,11 +470,13 @@ def latest_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH s AS (SELECT user_id, count(*) AS n, list(DISTINCT {_STATUS}) AS x FROM events GROUP BY 1)
-SELECT user_id, n, CASE WHEN list_contains(x, 'PENDING') THEN 'RUNNING' WHEN list_contains(x, 'FAILED') AND list_contains(x, 'SUCCEEDED') THEN 'PARTIAL' WHEN list_contains(x, 'FAILED') THEN 'FAILED' WHEN x = ['ROLLED_BACK'] THEN 'ROLLED_BACK' ELSE 'COMPLETED' END AS status FROM s
+WITH e AS (SELECT event_id // 3 AS job, {_STATUS} AS x FROM events), s AS (SELECT job, count(*) AS n, bool_and(x IN ('SUCCEEDED', 'SKIPPED_NO_CHANGE', 'SKIPPED_EXCLUDED')) AS fine, bool_or(x = 'STALE_TARGET') AS stale, bool_or(x IN ('ROLLBACK_PLANNED', 'ROLLED_BACK', 'ROLLBACK_FAILED')) AS back,
+  bool_or(x = 'ROLLBACK_FAILED') AS lost, bool_or(x = 'ROLLBACK_PLANNED') AS planned, bool_and(x IN ('ROLLBACK_PLANNED', 'ROLLED_BACK', 'SKIPPED_NO_CHANGE', 'SKIPPED_EXCLUDED')) AS all_back, bool_or(x IN ('RETRYABLE', 'PROCESSING', 'PLANNED')) AS going, bool_or(x = 'FAILED') AS failed, bool_or(x = 'SUCCEEDED') AS won FROM e GROUP BY job)
+SELECT job, n, CASE WHEN fine THEN 'migration_complete' WHEN stale THEN 'stale_target_review_required' WHEN back AND lost THEN 'rollback_partial_failure' WHEN back AND all_back AND NOT planned THEN 'rollback_complete' WHEN back THEN 'rollback_in_progress'
+  WHEN going THEN 'delivering' WHEN failed AND won THEN 'delivery_partial_failure' WHEN failed THEN 'error' ELSE 'delivering' END AS status FROM s
 """)
 def job_status_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.job_status(_operations(spark, sf_dir), "user_id")
+    return delivery.job_status(_operations(spark, sf_dir).withColumn("job", F.expr("event_id div 3")), "job")
 
 
 @_query(f"SELECT user_id % 10 AS grp, count(*) AS n, count(*) FILTER ({_STATUS} = 'SUCCEEDED') AS succeeded, count(*) FILTER ({_STATUS} = 'FAILED') AS failed FROM events GROUP BY 1")
@@ -491,10 +490,10 @@ def stage_wait_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.span_seconds(_t(spark, sf_dir, "events"), ["event_type"], "ts", "ts")
 
 
-@_query("SELECT lang AS purpose, count(*) AS calls, count(*) FILTER (doc_id % 10 = 0) AS failures, sum(n_chars)::BIGINT AS tokens_in, sum(n_chars // 4)::BIGINT AS tokens_out FROM documents GROUP BY 1")
+@_query("SELECT lang AS purpose, count(*) AS calls, count(*) FILTER (doc_id % 10 = 0) AS failures, sum(n_chars)::BIGINT AS tokens_in, sum(n_chars // 4)::BIGINT AS tokens_out, sum(n_chars)::BIGINT / 1000000 * 0.10::DOUBLE + sum(n_chars // 4)::BIGINT / 1000000 * 0.50::DOUBLE AS cost FROM documents GROUP BY 1")
 def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _t(spark, sf_dir, "documents").select(F.col("lang").alias("purpose"), F.when(F.pmod("doc_id", F.lit(10)) == 0, "error").otherwise("ok").alias("status"), F.col("n_chars").alias("tokens_in"), F.expr("n_chars div 4").alias("tokens_out"))
-    return metrics.model_metrics(calls).drop("cost")
+    return metrics.model_metrics(calls)
 
 
 @_query()

@@ -55,6 +55,7 @@ class Contract:
     custom: tuple[Field, ...] = ()
     rules: Mapping[str, Mapping] = field(default_factory=dict)
     sibling_groups: tuple[Mapping, ...] = ()
+    date_roles: tuple[str, ...] = ()  # date fields that a header must tell apart
 
     def resolve(self, path: str) -> Field | None:
         """The field at a path, or None."""
@@ -109,7 +110,7 @@ def load(source: str | Path | Mapping = DEFAULT) -> Contract:
     rules = source.get("business_rules", {})
     need = set(rules.get("required_in_final_record", ()))
     fields = tuple(replace(f, required=f.required or f.path in need) for f in fields)
-    return _checked(Contract(str(source["version"]), fields, collections, (), rules.get("temporal_constraints", {}), tuple(rules.get("sibling_role_groups", ()))))
+    return _checked(Contract(str(source["version"]), fields, collections, (), rules.get("temporal_constraints", {}), tuple(rules.get("sibling_role_groups", ())), tuple((rules.get("date_role_group") or {}).get("fields", ()))))
 
 
 def _collection(c: Mapping) -> Collection:

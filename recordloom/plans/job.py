@@ -1,18 +1,27 @@
-"""The engine as one call after the other: files to cells, cells to contributions, records, issues and snapshots."""
+"""The engine as one call after the other: files to cells, cells to contributions, records, items, issues, snapshots.
+
+What is decided for a column (path, type, date order, rules, labels) is a row of a small table that the cells are
+joined with; every type has one normaliser, so a plan does not grow with the columns. Each step is written to the
+shared folder, and the next one starts from there.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import text, values
 from recordloom.operators import infer, mapping, prepare, profile
 from recordloom.plans.contract import Contract
+from recordloom.shipping import Steps, small
 
 #: The operations that a transformation plan may name.
 WHITELIST = ("date_order", "century_pivot", "value_map", "strip", "fold", "number_parse", "boolean_parse", "enum_canonical", "split_declared_multi_value")
+_DECIDED = "table_id string, col_index int, path string, type string, strict boolean, is_key boolean, shape string, slot int, date_order string, pivot int, not_future boolean, min_year int, max_age_years int, min_age_years int, labels array<string>, delimiters array<string>"
+At = tuple[str, int]
 
 
 def checked_plan(plan: Mapping) -> Mapping:
@@ -25,65 +34,122 @@ def checked_plan(plan: Mapping) -> Mapping:
     return plan
 
 
+@dataclass
+class Choices:
+    """What is known of columns beyond their paths: date orders, century pivots and value maps, by table and column."""
+
+    orders: dict[At, str] = field(default_factory=dict)
+    pivots: dict[At, int] = field(default_factory=dict)
+    value_maps: dict[At, dict[str, str]] = field(default_factory=dict)
+
+
 def profiles(cells: DataFrame) -> list[dict]:
     """Profile rows on the driver: one for each source column."""
     return [r.asDict() for r in profile.profile(cells.select("table_id", "col_index", "header", "value")).collect()]
 
 
+def context_of(table_id: str) -> str:
+    """The sheet or file stem that a table id ends in."""
+    name = table_id.rpartition("#")[2]
+    return name.rpartition(".")[0] or name
+
+
 def map_columns(cells: DataFrame, contract: Contract) -> dict[str, list[mapping.Mapped]]:
-    """Rule decisions per table, from its headers."""
-    heads = cells.groupBy("table_id", "col_index").agg(F.first("header").alias("header")).orderBy("table_id", "col_index").collect()  # a row per source column
+    """Rule decisions per table, from its headers. Columns keep their own index, even if some are missing."""
+    heads = cells.groupBy("table_id", "col_index").agg(F.min("header").alias("header")).orderBy("table_id", "col_index").collect()  # a row per source column
     tables: dict[str, list] = {}
     for r in heads:
-        tables.setdefault(r["table_id"], []).append(r["header"])
-    return {t: mapping.map_table(t.rpartition("#")[2].rpartition(".")[0] or t.rpartition("#")[2], h, contract) for t, h in tables.items()}
-
-
-def contributions(cells: DataFrame, decisions: Mapping[str, Sequence[mapping.Mapped]], contract: Contract, reference_date: str, orders: Mapping[tuple[str, int], str] | None = None, value_maps: Mapping[tuple[str, int], Mapping[str, str]] | None = None) -> DataFrame:
-    """entity_key, table_id, row_number, col_index, path, raw, fv of the accepted scalar columns. Only these columns'
-    cells are read; each gets the normaliser of its type."""
-    wanted = [(t, m) for t, ms in decisions.items() for m in ms if m.path and "[]." not in m.path]
-    key = F.lit(False)
-    fv = None
-    path = F.lit(None).cast("string")
-    for t, m in wanted:
-        f = contract.resolve(m.path)
-        at = (F.col("table_id") == t) & (F.col("col_index") == m.col_index)
-        order = (orders or {}).get((t, m.col_index))
-        own = values.normalize(
-            F.col("value"), f.type, labels=f.options, strict_labels=f.path == "department", order=order, rules=dict(contract.rules.get(f.key, {})), reference_date=reference_date,
-            transform_date=order is not None, value_map=dict((value_maps or {}).get((t, m.col_index), {})),
-        )
-        fv = F.when(at, own) if fv is None else fv.when(at, own)
-        path = F.when(at, F.lit(m.path)).otherwise(path)
-        if m.path == "employee_id":
-            key |= at
-    if fv is None:
+        tables.setdefault(r["table_id"], []).append((r["col_index"], r["header"]))
+    return {t: [replace(m, col_index=h[m.col_index][0]) for m in mapping.map_table(context_of(t), [x for _, x in h], contract)] for t, h in tables.items()}
+
+
+def decided(spark: SparkSession, decisions: Mapping[str, Sequence[mapping.Mapped]], contract: Contract, choices: Choices) -> tuple[DataFrame, DataFrame]:
+    """A row for each mapped column, and the labels that its values may stand for: table_id, col_index, how (exact, fold,
+    case), key, label. Of labels for one key a value map comes first, then the contract's, then its aliases."""
+    rows, names = [], []
+    for t, ms in decisions.items():
+        for m in ms:
+            f = contract.resolve(m.path) if m.path else None
+            if f is None:
+                continue
+            at, strict = (t, m.col_index), f.path == "department"
+            rules = contract.rules.get(f.key, {}) if "[]." not in f.path else {}
+            past = bool(rules.get("not_future") or rules.get("allow_future") is False)
+            c = next((c for c in contract.collections if f.path.startswith(f"{c.key}[].")), None)
+            rows.append((*at, f.path, f.type, strict, f.path == "employee_id", m.shape, m.index, choices.orders.get(at), choices.pivots.get(at), past, rules.get("min_year"), rules.get("max_age_years"), rules.get("min_age_years"), list(f.options), list(c.delimiters if c else (";", "|", ","))))
+            given = choices.value_maps.get(at, {})
+            names += [(*at, how, k, v, 0 if how == "exact" else 1, n) for n, (k, v) in enumerate(given.items()) for how in ("exact", "fold")]
+            if f.type == "enum":
+                names += [(*at, "case" if strict else "fold", x, x, 2, n) for n, x in enumerate(f.options)]
+                names += [(*at, "fold", w, x, 3, n) for n, (x, ws) in enumerate(f.value_aliases.items()) for w in ws]
+    columns = spark.createDataFrame(rows, _DECIDED)
+    found = spark.createDataFrame(names, "table_id string, col_index int, how string, raw string, label string, tier int, place int")
+    raw = F.col("raw")
+    key = F.when(F.col("how") == "exact", text.strip(raw)).when(F.col("how") == "case", text.fold_case(raw)).otherwise(text.fold(raw))
+    return columns, found.groupBy("table_id", "col_index", "how", key.alias("key")).agg(F.min_by("label", F.struct("tier", "place")).alias("label"))
+
+
+def contributions(cells: DataFrame, decisions: Mapping[str, Sequence[mapping.Mapped]], contract: Contract, reference_date: str, choices: Choices | None = None) -> DataFrame:
+    """entity_key, table_id, row_number, col_index, path, shape, slot, raw, fv of the accepted columns; a delimited column
+    gives a row for each of its parts. Only these columns' cells are read."""
+    if not any(m.path for ms in decisions.values() for m in ms):
         raise ValueError("no column is mapped")
-    rows = cells.filter(path.isNotNull()).select("table_id", "row_number", "col_index", path.alias("path"), F.col("value").alias("raw"), fv.alias("fv"), F.when(key, text.nonblank(F.col("value"))).alias("k"))
-    keys = rows.filter("k is not null").groupBy(F.col("table_id").alias("_t"), F.col("row_number").alias("_r")).agg(F.min("k").alias("_k"))
-    j = rows.join(keys, (F.col("table_id") == F.col("_t")) & (F.col("row_number") == F.col("_r")), "left")
-    return j.select(prepare.group_key(F.col("_k"), F.col("table_id"), F.col("row_number")).alias("entity_key"), "table_id", "row_number", "col_index", "path", "raw", "fv")
-
-
-def date_orders(cells: DataFrame, decisions: Mapping[str, Sequence[mapping.Mapped]], contract: Contract) -> dict[tuple[str, int], str]:
+    columns, labels = decided(cells.sparkSession, decisions, contract, choices or Choices())
+    # the tables are as large as the contract and the value maps
+    rows = cells.select("table_id", "row_number", "col_index", F.col("value").alias("raw")).join(small(columns), ["table_id", "col_index"])
+    several = F.col("shape") == "multi_value"
+    parts = F.when(several, values.split_multi(F.col("raw"), (";", "|"))).otherwise(F.array("raw"))
+    rows = rows.withColumn("part", F.explode(parts)).withColumn("slot", F.when(several, F.xxhash64("part")).otherwise(F.col("slot").cast("long")))
+    part = F.col("part")
+    choice = F.col("type").isin("enum", "boolean")
+    for how, key in (("exact", text.strip(part)), ("fold", text.fold(part)), ("case", text.fold_case(part))):
+        own = labels.filter(F.col("how") == how).select("table_id", "col_index", F.col("key").alias(f"{how}_key"), F.col("label").alias(how))
+        rows = rows.withColumn(f"{how}_key", F.when(choice, key)).join(small(own), ["table_id", "col_index", f"{how}_key"], "left")
+    # a strict column's labels differ in case only; what a map or an alias says comes before or after them
+    mapped = F.coalesce("exact", F.when(F.col("strict"), F.coalesce("case", "fold")).otherwise(F.col("fold")))
+    rules = {k: F.col(k) for k in ("not_future", "min_year", "max_age_years", "min_age_years")}
+    fv = values.field_value(part, F.col("type"), order=F.col("date_order"), rules=rules, reference_date=reference_date, mapped=mapped, labels=F.col("labels"), pivot=F.col("pivot"))
+    rows = rows.select("table_id", "row_number", "col_index", "path", "shape", "slot", part.alias("raw"), fv.alias("fv"), F.when(F.col("is_key"), text.nonblank(part)).alias("k"))
+    keys = rows.filter("k is not null").groupBy("table_id", "row_number").agg(F.min("k").alias("_k"))
+    j = rows.join(keys, ["table_id", "row_number"], "left")
+    return j.select(prepare.group_key(F.col("_k"), F.col("table_id"), F.col("row_number")).alias("entity_key"), "table_id", "row_number", "col_index", "path", "shape", "slot", "raw", "fv")
+
+
+def date_orders(cells: DataFrame, decisions: Mapping[str, Sequence[mapping.Mapped]], contract: Contract) -> dict[At, str]:
     """The orders that whole columns settle, for mapped date columns."""
-    dated = {(t, m.col_index) for t, ms in decisions.items() for m in ms if m.path and contract.resolve(m.path).type == "date"}
-    found = infer.date_orders(cells.select("table_id", "col_index", "value")).filter("date_order is not null").collect()  # a row per column
-    return {(r["table_id"], r["col_index"]): r["date_order"] for r in found if (r["table_id"], r["col_index"]) in dated}
-
-
-def run(cells: DataFrame, contract: Contract, reference_date: str, decisions: DataFrame | None = None) -> dict[str, DataFrame]:
-    """merged, issues, eligibility and snapshots of a job's cells."""
-    mapped = map_columns(cells, contract)
-    c = contributions(cells, mapped, contract, reference_date, date_orders(cells, mapped, contract))
-    merged = prepare.merge_fields(c)
+    dated = [(t, m.col_index) for t, ms in decisions.items() for m in ms if m.path and contract.resolve(m.path).type == "date"]
+    if not dated:
+        return {}
+    wanted = cells.sparkSession.createDataFrame(dated, "table_id string, col_index int")  # a row per mapped date column
+    found = infer.date_orders(cells.select("table_id", "col_index", "value").join(F.broadcast(wanted), ["table_id", "col_index"])).filter("date_order is not null").collect()
+    return {(r["table_id"], r["col_index"]): r["date_order"] for r in found}
+
+
+def run(cells: DataFrame, contract: Contract, reference_date: str, decisions: DataFrame | None = None, mapped: Mapping[str, Sequence[mapping.Mapped]] | None = None, choices: Choices | None = None, steps: Steps | None = None) -> dict[str, DataFrame]:
+    """contributions, merged, items, issues, eligibility and snapshots of a job's cells. decisions are people's (see
+    `prepare.overlaid`); mapped and choices are what `intelligence.analyse` found, or by default what headers and
+    whole columns of dates tell. The tables live in `steps`, which the caller may drop."""
+    steps = steps or Steps(cells.sparkSession)
+    cells = steps.table(cells, "cells")
+    mapped = mapped or map_columns(cells, contract)
+    choices = choices or Choices(date_orders(cells, mapped, contract))
+    child = [t for t, ms in mapped.items() if mapping.table_role(ms) == "child"]
+    all_ = steps.table(contributions(cells, mapped, contract, reference_date, choices), "contributions")
+    scalar = all_.filter(~F.col("path").contains("[].") & ~F.col("table_id").isin(child))
+    merged = prepare.merge_fields(scalar)
     if decisions is not None:
         merged = prepare.overlaid(merged, decisions)
+    merged = steps.table(merged, "merged")
+    items, orphans = prepare.job_items(all_.filter(F.col("path").contains("[].")), merged, contract, child)
+    if decisions is not None:
+        items = prepare.without_dropped(items, decisions)
+    items = steps.table(items, "items")
     dates_ = [f.path for f in contract.fields if f.type == "date"]
-    found = prepare.issues(merged, contract.required(), dates_)
-    shared = prepare.shared_values(merged).select(F.explode("entities").alias("entity_key"), F.lit("work_email").alias("path"), F.lit("shared_email").alias("issue"))
-    found = found.unionByName(shared)
-    e = prepare.eligible(merged, found)
+    found = prepare.issues(merged, contract.required(), dates_).unionByName(prepare.shared_email_issues(merged)).unionByName(prepare.item_issues(items, contract))
+    found = steps.table(found, "issues")
+    e = steps.table(prepare.eligible(merged, found), "eligibility")
     good = merged.join(e.filter("eligibility = 'eligible'").select("entity_key"), "entity_key", "left_semi")
-    return {"contributions": c, "merged": merged, "issues": found, "eligibility": e, "snapshots": prepare.snapshots(good, [f.path for f in contract.fields])}
+    return {
+        "contributions": all_, "merged": merged, "items": items, "orphans": steps.table(orphans, "orphans"), "issues": found, "eligibility": e,
+        "column_issues": prepare.column_issues(scalar), "snapshots": steps.table(prepare.snapshots(good, [f.path for f in contract.fields]), "snapshots"),
+    }

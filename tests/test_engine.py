@@ -132,7 +132,7 @@ def test_delivery_and_rollback(spark):
     assert {r["error"] for r in delivery.admitted(changes, after, "k", "email").collect()} == {"stale_revision", "exists"}
     back = delivery.applied(after, delivery.rollback(changes, target, after, "k", ["name", "email"]), "k", ["name", "email"])
     assert {(r["k"], r["name"], r["email"]) for r in back.collect()} == {("1", "A", "a@x.de"), ("2", None, "b@x.de")}
-    assert delivery.backoff(10) == 60 and delivery.backoff(2, jitter=0.5) == 1 and delivery.backoff(1, retry_after=99) == 60
+    assert delivery.backoff(10) == 30 and delivery.backoff(2, jitter=0.5) == 0.5 and delivery.backoff(1, retry_after=99) == 30 and delivery.backoff(7, retry_after=1) == 30
 
 
 def test_versions(spark):
@@ -174,7 +174,7 @@ def test_rules_and_policy():
 
 def test_contracts():
     c = contracts.load()
-    assert c.required() == ["employee_id", "full_name", "hire_date", "work_email"] and c.resolve("vehicles[].type").type == "string"
+    assert c.required() == ["employee_id", "full_name", "hire_date", "work_email"] and c.resolve("vehicles[].type").type == "enum"
     assert c.effective([{"key": "badge_colour", "type": "enum", "options": ["Red"]}]).resolve("custom_attributes.badge_colour").options == ("Red",)
     for bad in ({"key": "grade"}, {"key": "X"}, {"key": "ok_1", "type": "email"}, {"key": "ok_1", "type": "enum"}):
         with pytest.raises(ValueError, match="."):
@@ -259,6 +259,52 @@ def test_a_job_from_files_to_snapshots(spark, tmp_path):
         job.checked_plan({"operation": "date_order", "source": "model"})
 
 
+WIDE = 64
+
+
+def test_a_wide_job_with_collections_and_source_intelligence(spark, tmp_path):
+    import time
+
+    from recordloom.operators import intelligence
+    from recordloom.shipping import Steps
+
+    rng = random.Random(1)
+    names = ["Employee ID", "Full Name", "Work Email", "Department", "Hire Date", "Sex", "GenderID", "Date of Birth", "Reports To ID"]
+    names += [f"Col {i}" for i in range(WIDE - len(names))]
+    rows = [names]
+    for k in range(20):
+        sex = "FM"[k % 2]
+        rows.append([f"0{k}", f"Person {k}", f"p{k}@x.com", ("sales", "Engineering", "Global Finance Team")[k % 3], f"{13 + k % 9}/0{1 + k % 9}/2020", sex, "12"["FM".index(sex)], f"1{k % 9}/05/1980", f"0{k % 5}", *(str(rng.random()) for _ in range(WIDE - 9))])
+    (tmp_path / "staff.csv").write_text("\n".join(map(",".join, rows)))
+    (tmp_path / "vehicles.csv").write_text("Employee ID,Vehicle Type,Registration Number\n00,car,TN1\n00,car,TN1\n00,scooter,TN1\n01,tank,TN2\n02,car,\n99,car,TN9\n")
+    (tmp_path / "more.csv").write_text("Employee ID,Vehicle 1,Vehicle Numbers\n03,AA,BB; CC;BB\n")
+    cells = files.cell_rows(files.parse(files.file_list(spark, [str(tmp_path / f) for f in ("staff.csv", "vehicles.csv", "more.csv")])))
+    c = contracts.load()
+    found = intelligence.analyse(cells, job.map_columns(cells, c), c)
+    plans = {(t.split(".")[0], i): (op, status) for t, i, op, status, _ in found.plans}
+    assert plans["staff", 6] == ("redundant", "auto_accepted") and plans["staff", 4] == ("date_order", "auto_accepted") and plans["staff", 8] == ("reference", "auto_accepted")
+    assert list(found.value_maps.values()) == [{"Global Finance Team": "Finance"}] and plans["vehicles", 1] == ("value_map", "needs_review")
+    start, steps = time.perf_counter(), Steps(spark)
+    out = job.run(cells, c, "2024-12-31", mapped=found.decisions, choices=job.Choices(found.orders, {}, found.value_maps), steps=steps)
+    snapshots = {r["entity_key"]: r for r in out["snapshots"].collect()}
+    assert time.perf_counter() - start < 60  # most of it is starting some thirty small jobs
+    assert len(snapshots) == 17 and (snapshots["03"]["gender"], snapshots["03"]["hire_date"], snapshots["05"]["department"]) == ("male", "2020-04-16", "Finance")
+    items = {(r["entity_key"], r["identity"]): r for r in out["items"].collect() if not r["identity"].startswith("~")}
+    assert items["00", "tn1"]["conflicts"] == ["type"] and items["01", "tn2"]["invalid"] == ["type"] and {i for e, i in items if e == "03"} == {"aa", "bb", "cc"}
+    assert {(r["entity_key"], r["issue"]) for r in out["issues"].collect()} == {("00", "collection_conflict"), ("01", "collection_item_invalid"), ("02", "collection_item_invalid")}
+    assert [(r["n_orphans"], r["keys"]) for r in out["orphans"].collect()] == [(1, ["99"])]
+    steps.drop()
+
+
+def test_choices_of_people(spark):
+    d = spark.createDataFrame([("t", 1, "confirm_convention", "DMY", None, 1), ("t", 1, "confirm_convention", "MDY", None, 2), ("t", 2, "confirm_century_pivot", "30", None, 1), ("t", 3, "map_values", "x", "Sales", 1)], "table_id string, col_index int, action string, value string, label string, seq int")
+    assert prepare.column_choices(d) == ({("t", 1): "MDY"}, {("t", 2): 30}, {("t", 3): {"x": "Sales"}})
+    cells = spark.createDataFrame([("t", 1, i, h, v) for i, (h, v) in enumerate([("Employee ID", "1"), ("Hire Date", "3/4/31"), ("Contract Start", "3/4/2020"), ("Dept", "x")])], "table_id string, row_number int, col_index int, header string, value string")
+    c = contracts.load()
+    got = by(job.contributions(cells, job.map_columns(cells, c), c, "2024-12-31", job.Choices({("t", 1): "DMY", ("t", 2): "MDY"}, {("t", 1): 40}, {("t", 3): {"x": "Sales"}})), "path")
+    assert got["hire_date"]["fv"]["value"] == "2031-04-03" and got["contract_start_date"]["fv"]["value"] == "2020-03-04" and got["department"]["fv"]["value"] == "Sales"
+
+
 def test_no_cell_is_lost_in_random_files(spark, tmp_path):
     rng = random.Random(1234)
     want, paths = 0, []
