@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import dates, text, values
 from recordloom.operators import delivery, diff, infer, metrics, prepare, profile, versions
-from recordloom.plans import records  # noqa: F401  registers its queries
+from recordloom.plans import columns, records  # noqa: F401  register their queries
 from recordloom.plans.registry import oracle_sql, queries  # noqa: F401
 from recordloom.plans.registry import query as _query
 from recordloom.plans.registry import table as _t
@@ -418,6 +418,14 @@ def applied_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.applied(t, changes, "k", ["name", "seg"]).select("k", "name", "seg", "revision")
 
 
+@_query(f"SELECT * FROM ({_OUTCOMES}) WHERE k % 10 = 1")
+def recovered_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations that met another revision are judged again, on their keys only."""
+    i, t = _sides(spark, sf_dir)
+    stale = i.filter("k % 10 = 1").select("k")
+    return delivery.recovered(stale, i, t.withColumn("revision", F.lit(2)), "k", "email", ["name", "seg", "email"], {"email": "email"})[0]
+
+
 _HALVES = """o AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_returnflag AS flag, l_linestatus AS st FROM lineitem WHERE (l_orderkey + l_linenumber) % 5 <> 0),
 w AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_orderkey % 4 = 0 THEN 'X' ELSE l_returnflag END AS flag, l_linestatus AS st FROM lineitem WHERE (l_orderkey + l_linenumber) % 7 <> 0)"""
 

@@ -173,9 +173,14 @@ def duplicate_headers(parsed: DataFrame) -> DataFrame:
     return g.filter(F.size("positions") > 1)
 
 
+def zero_loss_cells(long: DataFrame) -> DataFrame:
+    """Cells that are numbers under a header that looks like an identifier: leading zeros may be gone. One warning a cell."""
+    return long.filter((F.col("raw_type") == "number") & F.lower("header").rlike(r"\b(id|code|number|no)\b|id$"))
+
+
 def zero_loss(long: DataFrame) -> DataFrame:
-    """Columns whose header looks like an identifier but whose cells are numbers: leading zeros may be gone."""
-    return long.filter((F.col("raw_type") == "number") & F.lower("header").rlike(r"\b(id|code|number|no)\b|id$")).groupBy("table_id", "col_index", "header").agg(F.count("*").alias("n"))
+    """zero_loss_cells, counted for each column."""
+    return zero_loss_cells(long).groupBy("table_id", "col_index", "header").agg(F.count("*").alias("n"))
 
 
 def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
