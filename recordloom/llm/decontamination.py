@@ -7,8 +7,9 @@ the order of their rarity over all documents, is its one rarest shingle. Documen
 and positional bounds drop places where the window would not fit; what is left is verified word by word.
 
 Texts are cut to words once and written. The joins carry hashes and places; words are fetched again for the documents
-with a candidate only. Windows, prefixes and candidates are broadcast up to `BROADCAST_ROWS` rows, and shuffled beyond;
-adaptive execution splits what is skewed then. Null and empty texts have no words. Each row gets a result of its own,
+with a candidate only. Windows, prefixes and candidates are broadcast up to `BROADCAST_ROWS` rows, bare shingles up to
+`KEYS`, and shuffled beyond; adaptive execution splits what is skewed then. Null and empty texts have no words. Each row
+gets a result of its own,
 so rows that repeat doc_id and text get equal ones. Items without words or id match nothing, an empty benchmark leaves
 all documents clean, and extra columns are ignored, or kept by `clean`, whatever their names.
 """
@@ -22,8 +23,10 @@ from pyspark.sql.window import Window
 from recordloom.llm.common import Scratch, column, lower_ascii, positioned, small, tokens
 
 WIDTH = 10
-#: Most windows, shingles of windows, or candidates that are sent to all executors (about 30 MB).
+#: Most windows or candidates that are sent to all executors (about 30 MB), and most bare shingles (8 bytes each, about
+#: 60 MB with their index): beyond the first, occurrences are thinned out by the bare shingles before they are shuffled.
 BROADCAST_ROWS = 200_000
+KEYS = 1_000_000
 
 
 def windows_of(items: DataFrame, width: int = WIDTH, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -49,13 +52,21 @@ def hits(words: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
     single = not windows.filter("len = 1").isEmpty()
     own = _shingled(windows, "body", "len", single=single).filter((F.col("len") == 1) | (F.col("at") < F.col("len") - 1))
     own = scratch.table(own.distinct(), "shingles")
-    seen = _shingled(words, single=single).join(small(own.select("shingle").distinct(), BROADCAST_ROWS), "shingle")
-    counts = scratch.table(seen.groupBy("shingle").agg(F.count("*").alias("n")), "counts")  # at most the benchmark's shingles
+    every, known = _shingled(words, single=single), own.select("shingle").distinct()
+    sent = small(known, KEYS)
+    if sent is known:  # too many to send: counted before the join, so that a shingle is one row of each task at most
+        counts = every.groupBy("shingle").agg(F.count("*").alias("n")).join(known, "shingle", "left_semi")
+    else:
+        counts = every.join(sent, "shingle").groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = scratch.table(counts, "counts")  # at most the benchmark's shingles
     # a window with a shingle that no document has occurs nowhere
     first = own.join(counts, "shingle", "left").groupBy("body", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "at")).alias("x"))
     prefix = scratch.table(first.filter("x.n > 0").select("body", "len", F.col("x.shingle").alias("shingle"), F.col("x.at").alias("offset")), "prefix")
     start = F.col("at") - F.col("offset")
-    placed = _shingled(words, "row", "n_words", single=single).join(small(prefix, BROADCAST_ROWS), "shingle")
+    occurring, near = _shingled(words, "row", "n_words", single=single), small(prefix, BROADCAST_ROWS)
+    if near is prefix:
+        occurring = occurring.join(small(prefix.select("shingle").distinct(), KEYS), "shingle", "left_semi")
+    placed = occurring.join(near, "shingle")
     placed = placed.filter((start >= 0) & (start + F.col("len") <= F.col("n_words"))).select("row", start.alias("start"), "len", "body")
     placed = scratch.table(placed, "candidates")
     rows = small(placed.select("row").distinct(), BROADCAST_ROWS)

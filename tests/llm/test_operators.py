@@ -195,8 +195,10 @@ def test_decontamination_finds_every_window(spark, docs, rows, items):
     assert clean == {r[0] for r in brute_hits(rows, items) if not r[5]}
 
 
-def test_decontamination_by_shuffled_joins(spark, docs, rows, items, monkeypatch):
+@pytest.mark.parametrize("keys", [decontamination.KEYS, 0])
+def test_decontamination_by_shuffled_joins(spark, docs, rows, items, keys, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "KEYS", keys)
     table = spark.createDataFrame(items, "item_id long, text string")
     assert result(decontamination.report(docs, table)) == brute_hits(rows, items)
 
