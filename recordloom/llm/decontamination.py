@@ -9,9 +9,8 @@ and positional bounds drop places where the window would not fit; what is left i
 Texts are cut to words once and written. The joins carry hashes and places; words are fetched again for the documents
 with a candidate only. Windows, prefixes and candidates are broadcast up to `BROADCAST_ROWS` rows, bare shingles up to
 `KEYS`, and shuffled beyond; adaptive execution splits what is skewed then. Null and empty texts have no words. Each row
-gets a result of its own,
-so rows that repeat doc_id and text get equal ones. Items without words or id match nothing, an empty benchmark leaves
-all documents clean, and extra columns are ignored, or kept by `clean`, whatever their names.
+gets a result of its own, so rows that repeat doc_id and text get equal ones. Items without words or id match nothing,
+an empty benchmark leaves all documents clean, and extra columns are ignored, or kept by `clean`, whatever their names.
 """
 
 from __future__ import annotations
