@@ -85,6 +85,15 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def bucketed(self, df: DataFrame, name: str, n: int, *keys: str) -> DataFrame:
+        """Writes df in n buckets of its keys and reads it back: joins by just these keys move the other side only. df comes
+        partitioned by them into n parts, so a task writes one file. The catalog forgets the table at once; the files stay."""
+        table = f"recordloom_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(n, *keys).saveAsTable(table)
+        found = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")
+        return found
+
     def keep(self, *names: str) -> None:
         """Deletes all tables but these."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -93,6 +102,11 @@ class Scratch:
                 delete(self.spark, f"{self.root}/{x.getPath().getName()}")
 
 
+def bucket_count(spark: SparkSession, n_bytes: int) -> int:
+    """Buckets of about 64 MB, no fewer than a shuffle has partitions and, above that, no more than Spark allows by default."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_bytes // (64 << 20) + 1, 100_000))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -13,7 +13,11 @@ order, neighbours that share a whole GRAM form an interval; the shared prefix of
 them, and with the bytes before the anchors it gives the stretch that the later one repeats.
 
 Hash values that occur more than `hot` times don't go through one task: their windows are hashed to 128 bits and
-grouped, with partial aggregation; all but the first of each group are later copies. Equal texts are handled once: a copy of at least `length` bytes loses everything.
+grouped, with partial aggregation; all but the first of each group are later copies. Equal texts are handled once: a
+copy of at least `length` bytes loses everything.
+
+Whole texts are shuffled once: they are stored in buckets of a key (a hash of doc_id and text), and what is found out about
+them, always much smaller, is sent to the buckets by joins on that key. Nothing is broadcast, whatever the size.
 
 Corpus order is doc_id (null last); texts under one doc_id are ordered by hash; rows that repeat doc_id and text are
 one document and get the same result. Null text is empty. Texts are read whole; a match never crosses documents.
@@ -30,10 +34,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import Scratch, positioned, python_ready, small
+from recordloom.llm.common import Scratch, bucket_count, positioned, python_ready
 
 LENGTH, GRAM = 100, 40
 #: Occurrences of an anchor hash from which its windows are grouped by hash.
@@ -42,17 +46,14 @@ HOT = 1 << 16
 RUN, GROUP = 100_000, 100_000
 #: Keys sampled for the splitters, over all tasks.
 SAMPLE = 20_000
-#: Most ids of texts that are sent to all executors to pick those texts (about 60 MB).
-BROADCAST_ROWS = 1_000_000
 #: Bytes of text whose windows are hashed at once.
 CHUNK = 1 << 19
-#: Most documents whose stretches are sent to all executors (about 40 MB).
-SPANS = 200_000
 #: Members of an interval up to which they are compared in pairs.
 PAIRED = 64
 _TABLE = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_KEY = ["h1", "h2"]
+#: The hash of a text, and that of a document (its id and text).
+_KEY, _DOC = ["h1", "h2"], ["k1", "k2"]
 
 
 # anchors
@@ -114,7 +115,7 @@ def _anchored(length: int, gram: int):
             cuts = np.searchsorted(at, starts).astype(np.int32)
             of = np.repeat(starts[:-1], np.diff(cuts))
             yield pa.RecordBatch.from_pydict(
-                {**{c: b.column(c) for c in ("doc_id", *_KEY)}, "at": pa.ListArray.from_arrays(pa.array(cuts), pa.array((at - of).astype(np.int32))), "hash": pa.ListArray.from_arrays(pa.array(cuts), pa.array(h.view(np.int64)))}
+                {**{c: b.column(c) for c in ("doc_id", *_DOC)}, "at": pa.ListArray.from_arrays(pa.array(cuts), pa.array((at - of).astype(np.int32))), "hash": pa.ListArray.from_arrays(pa.array(cuts), pa.array(h.view(np.int64)))}
             )
 
     return run
@@ -395,13 +396,13 @@ _CUT = "h1 long, h2 long, n_removed long, starts array<int>, ends array<int>, ke
 def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     docs, (doc_id, text) = positioned(docs, doc_id, text)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return d.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text", F.octet_length("text")).alias("h2"))
+    d = d.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text", F.octet_length("text")).alias("h2"))
+    return d.select("*", *_document("doc_id"))
 
 
-def _picked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of texts whose doc_id and text wanted lists, with its other columns."""
-    wanted = small(wanted.withColumnsRenamed({"doc_id": "_d", "h1": "_h1", "h2": "_h2"}), BROADCAST_ROWS)
-    return texts.join(wanted, (texts["h1"] == wanted["_h1"]) & (texts["h2"] == wanted["_h2"]) & texts["doc_id"].eqNullSafe(wanted["_d"])).drop("_d", "_h1", "_h2")
+def _document(doc_id: str) -> list[Column]:
+    """k1 and k2 of the document with that id and the text of h1 and h2."""
+    return [F.xxhash64(F.col(doc_id).isNull(), doc_id, "h1").alias("k1"), F.xxhash64(F.lit(1), F.col(doc_id).isNull(), doc_id, "h2").alias("k2")]
 
 
 def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text", run_size: int = RUN, group_size: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -411,28 +412,27 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     python_ready(spark)
     scratch = Scratch(spark, "suffix-dedup")
     texts = _hashed(docs, doc_id, text)
-    rows = scratch.table(texts.select("doc_id", *_KEY, F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("sha256")), "rows")
-    firsts = rows.groupBy(*_KEY).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    # the documents after the first that are copies: only texts that occur more than once are sent around
-    copied = small(firsts.filter("n > 1").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first_id"), BROADCAST_ROWS)
-    own = texts.join(copied, (texts["h1"] == copied["_h1"]) & (texts["h2"] == copied["_h2"]), "left")
-    own = own.filter(F.col("_h1").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).filter(F.octet_length("text") >= length)
-    anchored = own.select("doc_id", *_KEY, "text").mapInArrow(_anchored(length, gram), "doc_id long, h1 long, h2 long, at array<int>, hash array<long>")
+    rows = scratch.table(texts.select("doc_id", *_KEY, *_DOC, F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("sha256")), "rows")
+    firsts = rows.groupBy(*_KEY).agg(F.min("doc_id").alias("first_id"), F.first("n_bytes").alias("n_bytes"))
+    own = texts.filter(F.octet_length("text") >= length)
+    if not rows.groupBy(*_DOC).count().filter("count > 1").isEmpty():
+        own = own.dropDuplicates(_DOC)  # each task combines its own first
+    n = bucket_count(spark, rows.agg(F.sum("n_bytes")).first()[0] or 0)
+    # of texts that occur more than once, the first document's
+    wanted = firsts.filter(F.col("n_bytes") >= length).select(*_document("first_id"))
+    own = own.repartition(n, *_DOC).join(wanted.hint("shuffle_hash"), _DOC, "left_semi")
+    stored = scratch.bucketed(own.select("doc_id", *_KEY, *_DOC, "text"), "stored", n, *_DOC)
+    anchored = stored.select("doc_id", *_DOC, "text").mapInArrow(_anchored(length, gram), "doc_id long, k1 long, k2 long, at array<int>, hash array<long>")
     anchored = scratch.table(anchored.withColumn("row", F.monotonically_increasing_id()), "anchors")
     pairs = anchored.select("row", F.explode(F.arrays_zip("hash", "at")).alias("a")).select("row", F.col("a.hash").alias("hash"), F.col("a.at").alias("at"))
     shared = scratch.table(pairs.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("hash", "x"), "shared")
     is_hot = F.col("n") > hot
     kept = pairs.join(shared, F.col("hash") == F.col("x")).groupBy("row").agg(F.collect_list(F.when(~is_hot, F.col("at"))).alias("places"), F.collect_list(F.when(is_hot, F.col("at"))).alias("hot"))
-    # corpus order; rows that repeat a document have its first number
-    ordered = anchored.select("row", "doc_id", *_KEY).orderBy(F.col("doc_id").asc_nulls_last(), *_KEY, "row")
+    ordered = anchored.select("row", "doc_id", *_DOC).orderBy(F.col("doc_id").asc_nulls_last(), *_DOC)
     ordered = scratch.table(ordered.withColumn("doc", F.monotonically_increasing_id()), "order")
-    ordered = ordered.groupBy("doc_id", *_KEY).agg(F.min("doc").alias("doc"), F.min("row").alias("row"), F.count("*").alias("n"))
-    places = scratch.table(kept.join(ordered, "row").select("doc", "n", "hot", "places", "doc_id", *_KEY), "places")
-    held = _picked(texts, places.select("doc_id", *_KEY, "doc"))
-    if places.filter("n > 1").limit(1).count():
-        held = held.dropDuplicates(["doc"])
-    work = held.join(places.select(F.col("doc").alias("d"), "hot", "places"), F.col("doc") == F.col("d")).select("doc", *_KEY, "text", "hot", "places")
-    work = scratch.table(work, "work")
+    places = scratch.table(kept.join(ordered, "row").select("doc", "hot", "places", *_DOC), "places")
+    work = stored.join(places.hint("shuffle_hash"), _DOC).select("doc", *_KEY, *_DOC, "text", "hot", "places")
+    work = scratch.bucketed(work, "work", n, *_DOC)
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(1, round(total / group_size))
     sample = min(1.0, SAMPLE / max(total, 1))
@@ -452,9 +452,9 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         later = windows.join(first, ["doc", "start"], "left_anti")
         found = found.union(later.select("doc", "start", (F.col("start") + length).alias("end")))
     found = scratch.table(found, "found")
-    spans = found.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")).withColumnRenamed("doc", "d")
-    spans = small(scratch.table(spans, "spans"), SPANS)
-    cut = scratch.table(work.join(spans, F.col("doc") == F.col("d")).select(*_KEY, "text", "starts", "ends").mapInArrow(_cut, _CUT), "cut")
+    spans = found.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    spans = spans.join(places.select("doc", *_DOC), "doc").drop("doc")
+    cut = scratch.table(work.join(spans.hint("shuffle_hash"), _DOC).select(*_KEY, "text", "starts", "ends").mapInArrow(_cut, _CUT), "cut")
     firsts = firsts.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first_id")
     rows = rows.join(firsts, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
     scratch.keep("rows", "cut")

@@ -626,11 +626,11 @@ def brute_suffix(rows, length):
 
 
 @pytest.mark.parametrize("options", [{}, {"hot": 2}, {"run_size": 50, "group_size": 40}, {"shuffled": True}])
-def test_suffix_dedup_removes_just_what_repeats(docs, rows, options, monkeypatch):
+def test_suffix_dedup_removes_just_what_repeats(docs, rows, options, request):
     if options == {"shuffled": True}:
         options = {}
-        monkeypatch.setattr(suffix_dedup, "SPANS", 0)
-        monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
+        docs.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        request.addfinalizer(lambda: docs.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
     # under one id, texts are ordered by hash; here such texts share no string
     assert result(suffix_dedup.report(docs, **options)) == brute_suffix(rows, 100)
 
