@@ -17,7 +17,7 @@ grouped, with partial aggregation; all but the first of each group are later cop
 copy of at least `length` bytes loses everything.
 
 Whole texts are shuffled once: they are stored in buckets of a key (a hash of doc_id and text), and what is found out about
-them, always much smaller, is sent to the buckets by joins on that key. Nothing is broadcast, whatever the size.
+them, always much smaller, is sent to the buckets by joins on that key. No broadcast is asked for, whatever the size.
 
 Corpus order is doc_id (null last); texts under one doc_id are ordered by hash; rows that repeat doc_id and text are
 one document and get the same result. Null text is empty. Texts are read whole; a match never crosses documents.
