@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import decontamination, licenses, line_dedup, mixing, near_dedup, quality, sharding, suffix_dedup, token_counts, url_filter
+from recordloom.llm import decontamination, fill_middle, licenses, line_dedup, mixing, near_dedup, packing, quality, search, sharding, suffix_dedup, token_counts, url_filter
 from recordloom.llm.common import LOWER, UPPER, Scratch, read_table
 
 
@@ -134,6 +134,54 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality.judge(F.col("text"), spark, trees).alias("q")).select("doc_id", "q.*")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+#: All pairs of a document and an item that share a term.
+OP11_SQL = f"""
+WITH t AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest({SQL_WORDS}) AS w FROM documents) GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM n),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * nn) // ll AS m FROM n, c),
+f AS (SELECT w, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM t, c GROUP BY w, nn),
+q AS (SELECT item_id, w, count(*) AS times FROM (SELECT item_id, unnest({SQL_WORDS}) AS w FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN t USING (w) JOIN f USING (w) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+#: The restored text must be the text itself.
+OP12_SQL = """
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -146,8 +194,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
+        "op11_search": op11_search,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_packing": op13_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_licenses": _op5_sql(), "op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_licenses": _op5_sql(), "op6_sharding": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_search": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
