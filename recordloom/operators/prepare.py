@@ -209,7 +209,7 @@ def dataset(snapshots_: DataFrame, eligibility: DataFrame, decisions: DataFrame
 
 def job_items(rows: DataFrame, merged: DataFrame, contract, child_tables: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """entity_key, collection, identity, values (field -> value), n_slots, conflicts, invalid, status of a job's items, and
-    per child table the rows without a parent: table_id, n_orphans, keys.
+    per child table the rows without a parent: table_id, n_orphans, and the first of their keys and rows.
 
     rows are contributions of collection fields. A slot is a row of a child table, a numbered or single column, or a
     part of a delimited one; blank slots make no items. Slots of one identity are one item: equal values collapse,
@@ -220,6 +220,8 @@ def job_items(rows: DataFrame, merged: DataFrame, contract, child_tables: Sequen
     known = merged.select("entity_key").distinct()
     lost = r.filter("child").join(known, "entity_key", "left_anti").select("entity_key", "table_id", "row_number").distinct()
     _, orphans = attach_children(lost, known)
+    first = lost.withColumn("place", F.row_number().over(Window.partitionBy("table_id").orderBy("row_number"))).filter(F.col("place") <= VALUES)
+    orphans = orphans.join(first.groupBy("table_id").agg(F.array_sort(F.collect_list("row_number")).alias("rows")), "table_id")
     r = r.join(known, "entity_key", "left_semi")
     by_slot = ["entity_key", "table_id", "row_number", "slot", "collection"]
     slots = r.groupBy(*by_slot).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("field", F.struct("value", "status").alias("v"))))).alias("f"))  # a slot has the contract's fields at most
@@ -255,7 +257,8 @@ def item_issues(items: DataFrame, contract) -> DataFrame:
 
 
 def orphan_issues(orphans: DataFrame) -> DataFrame:
-    """entity_key (null), path (the table), issue: one orphan_child_row for each child table."""
+    """entity_key (null), path (the table), issue: one orphan_child_row for each child table with orphans. It blocks the
+    job, not a record."""
     return orphans.select(F.lit(None).cast("string").alias("entity_key"), F.col("table_id").alias("path"), F.lit("orphan_child_row").alias("issue"))
 
 
@@ -265,6 +268,23 @@ def without_dropped(items: DataFrame, decisions: DataFrame) -> DataFrame:
     return items.join(gone, ["entity_key", "collection", "identity"], "left_anti")
 
 
+def without_rows(rows: DataFrame, decisions: DataFrame, child_tables: Sequence[str]) -> DataFrame:
+    """Contributions of child tables without the rows that people excluded: action exclude_row, path the table, value the
+    number of its row."""
+    gone = decisions.filter(F.col("action") == "exclude_row").select(F.col("path").alias("table_id"), F.expr("try_cast(value AS bigint)").alias("_row")).filter(F.col("table_id").isin(list(child_tables))).distinct()
+    return rows.join(gone, (rows["table_id"] == gone["table_id"]) & (rows["row_number"].cast("bigint") == gone["_row"]), "left_anti")
+
+
+def without_excluded(items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """items without those of excluded entities."""
+    return items.join(decisions.filter("action = 'exclude'").select("entity_key").distinct(), "entity_key", "left_anti")
+
+
+def item_entries(items: DataFrame) -> DataFrame:
+    """A job's items with their values as entries in the order of the fields, which snapshots can sort and hash."""
+    return items.withColumn("values", F.array_sort(F.map_entries("values")))
+
+
 def column_choices(decisions: DataFrame) -> tuple[dict, dict, dict]:
     """Date orders, century pivots and value maps by table and column, from people's decisions on columns (table_id,
     col_index, action, value, label, seq): confirm_convention, confirm_century_pivot, map_values. The last one holds."""

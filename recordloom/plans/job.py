@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import text, values
@@ -48,19 +48,23 @@ def profiles(cells: DataFrame) -> list[dict]:
     return [r.asDict() for r in profile.profile(cells.select("table_id", "col_index", "header", "value")).collect()]
 
 
-def context_of(table_id: str) -> str:
-    """The sheet or file stem that a table id ends in."""
-    name = table_id.rpartition("#")[2]
-    return name.rpartition(".")[0] or name
+def context_of(table_id: Column) -> Column:
+    """What a table is known by: the sheet's whole name, or the stem of a CSV file without leading numbering. Table ids are
+    file#sheet for workbooks, and the file's name twice for CSV files."""
+    sheet = F.regexp_extract(table_id, r"(?is)^.*?\.xlsx#(.*)$", 1)
+    half = (F.char_length(table_id) - 1) / 2
+    twice = F.concat_ws("#", *[F.substr(table_id, F.lit(1), half.cast("int"))] * 2) == table_id
+    file = F.when(twice, F.substr(table_id, F.lit(1), half.cast("int"))).otherwise(F.substring_index(table_id, "#", -1))
+    return text.context_name(sheet, file)
 
 
 def map_columns(cells: DataFrame, contract: Contract) -> dict[str, list[mapping.Mapped]]:
     """Rule decisions per table, from its headers. Columns keep their own index, even if some are missing."""
-    heads = cells.groupBy("table_id", "col_index").agg(F.min("header").alias("header")).orderBy("table_id", "col_index").collect()  # a row per source column
-    tables: dict[str, list] = {}
+    heads = cells.groupBy("table_id", "col_index").agg(F.min("header").alias("header")).withColumn("context", context_of(F.col("table_id"))).orderBy("table_id", "col_index").collect()  # a row per source column
+    tables: dict[tuple[str, str], list] = {}
     for r in heads:
-        tables.setdefault(r["table_id"], []).append((r["col_index"], r["header"]))
-    return {t: [replace(m, col_index=h[m.col_index][0]) for m in mapping.map_table(context_of(t), [x for _, x in h], contract)] for t, h in tables.items()}
+        tables.setdefault((r["table_id"], r["context"]), []).append((r["col_index"], r["header"]))
+    return {t: [replace(m, col_index=h[m.col_index][0]) for m in mapping.map_table(context, [x for _, x in h], contract)] for (t, context), h in tables.items()}
 
 
 def decided(spark: SparkSession, decisions: Mapping[str, Sequence[mapping.Mapped]], contract: Contract, choices: Choices) -> tuple[DataFrame, DataFrame]:
@@ -126,9 +130,13 @@ def date_orders(cells: DataFrame, decisions: Mapping[str, Sequence[mapping.Mappe
 
 
 def run(cells: DataFrame, contract: Contract, reference_date: str, decisions: DataFrame | None = None, mapped: Mapping[str, Sequence[mapping.Mapped]] | None = None, choices: Choices | None = None, steps: Steps | None = None) -> dict[str, DataFrame]:
-    """contributions, merged, items, issues, eligibility and snapshots of a job's cells. decisions are people's (see
-    `prepare.overlaid`); mapped and choices are what `intelligence.analyse` found, or by default what headers and
-    whole columns of dates tell. The tables live in `steps`, which the caller may drop."""
+    """contributions, merged, items, orphans, issues, eligibility, snapshots and more of a job's cells. decisions are
+    people's (see `prepare.overlaid`); mapped and choices are what `intelligence.analyse` found, or by default what
+    headers and whole columns of dates tell. The tables live in `steps`, which the caller may drop.
+
+    Child rows meet their records before people's decisions on records count, so that the rows of a record that
+    someone excluded are not taken for orphans. A row of a child table that someone excluded (`exclude_row`) is gone
+    before that. Every child table with orphans has an issue without an entity."""
     steps = steps or Steps(cells.sparkSession)
     cells = steps.table(cells, "cells")
     mapped = mapped or map_columns(cells, contract)
@@ -136,20 +144,21 @@ def run(cells: DataFrame, contract: Contract, reference_date: str, decisions: Da
     child = [t for t, ms in mapped.items() if mapping.table_role(ms) == "child"]
     all_ = steps.table(contributions(cells, mapped, contract, reference_date, choices), "contributions")
     scalar = all_.filter(~F.col("path").contains("[].") & ~F.col("table_id").isin(child))
-    merged = prepare.merge_fields(scalar)
-    if decisions is not None:
-        merged = prepare.overlaid(merged, decisions)
-    merged = steps.table(merged, "merged")
-    items, orphans = prepare.job_items(all_.filter(F.col("path").contains("[].")), merged, contract, child)
+    sources = steps.table(prepare.merge_fields(scalar), "sources")
+    rows = all_.filter(F.col("path").contains("[]."))
+    items, orphans = prepare.job_items(rows if decisions is None else prepare.without_rows(rows, decisions, child), sources, contract, child)
+    merged = sources
     if decisions is not None:
-        items = prepare.without_dropped(items, decisions)
-    items = steps.table(items, "items")
+        merged = steps.table(prepare.overlaid(sources, decisions), "merged")
+        items = prepare.without_dropped(prepare.without_excluded(items, decisions), decisions)
+    items, orphans = steps.table(items, "items"), steps.table(orphans, "orphans")
     dates_ = [f.path for f in contract.fields if f.type == "date"]
     found = prepare.issues(merged, contract.required(), dates_).unionByName(prepare.shared_email_issues(merged)).unionByName(prepare.item_issues(items, contract))
-    found = steps.table(found, "issues")
+    found = steps.table(found.unionByName(prepare.orphan_issues(orphans)), "issues")
     e = steps.table(prepare.eligible(merged, found), "eligibility")
-    good = merged.join(e.filter("eligibility = 'eligible'").select("entity_key"), "entity_key", "left_semi")
+    kept = e.filter("eligibility = 'eligible'").select("entity_key")
+    whole = prepare.whole_snapshots(merged.join(kept, "entity_key", "left_semi"), [f.path for f in contract.fields], prepare.item_entries(items), ["values"])
     return {
-        "contributions": all_, "merged": merged, "items": items, "orphans": steps.table(orphans, "orphans"), "issues": found, "eligibility": e,
-        "column_issues": prepare.column_issues(scalar), "snapshots": steps.table(prepare.snapshots(good, [f.path for f in contract.fields]), "snapshots"),
+        "contributions": all_, "merged": merged, "items": items, "orphans": orphans, "issues": found, "eligibility": e,
+        "column_issues": steps.table(prepare.column_issues(scalar), "column_issues"), "snapshots": steps.table(whole, "snapshots"),
     }

@@ -291,11 +291,48 @@ def test_a_wide_job_with_collections_and_source_intelligence(spark, tmp_path):
     assert len(snapshots) == 17 and (snapshots["03"]["gender"], snapshots["03"]["hire_date"], snapshots["05"]["department"]) == ("male", "2020-04-16", "Finance")
     items = {(r["entity_key"], r["identity"]): r for r in out["items"].collect() if not r["identity"].startswith("~")}
     assert items["00", "tn1"]["conflicts"] == ["type"] and items["01", "tn2"]["invalid"] == ["type"] and {i for e, i in items if e == "03"} == {"aa", "bb", "cc"}
-    assert {(r["entity_key"], r["issue"]) for r in out["issues"].collect()} == {("00", "collection_conflict"), ("01", "collection_item_invalid"), ("02", "collection_item_invalid")}
-    assert [(r["n_orphans"], r["keys"]) for r in out["orphans"].collect()] == [(1, ["99"])]
+    assert {(r["entity_key"], r["issue"]) for r in out["issues"].collect()} == {("00", "collection_conflict"), ("01", "collection_item_invalid"), ("02", "collection_item_invalid"), (None, "orphan_child_row")}
+    assert [(r["n_orphans"], r["keys"], r["rows"]) for r in out["orphans"].collect()] == [(1, ["99"], [7])]
+    assert snapshots["03"]["collections"][0]["collection"] == "vehicles" and snapshots["05"]["collections"] is None
     steps.drop()
 
 
+CHOICES = "entity_key string, path string, action string, value string, seq int"
+
+
+def test_exclusions_come_after_child_rows_are_attached(spark, tmp_path):
+    (tmp_path / "staff.csv").write_text("Employee ID,Full Name,Work Email,Department\n1,A,a@x.com,Sales\n2,B,b@x.com,Sales\n3,C,c@x.com,Finance\n")
+    (tmp_path / "01_Vehicles.csv").write_text("Employee ID,Vehicle Type,Registration Number\n1,car,R1\n2,car,R2\n,car,R3\n9,bicycle,R4\n9,car,R5\n3,,\n")
+    cells = files.cell_rows(files.parse(files.file_list(spark, [str(tmp_path / f) for f in ("staff.csv", "01_Vehicles.csv")])))
+    c, t = contracts.load(), "01_Vehicles.csv#01_Vehicles.csv"
+
+    def run(*decisions):
+        out = job.run(cells, c, "2024-12-31", decisions=spark.createDataFrame(list(decisions), CHOICES) if decisions else None)
+        issues = {(r["entity_key"], r["path"], r["issue"]) for r in out["issues"].collect() if r["issue"] != "missing_required"}
+        return {(r["entity_key"], r["identity"]) for r in out["items"].collect()}, [(r["n_orphans"], r["keys"], r["rows"]) for r in out["orphans"].collect()], issues
+
+    number = {r["value"]: r["row_number"] for r in cells.filter("value in ('R3', 'R4', 'R5')").collect()}
+    orphan = {(None, t, "orphan_child_row")}
+    items, orphans, issues = run()
+    assert items == {("1", "r1"), ("2", "r2")} and issues == orphan
+    assert [(n, set(k), r) for n, k, r in orphans] == [(3, {"9", f"nokey|{t}|{number['R3']}"}, sorted(number.values()))]
+    # the rows of an excluded record are no orphans
+    items, orphans_then, issues = run(("2", None, "exclude", None, 1))
+    assert items == {("1", "r1")} and orphans_then == orphans and issues == orphan
+    # orphan rows one by one, and all of them
+    one = (None, t, "exclude_row", str(number["R4"]), 1)
+    items, orphans_then, issues = run(one)
+    assert [(n, r) for n, _, r in orphans_then] == [(2, sorted((number["R3"], number["R5"])))] and issues == orphan
+    items, orphans_then, issues = run(one, *((None, t, "exclude_row", str(number[x]), 2) for x in ("R3", "R5")), (None, t, "exclude_row", "no number", 3), (None, "staff.csv#staff.csv", "exclude_row", "2", 3))
+    assert items == {("1", "r1"), ("2", "r2")} and orphans_then == [] and issues == set()
+
+
+def test_contexts_of_tables(spark):
+    ids = ["01_Vehicles.csv#01_Vehicles.csv", "w.xlsx#2. Vehicles", "w.XLSX#a.b#c", "03 - x.y.csv#03 - x.y.csv", "a#b.csv#a#b.csv", "plain", "d/07.csv", "s#Sheet.1", ""]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(ids)], "i int, t string").select("i", job.context_of(F.col("t")).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in found] == ["Vehicles", "2. Vehicles", "a.b#c", "x.y", "a#b", "plain", "d/07", "Sheet", ""]
+
+
 def test_choices_of_people(spark):
     d = spark.createDataFrame([("t", 1, "confirm_convention", "DMY", None, 1), ("t", 1, "confirm_convention", "MDY", None, 2), ("t", 2, "confirm_century_pivot", "30", None, 1), ("t", 3, "map_values", "x", "Sales", 1)], "table_id string, col_index int, action string, value string, label string, seq int")
     assert prepare.column_choices(d) == ({("t", 1): "MDY"}, {("t", 2): 30}, {("t", 3): {"x": "Sales"}})
