@@ -10,37 +10,62 @@ from pyspark.sql.window import Window
 
 from recordloom.functions import text
 from recordloom.functions.text import stable_id
+from recordloom.operators import admission, diff
 
 
-def change_set(outcomes: DataFrame, desired: DataFrame, target: DataFrame, key: str, fields: Sequence[str], job: str = "job") -> DataFrame:
+def change_set(outcomes: DataFrame, desired: DataFrame, target: DataFrame, key: str, fields: Sequence[str], job: str = "job", patches: DataFrame | None = None) -> DataFrame:
     """key, operation (CREATE, UPDATE), operation_id, payload (field -> value: all fields of a create, the changed ones
-    of an update, from the desired record), base_revision. Other outcomes make no operation."""
+    of an update, from the desired record), base_revision. Other outcomes make no operation. patches (see
+    `collection_patches`) add `collections`; a record whose collections alone change gets an UPDATE, too."""
     t = target.select(F.col(key).alias("_k"), F.col("revision").alias("base_revision"), *(F.col(f).cast("string").alias(f"_{f}") for f in fields))
-    o = outcomes.filter(F.col("outcome").isin("READY_CREATE", "READY_UPDATE")).select(F.col(key).alias("_o"), "outcome")
-    j = desired.join(o, F.col(key) == F.col("_o")).join(t, F.col(key) == F.col("_k"), "left")
+    o = outcomes.select(F.col(key).alias("_o"), "outcome")
+    clear = F.col("outcome").isin("READY_CREATE", "READY_UPDATE")
+    if patches is not None:
+        o = o.join(patches.select(F.col(key).alias("_o"), "collections"), "_o", "left")
+        clear |= (F.col("outcome") == "NO_CHANGE") & F.col("collections").isNotNull()
+    j = desired.join(o.filter(clear), F.col(key) == F.col("_o")).join(t, F.col(key) == F.col("_k"), "left")
     pair = lambda f: F.struct(F.lit(f).alias("key"), F.col(f).cast("string").alias("value"))
     create = F.col("outcome") == "READY_CREATE"
     changed = lambda f: ~text.is_blank(F.col(f).cast("string")) & (create | ~F.col(f).cast("string").eqNullSafe(F.col(f"_{f}")))
     payload = F.map_from_entries(F.array_compact(F.array(*(F.when(changed(f), pair(f)) for f in fields))))
     op = F.when(create, "CREATE").otherwise("UPDATE")
-    return j.select(key, op.alias("operation"), stable_id("op_", F.lit(job), F.col(key), op).alias("operation_id"), payload.alias("payload"), "base_revision")
+    return j.select(key, op.alias("operation"), stable_id("op_", F.lit(job), F.col(key), op).alias("operation_id"), payload.alias("payload"), "base_revision", *(["collections"] if patches is not None else []))
 
 
-def admitted(changes: DataFrame, target: DataFrame, key: str, email: str) -> DataFrame:
-    """changes with error: exists, not_found, stale_revision, email_taken, or null."""
-    t = target.select(F.col(key).alias("_k"), F.col("revision").alias("_r"))
-    owners = target.filter(~text.is_blank(F.col(email))).groupBy(F.lower(email).alias("_m")).agg(F.min(key).alias("_owner"))
-    j = changes.join(t, F.col(key) == F.col("_k"), "left").join(owners, F.lower(F.try_element_at("payload", F.lit(email))) == F.col("_m"), "left")
-    error = (
-        F.when((F.col("operation") == "CREATE") & F.col("_k").isNotNull(), "exists").when((F.col("operation") != "CREATE") & F.col("_k").isNull(), "not_found")
-        .when((F.col("operation") != "CREATE") & ~F.col("base_revision").eqNullSafe(F.col("_r")), "stale_revision").when(F.col("_owner").isNotNull() & (F.col("_owner") != F.col(key)), "email_taken")
-    )
-    return j.withColumn("error", error).drop("_k", "_r", "_m", "_owner")
+def collection_patches(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """key, collections (collection -> all its items as they should be) of records with items (key, collection, identity,
+    fields) to add or to fill. A collection without changes is left out; items of the target alone stay in its list.
+    Records with a conflict in any item have no patch: people decide first. A record's items must fit into a task."""
+    by = [key, "collection", "identity"]
+    m = diff.merge_item_fields(old, new, by, fields)
+    lists = m.groupBy(key, "collection").agg(
+        F.bool_or(F.col("change").isin("add", "update")).alias("changed"), F.bool_or(F.size("conflicts") > 0).alias("clash"), F.array_sort(F.collect_list(F.struct("identity", *fields))).alias("items")
+    )
+    whole = lists.groupBy(key).agg(F.bool_or("clash").alias("clash"), F.map_from_entries(F.array_sort(F.array_compact(F.collect_list(F.when(F.col("changed"), F.struct("collection", "items")))))).alias("collections"))
+    return whole.filter(~F.col("clash") & (F.size("collections") > 0)).select(key, "collections")
+
+
+def applied_items(items: DataFrame, changes: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """key, collection, identity, fields of the target's items after admitted changes: a list in a patch replaces the
+    collection, other collections stay, and a deleted record loses all."""
+    c = changes.select(key, "operation", F.explode_outer("collections").alias("collection", "list"))
+    gone = changes.filter("operation = 'DELETE'").select(key)
+    listed = c.filter("operation <> 'DELETE' and list is not null")
+    kept = items.join(gone, key, "left_anti").join(listed.select(key, "collection"), [key, "collection"], "left_anti").select(key, "collection", "identity", *fields)
+    return kept.unionByName(listed.select(key, "collection", F.inline("list")).select(key, "collection", "identity", *fields))
+
+
+def admitted(changes: DataFrame, target: DataFrame, key: str, email: str, ledger: DataFrame | None = None, scope: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """changes as the target judges them, one after the other: with request_hash, replayed and error (see
+    `admission.admit`). Without ids an operation is known by its record."""
+    named = changes if "operation_id" in changes.columns else changes.withColumn("operation_id", F.col(key).cast("string"))
+    return admission.admit(named, target, key, email, ledger, scope, order)
 
 
 def applied(target: DataFrame, changes: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """The target after admitted changes (CREATE, UPDATE, REPLACE, DELETE): touched revisions grow by one. An operation
-    whose id is the record's last_operation changes nothing, so a replay is harmless."""
+    """The target after admitted changes (CREATE, UPDATE, REPLACE, DELETE; see `admission.to_apply`): touched revisions
+    grow by one. An operation whose id is the record's last_operation changes nothing; older replays are what the
+    ledger is for."""
     c = changes.select(F.col(key).alias("_k"), "operation", F.col("operation_id").alias("_op"), "payload")
     j = target.join(c, F.col(key) == F.col("_k"), "full_outer")
     replay = F.col("last_operation").eqNullSafe(F.col("_op")) & F.col("_op").isNotNull()
@@ -149,8 +174,6 @@ def contract_errors(changes: DataFrame, contract: DataFrame, key: str, creates:
 def recovered(stale: DataFrame, incoming: DataFrame, target: DataFrame, key: str, email: str, fields: Sequence[str], kinds: dict[str, str] | None = None, job: str = "job") -> tuple[DataFrame, DataFrame]:
     """For operations that met another revision: the outcomes against the target as it is now, and new operations for
     those that are still clear. The same code path as the first time, on the affected keys only."""
-    from recordloom.operators import diff
-
     again = incoming.join(stale.select(key).distinct(), key, "left_semi")
     o = diff.outcomes(again, target, key, email, fields, kinds)
     return o, change_set(o, again, target, key, fields, f"{job}|again")

@@ -78,12 +78,15 @@ def item_diff(old: DataFrame, new: DataFrame, by: Sequence[str], fields: Sequenc
 
 def merge_item_fields(old: DataFrame, new: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Items as they should be in the target: its own stay, new ones come, blanks are filled; conflicts lists fields
-    where both sides have different values (the target's is kept)."""
+    where both sides have different values (the target's is kept). change: add, update, target_only or no_change."""
     o = old.select(*(F.col(c).alias(f"_{c}") for c in by), F.struct(*fields).alias("old"))
     j = new.select(*by, F.struct(*fields).alias("new")).join(o, [F.col(c) == F.col(f"_{c}") for c in by], "full_outer")
     value = lambda side, f: text.nonblank(F.col(f"{side}.{f}").cast("string"))
     clash = lambda f: value("old", f).isNotNull() & value("new", f).isNotNull() & (value("old", f) != value("new", f))
-    return j.select(*(F.coalesce(c, f"_{c}").alias(c) for c in by), *(F.coalesce(value("old", f), value("new", f)).alias(f) for f in fields), F.array_compact(F.array(*(F.when(clash(f), F.lit(f)) for f in fields))).alias("conflicts"))
+    fills = F.exists(F.array(*(value("old", f).isNull() & value("new", f).isNotNull() for f in fields)), lambda x: x)
+    change = F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "target_only").when(fills, "update").otherwise("no_change")
+    conflicts = F.array_compact(F.array(*(F.when(clash(f), F.lit(f)) for f in fields)))
+    return j.select(*(F.coalesce(c, f"_{c}").alias(c) for c in by), *(F.coalesce(value("old", f), value("new", f)).alias(f) for f in fields), conflicts.alias("conflicts"), change.alias("change"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import dates, text, values
-from recordloom.operators import decisions, delivery, diff, infer, mapping, metrics, prepare, profile, versions
+from recordloom.operators import admission, decisions, delivery, diff, infer, mapping, metrics, prepare, profile, versions
 from recordloom.plans import contract as contracts
 from recordloom.plans import job
 from recordloom.plans.registry import query, table
@@ -95,6 +95,47 @@ def job_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders_with_items(spark, sf_dir)["orphans"].select("table_id", "n_orphans")
 
 
+def _attached(spark: SparkSession, sf_dir: str, decided: bool) -> dict[str, DataFrame]:
+    """Customers as staff, without every ninth, and their orders as a numbered file of vehicles. If decided, people
+    excluded every seventh customer and the rows of even orders that have no customer."""
+    c, o = table(spark, sf_dir, "customer").filter(~_every("c_custkey", 9)), table(spark, sf_dir, "orders")
+    k = F.col("c_custkey").cast("string")
+    staff = _cells(c, "staff#staff.csv", "c_custkey", {"Emp ID": k, "Full Name": F.col("c_name"), "Work Email": F.concat(F.lit("u"), k, F.lit("@x.org")), "Hire Date": F.lit("2020-03-31")})
+    kind = F.when(_every("o_orderkey", 2), "Car").otherwise("bicycle")
+    child = _cells(o, "02_vehicles.csv#02_vehicles.csv", "o_orderkey", {"Emp ID": F.col("o_custkey"), "Vehicle Type": kind, "Registration No": F.concat(F.lit("R"), F.col("o_orderkey").cast("string"))})
+    gone = None
+    if decided:
+        people = c.filter(_every("c_custkey", 7)).select(k.alias("entity_key"), F.lit(None).cast("string").alias("path"), F.lit("exclude").alias("action"), F.lit(None).cast("string").alias("value"), F.lit(1).alias("seq"))
+        rows = o.filter(_every("o_orderkey", 2) & _every("o_custkey", 9)).select(F.lit(None).cast("string").alias("entity_key"), F.lit("02_vehicles.csv#02_vehicles.csv").alias("path"), F.lit("exclude_row").alias("action"), F.col("o_orderkey").cast("string").alias("value"), F.lit(1).alias("seq"))
+        gone = people.unionByName(rows)
+    return job.run(staff.unionByName(child), contracts.load(), "2025-01-01", decisions=gone)
+
+
+@query("""
+WITH s AS (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 9 <> 0),
+i AS (SELECT o_custkey AS k, string_agg(DISTINCT 'vehicles|r' || o_orderkey || '|registration_number=R' || o_orderkey || ',type=' || CASE WHEN o_orderkey % 2 = 0 THEN 'car' ELSE 'bicycle' END, ';' ORDER BY 'vehicles|r' || o_orderkey || '|registration_number=R' || o_orderkey || ',type=' || CASE WHEN o_orderkey % 2 = 0 THEN 'car' ELSE 'bicycle' END) AS items FROM orders GROUP BY 1)
+SELECT s.k::VARCHAR AS entity_key, c_name AS full_name, '2020-03-31' AS hire_date, items FROM s LEFT JOIN i ON s.k = i.k
+""")
+def job_whole_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of a job with the items of their records."""
+    shown = F.transform("collections", lambda x: F.concat_ws("|", x["collection"], x["identity"], F.array_join(F.transform(x["values"], lambda v: F.concat(v["key"], F.lit("="), v["value"])), ",")))
+    return _attached(spark, sf_dir, False)["snapshots"].select("entity_key", "full_name", "hire_date", F.array_join(F.array_sort(shown), ";").alias("items"))
+
+
+@query("""
+WITH o AS (SELECT count(*) AS n FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0) ON o_custkey = c_custkey WHERE c_custkey IS NULL AND NOT (o_orderkey % 2 = 0 AND o_custkey % 9 = 0)),
+s AS (SELECT count(*) AS n FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 7 <> 0),
+i AS (SELECT count(DISTINCT o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 9 <> 0 AND c_custkey % 7 <> 0)
+SELECT 'orphan_child_row' AS what, n FROM o WHERE n > 0 UNION ALL SELECT 'eligible', n FROM s UNION ALL SELECT 'items', n FROM i
+""")
+def job_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a job after people excluded records and orphan rows: the orphans of its issue, records, items."""
+    out = _attached(spark, sf_dir, True)
+    raised = out["issues"].filter("entity_key is null").join(out["orphans"], F.col("path") == F.col("table_id")).select(F.col("issue").alias("what"), F.col("n_orphans").alias("n"))
+    good = out["eligibility"].filter("eligibility = 'eligible'").groupBy().agg(F.count("*").alias("n")).select(F.lit("eligible").alias("what"), "n")
+    return raised.unionByName(good).unionByName(out["items"].groupBy().agg(F.count("*").alias("n")).select(F.lit("items").alias("what"), "n"))
+
+
 # files
 
 
@@ -383,7 +424,11 @@ def rolled_back_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'UPDATE' ELSE 'CREATE' END AS operation, 'name=' || upper(c_name) || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ';seg=' || c_mktsegment END AS payload FROM customer")
 def change_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, changes, _ = _delivered(spark, sf_dir)
+    """Payloads of a change set: what an update changes, and all that a create has."""
+    target, wanted, _ = _delivered(spark, sf_dir)
+    outcomes = wanted.select("k", F.when(F.col("operation") == "CREATE", "READY_CREATE").otherwise("READY_UPDATE").alias("outcome"))
+    desired = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.upper("c_name").alias("name"), F.col("c_mktsegment").alias("seg"))
+    changes = delivery.change_set(outcomes, desired, target, "k", ["name", "seg"])
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("payload")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
     return changes.select("k", "operation", shown.alias("payload"))
 
@@ -436,3 +481,76 @@ def evaluation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = F.pmod("event_id", F.lit(3))
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("dimension"), F.when(three == 0, "correct_auto").when(three == 1, "correct_escalate").otherwise("unnecessary_escalate").alias("verdict"))
     return metrics.scores(rows).drop("accuracy")
+
+
+# admission
+
+
+def _handed_over(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records and a change set in which each takes the address of the next one, in the order in which that works.
+    Every hundredth names an old revision, and every hundredth, fifty on, is deleted. New records want one address in
+    pairs, in either case; every third operation comes twice, and every 97th id a second time for something else."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    mail = lambda k: F.concat(F.lit("u"), k.cast("string"), F.lit("@x.org"))
+    target = c.select("k", mail(F.col("k")).alias("email"), F.lit(3).cast("long").alias("revision"))
+    hundred = F.pmod("k", F.lit(100))
+    moved = c.select(
+        "k", F.when(hundred == 50, "DELETE").otherwise("UPDATE").alias("operation"), F.concat(F.lit("m"), F.col("k").cast("string")).alias("operation_id"),
+        F.when(hundred != 50, F.create_map(F.lit("email"), F.upper(mail(F.col("k") + 1)))).alias("payload"), F.when(hundred == 0, 2).otherwise(3).cast("long").alias("base_revision"), (-F.col("k")).alias("seq"),
+    )
+    pair = F.concat(F.when(_every("k", 2), "P").otherwise("p"), F.expr("k div 2").cast("string"), F.lit("@y.org"))
+    new = c.select(F.col("k") + 10_000_000_000, F.lit("CREATE"), F.concat(F.lit("n"), F.col("k").cast("string")), F.create_map(F.lit("email"), pair), F.lit(None).cast("long"), F.col("k")).toDF(*moved.columns)
+    twice = moved.filter(_every("k", 3)).withColumn("seq", F.col("seq") + 10_000_000_000)
+    reused = moved.filter(_every("k", 97)).withColumns({"payload": F.create_map(F.lit("email"), F.lit("else@x.org")), "operation": F.lit("UPDATE"), "seq": F.col("seq") + 20_000_000_000})
+    return target, moved.unionByName(new).unionByName(twice).unionByName(reused)
+
+
+_HANDED = """
+f AS (SELECT max(c_custkey) AS top FROM customer),
+m AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 100 = 0 THEN 'stale_revision' WHEN c_custkey % 100 > 50 AND c_custkey // 100 * 100 + 100 <= top THEN 'email_taken' END AS error FROM customer, f),
+a AS (SELECT k, 'm' || k AS operation_id, -k AS seq, error, false AS replayed FROM m
+  UNION ALL SELECT c_custkey + 10000000000, 'n' || c_custkey, c_custkey, CASE WHEN c_custkey % 2 = 1 THEN 'email_taken' END, false FROM customer
+  UNION ALL SELECT k, 'm' || k, -k + 10000000000, error, error IS NULL FROM m WHERE k % 3 = 0
+  UNION ALL SELECT k, 'm' || k, -k + 20000000000, 'key_reused', false FROM m WHERE k % 97 = 0)
+"""
+
+
+@query(f"WITH {_HANDED} SELECT * FROM a")
+def admitted_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change set as a target would take it, one operation after the other."""
+    target, changes = _handed_over(spark, sf_dir)
+    return admission.admit(changes, target, "k", "email", order="seq").select("k", "operation_id", "seq", "error", "replayed")
+
+
+@query(f"WITH {_HANDED} SELECT count(*) AS remembered, count(*) AS replayed, 0::BIGINT AS taken_again FROM a WHERE error IS NULL AND seq < 5000000000")
+def replayed_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change set that comes again as a whole after it was applied: the ledger knows what was taken, the rest is refused as before."""
+    target, changes = _handed_over(spark, sf_dir)
+    changes = changes.filter("seq < 5000000000")
+    seen = admission.admit(changes, target, "k", "email", order="seq")
+    ledger = admission.remembered(seen)
+    after = delivery.applied(target.withColumn("last_operation", F.lit(None).cast("string")), admission.to_apply(seen), "k", ["email"])
+    again = admission.admit(changes, after, "k", "email", ledger, order="seq")
+    counted = again.agg(F.count_if("replayed").alias("replayed"), F.count_if(F.col("error").isNull() & ~F.col("replayed")).alias("taken_again"))
+    return ledger.agg(F.count("*").alias("remembered")).join(counted)  # one row each
+
+
+@query("""
+WITH b AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_returnflag) AS flag, min(l_linestatus) AS st FROM lineitem GROUP BY ALL),
+o AS (SELECT k, n, CASE WHEN n % 3 <> 0 THEN flag END AS flag, st FROM b WHERE (k + n) % 5 <> 0),
+w AS (SELECT k, n, CASE WHEN k % 4 = 0 AND n = 1 THEN 'X' ELSE flag END AS flag, st FROM b WHERE (k + n) % 7 <> 0),
+c AS (SELECT DISTINCT k FROM o JOIN w USING (k, n) WHERE o.flag <> w.flag OR o.st <> w.st)
+SELECT coalesce(o.k, w.k) AS k, 'lines' AS collection, coalesce(o.n, w.n)::VARCHAR AS identity, CASE WHEN coalesce(o.k, w.k) IN (FROM c) THEN o.flag ELSE coalesce(o.flag, w.flag) END AS flag, CASE WHEN coalesce(o.k, w.k) IN (FROM c) THEN o.st ELSE coalesce(o.st, w.st) END AS st
+FROM o FULL JOIN w ON o.k = w.k AND o.n = w.n WHERE o.k IS NOT NULL OR w.k NOT IN (FROM c)
+""")
+def patched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target's items after a change set with patches of collections; records with a conflict in an item have none."""
+    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("st"))
+    cut = lambda rows, flag: rows.select("k", F.lit("lines").alias("collection"), F.col("n").cast("string").alias("identity"), flag.alias("flag"), "st")
+    old = cut(b.filter("(k + n) % 5 <> 0"), F.when(~_every("n", 3), F.col("flag")))
+    new = cut(b.filter("(k + n) % 7 <> 0"), F.when(_every("k", 4) & (F.col("n") == 1), "X").otherwise(F.col("flag")))
+    keys = b.select("k").distinct()
+    target = keys.withColumns({"name": F.lit("n"), "revision": F.lit(1)})
+    patches = delivery.collection_patches(old, new, "k", ["flag", "st"])
+    changes = delivery.change_set(keys.withColumn("outcome", F.lit("NO_CHANGE")), keys.withColumn("name", F.lit("n")), target, "k", ["name"], patches=patches)
+    return delivery.applied_items(old, changes, "k", ["flag", "st"])

@@ -58,3 +58,19 @@ class Steps:
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: A key is common from a HOT-th of all rows on, and from LEAST rows.
+HOT, LEAST = 1000, 2000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """rows joined with facts by the columns `on`. facts is a stored table with one row for each key of rows and, in `n`,
+    how many rows have it. Keys with more than a HOT-th of all rows, of which there are at most HOT, are broadcast, so
+    that no task gets all rows of a common key; the others are shuffled."""
+    limit = max((facts.agg(F.sum(n)).first()[0] or 0) // HOT, LEAST)
+    hot = facts.filter(F.col(n) > limit)
+    if hot.isEmpty():
+        return rows.join(facts, on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.filter(F.col(n) <= limit), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
