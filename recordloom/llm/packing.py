@@ -16,8 +16,11 @@ kept. Other columns are ignored, and an empty table gives an empty one. One docu
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,36 +34,65 @@ WINDOW, OPEN_WINDOWS, END = 2048, 32, 1
 FAN = 16
 #: Bytes of a token id; ids are unsigned and little-endian.
 WIDTH = 4
-#: Words that a Python worker remembers, and the longest of them.
-REMEMBERED, WORD_CHARS = 400_000, 64
+#: Pieces in a generation of those that a Python worker remembers, and the longest of them.
+REMEMBERED, PIECE_CHARS = 400_000, 64
+#: Characters that are their own normal form and have one lower case: ASCII, and the letters of Latin-1.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+#: Fixed value: the split pattern of the tokenizers that texts are cut for; they drop what it does not match.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: That pattern on plain characters in lower case. "<|" may begin one of its added tokens.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 _BATCH_BYTES = 4 << 20
 
 _words: dict[int, "Words"] = {}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def _splits_at_space(config: dict) -> bool:
+    """Whether a tokenizer is of the kind that PIECE is for. All others get whole texts."""
+    normal = [(n["type"], n.get("pattern"), n.get("content")) for n in (config.get("normalizer") or {}).get("normalizers", [])]
+    split = ((config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    dropping = (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
+    return dropping and normal == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+
+
 class Words(dict):
-    """The ids of each word, as bytes. Blanks, tabs and line ends take part in no token of this tokenizer's kind (its
-    split pattern drops white space, and its normalisation does not reach over it), so a text's ids are those of the
-    words between them, one after the other."""
+    """The ids of each piece of a text, as bytes. Such a tokenizer drops white space and gives every match of its split
+    pattern its own ids, whatever stands beside it, so a text's ids are those of its pieces, one after the other. In
+    texts of plain characters the pieces are matches of PIECE in lower case, by which words that differ in case or in
+    their punctuation share their letters; other texts are cut at blanks, tabs and line ends only, and the tokenizer
+    does the rest. Pieces are remembered in two generations of REMEMBERED, the older of which goes when the newer is full."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.by_piece = _splits_at_space(json.loads(tokenizer))
 
-    def __missing__(self, word: str) -> bytes:
-        ids = b"".join(i.to_bytes(WIDTH, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= WORD_CHARS:
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = _bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if len(piece) <= PIECE_CHARS:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
                 self[""] = b""
-            self[word] = ids
+            self[piece] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:
-        parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, parts))
+        text = text or ""
+        if not self.by_piece:
+            return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.__getitem__, PIECE.findall(text.lower())))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 def _words_of(tokenizer: str) -> Words:

@@ -217,3 +217,21 @@ def test_words_apart_have_the_ids_of_the_text(tokenizer, text):
     assert np.frombuffer(words.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
     text = f"<|endoftext|> {text}<|startoftext|> {text}"
     assert np.frombuffer(words.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_get_whole_texts(tokenizer):
+    from tokenizers import Tokenizer
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = packing.Words(open(path, encoding="utf-8").read())
+    text = " two  blanks\n\n and\tTabs 's 12"
+    assert not words.by_piece and packing._words_of(open(tokenizer, encoding="utf-8").read()).by_piece
+    assert np.frombuffer(words.ids(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_remembered_in_two_generations(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    words = packing.Words(open(tokenizer, encoding="utf-8").read())
+    text = "one two three four one five two six seven one"
+    assert np.frombuffer(words.ids(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids and len(words) <= 3
