@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from recordloom.functions import values
 from recordloom.functions.text import is_blank
+from recordloom.sources.versioned import Put, Snapshot, Store
 
 
 def resolved(requests: DataFrame, current: DataFrame, key: str = "issue_id") -> DataFrame:
@@ -23,6 +24,44 @@ def resolved(requests: DataFrame, current: DataFrame, key: str = "issue_id") ->
     return j.withColumn("outcome", out).drop("_k", "_v", "_s")
 
 
+REQUESTS = "issue_id string, version long, seq long, action string, value string"
+#: What is kept of a decision; at is the version of the store that its answer rests on.
+DECIDED = REQUESTS + ", outcome string, at long"
+
+
+def current_issues(snapshot: Snapshot) -> DataFrame:
+    """issue_id, status, version of a store's issues: those of the last computation, closed by the decisions since. A
+    closed issue's version is one higher."""
+    issues = snapshot.read("issues").select("issue_id", "status", F.col("version").cast("long").alias("version"))
+    won = snapshot.read("decisions", DECIDED).filter("outcome = 'resolved'").select("issue_id", (F.col("version") + 1).alias("_v"))
+    won = won.groupBy("issue_id").agg(F.max("_v").alias("_v"))
+    closed = F.col("_v") > F.col("version")
+    return issues.join(won, "issue_id", "left").select("issue_id", F.when(closed, "resolved").otherwise(F.col("status")).alias("status"), F.greatest("version", F.coalesce("_v", F.lit(0))).alias("version"))
+
+
+def decide(store: Store, requests: DataFrame, base: Snapshot | None = None, audit: DataFrame | None = None) -> Snapshot:
+    """Answers people's requests (REQUESTS) and commits the answers, and rows for the audit, in one version. Of two such
+    commits on one base the second raises Stale and is to be made again on what the first left, so a decision that
+    somebody else has taken meanwhile is answered as stale or noop. Decisions are only added; nothing is rewritten."""
+    base = base or store.latest()
+    names = [c.split()[0] for c in REQUESTS.split(", ")]
+    answers = resolved(requests.select(*names), current_issues(base), "issue_id").withColumn("at", F.lit(base.version).cast("long"))
+    changes = [Put("decisions", answers.select(*names, "outcome", "at"))]
+    if audit is not None:
+        changes.append(Put("audit", audit))
+    return store.commit(base, changes, ["issues", "decisions"])
+
+
+def recompute(store: Store, found: DataFrame) -> Snapshot:
+    """Replaces the issues by those of a new computation (issue_id); see `upserted`. Decisions taken meanwhile are read anew."""
+
+    def made(base: Snapshot):
+        old = current_issues(base) if "issues" in base else found.sparkSession.createDataFrame([], "issue_id string, status string, version long")
+        return [Put("issues", upserted(old, found, ["issue_id"]), whole=True)], ["issues", "decisions"]
+
+    return store.transact(made)
+
+
 def upserted(old: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, status, version of issues after a recomputation: found ones are open, with their version one higher if they had
     been superseded; resolved ones stay resolved; open ones that were not found again are superseded."""

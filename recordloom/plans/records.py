@@ -10,7 +10,9 @@ from recordloom.operators import admission, decisions, delivery, diff, infer, ma
 from recordloom.plans import contract as contracts
 from recordloom.plans import job
 from recordloom.plans.registry import query, table
+from recordloom.shipping import Steps
 from recordloom.sources import files
+from recordloom.sources.versioned import Store
 
 
 def _every(column: str, n: int):
@@ -554,3 +556,48 @@ def patched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     patches = delivery.collection_patches(old, new, "k", ["flag", "st"])
     changes = delivery.change_set(keys.withColumn("outcome", F.lit("NO_CHANGE")), keys.withColumn("name", F.lit("n")), target, "k", ["name"], patches=patches)
     return delivery.applied_items(old, changes, "k", ["flag", "st"])
+
+
+# versions
+
+
+def _log_of_decisions(spark: SparkSession, sf_dir: str) -> Store:
+    """An issue for each user, and the user's events as requests on its first version, in four commits. After the second
+    the issues are computed anew: those of every fifth user are not found again."""
+    e = table(spark, sf_dir, "events")
+    store = Store(spark, f"{Steps(spark).root}/store")
+    users = e.select(F.col("user_id").cast("string").alias("issue_id"), "user_id").distinct()
+    decisions.recompute(store, users)
+    for turn in range(4):
+        asked = e.filter(F.pmod("event_id", F.lit(4)) == turn).select(F.col("user_id").cast("string").alias("issue_id"), F.lit(1).cast("long").alias("version"), F.col("event_id").alias("seq"), F.col("event_type").alias("action"), F.lit(None).cast("string").alias("value"))
+        decisions.decide(store, asked)
+        if turn == 1:
+            decisions.recompute(store, users.filter(~_every("user_id", 5)))
+    return store
+
+
+_LOG = """
+e AS (SELECT event_id, user_id, event_id % 4 AS turn, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 4, event_id) AS n, min(event_id % 4) OVER (PARTITION BY user_id) AS first FROM events),
+g AS (SELECT DISTINCT user_id, first, first > 1 AND user_id % 5 = 0 AS gone FROM e)
+"""
+
+
+@query(f"WITH {_LOG} SELECT user_id::VARCHAR AS issue_id, event_id AS seq, CASE WHEN gone THEN 'noop' WHEN n = 1 THEN 'resolved' WHEN turn > e.first THEN 'noop' ELSE 'stale' END AS outcome, (1 + turn + (turn > 1)::INT)::BIGINT AS at FROM e JOIN g USING (user_id)")
+def decided_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of decisions, committed in versions that others can read."""
+    return _log_of_decisions(spark, sf_dir).latest().read("decisions").select("issue_id", "seq", "outcome", "at")
+
+
+@query(f"""
+WITH {_LOG}
+SELECT v::BIGINT AS store_version, count(*) FILTER (first > t AND NOT (gone AND v >= 4)) AS n_open, count(*) FILTER (first <= t) AS n_resolved, count(*) FILTER (gone AND v >= 4) AS n_superseded
+FROM g, (VALUES (1, -1), (2, 0), (3, 1), (4, 1), (5, 2), (6, 3)) x(v, t) GROUP BY v
+""")
+def issues_of_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the issues stood at every version of the store."""
+    store, found = _log_of_decisions(spark, sf_dir), None
+    for v in store.versions():
+        n = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("open", "resolved", "superseded")]
+        one = decisions.current_issues(store.at(v)).agg(*n).select(F.lit(v).cast("long").alias("store_version"), "n_open", "n_resolved", "n_superseded")
+        found = one if found is None else found.unionByName(one)
+    return found
