@@ -72,12 +72,16 @@ class Words(dict):
         super().__init__({"": b""})
         self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.by_piece = _splits_at_space(json.loads(tokenizer))
+        self.model, self.by_piece = self.tokenizer.model, _splits_at_space(json.loads(tokenizer))
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = _bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            if piece.isascii() and piece.isprintable() and piece == piece.lower() and PIECE.fullmatch(piece):
+                # nothing is left to normalise, to split or to map to bytes
+                ids = _bytes([t.id for t in self.model.tokenize(piece)])
+            else:
+                ids = _bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if len(piece) <= PIECE_CHARS:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
