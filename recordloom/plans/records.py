@@ -11,7 +11,7 @@ from recordloom.plans import contract as contracts
 from recordloom.plans import job
 from recordloom.plans.registry import query, table
 from recordloom.shipping import Steps
-from recordloom.sources import files
+from recordloom.sources import files, large_csv
 from recordloom.sources.versioned import Store
 
 
@@ -142,7 +142,7 @@ def job_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT (c_custkey // 100)::VARCHAR || '.csv' AS file, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) + 1 AS row_number, c_custkey, c_name, c_mktsegment FROM customer)
+WITH c AS (SELECT (c_custkey // 100)::VARCHAR || '.csv' AS file, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) AS row_number, c_custkey, c_name, c_mktsegment FROM customer)
 SELECT file, row_number::INT AS row_number, unnest([0, 1, 2]) AS col_index, unnest(['id', 'Name', 'id']) AS header, unnest([c_custkey::VARCHAR, ' ' || c_name || ', "x"', nullif(c_mktsegment, 'BUILDING')]) AS value FROM c
 """)
 def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -558,6 +558,27 @@ def patched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.applied_items(old, changes, "k", ["flag", "st"])
 
 
+# large files
+
+
+@query("""
+WITH c AS (SELECT c_custkey // 500 AS f, row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) AS record, * FROM customer)
+SELECT f, record, concat_ws('|', c_custkey::VARCHAR, c_name || chr(10) || '"' || c_mktsegment || '",' || CASE WHEN c_custkey % 7 = 0 THEN repeat(chr(10) || 'more', 40) ELSE '' END, 'a"b' || c_custkey) AS cells FROM c
+UNION ALL SELECT DISTINCT f, 0, 'id|note|stray' FROM c
+""")
+def records_of_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of CSV files that many tasks read each: fields with line ends, commas and quotes, some over many lines."""
+    c = table(spark, sf_dir, "customer").withColumn("f", F.expr("c_custkey div 500"))
+    more = F.when(_every("c_custkey", 7), F.lit("\nmore" * 40)).otherwise("")
+    note = F.concat(F.lit('"'), F.col("c_name"), F.lit('\n""'), F.col("c_mktsegment"), F.lit('"",'), more, F.lit('"'))
+    k = F.col("c_custkey").cast("string")
+    lines = c.select("f", "c_custkey", F.concat_ws(",", k, note, F.concat(F.lit('a"b'), k)).alias("value")).unionByName(c.select("f", F.lit(-1).alias("c_custkey"), F.lit("id,note,stray").alias("value")).distinct())
+    steps = Steps(spark)
+    lines.repartition("f").sortWithinPartitions("f", "c_custkey").select("f", "value").write.partitionBy("f").text(f"{steps.root}/files")
+    found = large_csv.records(spark, [f"{steps.root}/files"], steps)
+    return found.select(F.regexp_extract("file", "/f=([0-9]+)/", 1).cast("long").alias("f"), "record", F.array_join("cells", "|").alias("cells"))
+
+
 # versions
 
 

@@ -1,7 +1,8 @@
 """CSV and XLSX files as untyped cells with their provenance.
 
-Files are read whole, one task each, by the standard library: headers are kept by position, physical row numbers
-survive blank rows, and no value is coerced. For clean CSV files of any size `read_clean_csv` stays in the JVM.
+Files are read whole, one task each, by the standard library: headers are kept by position, rows are numbered from the
+one after the header on, blank ones counted, and no value is coerced. `large_csv.parse` reads CSV files of any size by
+many tasks; for clean ones `read_clean_csv` stays in the JVM.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from recordloom.shipping import python_ready
 
 #: Default limits: bytes of a file, rows of a table, files of a job.
 MAX_BYTES, MAX_ROWS, MAX_FILES = 5 << 20, 5000, 10
+#: Characters of a CSV field at most.
+FIELD_CHARS = 1 << 30
 CELLS = "file string, table_name string, headers array<string>, row_number int, cells array<string>, raw_types array<string>, issue string"
 _ARROW = pa.schema([("file", pa.string()), ("table_name", pa.string()), ("headers", pa.list_(pa.string())), ("row_number", pa.int32()), ("cells", pa.list_(pa.string())), ("raw_types", pa.list_(pa.string())), ("issue", pa.string())])
 
@@ -82,18 +85,19 @@ def _table(file: str, table: str, rows, max_rows: int) -> Iterator[dict]:
         if all(v is None or not v.strip() for v, _ in cells):
             continue
         if headers is None:
-            headers = [(v or "").strip() or f"column_{i}" for i, (v, _) in enumerate(cells)]
+            headers, first = [(v or "").strip() or f"column_{i}" for i, (v, _) in enumerate(cells)], number
             continue
         if len(out) == max_rows:
             yield _row(file, table, headers, None, [], [], f"more than {max_rows} rows")
             return
         cells = [*cells[: len(headers)], *[(None, "empty")] * (len(headers) - len(cells))]
-        out.append(_row(file, table, headers, number, [v if v else None for v, _ in cells], [k if v else "empty" for v, k in cells]))
+        out.append(_row(file, table, headers, number - first, [v if v else None for v, _ in cells], [k if v else "empty" for v, k in cells]))
     yield from out
 
 
 def _csv(content: bytes):
-    """(physical line of the record, cells). A BOM goes, undecodable bytes are replaced."""
+    """(number of the record in its file, cells). A BOM goes, undecodable bytes are replaced."""
+    csv.field_size_limit(FIELD_CHARS)
     reader = csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""))
     for number, row in enumerate(reader, 1):
         yield number, [(v, "text") for v in row]

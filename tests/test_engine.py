@@ -191,7 +191,7 @@ def test_csv_and_limits(spark, tmp_path):
     parsed = files.parse(files.file_list(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]), max_rows=5)
     a = [r for r in parsed.collect() if r["file"] == "a.csv"]
     assert a[0]["headers"] == ["ID", "Name", "id"] and [r["cells"] for r in a] == [["1", " x\ny", None], ["2", "b", "c"], ["3", "�", None]]
-    assert [r["row_number"] for r in a] == [2, 5, 6]
+    assert [r["row_number"] for r in a] == [1, 4, 5]
     assert [(r["file"], r["issue"]) for r in parsed.filter("issue is not null").collect()] == [("b.csv", "more than 5 rows")]
     assert files.duplicate_headers(parsed).first()["positions"] == [0, 2]
     for paths, limit in ((["x.txt"], 10), ([str(tmp_path / "a.csv")], 3), (["a.csv"] * 11, 10)):
@@ -292,7 +292,7 @@ def test_a_wide_job_with_collections_and_source_intelligence(spark, tmp_path):
     items = {(r["entity_key"], r["identity"]): r for r in out["items"].collect() if not r["identity"].startswith("~")}
     assert items["00", "tn1"]["conflicts"] == ["type"] and items["01", "tn2"]["invalid"] == ["type"] and {i for e, i in items if e == "03"} == {"aa", "bb", "cc"}
     assert {(r["entity_key"], r["issue"]) for r in out["issues"].collect()} == {("00", "collection_conflict"), ("01", "collection_item_invalid"), ("02", "collection_item_invalid"), (None, "orphan_child_row")}
-    assert [(r["n_orphans"], r["keys"], r["rows"]) for r in out["orphans"].collect()] == [(1, ["99"], [7])]
+    assert [(r["n_orphans"], r["keys"], r["rows"]) for r in out["orphans"].collect()] == [(1, ["99"], [6])]
     assert snapshots["03"]["collections"][0]["collection"] == "vehicles" and snapshots["05"]["collections"] is None
     steps.drop()
 
