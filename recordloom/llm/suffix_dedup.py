@@ -37,15 +37,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import Scratch, bucket_count, positioned, python_ready
+from recordloom.llm.common import Scratch, bucket_count, positioned, python_ready, spread_join
 
 LENGTH, GRAM = 100, 40
 #: Occurrences of an anchor hash from which its windows are grouped by hash.
 HOT = 1 << 16
 #: Suffixes sorted at once, and merged in one group on average.
 RUN, GROUP = 100_000, 100_000
-#: Keys sampled for the splitters, over all tasks.
-SAMPLE = 20_000
+#: Keys sampled for the splitters: so many, or so many for each group if that is more.
+SAMPLE, EACH = 20_000, 64
 #: Bytes of text whose windows are hashed at once.
 CHUNK = 1 << 19
 #: Members of an interval up to which they are compared in pairs.
@@ -165,20 +165,28 @@ def collapsed(items: list[tuple[bytes, int, int]], found: Rows) -> list[tuple[by
     return out
 
 
-def coded(run: list[tuple[bytes, int, int]]) -> dict[str, bytes]:
+def _sizes(length: int, gram: int) -> type:
+    """The type of key lengths: a key has length bytes from the anchor on, length - gram before it, and one for how many
+    the first are, which bounds length."""
+    if length > 255:
+        raise ValueError(f"length is at most 255, {length} was given")
+    return np.uint8 if 2 * length - gram < 255 else np.uint16
+
+
+def coded(run: list[tuple[bytes, int, int]], sizes: type = np.uint8) -> dict[str, bytes]:
     """A sorted run, front-coded."""
     keys = [k for k, _, _ in run]
     shared = shared_prefixes(keys)
     return {
-        "shared": np.array(shared, np.uint8).tobytes(), "lengths": np.array([len(k) for k in keys], np.uint8).tobytes(),
+        "shared": np.array(shared, sizes).tobytes(), "lengths": np.array([len(k) for k in keys], sizes).tobytes(),
         "rest": b"".join(k[s:] for k, s in zip(keys, shared, strict=True)), "docs": np.array([d for _, d, _ in run], np.int64).tobytes(), "places": np.array([p for _, _, p in run], np.int32).tobytes(),
     }
 
 
-def decoded(shared: bytes, lengths: bytes, rest: bytes, docs: bytes, places: bytes) -> list[tuple[bytes, int, int, int]]:
+def decoded(shared: bytes, lengths: bytes, rest: bytes, docs: bytes, places: bytes, sizes: type = np.uint8) -> list[tuple[bytes, int, int, int]]:
     """(key, shared with the key before, doc, position) of a run."""
     out, key, at = [], b"", 0
-    for s, n, d, p in zip(shared, lengths, np.frombuffer(docs, np.int64).tolist(), np.frombuffer(places, np.int32).tolist(), strict=True):
+    for s, n, d, p in zip(np.frombuffer(shared, sizes).tolist(), np.frombuffer(lengths, sizes).tolist(), np.frombuffer(docs, np.int64).tolist(), np.frombuffer(places, np.int32).tolist(), strict=True):
         key = key[:s] + rest[at : at + n - s]
         at += n - s
         out.append((key, s, d, p))
@@ -186,7 +194,7 @@ def decoded(shared: bytes, lengths: bytes, rest: bytes, docs: bytes, places: byt
 
 
 def _runs(splitters: list[bytes], length: int, gram: int, run_size: int):
-    names = ("shared", "lengths", "rest", "docs", "places")
+    names, sizes = ("shared", "lengths", "rest", "docs", "places"), _sizes(length, gram)
 
     def flush(items: list) -> Iterator[pa.RecordBatch]:
         found = Rows()
@@ -195,7 +203,7 @@ def _runs(splitters: list[bytes], length: int, gram: int, run_size: int):
         for item in run:
             cuts.setdefault(bisect_right(splitters, item[0][:gram]), []).append(item)
         for part, piece in cuts.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in coded(piece).items()}, **{k: pa.array([None], t) for k, t in (("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()))}})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in coded(piece, sizes).items()}, **{k: pa.array([None], t) for k, t in (("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()))}})
         if found.doc:
             table = joined(np.array(found.doc), np.array(found.start), np.array(found.end))
             n, kinds = len(table), {"doc": pa.int64(), "start": pa.int32(), "end": pa.int32()}
@@ -352,8 +360,10 @@ def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
 
 
 def _merge(length: int, gram: int):
+    sizes = _sizes(length, gram)
+
     def run(runs: pd.DataFrame) -> pd.DataFrame:
-        found = repeats(merged([decoded(*r) for r in runs[["shared", "lengths", "rest", "docs", "places"]].itertuples(index=False)]), length, gram)
+        found = repeats(merged([decoded(*r, sizes) for r in runs[["shared", "lengths", "rest", "docs", "places"]].itertuples(index=False)]), length, gram)
         return joined(np.array(found.doc, np.int64), np.array(found.start, np.int64), np.array(found.end, np.int64))
 
     return run
@@ -405,9 +415,27 @@ def _document(doc_id: str) -> list[Column]:
     return [F.xxhash64(F.col(doc_id).isNull(), doc_id, "h1").alias("k1"), F.xxhash64(F.lit(1), F.col(doc_id).isNull(), doc_id, "h2").alias("k2")]
 
 
+def _splitters(scratch: Scratch, sample: DataFrame, parts: int) -> list[bytes]:
+    """At most parts - 1 keys that cut a sample (g) in equal pieces. Spark sorts it; a count for each of its tasks and the
+    chosen keys are all that the driver gets."""
+    place = F.monotonically_increasing_id()
+    ordered = scratch.table(sample.orderBy("g").select("g", F.shiftright(place, 33).alias("task"), place.bitwiseAND((1 << 33) - 1).alias("at")), "sample")
+    counts = ordered.groupBy("task").count().orderBy("task").collect()
+    before, total = [], 0
+    for r in counts:
+        before.append((r["task"], total))
+        total += r["count"]
+    if not total:
+        return []
+    stride = max(1, total // parts)
+    numbered = ordered.join(F.broadcast(sample.sparkSession.createDataFrame(before, "task long, before long")), "task")  # a row for each task
+    return sorted({bytes(r["g"]) for r in numbered.filter((F.col("before") + F.col("at")) % stride == stride - 1).select("g").collect()})[: parts - 1]
+
+
 def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text", run_size: int = RUN, group_size: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """doc_id, h1, h2, n_bytes, sha256, first for every row (first: whether its id is the first with its text), and
     h1, h2, n_removed, starts, ends, kept_sha256, kept for the distinct texts that lose bytes in their first document."""
+    _sizes(length, gram)
     spark = docs.sparkSession
     python_ready(spark)
     scratch = Scratch(spark, "suffix-dedup")
@@ -425,9 +453,9 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     anchored = stored.select("doc_id", *_DOC, "text").mapInArrow(_anchored(length, gram), "doc_id long, k1 long, k2 long, at array<int>, hash array<long>")
     anchored = scratch.table(anchored.withColumn("row", F.monotonically_increasing_id()), "anchors")
     pairs = anchored.select("row", F.explode(F.arrays_zip("hash", "at")).alias("a")).select("row", F.col("a.hash").alias("hash"), F.col("a.at").alias("at"))
-    shared = scratch.table(pairs.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("hash", "x"), "shared")
+    shared = scratch.table(pairs.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     is_hot = F.col("n") > hot
-    kept = pairs.join(shared, F.col("hash") == F.col("x")).groupBy("row").agg(F.collect_list(F.when(~is_hot, F.col("at"))).alias("places"), F.collect_list(F.when(is_hot, F.col("at"))).alias("hot"))
+    kept = spread_join(pairs, shared, ["hash"]).groupBy("row").agg(F.collect_list(F.when(~is_hot, F.col("at"))).alias("places"), F.collect_list(F.when(is_hot, F.col("at"))).alias("hot"))
     ordered = anchored.select("row", "doc_id", *_DOC).orderBy(F.col("doc_id").asc_nulls_last(), *_DOC)
     ordered = scratch.table(ordered.withColumn("doc", F.monotonically_increasing_id()), "order")
     places = scratch.table(kept.join(ordered, "row").select("doc", "hot", "places", *_DOC), "places")
@@ -435,12 +463,10 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     work = scratch.bucketed(work, "work", n, *_DOC)
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(1, round(total / group_size))
-    sample = min(1.0, SAMPLE / max(total, 1))
-    keys = work.select("text", F.explode("places").alias("at")).filter(F.rand(3) < sample) if parts > 1 else None
     splitters: list[bytes] = []
-    if keys is not None:
-        grams = sorted(bytes(r["g"]) for r in keys.select(F.substring(F.encode("text", "UTF-8"), F.col("at") + 1, F.lit(gram)).alias("g")).collect())  # about SAMPLE rows
-        splitters = sorted({grams[i * len(grams) // parts] for i in range(1, parts)} if grams else [])
+    if parts > 1:
+        chosen = work.select("text", F.explode("places").alias("at")).filter(F.rand(3) < min(1.0, max(SAMPLE, EACH * parts) / total))
+        splitters = _splitters(scratch, chosen.select(F.substring(F.encode("text", "UTF-8"), F.col("at") + 1, F.lit(gram)).alias("g")), parts)
     schema = "part int, shared binary, lengths binary, rest binary, docs binary, places binary, doc long, start int, end int"
     runs = scratch.table(work.select("doc", "text", "places").mapInArrow(_runs(splitters, length, gram, run_size), schema), "runs")
     found = runs.filter("part is not null").select("part", "shared", "lengths", "rest", "docs", "places").groupBy("part").applyInPandas(_merge(length, gram), "doc long, start long, end long")

@@ -635,6 +635,18 @@ def test_suffix_dedup_removes_just_what_repeats(docs, rows, options, request):
     assert result(suffix_dedup.report(docs, **options)) == brute_suffix(rows, 100)
 
 
+@pytest.mark.parametrize("length", [60, 200, 255])
+def test_suffix_dedup_of_other_lengths(docs, rows, length, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "EACH", 3)
+    assert result(suffix_dedup.report(docs, length, group_size=60)) == brute_suffix(rows, length)
+
+
+def test_suffix_dedup_refuses_lengths_that_its_keys_cannot_hold(docs):
+    with pytest.raises(ValueError, match="at most 255"):
+        suffix_dedup.report(docs, 256)
+
+
 def test_suffix_dedup_of_nothing(empty):
     assert suffix_dedup.report(empty).count() == 0
 
