@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text
 from recordloom.operators import decisions as decided
-from recordloom.operators import infer, mapping, profile
+from recordloom.operators import infer, mapping, profile, value_plans
 from recordloom.plans.contract import Contract
 
 ACCEPTED = ("auto_accepted", "approved", "corrected")
@@ -55,17 +55,10 @@ def retired_codes(cells: DataFrame, profiles: Mapping[str, Sequence[Mapping]], d
 
 def value_maps(cells: DataFrame, wanted: Mapping[tuple[str, int], Sequence[str]], aliases: Mapping[tuple[str, int], Mapping], proposer: Callable | None = None, budget: int = infer.BUDGET) -> tuple[dict, dict]:
     """Value maps that a proposer gives for the values of enum columns that neither labels nor aliases know, and the values
-    that stay open. The whole distinct domain of each column is looked at; `budget` bounds what is asked for."""
-    maps, left = {}, {}
-    for (t, i), labels in wanted.items():
-        domain = cells.filter((F.col("table_id") == t) & (F.col("col_index") == i) & ~text.is_blank(F.col("value"))).groupBy("value").agg(F.count("*").alias("n"))
-        unknown = infer.enum_map(domain, labels, dict(aliases.get((t, i), {}))).filter("tier is null").select("value", "n")
-        accepted, open_, _ = infer.propose(unknown, labels, proposer or infer.lexical_proposer, budget)
-        if accepted:
-            maps[t, i] = accepted
-        if open_:
-            left[t, i] = open_
-    return maps, left
+    that stay open. The whole distinct domain of all columns is looked at at once; `budget` bounds what is asked for."""
+    if not wanted:
+        return {}, {}
+    return value_plans.maps(value_plans.plan(cells, wanted, aliases, proposer or infer.lexical_proposer, budget))
 
 
 def analyse(cells: DataFrame, decisions: Mapping[str, Sequence[mapping.Mapped]], contract: Contract, proposer: Callable | None = None, target_ids: DataFrame | None = None) -> Found:

@@ -150,14 +150,17 @@ def eligible(merged: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def column_issues(contributions: DataFrame, status: str = "unresolved") -> DataFrame:
-    """table_id, path, n_values, n_entities, values, ids: one issue per column and field, with the first values and ids."""
+    """table_id, path, n_values, n_entities, values, ids: one issue per column and field, with the first values and ids.
+    Counts and lists are made apart, so that of a column's values each task sends the first VALUES alone."""
     bad = contributions.filter(F.col("fv.status") == status).select("table_id", "path", "entity_key", F.col("raw").alias("value"))
-    per = bad.groupBy("table_id", "path", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("table_id", "path")
-    top = per.withColumn("place", F.row_number().over(w.orderBy(F.col("n").desc(), "value"))).groupBy("table_id", "path").agg(F.count("*").alias("n_values"), F.array_sort(F.collect_list(F.when(F.col("place") <= VALUES, F.col("value")))).alias("values"))
-    who = bad.select("table_id", "path", "entity_key").distinct().withColumn("place", F.row_number().over(w.orderBy("entity_key")))
-    who = who.groupBy("table_id", "path").agg(F.count("*").alias("n_entities"), F.array_sort(F.collect_list(F.when(F.col("place") <= IDS, F.col("entity_key")))).alias("ids"))
-    return top.join(who, ["table_id", "path"])
+    at, w = ["table_id", "path"], Window.partitionBy("table_id", "path")
+    per = bad.groupBy(*at, "value").agg(F.count("*").alias("n"))
+    who = bad.select(*at, "entity_key").distinct()
+    first = lambda rows, order, most: rows.withColumn("place", F.row_number().over(w.orderBy(*order))).filter(F.col("place") <= most)
+    values_ = first(per, [F.col("n").desc(), "value"], VALUES).groupBy(*at).agg(F.array_sort(F.collect_list("value")).alias("values"))
+    ids = first(who, ["entity_key"], IDS).groupBy(*at).agg(F.array_sort(F.collect_list("entity_key")).alias("ids"))
+    counts = per.groupBy(*at).agg(F.count("*").alias("n_values")).join(who.groupBy(*at).agg(F.count("*").alias("n_entities")), at)
+    return counts.join(values_, at).join(ids, at).select(*at, "n_values", "values", "n_entities", "ids")
 
 
 def snapshots(merged: DataFrame, paths: Sequence[str]) -> DataFrame:

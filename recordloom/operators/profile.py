@@ -74,6 +74,10 @@ def profile(long: DataFrame) -> DataFrame:
     )
 
 
+#: Distinct values of a column with a domain, in any case and if values repeat, and characters shown.
+FEW, MANY, DOMAIN_CUT = 12, 50, 120
+
+
 def raw_types(long: DataFrame) -> DataFrame:
     """Rows of each raw type per column."""
     return long.groupBy("table_id", "col_index", values.raw_type(F.col("value")).alias("raw_type")).agg(F.count("*").alias("n"))
@@ -88,6 +92,16 @@ def value_domain(long: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked if limit is None else ranked.filter(F.col("place") <= limit)
 
 
+def low_cardinality_domains(long: DataFrame) -> DataFrame:
+    """table_id, col_index, place, value (cut), n of columns with few values: at most FEW, or up to MANY if half of the
+    filled cells or more repeat one. Others have no domain; whether a column has one is counted before any value is ranked."""
+    counts = long.filter(~text.is_blank(F.col("value"))).groupBy("table_id", "col_index", "value").agg(F.count("*").alias("n"))
+    d = counts.groupBy("table_id", "col_index").agg(F.count("*").alias("distinct"), F.sum("n").alias("filled"))
+    few = d.filter((F.col("distinct") <= MANY) & ((F.col("distinct") <= FEW) | (2 * F.col("distinct") <= F.col("filled")))).select("table_id", "col_index")
+    ranked = value_domain(long.join(few, ["table_id", "col_index"], "left_semi"), MANY)
+    return ranked.select("table_id", "col_index", "place", text.truncate(F.col("value"), DOMAIN_CUT).alias("value"), "n")
+
+
 def representative(long: DataFrame) -> DataFrame:
     """Per column: the most and least common, the shortest and longest value, and the samples: these, then the
     smallest others, five in all. Ties go to the smaller value; the least common with ties to the larger count order."""

@@ -143,6 +143,12 @@ def run(cells: DataFrame, contract: Contract, reference_date: str, decisions: Da
     choices = choices or Choices(date_orders(cells, mapped, contract))
     child = [t for t, ms in mapped.items() if mapping.table_role(ms) == "child"]
     all_ = steps.table(contributions(cells, mapped, contract, reference_date, choices), "contributions")
+    return evaluate(all_, contract, child, steps, decisions)
+
+
+def evaluate(all_: DataFrame, contract: Contract, child: Sequence[str], steps: Steps, decisions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What `run` returns, from contributions. child names the tables of child rows. The contributions of some entities
+    alone give what all give for these, if they hold every entity that shares an address with one of them."""
     scalar = all_.filter(~F.col("path").contains("[].") & ~F.col("table_id").isin(child))
     sources = steps.table(prepare.merge_fields(scalar), "sources")
     rows = all_.filter(F.col("path").contains("[]."))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import dates, text, values
-from recordloom.operators import admission, decisions, delivery, diff, infer, mapping, metrics, prepare, profile, versions
+from recordloom.operators import admission, decisions, delivery, diff, infer, mapping, metrics, prepare, profile, value_plans, versions
 from recordloom.plans import contract as contracts
-from recordloom.plans import job
+from recordloom.plans import incremental, job
 from recordloom.plans.registry import query, table
 from recordloom.shipping import Steps
 from recordloom.sources import files, large_csv
@@ -622,3 +622,69 @@ def issues_of_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = decisions.current_issues(store.at(v)).agg(*n).select(F.lit(v).cast("long").alias("store_version"), "n_open", "n_resolved", "n_superseded")
         found = one if found is None else found.unionByName(one)
     return found
+
+
+# columns with few values, value plans, records in versions
+
+
+@query("""
+WITH l AS (SELECT 'p' AS t, 0 AS i, p_brand AS v FROM part UNION ALL SELECT 'p', 1, p_type FROM part UNION ALL SELECT 'p', 2, p_name FROM part UNION ALL SELECT 'p', 3, (p_partkey % 40)::VARCHAR FROM part UNION ALL SELECT 'p', 4, repeat((p_partkey % 3)::VARCHAR, 130) FROM part),
+c AS (SELECT t, i, v, count(*) AS n FROM l WHERE trim(v) <> '' GROUP BY ALL),
+d AS (SELECT t, i FROM c GROUP BY t, i HAVING count(*) <= 50 AND (count(*) <= 12 OR 2 * count(*) <= sum(n)))
+SELECT t AS table_id, i AS col_index, row_number() OVER (PARTITION BY t, i ORDER BY n DESC, v)::INT AS place, CASE WHEN length(v) > 120 THEN v[1:120] || '…' ELSE v END AS value, n FROM c SEMI JOIN d USING (t, i)
+""")
+def low_cardinality_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    columns = [F.col("p_brand"), F.col("p_type"), F.col("p_name"), F.pmod("p_partkey", F.lit(40)).cast("string"), F.repeat(F.pmod("p_partkey", F.lit(3)).cast("string"), F.lit(130))]
+    cells = F.array(*(F.struct(F.lit(i).alias("col_index"), c.alias("value")) for i, c in enumerate(columns)))
+    return profile.low_cardinality_domains(p.select(F.lit("p").alias("table_id"), F.inline(cells)))
+
+
+def _kinds_of_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict, dict]:
+    """Two columns of one kind and one of another: segments in several spellings with words around some, and priorities."""
+    c = table(spark, sf_dir, "customer")
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    spelt = F.when(_every("c_custkey", 4), F.lower(seg)).when(F.pmod(k, F.lit(4)) == 1, F.concat(F.lit("team_"), seg)).when(F.pmod(k, F.lit(4)) == 2, F.concat(F.lit("x"), F.pmod(k, F.lit(10)).cast("string"))).otherwise(seg)
+    one = c.select(F.lit("a").alias("table_id"), F.lit(0).alias("col_index"), spelt.alias("value")).unionByName(c.select(F.lit("b"), F.lit(3), F.initcap(spelt)).toDF("table_id", "col_index", "value"))
+    o = table(spark, sf_dir, "orders").select(F.lit("o"), F.lit(1), F.col("o_orderpriority")).toDF("table_id", "col_index", "value")
+    labels = ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"]
+    return one.unionByName(o), {("a", 0): labels, ("b", 3): labels, ("o", 1): ["urgent", "high"]}, {("o", 1): {"high": ["2-HIGH"]}}
+
+
+@query("""
+WITH c AS (SELECT CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN 'team_' || c_mktsegment WHEN 2 THEN 'x' || (c_custkey % 10) ELSE c_mktsegment END AS v, CASE WHEN c_custkey % 4 <> 2 THEN c_mktsegment END AS s, c_custkey % 4 AS f FROM customer),
+d AS (SELECT 'a' AS table_id, 0 AS col_index, v AS value, s, f FROM c UNION ALL SELECT 'b', 3, CASE f WHEN 1 THEN 'Team_' || lower(s) ELSE upper(v[1]) || lower(v[2:]) END, s, f FROM c),
+o AS (SELECT 'o' AS table_id, 1 AS col_index, o_orderpriority AS value, CASE WHEN o_orderpriority = '2-HIGH' THEN 'high' WHEN o_orderpriority = '1-URGENT' THEN 'urgent' END AS label, CASE WHEN o_orderpriority = '2-HIGH' THEN 2 WHEN o_orderpriority = '1-URGENT' THEN 3 END AS tier FROM orders)
+SELECT table_id, col_index, value, count(*) AS n, s AS label, CASE WHEN f IN (0, 3) THEN 1 WHEN f = 1 THEN 3 END AS tier FROM d GROUP BY ALL
+UNION ALL SELECT table_id, col_index, value, count(*), label, tier FROM o GROUP BY ALL
+""")
+def planned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, wanted, aliases = _kinds_of_values(spark, sf_dir)
+    return value_plans.plan(cells, wanted, aliases).values
+
+
+def _kept_records(spark: SparkSession, sf_dir: str) -> Store:
+    """Customers as staff in a store of versions: then a file of names that differ for some, and one of new people with
+    addresses that others have; then the file of names is taken away."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    mail = lambda k: F.concat(F.lit("u"), k.cast("string"), F.lit("@x.org"))
+    of = lambda rows, f, columns: _cells(rows, f"{f}#{f}", "c_custkey", columns).withColumn("file", F.lit(f))
+    staff = of(c, "staff.csv", {"Emp ID": k, "Full Name": F.col("c_name"), "Work Email": mail(k), "Hire Date": F.lit("2020-03-31")})
+    names = of(c.filter(_every("c_custkey", 25)), "names.csv", {"Emp ID": k, "Full Name": F.concat(F.col("c_name"), F.lit(" jr"))})
+    new = of(c.filter(_every("c_custkey", 10)), "new.csv", {"Emp ID": F.concat(F.lit("n"), k.cast("string")), "Full Name": F.col("c_name"), "Work Email": F.upper(mail(k + 1)), "Hire Date": F.lit("2020-03-31")})
+    store = Store(spark, f"{Steps(spark).root}/store")
+    terms = contracts.load()
+    incremental.update(store, terms, "2025-01-01", staff)
+    incremental.update(store, terms, "2025-01-01", names.unionByName(new))
+    incremental.update(store, terms, "2025-01-01", removed=["names.csv"])
+    return store
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, k + 1 IN (SELECT c_custkey FROM customer) AS followed FROM customer), h AS (
+  SELECT 1 AS "at", 'added' AS change FROM c UNION ALL SELECT 2, 'removed' FROM c WHERE k % 25 = 0 OR k % 10 = 1 UNION ALL SELECT 2, 'added' FROM c WHERE k % 10 = 0 AND NOT followed UNION ALL SELECT 3, 'added' FROM c WHERE k % 25 = 0)
+SELECT "at"::BIGINT AS "at", change, count(*) AS n FROM h GROUP BY ALL
+""")
+def changed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of snapshots when files come and go: only what they touch changes."""
+    return _kept_records(spark, sf_dir).latest().read("history").groupBy("at", "change").agg(F.count("*").alias("n"))
