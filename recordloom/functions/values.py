@@ -147,3 +147,28 @@ def field_value(c: Column, kind: Column, *, order: Column, rules: Mapping[str, C
         .when(kind == "phone", plain("phone", phone(c))).when(kind == "number", plain("number", number(c))).when(kind == "boolean", plain("boolean", flag)).otherwise(plain("string", t))
     )
     return found
+
+
+def _product(a: Column, b: float) -> tuple[Column, Column]:
+    """a * b as the nearest double and what that lacks, exactly: each factor is split in two halves of 26 bits whose
+    products have no rounding."""
+    split = float(2**27 + 1)
+    p = a * F.lit(b)
+    a_high = a * split - (a * split - a)
+    b_high = b * split - (b * split - b)
+    a_low, b_low = a - a_high, b - b_high
+    return p, ((a_high * F.lit(b_high) - p) + a_high * F.lit(b_low) + a_low * F.lit(b_high)) + a_low * F.lit(b_low)
+
+
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded to so many places (0 to 8) by its exact binary value, ties to the even digit: 2.675 is a little under
+    the tie and gives 2.67, 0.0625 is one and gives 0.062. Doubles from 2^52 / 10^places on have no more places and stay,
+    and so do infinities and NaN."""
+    scale = float(10**places)
+    x = x.cast("double")
+    p, lacks = _product(x, scale)
+    whole = F.floor(p).cast("double")
+    part = p - whole
+    up = (part > 0.5) | (part == 0.5) & ((lacks > 0) | (lacks == 0) & (F.pmod(whole, F.lit(2.0)) == 1))
+    out = (whole + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+    return F.when(F.abs(x) < 2.0**52 / scale, F.when((x < 0) & (out == 0), F.lit(-0.0)).otherwise(out)).otherwise(x)

@@ -70,19 +70,20 @@ def update(store: Store, contract: Contract, reference_date: str, cells: DataFra
     """Takes in the cells of some files (file, table_id, row_number, col_index, header, value), whole files each, and drops
     others; commits a version. A store keeps at least one file."""
     spark = store.spark
-    steps = Steps(spark)
-    held = steps.table(cells, "cells") if cells is not None else None
-    names = [r["file"] for r in held.select("file").distinct().collect()] if held is not None else []  # the files of a batch
-    made = []
-    for k, name in enumerate(names):
-        own = held.filter(F.col("file") == name).drop("file")
-        made.append(Put("contributions", steps.table(_contributed(own, contract, reference_date), f"contributions-{k}"), key=name))
+    steps, made, new = Steps(spark), [], None
+    if cells is not None:
+        held = steps.table(cells, "cells")
+        of = steps.table(held.select("file", "table_id").distinct(), "files")
+        new = steps.table(_contributed(held.drop("file"), contract, reference_date).join(small(of), "table_id"), "contributions")
+        made = [Put("contributions", new.filter(F.col("file") == r["file"]).drop("file"), key=r["file"]) for r in of.select("file").distinct().collect()]  # the files of a batch
+        new = new.drop("file")
+    names = [put.key for put in made]
 
     def changes(base: Snapshot) -> tuple[list[Put | Drop], list[str]]:
         before = {key for key, _ in base.parts("contributions")}
         if not names and before <= set(removed):
             raise ValueError("a store keeps at least one file")
-        return _changes(spark, base, made, [*names, *removed], contract), ["contributions", "state"]
+        return _changes(spark, base, new, [*names, *removed], contract), ["contributions", "state"]
 
     drops = [Drop("contributions", name) for name in removed]
     found = store.transact(lambda base: ((c := changes(base))[0] + made + drops, c[1]))
@@ -90,11 +91,8 @@ def update(store: Store, contract: Contract, reference_date: str, cells: DataFra
     return found
 
 
-def _changes(spark: SparkSession, base: Snapshot, made: Sequence[Put], gone: Sequence[str], contract: Contract) -> list[Put]:
+def _changes(spark: SparkSession, base: Snapshot, new: DataFrame | None, gone: Sequence[str], contract: Contract) -> list[Put]:
     steps, at = Steps(spark), base.version + 1
-    new = None
-    for put in made:
-        new = put.rows if new is None else new.unionByName(put.rows)
     # a version's folders are known by their keys
     staying = [f"{base.root}/data/{folder}" for key, folder in base.parts("contributions") if key not in gone]
     going = [f"{base.root}/data/{folder}" for key, folder in base.parts("contributions") if key in gone]
@@ -113,7 +111,7 @@ def _changes(spark: SparkSession, base: Snapshot, made: Sequence[Put], gone: Seq
     dirty = steps.table(touched.unionByName(near).distinct(), "dirty")
     own = steps.table(rows.join(small(dirty), "entity_key", "left_semi"), "own")
     child = [r["table_id"] for r in own.filter("role = 'child'").select("table_id").distinct().collect()]  # tables of child rows
-    out = job.evaluate(own.drop("role"), contract, child, steps)
+    out = job.evaluate(own.drop("role"), contract, child, steps, columns=False)
     mail = out["merged"].filter((F.col("path") == EMAIL) & (F.col("status") == "resolved")).select("entity_key", F.lower("value").alias("email"))
     state = dirty.join(out["eligibility"].select("entity_key", "eligibility"), "entity_key", "left").join(mail, "entity_key", "left").join(out["snapshots"], "entity_key", "left")
     fields = [c for c in out["snapshots"].columns if c not in ("entity_key", "record_hash")]

@@ -146,9 +146,10 @@ def run(cells: DataFrame, contract: Contract, reference_date: str, decisions: Da
     return evaluate(all_, contract, child, steps, decisions)
 
 
-def evaluate(all_: DataFrame, contract: Contract, child: Sequence[str], steps: Steps, decisions: DataFrame | None = None) -> dict[str, DataFrame]:
+def evaluate(all_: DataFrame, contract: Contract, child: Sequence[str], steps: Steps, decisions: DataFrame | None = None, columns: bool = True) -> dict[str, DataFrame]:
     """What `run` returns, from contributions. child names the tables of child rows. The contributions of some entities
-    alone give what all give for these, if they hold every entity that shares an address with one of them."""
+    alone give what all give for these, if they hold every entity that shares an address with one of them; issues of
+    whole columns, which they do not give, are left out without `columns`."""
     scalar = all_.filter(~F.col("path").contains("[].") & ~F.col("table_id").isin(child))
     sources = steps.table(prepare.merge_fields(scalar), "sources")
     rows = all_.filter(F.col("path").contains("[]."))
@@ -164,7 +165,8 @@ def evaluate(all_: DataFrame, contract: Contract, child: Sequence[str], steps: S
     e = steps.table(prepare.eligible(merged, found), "eligibility")
     kept = e.filter("eligibility = 'eligible'").select("entity_key")
     whole = prepare.whole_snapshots(merged.join(kept, "entity_key", "left_semi"), [f.path for f in contract.fields], prepare.item_entries(items), ["values"])
-    return {
+    more = {"column_issues": steps.table(prepare.column_issues(scalar), "column_issues")} if columns else {}
+    return more | {
         "contributions": all_, "merged": merged, "items": items, "orphans": orphans, "issues": found, "eligibility": e,
-        "column_issues": steps.table(prepare.column_issues(scalar), "column_issues"), "snapshots": steps.table(whole, "snapshots"),
+        "snapshots": steps.table(whole, "snapshots"),
     }

@@ -688,3 +688,10 @@ SELECT "at"::BIGINT AS "at", change, count(*) AS n FROM h GROUP BY ALL
 def changed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history of snapshots when files come and go: only what they touch changes."""
     return _kept_records(spark, sf_dir).latest().read("history").groupBy("at", "change").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, printf('%.3f', p_size / 16.0::DOUBLE)::DOUBLE AS r3, printf('%.4f', p_retailprice / p_size)::DOUBLE AS r4 FROM part WHERE p_size > 0")
+def rounded_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios rounded by their exact binary values; sixteenths are ties."""
+    p = table(spark, sf_dir, "part").filter("p_size > 0")
+    return p.select("p_partkey", values.rounded(F.col("p_size") / 16, 3).alias("r3"), values.rounded(F.col("p_retailprice") / F.col("p_size"), 4).alias("r4"))

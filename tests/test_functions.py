@@ -94,3 +94,15 @@ def test_normalize(spark):
     assert fv("03/04/2024", "date")["reason"] == "ambiguous_date"
     assert fv("3/4/55", "date", order="MDY", rules={"min_year": 1950}, transform_date=True)["reason"] == "ambiguous_century"
     assert fv("red; BLUE", "multiselect", labels=("Red", "Blue"))["value"] == '["Red","Blue"]'
+
+
+def test_rounding_is_that_of_exact_values(spark):
+    import random
+
+    rng = random.Random(6)
+    xs = [0.0625, 2.675, 0.0005, 0.5, 1.5, 2.5, -2.5, -0.0005, -0.0001, 0.0, 1e300, -1e17, 123456.7895, 1.0005, 1.0015, 8.5 / 1000, float("inf")]
+    xs += [rng.randrange(5000) / rng.randint(1, 5000) for _ in range(2000)] + [(2 * rng.randrange(10**6) + 1) / 2000 for _ in range(500)] + [k / 2**rng.randint(1, 20) for k in range(500)]
+    frame = spark.createDataFrame([(x,) for x in xs], "x double")
+    for places in (0, 3, 4, 6):
+        found = frame.select("x", values.rounded(F.col("x"), places).alias("r")).collect()
+        assert [(r["x"], r["r"]) for r in found if r["r"] != (round(r["x"], places) if abs(r["x"]) != float("inf") else r["x"])] == []
