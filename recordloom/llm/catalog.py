@@ -93,13 +93,16 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents arrive at once and the others in four arrivals, by a hash of their ids."""
     docs = read_table(spark, sf_dir, "documents")
-    rows = sharding.stored(docs, f"{Scratch(spark, 'sharding').root}/store")
-    return rows.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "counted", "fits")
+    digit = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 1)
+    arrivals = [digit < "8", *(digit.isin(*pair) for pair in ("89", "ab", "cd", "ef"))]
+    rows = sharding.stored(docs, f"{Scratch(spark, 'sharding').root}/store", arrivals=arrivals)
+    return rows.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "counted", "fits", "open")
 
 
-#: Every row, in a shard whose manifest counts it and whose size keeps the rule.
-OP6_SQL = "SELECT doc_id, source, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256, true AS counted, true AS fits FROM documents"
+#: Every row, in a shard whose manifest counts it, whose size keeps the rule, and whose tier is not due.
+OP6_SQL = "SELECT doc_id, source, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256, true AS counted, true AS fits, true AS open FROM documents"
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

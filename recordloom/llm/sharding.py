@@ -20,8 +20,9 @@ that the table does not have.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import column, delete, free_name, small
@@ -133,7 +134,7 @@ class ShardStore:
         """The runs to merge with each other."""
         runs = self.manifest().groupBy("run").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n"))
         small_files = (F.col("n") > 1) & (F.col("bytes") / F.col("n") < self.target / 2) & (F.col("n") > F.ceil(F.col("bytes") / self.target))
-        tier = F.floor(F.log(float(self.fan_in), F.greatest(F.col("bytes"), F.lit(1)).cast("double")))
+        tier = self._tier(F.col("bytes"))
         # a row for each run that is not settled: some for each tier
         rows = runs.select("run", tier.alias("tier"), small_files.alias("small")).filter(F.col("small") | (F.col("bytes") < SETTLED * self.target)).collect()
         groups: dict[int, list] = {}
@@ -200,29 +201,41 @@ class ShardStore:
         return read.select(*map(column, schema.names), F.concat_ws("/", F.lit("data"), F.element_at(path, -2), F.element_at(path, -1)).alias(name))
 
     def audit(self, schema, version: int | None = None) -> DataFrame:
-        """shard, counted, fits of each shard in the manifest: whether the rows that it holds are as many as the manifest
-        says, and whether its size keeps the rule for merged files."""
+        """shard, counted, fits, open of each shard in the manifest: whether the rows that it holds are as many as the manifest
+        says; whether its size keeps the rule for merged files, which is two targets at most and, but for one shard of
+        a run, half a target at least; and whether its run's tier holds fewer than fan_in runs."""
         read = self.read(schema, version)
         shard = read.columns[-1]
         held = read.groupBy(F.col(shard).alias("s")).agg(F.count("*").alias("held"))
-        live = self.manifest(version).join(held, F.col("shard") == F.col("s"), "left")
-        return live.select("shard", (F.coalesce("held", F.lit(0)) == F.col("n_rows")).alias("counted"), (F.col("n_bytes") <= 2 * self.target).alias("fits"))
-
-
-def compacted(rows: DataFrame, root: str, target: int = 128 << 20, fan_in: int = 4, max_rows: int = 8192) -> tuple[ShardStore, DataFrame]:
-    """Appends rows as one arrival, compacts, removes what was merged away, and reads the last version."""
+        live = self.manifest(version)
+        runs = live.groupBy("run").agg(F.count_if(F.col("n_bytes") < self.target / 2).alias("small"), self._tier(F.sum("n_bytes")).alias("run_tier"))
+        runs = runs.join(runs.groupBy("run_tier").agg(F.count("*").alias("in_tier")), "run_tier")  # a row for each run that is not settled, and few more
+        live = live.join(runs, "run").join(held, F.col("shard") == F.col("s"), "left")
+        fits = (F.col("n_bytes") <= 2 * self.target) & ((F.col("n_bytes") >= self.target / 2) | (F.col("small") <= 1))
+        settled = self._tier(F.lit(SETTLED * self.target))
+        return live.select("shard", (F.coalesce("held", F.lit(0)) == F.col("n_rows")).alias("counted"), fits.alias("fits"), ((F.col("in_tier") < self.fan_in) | (F.col("run_tier") >= settled)).alias("open"))
+
+    def _tier(self, n_bytes: Column) -> Column:
+        """The power of fan_in that a run's size is at."""
+        return F.floor(F.log(float(self.fan_in), F.greatest(n_bytes, F.lit(1)).cast("double")))
+
+
+def compacted(rows: DataFrame, root: str, target: int = 128 << 20, fan_in: int = 4, max_rows: int = 8192, arrivals: Sequence[Column] = ()) -> tuple[ShardStore, DataFrame]:
+    """Appends rows as one arrival, or as one for each of some conditions of which every row meets one; compacts, removes
+    what was merged away, and reads the last version."""
     store = ShardStore(rows.sparkSession, root, target, fan_in, max_rows)
-    store.append(rows)
+    for arrival in arrivals or [F.lit(True)]:
+        store.append(rows.filter(arrival))
     store.compact(rows.schema)
     store.vacuum()
     return store, store.read(rows.schema)
 
 
 def stored(rows: DataFrame, root: str, **options) -> DataFrame:
-    """The rows as compacted reads them, with `counted` and `fits` of their shard (named apart from the rows' columns)."""
+    """The rows as compacted reads them, with `counted`, `fits` and `open` of their shard (named apart from the rows'
+    columns)."""
     store, read = compacted(rows, root, **options)
     facts = small(store.audit(rows.schema), BROADCAST_ROWS)
-    shard = read.columns[-1]
-    counted, fits = (free_name(x, read.columns) for x in ("counted", "fits"))
-    facts = facts.select(F.col("shard").alias("shard of facts"), F.col("counted").alias(counted), F.col("fits").alias(fits))
+    shard, names = read.columns[-1], ("counted", "fits", "open")
+    facts = facts.select(F.col("shard").alias("shard of facts"), *(F.col(x).alias(free_name(x, read.columns)) for x in names))
     return read.join(facts, column(shard) == F.col("`shard of facts`"), "left").drop("shard of facts")

@@ -505,6 +505,24 @@ def test_tiers_are_merged_and_big_runs_stay(spark, docs, monkeypatch):
     assert store.due() == []
 
 
+def test_arrivals_fill_tiers_that_are_merged(spark, docs, rows):
+    """Five arrivals, four of them of about one size; what is in the store and how it stands."""
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(8))
+    arrivals = [part < 4, *(part == k for k in (4, 5, 6, 7))]
+    store, read = sharding.compacted(docs, new_root(spark), target=1 << 20, max_rows=3, arrivals=arrivals)
+    assert Counter(r["doc_id"] for r in read.collect()) == Counter(r[0] for r in rows)
+    runs = store.manifest().groupBy("run").count().collect()
+    assert store.version() >= 6 and len(runs) <= 5 and store.due() == []  # five appends and a merge at least
+    facts = store.audit(docs.schema)
+    assert facts.filter("counted and fits and open").count() == facts.count()
+    # the rules fail where they should: small files of one run, and a tier that is due
+    small = sharding.ShardStore(spark, new_root(spark), target=1 << 20, fan_in=2, max_rows=3)
+    for _ in range(2):
+        small.append(docs)
+    told = small.audit(docs.schema)
+    assert told.filter("counted and not fits and not open").count() == told.count() > 2
+
+
 def test_of_two_writers_of_a_version_one_wins(spark, docs):
     from concurrent.futures import ThreadPoolExecutor
 
@@ -536,7 +554,7 @@ def test_of_two_writers_of_a_version_one_wins(spark, docs):
 def test_shards_with_clashing_columns(spark):
     d = spark.createDataFrame([(1, "a", "x", True), (2, None, "y", None)], "doc_id long, _shard string, `a.b` string, counted boolean")
     got = sharding.stored(d, new_root(spark))
-    assert got.columns == [*d.columns, "_shard_1", "counted_1", "fits"]
+    assert got.columns == [*d.columns, "_shard_1", "counted_1", "fits", "open"]
     assert result(got.select("doc_id", "_shard", "`a.b`", "counted")) == result(d)
     assert got.filter("NOT counted_1 OR NOT fits").count() == 0
 
