@@ -27,6 +27,8 @@ THRESHOLD = 0.8
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Most words of templates, or candidates, that are sent to all executors.
 BROADCAST_ROWS = 200_000
+#: Most places of candidates, of some 20 bytes each, that are sent with them.
+BROADCAST_PLACES = 1_000_000
 
 
 def _places(text: Column, n_words: Column, phrase: str) -> Column:
@@ -81,7 +83,10 @@ def matches(rows: DataFrame, templates: DataFrame, scratch: Scratch) -> DataFram
     found = scratch.table(found.select("row", "template", "line", "k", (F.col("in_line") >= F.col("need")).alias("whole")).distinct(), "candidates")
     # a text's own places, which are at most its words
     found = found.groupBy("row", "template").agg(F.collect_set(F.when(F.col("whole"), F.col("line"))).alias("whole"), F.collect_list(F.struct("line", "k")).alias("places"))
-    found = small(scratch.table(found, "texts"), BROADCAST_ROWS)
+    found = scratch.table(found, "texts")
+    n_texts, n_places = found.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    if n_texts <= BROADCAST_ROWS and n_places <= BROADCAST_PLACES:
+        found = F.broadcast(found)
     both = found.join(rows.select("row", "lines"), "row").join(small(templates, BROADCAST_ROWS), "template")
     share = lambda n: n / F.size("words")
     lines = F.array_max(F.transform("whole", lambda at: F.size(F.array_intersect(F.element_at("lines", at + 1), "words"))))
@@ -90,7 +95,7 @@ def matches(rows: DataFrame, templates: DataFrame, scratch: Scratch) -> DataFram
     # places less than two lengths apart are looked at together
     start = lambda p, i: (i == 0) | (p >= F.element_at("at", F.greatest(i, F.lit(1))) + 2 * F.col("length"))
     first = F.filter("at", start)
-    last = F.concat(F.transform(F.slice(first, 2, F.size(first)), lambda f: F.array_max(F.filter("at", lambda p: p < f))), F.array(F.element_at("at", -1)))
+    last = F.filter("at", lambda p, i: F.coalesce(F.get("at", i + 1) >= p + 2 * F.col("length"), F.lit(True)))
     both = both.select("row", "label", "words", "length", "need", "in_lines", "all", F.explode(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("x"))
     begin = F.greatest(F.lit(0), F.col("x.first") - F.col("length") + 1)
     near = F.slice("all", begin + 1, F.col("x.last") + F.col("length") - begin)
