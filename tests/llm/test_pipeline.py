@@ -20,7 +20,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in catalog.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in catalog.queries()) == list(range(1, 14))
 
 
 def test_stages(spark, tmp_path):
@@ -62,6 +62,16 @@ def test_stages(spark, tmp_path):
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == times
 
 
+def test_trees_act_in_the_first_stage(spark):
+    """With labels the stage rejects more than the base rules do, and just what the operator's query rejects."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    judged = catalog.queries()["op10_quality"](spark, SF).collect()
+    kept = Counter(r["doc_id"] for r in judged if r["kept"])
+    assert any(not r["kept"] and not r["base_failed"] for r in judged)
+    found = dict(corpus_pipeline.STAGES)["quality rules"](spark, docs, SF)
+    assert Counter(r["doc_id"] for r in found.collect()) == kept and found.columns == docs.columns
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
