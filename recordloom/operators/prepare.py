@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recordloom.functions import text, values
+from recordloom.shipping import Steps, small
 
 #: How much evidence an issue lists.
 VALUES, IDS = 50, 200
@@ -210,14 +211,20 @@ def dataset(snapshots_: DataFrame, eligibility: DataFrame, decisions: DataFrame
 # collections of a job
 
 
-def job_items(rows: DataFrame, merged: DataFrame, contract, child_tables: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """entity_key, collection, identity, values (field -> value), n_slots, conflicts, invalid, status of a job's items, and
-    per child table the rows without a parent: table_id, n_orphans, and the first of their keys and rows.
+ITEM = ["entity_key", "collection", "identity"]
+
+
+def job_items(rows: DataFrame, merged: DataFrame, contract, child_tables: Sequence[str], decisions: DataFrame | None = None, steps: Steps | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entity_key, collection, identity, values (field -> value), n_slots, conflicts, invalid, status of a job's items, per
+    child table the rows without a parent: table_id, n_orphans, and the first of their keys and rows, and the slots of the
+    items (see `item_variants`).
 
     rows are contributions of collection fields. A slot is a row of a child table, a numbered or single column, or a
     part of a delimited one; blank slots make no items. Slots of one identity are one item: equal values collapse,
-    blanks are filled, and a field with several values is a conflict."""
+    blanks are filled, and a field with several values is a conflict. decisions with an identity choose a variant or
+    correct a field of an item (see `chosen`, `corrected`)."""
     spark = rows.sparkSession
+    decisions = decisions if decisions is not None and "identity" in decisions.columns else None
     r = rows.select("entity_key", "table_id", "row_number", "slot", F.col("table_id").isin(list(child_tables)).alias("child"), F.split("path", r"\[\]\.").alias("p"), "fv").filter("fv.status <> 'missing'")
     r = r.select("entity_key", "table_id", "row_number", F.coalesce("slot", F.lit(0)).alias("slot"), "child", F.col("p")[0].alias("collection"), F.col("p")[1].alias("field"), "fv.value", "fv.status")
     known = merged.select("entity_key").distinct()
@@ -233,9 +240,15 @@ def job_items(rows: DataFrame, merged: DataFrame, contract, child_tables: Sequen
     part = F.transform("parts", lambda p: F.coalesce(F.lower(text.strip(F.try_element_at("f", p)["value"])), F.lit("")))
     whole = F.concat(F.lit("~"), F.substring(F.sha1(F.to_json("f")), 1, 10))
     slots = slots.withColumn("identity", F.when(F.exists(part, lambda x: x != ""), F.array_join(part, "|")).otherwise(whole))
-    by = ["entity_key", "collection", "identity"]
-    fields = slots.select(*by, F.explode("f").alias("field", "v")).groupBy(*by, "field").agg(
-        F.count_distinct(F.when(F.col("v.status") == "resolved", F.col("v.value"))).alias("k"), F.min(F.when(F.col("v.status") == "resolved", F.col("v.value"))).alias("value"), F.max((F.col("v.status") != "resolved").cast("int")).alias("bad")
+    variant = F.transform(F.map_entries("f"), lambda e: F.struct(e["key"].alias("field"), e["value"]["value"].alias("value")))
+    slots = slots.select(*ITEM, "table_id", "row_number", "f", variant.alias("variant"), F.substring(F.sha1(F.to_json(variant)), 1, 10).alias("variant_key"))
+    if steps is not None:
+        slots = steps.table(slots, "slots")
+    by = ITEM
+    picked = slots.withColumn("picked", F.lit(False)) if decisions is None else chosen(slots, decisions)
+    good = F.col("v.status") == "resolved"
+    fields = picked.select(*by, "picked", F.explode("f").alias("field", "v")).groupBy(*by, "field").agg(
+        F.count_distinct(F.when(good, F.col("v.value"))).alias("k"), F.min(F.when(good, F.col("v.value"))).alias("value"), F.max((~good & ~F.col("picked")).cast("int")).alias("bad")
     )
     n = slots.groupBy(*by).agg(F.count("*").alias("n_slots"))
     entry = F.when(F.col("k") == 1, F.struct("field", "value"))
@@ -243,8 +256,60 @@ def job_items(rows: DataFrame, merged: DataFrame, contract, child_tables: Sequen
         F.map_from_entries(F.array_sort(F.array_compact(F.collect_list(entry)))).alias("values"), F.array_sort(F.array_compact(F.collect_list(F.when(F.col("k") > 1, F.col("field"))))).alias("conflicts"),
         F.array_sort(F.array_compact(F.collect_list(F.when((F.col("k") == 0) & (F.col("bad") == 1), F.col("field"))))).alias("invalid"),
     )
+    if decisions is not None:
+        items = corrected(items, decisions, contract)
     status = F.when(F.size("conflicts") > 0, "conflict").when(F.size("invalid") > 0, "invalid").otherwise("resolved")
-    return items.join(n, by).withColumn("status", status), orphans
+    return items.join(n, by).withColumn("status", status), orphans, slots
+
+
+def _last_of(decisions: DataFrame, action: str) -> DataFrame:
+    """entity_key, path, identity, value of the last decision of a kind on each item."""
+    d = decisions.filter(F.col("action") == action)
+    return d.groupBy("entity_key", "path", "identity").agg(F.max_by(F.struct("value"), "seq").alias("d")).select("entity_key", "path", "identity", "d.value")
+
+
+def chosen(slots: DataFrame, decisions: DataFrame) -> DataFrame:
+    """slots with picked: of an item of which people chose a variant (action choose_variant, path the collection, identity,
+    value the variant's key) only its slots, and so its values alone. A key that the item doesn't have changes nothing."""
+    wanted = _last_of(decisions, "choose_variant").select("entity_key", F.col("path").alias("collection"), "identity", F.col("value").alias("variant_key"))
+    real = slots.join(small(wanted), [*ITEM, "variant_key"], "left_semi").select(*ITEM, F.col("variant_key").alias("_chosen")).distinct()
+    j = slots.join(small(real), ITEM, "left")
+    return j.filter("_chosen is null or _chosen = variant_key").withColumn("picked", F.col("_chosen").isNotNull()).drop("_chosen")
+
+
+def corrected(items: DataFrame, decisions: DataFrame, contract) -> DataFrame:
+    """items under people's corrections of single fields (action correct_item, path collection[].field, identity, value):
+    they are read by the field's type; one that is not valid makes the field invalid, a blank one empties it. The identity
+    stays, and so does a conflict, of which a variant has to be chosen."""
+    kinds = [f for c in contract.collections for f in c.fields]
+    read = lambda f: values.normalize(F.col("value"), f.type, labels=list(f.options), rules=dict(contract.rules.get(f.key, {})))
+    fv = F.coalesce(*(F.when(F.col("path") == f.path, F.struct(*(read(f)[x].alias(x) for x in ("value", "status")))) for f in kinds))
+    c = _last_of(decisions, "correct_item").filter(F.col("path").isin([f.path for f in kinds])).withColumn("fv", fv)
+    c = c.select("entity_key", F.split("path", r"\[\]\.")[0].alias("collection"), "identity", F.struct(F.split("path", r"\[\]\.")[1].alias("field"), "fv.value", "fv.status").alias("c"))
+    c = c.groupBy(*ITEM).agg(F.array_sort(F.collect_list("c")).alias("c"))  # the fields of a collection at most
+    j = items.join(small(c), ITEM, "left")
+    named = F.transform("c", lambda x: x["field"])
+    other = F.filter(F.map_entries("values"), lambda e: ~F.array_contains(named, e["key"]))
+    new = F.transform(F.filter("c", lambda x: x["status"] == "resolved"), lambda x: F.struct(x["field"].alias("key"), x["value"].alias("value")))
+    wrong = F.transform(F.filter("c", lambda x: x["status"].isin("invalid", "unresolved")), lambda x: x["field"])
+    told = F.col("c").isNotNull()
+    return j.withColumns({
+        "values": F.when(told, F.map_from_entries(F.array_sort(F.concat(other, new)))).otherwise(F.col("values")),
+        "invalid": F.when(told, F.array_sort(F.array_union(F.array_except("invalid", named), wrong))).otherwise(F.col("invalid")),
+    }).drop("c")
+
+
+def item_variants(slots: DataFrame, items: DataFrame, limit: int = VALUES) -> DataFrame:
+    """entity_key, collection, identity, variant_key, values (field, value), n_slots, n_sources, sources of the different
+    contents of items in conflict: what people choose from. A key depends on the values alone. The sources are the first
+    `limit` rows, counted whole beside that, so that a content that very many rows repeat fits into a task."""
+    by = [*ITEM, "variant_key"]
+    s = slots.join(items.filter("status = 'conflict'").select(*ITEM), ITEM, "left_semi")
+    rows = s.groupBy(*by, "table_id", "row_number").agg(F.count("*").alias("n"), F.min("variant").alias("variant"))
+    per = rows.groupBy(*by).agg(F.min("variant").alias("values"), F.sum("n").alias("n_slots"), F.count("*").alias("n_sources"))
+    first = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("table_id", "row_number"))).filter(F.col("_place") <= limit)
+    first = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("table_id", "row_number"))).alias("sources"))
+    return per.join(first, by)
 
 
 def item_issues(items: DataFrame, contract) -> DataFrame:

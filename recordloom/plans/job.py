@@ -130,8 +130,8 @@ def date_orders(cells: DataFrame, decisions: Mapping[str, Sequence[mapping.Mappe
 
 
 def run(cells: DataFrame, contract: Contract, reference_date: str, decisions: DataFrame | None = None, mapped: Mapping[str, Sequence[mapping.Mapped]] | None = None, choices: Choices | None = None, steps: Steps | None = None) -> dict[str, DataFrame]:
-    """contributions, merged, items, orphans, issues, eligibility, snapshots and more of a job's cells. decisions are
-    people's (see `prepare.overlaid`); mapped and choices are what `intelligence.analyse` found, or by default what
+    """contributions, merged, items, variants (of items in conflict), orphans, issues, eligibility, snapshots and more of a
+    job's cells. decisions are people's (see `prepare.overlaid`, and `prepare.job_items` for those with an identity); mapped and choices are what `intelligence.analyse` found, or by default what
     headers and whole columns of dates tell. The tables live in `steps`, which the caller may drop.
 
     Child rows meet their records before people's decisions on records count, so that the rows of a record that
@@ -153,7 +153,7 @@ def evaluate(all_: DataFrame, contract: Contract, child: Sequence[str], steps: S
     scalar = all_.filter(~F.col("path").contains("[].") & ~F.col("table_id").isin(child))
     sources = steps.table(prepare.merge_fields(scalar), "sources")
     rows = all_.filter(F.col("path").contains("[]."))
-    items, orphans = prepare.job_items(rows if decisions is None else prepare.without_rows(rows, decisions, child), sources, contract, child)
+    items, orphans, slots = prepare.job_items(rows if decisions is None else prepare.without_rows(rows, decisions, child), sources, contract, child, decisions, steps)
     merged = sources
     if decisions is not None:
         merged = steps.table(prepare.overlaid(sources, decisions), "merged")
@@ -165,8 +165,9 @@ def evaluate(all_: DataFrame, contract: Contract, child: Sequence[str], steps: S
     e = steps.table(prepare.eligible(merged, found), "eligibility")
     kept = e.filter("eligibility = 'eligible'").select("entity_key")
     whole = prepare.whole_snapshots(merged.join(kept, "entity_key", "left_semi"), [f.path for f in contract.fields], prepare.item_entries(items), ["values"])
+    variants = prepare.item_variants(slots, items)
     more = {"column_issues": steps.table(prepare.column_issues(scalar), "column_issues")} if columns else {}
     return more | {
-        "contributions": all_, "merged": merged, "items": items, "orphans": orphans, "issues": found, "eligibility": e,
+        "contributions": all_, "merged": merged, "items": items, "variants": variants, "orphans": orphans, "issues": found, "eligibility": e,
         "snapshots": steps.table(whole, "snapshots"),
     }

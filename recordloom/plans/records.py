@@ -138,6 +138,51 @@ def job_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raised.unionByName(good).unionByName(out["items"].groupBy().agg(F.count("*").alias("n")).select(F.lit("items").alias("what"), "n"))
 
 
+def _studies(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Customers as staff, their orders as rows of studies, of which those of one level tell different things."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    level = F.concat(F.lit("L"), F.pmod("o_orderkey", F.lit(2)).cast("string"))
+    staff = _cells(c, "staff#staff.csv", "c_custkey", {"Emp ID": F.col("c_custkey"), "Full Name": F.col("c_name")})
+    child = _cells(o, "e#Education", "o_orderkey", {"Emp ID": F.col("o_custkey"), "Level": level, "Institution": F.lit("I"), "Score": F.col("o_orderpriority"), "Year": F.year("o_orderdate")})
+    return job.run(staff.unionByName(child), contracts.load(), "2025-01-01")
+
+
+_STUDIES = """
+s AS (SELECT o_custkey AS k, o_orderkey AS n, 'L' || o_orderkey % 2 AS level, o_orderpriority AS score, year(o_orderdate)::VARCHAR AS year FROM orders SEMI JOIN customer ON o_custkey = c_custkey),
+v AS (SELECT k, lower(level) || '|i' AS identity, level, score, year, count(*) AS n_slots, min(n) AS first_row,
+  substring(sha1('[{"field":"institution","value":"I"},{"field":"level","value":"' || level || '"},{"field":"score","value":"' || score || '"},{"field":"year","value":"' || year || '"}]'), 1, 10) AS variant_key FROM s GROUP BY ALL)
+"""
+
+
+@query(f"WITH {_STUDIES} SELECT k::VARCHAR AS entity_key, identity, variant_key, score, year, n_slots, n_slots AS n_sources, first_row FROM v QUALIFY count(*) OVER (PARTITION BY k, level) > 1")
+def item_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What people choose from where rows of one item tell different things, with the rows that tell it."""
+    at = lambda f: F.filter("values", lambda x: x["field"] == f)[0]["value"]
+    v = _studies(spark, sf_dir)["variants"]
+    return v.select("entity_key", "identity", "variant_key", at("score").alias("score"), at("year").alias("year"), "n_slots", "n_sources", F.col("sources")[0]["row_number"].alias("first_row"))
+
+
+@query(f"""
+WITH {_STUDIES},
+i AS (SELECT k, identity, level, count(*) > 1 AND k % 2 = 1 AS picked, count(DISTINCT score) AS ns, count(DISTINCT year) AS ny, min(score) AS score, min(year) AS year,
+  arg_max(score, variant_key) AS ps, arg_max(year, variant_key) AS py FROM v GROUP BY k, identity, level)
+SELECT k::VARCHAR AS entity_key, identity, CASE WHEN k % 3 = 0 AND level = 'L0' THEN 'C' WHEN picked THEN ps WHEN ns = 1 THEN score END AS score, CASE WHEN picked THEN py WHEN ny = 1 THEN year END AS year,
+  CASE WHEN picked THEN '' ELSE concat_ws(',', CASE WHEN ns > 1 THEN 'score' END, CASE WHEN ny > 1 THEN 'year' END) END AS conflicts,
+  CASE WHEN NOT picked AND (ns > 1 OR ny > 1) THEN 'conflict' ELSE 'resolved' END AS status FROM i
+""")
+def items_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items after people chose the variant with the greatest key for odd records, and corrected a score of every third."""
+    out = _studies(spark, sf_dir)
+    one = lambda rows, path, action, value: rows.select("entity_key", F.lit(path).alias("path"), F.lit(action).alias("action"), value.alias("value"), F.lit(1).alias("seq"), "identity")
+    odd = out["variants"].filter("cast(entity_key as bigint) % 2 = 1").groupBy("entity_key", "identity").agg(F.max("variant_key").alias("v"))
+    third = out["items"].filter("cast(entity_key as bigint) % 3 = 0 and identity = 'l0|i'")
+    decisions = one(odd, "education_history", "choose_variant", F.col("v")).unionByName(one(third, "education_history[].score", "correct_item", F.lit(" C ")))
+    rows = out["contributions"].filter(F.col("path").contains("[]."))
+    items, _, _ = prepare.job_items(rows, out["merged"], contracts.load(), ["e#Education"], decisions)
+    at = lambda f: F.try_element_at("values", F.lit(f)).alias(f)
+    return items.select("entity_key", "identity", at("score"), at("year"), F.array_join("conflicts", ",").alias("conflicts"), "status")
+
+
 # files
 
 
