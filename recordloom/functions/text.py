@@ -33,18 +33,43 @@ def bounded(c: Column) -> Column:
     return F.substring(c, 1, PATTERN_BOUND)
 
 
+#: Full case folding, by the rule of Unicode that Python's own table follows: characters that become one other, and those
+#: that become several (`ß` two of `s`).
+_FOLDED = [(c, f) for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and (f := c.casefold()) != c]
+_ONE = tuple("".join(x) for x in zip(*(p for p in _FOLDED if len(p[1]) == 1), strict=True))
+_MANY = [p for p in _FOLDED if len(p[1]) > 1]
+
+
+def casefold(c: Column) -> Column:
+    """Full Unicode case folding, the same for every way to write a word in capitals or small letters: all forms of sigma
+    meet, and `ß` meets `ss`. Nothing depends on the language. ASCII texts are only lower-cased, and only texts with a
+    character that becomes several are looked at one by one."""
+    one = F.translate(c, *_ONE)
+    table = F.str_to_map(F.lit(",".join(f"{a}:{b}" for a, b in _MANY)), F.lit(","), F.lit(":"))
+    each = F.transform(F.regexp_extract_all(one, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    several = one.rlike("[" + "".join(a for a, _ in _MANY) + "]")
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).when(several, F.array_join(each, "")).otherwise(one)
+
+
 def fold(c: Column) -> Column:
-    """Stripped, in lower case, runs of white space, underscores and hyphens as one space. `ß` stays as it is."""
+    """Stripped, in lower case, runs of white space, underscores and hyphens as one space. `ß` stays as it is: values are
+    compared by `fold_full`."""
     return F.regexp_replace(F.lower(strip(c)), r"(?U)[\s_\-]+", " ")
 
 
+def fold_full(c: Column) -> Column:
+    """As `fold`, but case-folded: what values and labels are compared by."""
+    return F.regexp_replace(casefold(strip(c)), r"(?U)[\s_\-]+", " ")
+
+
 def fold_case(c: Column) -> Column:
-    """The stricter fold: stripped and in lower case, inner characters kept."""
-    return F.lower(strip(c))
+    """The stricter fold: stripped and case-folded, inner characters kept."""
+    return casefold(strip(c))
 
 
 def fold_name(c: Column) -> Column:
-    return F.regexp_replace(F.lower(strip(c)), r"(?U)\s+", " ")
+    """A person's name: stripped, case-folded, runs of white space as one space."""
+    return F.regexp_replace(casefold(strip(c)), r"(?U)\s+", " ")
 
 
 def compact(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordloom.functions import dates
-from recordloom.functions.text import bounded, fold, strip
+from recordloom.functions.text import bounded, fold_full, strip
 
 #: Words for booleans.
 TRUE, FALSE = ("true", "yes", "y", "1"), ("false", "no", "n", "0")
@@ -51,7 +51,7 @@ def boolean(c: Column) -> Column:
     return F.when(t.isin(*TRUE), "true").when(t.isin(*FALSE), "false")
 
 
-def choice(c: Column, labels: Sequence[str], folded=fold) -> Column:
+def choice(c: Column, labels: Sequence[str], folded=fold_full) -> Column:
     """The first label that equals the value once both are folded."""
     key = folded(c)
     return F.coalesce(*(F.when(key == folded(F.lit(x)), F.lit(x)) for x in labels), F.lit(None).cast("string"))
@@ -106,11 +106,11 @@ def normalize(c: Column, kind: str, *, labels: Sequence[str] = (), strict_labels
     if kind == "enum" or (kind == "boolean" and value_map):
         from recordloom.functions.text import fold_case
 
-        value = choice(c, labels, fold_case if strict_labels else fold)
+        value = choice(c, labels, fold_case if strict_labels else fold_full)
         if value_map:
             pairs = [x for k, v in value_map.items() for x in (F.lit(k), F.lit(v))]
-            folded = [x for k, v in value_map.items() for x in (F.lit(" ".join(k.lower().replace("_", " ").replace("-", " ").split())), F.lit(v))]
-            value = F.coalesce(F.try_element_at(F.create_map(*pairs), t), F.try_element_at(F.map_from_entries(F.array_distinct(F.map_entries(F.create_map(*folded)))), fold(c)), value)
+            folded = [x for k, v in value_map.items() for x in (F.lit(" ".join(k.casefold().replace("_", " ").replace("-", " ").split())), F.lit(v))]
+            value = F.coalesce(F.try_element_at(F.create_map(*pairs), t), F.try_element_at(F.map_from_entries(F.array_distinct(F.map_entries(F.create_map(*folded)))), fold_full(c)), value)
         value = F.when(~missing, value)
         bad = ~missing & value.isNull()
         return _field_value(value, F.when(missing, "missing").when(bad, "unresolved").otherwise("resolved"), "value_map" if value_map else "enum", F.when(bad, "unknown_enum"), value)
@@ -132,7 +132,7 @@ def field_value(c: Column, kind: Column, *, order: Column, rules: Mapping[str, C
     d = F.when(order.isNotNull(), known).otherwise(dates.interpret(c))
     reason = F.when(d["status"] == "ambiguous", "ambiguous_date").when(d["status"] == "ambiguous_century", "ambiguous_century").when(d["status"] == "invalid", "invalid_value")
     date = _field_value(d["iso"], F.when(d["status"] == "valid", "resolved").when(d["status"] == "invalid", "invalid").otherwise("unresolved"), "date", reason, d["iso"], d["candidates"])
-    parts = F.transform(split_multi(c, delimiters), lambda x: F.when(F.size(labels) > 0, F.get(F.filter(labels, lambda y: fold(y) == fold(x)), 0)).otherwise(x))
+    parts = F.transform(split_multi(c, delimiters), lambda x: F.when(F.size(labels) > 0, F.get(F.filter(labels, lambda y: fold_full(y) == fold_full(x)), 0)).otherwise(x))
     bad = F.exists(parts, lambda x: x.isNull())
     several = F.when(~bad, F.to_json(parts))
     multi = _field_value(several, F.when(bad, "unresolved").otherwise("resolved"), "multiselect", F.when(bad, "unknown_enum"), F.lower(several))

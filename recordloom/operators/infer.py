@@ -164,7 +164,7 @@ def enum_map(domain: DataFrame, labels: Sequence[str], aliases: dict[str, Sequen
     alias = F.lit(None).cast("string")
     for label, words in (aliases or {}).items():
         for w in words:
-            alias = F.when(text.fold(F.col("value")) == text.fold(F.lit(w)), F.lit(label)).otherwise(alias)
+            alias = F.when(text.fold_full(F.col("value")) == text.fold_full(F.lit(w)), F.lit(label)).otherwise(alias)
     first = values.choice(F.col("value"), labels)
     return domain.select("value", "n", F.coalesce(first, alias).alias("label"), F.when(first.isNotNull(), 1).when(alias.isNotNull(), 2).alias("tier"))
 
@@ -181,7 +181,7 @@ def checked_map(proposals: DataFrame, domain: DataFrame, labels: Sequence[str])
 def batches(domain: DataFrame, budget: int = BUDGET, batch: int = BATCH) -> DataFrame:
     """fold_key, value (the most frequent spelling), weight, place, in_budget, batch: values that fold alike are
     proposed once; what is over the budget stays visible, without a place. Windows run over distinct values, not over rows."""
-    g = domain.groupBy(text.fold(F.col("value")).alias("fold_key")).agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"), F.sum("n").alias("weight"))
+    g = domain.groupBy(text.fold_full(F.col("value")).alias("fold_key")).agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"), F.sum("n").alias("weight"))
     # the places of those over the budget don't matter: of each range of keys at most `budget` are ranked together
     near = Window.partitionBy(F.substring("fold_key", 1, 2)).orderBy("fold_key")
     g = g.withColumn("near", F.row_number().over(near))

@@ -70,10 +70,10 @@ def plan(cells: DataFrame, wanted: Mapping[At, Sequence[str]], aliases: Mapping[
     names = [(k, x, x, 1, n) for k, (labels, _) in kinds.items() for n, x in enumerate(labels)]
     names += [(k, w, x, 2, n) for k, (_, words) in kinds.items() for n, (x, ws) in enumerate(words.items()) for w in ws]
     of = small(spark.createDataFrame(columns, "table_id string, col_index int, kind string"))
-    known = spark.createDataFrame(names, "kind string, raw string, label string, tier int, place int").groupBy("kind", text.fold(F.col("raw")).alias("fold_key"))
+    known = spark.createDataFrame(names, "kind string, raw string, label string, tier int, place int").groupBy("kind", text.fold_full(F.col("raw")).alias("fold_key"))
     known = known.agg(F.min(F.struct("tier", "place", "label")).alias("k")).select("kind", "fold_key", "k.label", "k.tier")
     d = cells.select("table_id", "col_index", "value").join(of, ["table_id", "col_index"]).filter(~text.is_blank(F.col("value")))
-    d = d.groupBy("kind", "table_id", "col_index", "value").agg(F.count("*").alias("n")).withColumn("fold_key", text.fold(F.col("value")))
+    d = d.groupBy("kind", "table_id", "col_index", "value").agg(F.count("*").alias("n")).withColumn("fold_key", text.fold_full(F.col("value")))
     d = steps.table(d.join(small(known), ["kind", "fold_key"], "left"), "domain")
     open_ = d.filter("label is null").groupBy("kind", "fold_key").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"))
     if answers is not None:
@@ -99,7 +99,7 @@ def plan(cells: DataFrame, wanted: Mapping[At, Sequence[str]], aliases: Mapping[
 def maps(planned: Planned, most: int = infer.BUDGET) -> tuple[dict[At, dict[str, str]], dict[At, list[str]]]:
     """Proposed labels by column for a job's choices, one spelling for each fold key, and values that stay open; of these
     the first `most` of each column in order."""
-    v = planned.values.withColumn("fold_key", text.fold(F.col("value")))
+    v = planned.values.withColumn("fold_key", text.fold_full(F.col("value")))
     one = v.filter("tier is null or tier = 3").groupBy("table_id", "col_index", "fold_key").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"), F.min("label").alias("label"))
     found: dict[At, dict[str, str]] = {}
     left: dict[At, list[str]] = {}

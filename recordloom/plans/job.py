@@ -89,7 +89,7 @@ def decided(spark: SparkSession, decisions: Mapping[str, Sequence[mapping.Mapped
     columns = spark.createDataFrame(rows, _DECIDED)
     found = spark.createDataFrame(names, "table_id string, col_index int, how string, raw string, label string, tier int, place int")
     raw = F.col("raw")
-    key = F.when(F.col("how") == "exact", text.strip(raw)).when(F.col("how") == "case", text.fold_case(raw)).otherwise(text.fold(raw))
+    key = F.when(F.col("how") == "exact", text.strip(raw)).when(F.col("how") == "case", text.fold_case(raw)).otherwise(text.fold_full(raw))
     return columns, found.groupBy("table_id", "col_index", "how", key.alias("key")).agg(F.min_by("label", F.struct("tier", "place")).alias("label"))
 
 
@@ -106,7 +106,7 @@ def contributions(cells: DataFrame, decisions: Mapping[str, Sequence[mapping.Map
     rows = rows.withColumn("part", F.explode(parts)).withColumn("slot", F.when(several, F.xxhash64("part")).otherwise(F.col("slot").cast("long")))
     part = F.col("part")
     choice = F.col("type").isin("enum", "boolean")
-    for how, key in (("exact", text.strip(part)), ("fold", text.fold(part)), ("case", text.fold_case(part))):
+    for how, key in (("exact", text.strip(part)), ("fold", text.fold_full(part)), ("case", text.fold_case(part))):
         own = labels.filter(F.col("how") == how).select("table_id", "col_index", F.col("key").alias(f"{how}_key"), F.col("label").alias(how))
         rows = rows.withColumn(f"{how}_key", F.when(choice, key)).join(small(own), ["table_id", "col_index", f"{how}_key"], "left")
     # a strict column's labels differ in case only; what a map or an alias says comes before or after them

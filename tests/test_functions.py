@@ -106,3 +106,22 @@ def test_rounding_is_that_of_exact_values(spark):
     for places in (0, 3, 4, 6):
         found = frame.select("x", values.rounded(F.col("x"), places).alias("r")).collect()
         assert [(r["x"], r["r"]) for r in found if r["r"] != (round(r["x"], places) if abs(r["x"]) != float("inf") else r["x"])] == []
+
+
+def test_case_folding_of_every_character(spark):
+    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(every[i : i + 500]) for i in range(0, len(every), 500)] + ["", "STRASSE straße Straẞe", "ΣΊΣΥΦΟΣ σίσυφος", "İI ıi", "ﬃ ŉ ΐ", "ABC xyz", "\U00010400\U00010428"]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", text.casefold(F.col("t")).alias("f")).collect()
+    assert [r["t"] for r in rows if r["f"] != (None if r["t"] is None else r["t"].casefold())] == []
+
+
+def test_folds_meet_however_a_word_is_written(spark):
+    for a, b in ((" Große__Straße", "GROSSE strasse "), ("ΟΔΟΣ-x", "οδος X"), ("Kelvin \u212a", "KELVIN k")):
+        assert spark.range(1).select(text.fold_full(F.lit(a)) == text.fold_full(F.lit(b))).first()[0], a
+    assert spark.range(1).select(values.choice(F.lit("weiss"), ["Rot", "Weiß"])).first()[0] == "Weiß"
+    assert spark.range(1).select(text.fold_name(F.lit("  Groß \t MANN "))).first()[0] == "gross mann"
+
+
+def test_value_maps_know_folded_keys(spark):
+    v = values.normalize(F.lit("HAUPT-STRASSE"), "enum", labels=["a"], value_map={"Hauptstraße": "b", "haupt straße": "a"})
+    assert spark.range(1).select(v["value"]).first()[0] == "a"
