@@ -128,6 +128,12 @@ def is_manager_header(header) -> object:
     return h.rlike("manager|supervisor|reporting|reports to") & h.contains("name")
 
 
+def names_managers(header: str | None) -> bool:
+    """is_manager_header on the driver, for the few headers of a table."""
+    h = (header or "").lower()
+    return any(w in h for w in ("manager", "supervisor", "reporting", "reports to")) and "name" in h
+
+
 def reference_verdict(coverage: DataFrame) -> DataFrame:
     """What a reference column's coverage leads to: plan, hold (un-map and raise an issue) or nothing."""
     v = F.when(F.col("non_null") == 0, "nothing").when(F.col("is_valid"), "plan").otherwise("hold")

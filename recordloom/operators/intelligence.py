@@ -61,6 +61,70 @@ def value_maps(cells: DataFrame, wanted: Mapping[tuple[str, int], Sequence[str]]
     return value_plans.maps(value_plans.plan(cells, wanted, aliases, proposer or infer.lexical_proposer, budget))
 
 
+def _accepted(decisions: Mapping[str, Sequence[mapping.Mapped]], path: str) -> list[tuple[str, int]]:
+    return [(t, m.col_index) for t, ms in decisions.items() for m in ms if m.path == path and m.status in ACCEPTED]
+
+
+def people(cells: DataFrame, decisions: Mapping[str, Sequence[mapping.Mapped]]) -> DataFrame | None:
+    """name_key, n_ids, identifier of all employees' names, from rows with both an id and a name; None if no table has both."""
+    ids, names = dict(_accepted(decisions, "employee_id")), dict(_accepted(decisions, "full_name"))
+    both = [(t, i, names[t]) for t, i in ids.items() if t in names]
+    if not both:
+        return None
+    wanted = cells.sparkSession.createDataFrame(both, "table_id string, id_at int, name_at int")  # a row per table
+    is_ = lambda at: F.max(F.when(F.col("col_index") == F.col(at), text.nonblank(F.col("value"))))
+    rows = cells.join(F.broadcast(wanted), "table_id").filter("col_index in (id_at, name_at)").groupBy("table_id", "row_number").agg(is_("id_at").alias("id"), is_("name_at").alias("name"))
+    return infer.unique_names(rows, "name", "id")
+
+
+def manager_name_columns(profiles: Mapping[str, Sequence[Mapping]], decisions: Mapping[str, Sequence[mapping.Mapped]]) -> list[tuple[str, int]]:
+    """The first column of each table that names managers, has no destination yet, and is needed: no column of the table
+    holds their ids."""
+    covered = {t for t, _ in _accepted(decisions, "manager_employee_id")}
+    taken = {(t, m.col_index) for t, ms in decisions.items() for m in ms if m.path and m.status in ACCEPTED}
+    out = []
+    for t, ps in profiles.items():
+        named = [p["col_index"] for p in ps if (t, p["col_index"]) not in taken and decided.names_managers(p["header"])]
+        if t not in covered and named:
+            out.append((t, min(named)))
+    return out
+
+
+def by_name(cells: DataFrame, columns: Sequence[tuple[str, int]], names: DataFrame) -> DataFrame:
+    """cells of columns of managers' names with identifier and name_status (see `infer.resolve_names`)."""
+    wanted = cells.sparkSession.createDataFrame(list(columns), "table_id string, col_index int")  # a row per column
+    return infer.resolve_names(cells.join(F.broadcast(wanted), ["table_id", "col_index"]), "value", names)
+
+
+def _name_plans(cells: DataFrame, profiles: Mapping[str, Sequence[Mapping]], decisions: Mapping[str, Sequence[mapping.Mapped]]) -> list[tuple[str, int, str, str, str]]:
+    """A plan for each column of managers' names of which any name stands for one id: accepted if all of them do."""
+    columns = manager_name_columns(profiles, decisions)
+    names = people(cells, decisions) if columns else None
+    if names is None:
+        return []
+    seen = by_name(cells, columns, names).filter("name_status <> 'missing'").select("table_id", "col_index", "name_key", "name_status").distinct()
+    counts = seen.groupBy("table_id", "col_index").agg(*(F.count_if(F.col("name_status") == s).alias(s) for s in ("resolved", "ambiguous", "unmatched")))
+    return [
+        (r["table_id"], r["col_index"], "reference_by_name", "needs_review" if r["ambiguous"] + r["unmatched"] else "auto_accepted", f"{r['resolved']} resolved, {r['ambiguous']} ambiguous, {r['unmatched']} unmatched")
+        for r in sorted(counts.collect()) if r["resolved"]
+    ]
+
+
+def with_manager_ids(cells: DataFrame, found: Found, approved: Sequence[tuple[str, int]] = ()) -> tuple[DataFrame, dict[str, list[mapping.Mapped]]]:
+    """cells and decisions for a job, with the ids of managers in place of their names in the columns whose plan by name is
+    accepted, or approved by people. A name that stands for no id or for several gives no value: nothing is guessed."""
+    planned = {(t, c): status for t, c, op, status, _ in found.plans if op == "reference_by_name"}
+    columns = [at for at, status in planned.items() if status == "auto_accepted" or at in set(approved)]
+    out = {t: list(ms) for t, ms in found.decisions.items()}
+    if not columns:
+        return cells, out
+    replaced = by_name(cells, columns, people(cells, out)).withColumn("value", F.col("identifier").cast("string")).select(*cells.columns)
+    wanted = cells.sparkSession.createDataFrame(columns, "table_id string, col_index int")
+    for t, c in columns:
+        out[t] = [replace(m, path="manager_employee_id", status="auto_accepted", reason="ids of the managers named") if m.col_index == c else m for m in out[t]]
+    return cells.join(F.broadcast(wanted), ["table_id", "col_index"], "left_anti").select(*cells.columns).unionByName(replaced), out
+
+
 def analyse(cells: DataFrame, decisions: Mapping[str, Sequence[mapping.Mapped]], contract: Contract, proposer: Callable | None = None, target_ids: DataFrame | None = None) -> Found:
     """Decisions, choices and plans for a job's cells. target_ids (one column) adds to the ids that managers may have."""
     from recordloom.plans.job import date_orders
@@ -92,4 +156,5 @@ def analyse(cells: DataFrame, decisions: Mapping[str, Sequence[mapping.Mapped]],
             out[at[0]] = [replace(m, path=None, status="reference_hold", reason="values are no known ids") if m.col_index == at[1] else m for m in out[at[0]]]
         if verdict["verdict"] != "nothing":
             plans.append((*at, "reference", "auto_accepted" if verdict["verdict"] == "plan" else "needs_review", f"{verdict['matched']} of {verdict['non_null']}"))
+    plans += _name_plans(cells, profiles, out)
     return Found(out, orders, maps, plans)

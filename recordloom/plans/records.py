@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import dates, text, values
-from recordloom.operators import admission, decisions, delivery, diff, infer, mapping, metrics, prepare, profile, value_plans, versions
+from recordloom.operators import admission, decisions, delivery, diff, infer, intelligence, mapping, metrics, prepare, profile, value_plans, versions
 from recordloom.plans import contract as contracts
 from recordloom.plans import incremental, job
 from recordloom.plans.registry import query, table
@@ -300,6 +300,24 @@ def manager_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.manager_ids(rows, "who", names)[0].select("o_orderkey", "manager_id", "name_status")
 
 
+@query("""
+WITH m AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'nobody' ELSE ((c_custkey + 1) // 2)::VARCHAR END AS boss FROM customer)
+SELECT k::VARCHAR AS entity_key, CASE WHEN boss IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_custkey % 6 <> 1) THEN boss END AS manager FROM m
+""")
+def managers_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The managers of a job whose table names them: names of one id alone count, after people approved the plan."""
+    c = table(spark, sf_dir, "customer").filter("c_custkey is not null")
+    k = F.col("c_custkey")
+    own = F.when(F.pmod(k, F.lit(6)) == 1, "Many Of Them").otherwise(F.concat(F.lit("Person "), k.cast("string")))
+    half = F.floor((k + 1) / 2)
+    boss = F.when(_every("c_custkey", 7), F.lit(None)).when(_every("c_custkey", 5), "nobody").when(F.pmod(half, F.lit(6)) == 1, "many of them").otherwise(F.concat(F.lit(" PERSON  "), half.cast("string")))
+    cells = _cells(c, "staff.csv#staff.csv", "c_custkey", {"Employee ID": k, "Full Name": own, "Manager Name": boss})
+    found = intelligence.analyse(cells, job.map_columns(cells, contracts.load()), contracts.load())
+    cells, decided = intelligence.with_manager_ids(cells, found, approved=[("staff.csv#staff.csv", 2)])
+    rows = job.contributions(cells, decided, contracts.load(), "2025-01-01").filter("path = 'manager_employee_id'")
+    return rows.select("entity_key", F.col("fv.value").alias("manager"))
+
+
 @query("SELECT 'hold' AS verdict, count(*) AS non_null, count(*) FILTER (o_custkey % 4 <> 0) AS matched FROM orders")
 def reference_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "customer").filter("c_custkey % 4 <> 0")
