@@ -80,9 +80,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and reads it back."""
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+    def table(self, df: DataFrame, name: str, row_group: int = 128 << 20) -> DataFrame:
+        """Writes df, in row groups of about so many bytes, and reads it back."""
+        df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def bucketed(self, df: DataFrame, name: str, n: int, *keys: str) -> DataFrame:
@@ -147,10 +147,10 @@ def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str = "n",
     return common.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.filter(F.col(n) <= limit), on, how))
 
 
-def python_ready(spark: SparkSession) -> None:
+def python_ready(spark: SparkSession, batch_bytes: int = 16 << 20) -> None:
     """Before Python runs on the executors: sends them this package, once a session, however the driver found it,
-    and ends Arrow batches at 16 MB, however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    and ends Arrow batches at 16 MB, or so many bytes, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
     if context.applicationId in _sent or not package.is_dir():
         return

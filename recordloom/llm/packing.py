@@ -8,7 +8,8 @@ merged: groups of FAN partitions put their leftovers into windows by the same ru
 one is left. Of its windows all but the last are filled, and the last is cut at powers of two, so it has no padding.
 
 State is bounded by open_windows windows a task, and by FAN times that for a group of the merge, whatever the input.
-Every round is written to the shared folder: numbers of sequences hold when executors are lost.
+Every round is written to the shared folder: numbers of sequences hold when executors are lost. Open windows come last
+in a file, so its other row groups, which are small, are passed over when the next round looks for them.
 
 Every row is a document of its own, repeated rows too. Null and empty texts have the end token alone. A null doc_id is
 kept. Other columns are ignored, and an empty table gives an empty one. One document's text and tokens must fit into a task.
@@ -18,9 +19,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,20 +36,21 @@ FAN = 16
 #: Bytes of a token id; ids are unsigned and little-endian.
 WIDTH = 4
 #: Pieces in a generation of those that a Python worker remembers, and the longest of them.
-REMEMBERED, PIECE_CHARS = 400_000, 64
+REMEMBERED, PIECE_CHARS = 150_000, 64
 #: Characters that are their own normal form and have one lower case: ASCII, and the letters of Latin-1.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 #: Fixed value: the split pattern of the tokenizers that texts are cut for; they drop what it does not match.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: That pattern on plain characters in lower case. "<|" may begin one of its added tokens.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-_BATCH_BYTES = 4 << 20
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: Bytes of texts in an Arrow batch, of ids in one, and of a row group as stored.
+_BATCH_BYTES, _ROW_GROUP = 4 << 20, 4 << 20
 
 _words: dict[int, "Words"] = {}
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _splits_at_space(config: dict) -> bool:
@@ -73,11 +75,16 @@ class Words(dict):
         self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.model, self.by_piece = self.tokenizer.model, _splits_at_space(json.loads(tokenizer))
+        #: the letters of Latin-1 as the tokenizer's split hands them to its model
+        self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(128, 256)) if c.isalpha() and c.islower()} if self.by_piece else {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            if piece.isascii() and piece.isprintable() and piece == piece.lower() and PIECE.fullmatch(piece):
+            if piece.isalpha() and piece.islower() and (piece.isascii() or max(piece) <= "ÿ"):
+                # one match, its own normal form in lower case; only its bytes are left to map
+                ids = _bytes([t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))])
+            elif piece.isascii() and piece.isprintable() and piece == piece.lower() and PIECE.fullmatch(piece):
                 # nothing is left to normalise, to split or to map to bytes
                 ids = _bytes([t.id for t in self.model.tokenize(piece)])
             else:
@@ -194,7 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
     """doc_id, start, length, ids (binary, 4 bytes each), doc_tokens, sequence_id, offset of every piece. tokenizer is the
     path of a file of the tokenizers library, which the driver reads (a few MB) and sends to the executors once."""
     spark = docs.sparkSession
-    python_ready(spark)
+    python_ready(spark, _BATCH_BYTES)
     docs, (doc_id, text) = positioned(docs, doc_id, text)
     with open(tokenizer, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
@@ -231,12 +238,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
 
         return run
 
-    found = scratch.table(docs.select(doc_id, text).mapInArrow(packed, schema), "round-0")
+    found = scratch.table(docs.select(doc_id, text).mapInArrow(packed, schema), "round-0", _ROW_GROUP)
     rounds, turn = [found.filter("open = 0")], 0
     while (most := found.filter("open = 1").agg(F.max("part")).first()[0]) is not None:
         turn += 1
         grouped = found.filter("open = 1").groupBy(F.expr(f"part div {FAN}").alias("at"))
-        found = scratch.table(grouped.applyInArrow(merged(turn, most < FAN), schema), f"round-{turn}")
+        found = scratch.table(grouped.applyInArrow(merged(turn, most < FAN), schema), f"round-{turn}", _ROW_GROUP)
         rounds.append(found.filter("open = 0"))
     result = rounds[0]
     for more in rounds[1:]:

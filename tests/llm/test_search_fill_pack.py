@@ -4,10 +4,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
+import urllib.parse
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -235,3 +238,37 @@ def test_words_are_remembered_in_two_generations(tokenizer, monkeypatch):
     words = packing.Words(open(tokenizer, encoding="utf-8").read())
     text = "one two three four one five two six seven one"
     assert np.frombuffer(words.ids(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids and len(words) <= 3
+
+
+def test_letters_of_latin_1_have_the_ids_of_the_text(tokenizer):
+    from tokenizers import Tokenizer
+
+    whole, words = Tokenizer.from_file(tokenizer), packing.Words(open(tokenizer, encoding="utf-8").read())
+    letters = [chr(c) for c in range(128, 256) if chr(c).isalpha()]
+    for text in [*letters, "".join(letters), " ".join(f"Na{c}f {c}{c} x{c}'s {c}\u0301 \u4e2d{c}" for c in letters)]:
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_remembered_pieces_take_little_memory(tokenizer):
+    words = packing.Words(open(tokenizer, encoding="utf-8").read())
+    tracemalloc.start()
+    try:
+        for k in range(0, 800_000, 1000):
+            words.ids(" ".join("".join(chr(97 + (i >> 4 * j & 15)) for j in range(5)) + "é" for i in range(k, k + 1000)))
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert most < 80 << 20, most
+
+
+def test_the_next_round_passes_over_what_is_emitted(spark, tokenizer, monkeypatch, tmp_path):
+    kept = []
+    monkeypatch.setattr(packing.Scratch, "table", lambda self, df, name, *a, f=packing.Scratch.table, **b: kept.append(f(self, df, name, *a, **b)) or kept[-1])
+    monkeypatch.setattr(packing, "_ROW_GROUP", 1 << 16, raising=False)
+    rng = random.Random(3)
+    texts = [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(500))) for i in range(2000)]
+    found = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), tokenizer)
+    groups = [pq.ParquetFile(urllib.parse.urlparse(f).path).metadata for f in kept[0].inputFiles()]
+    opened = [m.row_group(k).column(m.schema.names.index("open")).statistics.max for m in groups for k in range(m.num_row_groups)]
+    assert len(opened) > 3 and opened.count(1) == 1
+    assert check_packed(found.collect(), texts, tokenizer, 2048) == 0
