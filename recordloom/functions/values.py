@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -121,32 +121,45 @@ def normalize(c: Column, kind: str, *, labels: Sequence[str] = (), strict_labels
     return _field_value(value, F.when(missing, "missing").when(bad, "invalid").otherwise("resolved"), kind, F.when(bad, "invalid_value"), key)
 
 
-def field_value(c: Column, kind: Column, *, order: Column, rules: Mapping[str, Column], reference_date: str, mapped: Column, labels: Column, pivot: Column | None = None, delimiters: Sequence[str] = (";", "|", ",")) -> Column:
+def field_value(c: Column, kind: Column, *, order: Column, rules: Mapping[str, Column], reference_date: str, mapped: Column, labels: Column, pivot: Column | None = None, delimiters: Sequence[str] = (";", "|", ","), kinds: Collection[str] | None = None, stripped: Column | None = None) -> Column:
     """A FIELD_VALUE for a raw value whose type, date order, rules and labels are columns: one normaliser for each type,
     however many fields there are. mapped is the label that a value map or the contract's labels give (see `lookups` of
-    the job); without a date order a date is read by itself."""
-    t = strip(c)
+    the job); without a date order a date is read by itself. kinds are the types that occur, by default any: those of
+    others are left out, as the code of all of them together is too long for the JVM to compile. stripped is the value without
+    white space at its ends, where it is there already."""
+    t = strip(c) if stripped is None else stripped
     missing = c.isNull() | (t == "")
     null = F.lit(None).cast("string")
-    known = F.when(pivot.isNotNull(), dates.apply_order(c, order, rules, reference_date, pivot)).otherwise(dates.apply_order(c, order, rules, reference_date)) if pivot is not None else dates.apply_order(c, order, rules, reference_date)
-    d = F.when(order.isNotNull(), known).otherwise(dates.interpret(c))
-    reason = F.when(d["status"] == "ambiguous", "ambiguous_date").when(d["status"] == "ambiguous_century", "ambiguous_century").when(d["status"] == "invalid", "invalid_value")
-    date = _field_value(d["iso"], F.when(d["status"] == "valid", "resolved").when(d["status"] == "invalid", "invalid").otherwise("unresolved"), "date", reason, d["iso"], d["candidates"])
-    parts = F.transform(split_multi(c, delimiters), lambda x: F.when(F.size(labels) > 0, F.get(F.filter(labels, lambda y: fold_full(y) == fold_full(x)), 0)).otherwise(x))
-    bad = F.exists(parts, lambda x: x.isNull())
-    several = F.when(~bad, F.to_json(parts))
-    multi = _field_value(several, F.when(bad, "unresolved").otherwise("resolved"), "multiselect", F.when(bad, "unknown_enum"), F.lower(several))
-    choice_ = _field_value(mapped, F.when(mapped.isNull(), "unresolved").otherwise("resolved"), "enum", F.when(mapped.isNull(), "unknown_enum"), mapped)
+
+    def date() -> Column:
+        known = dates.apply_order(c, order, rules, reference_date)
+        if pivot is not None:
+            known = F.when(pivot.isNotNull(), dates.apply_order(c, order, rules, reference_date, pivot)).otherwise(known)
+        d = F.when(order.isNotNull(), known).otherwise(dates.interpret(c))
+        reason = F.when(d["status"] == "ambiguous", "ambiguous_date").when(d["status"] == "ambiguous_century", "ambiguous_century").when(d["status"] == "invalid", "invalid_value")
+        return _field_value(d["iso"], F.when(d["status"] == "valid", "resolved").when(d["status"] == "invalid", "invalid").otherwise("unresolved"), "date", reason, d["iso"], d["candidates"])
+
+    def multi() -> Column:
+        parts = F.transform(split_multi(c, delimiters), lambda x: F.when(F.size(labels) > 0, F.get(F.filter(labels, lambda y: fold_full(y) == fold_full(x)), 0)).otherwise(x))
+        bad = F.exists(parts, lambda x: x.isNull())
+        several = F.when(~bad, F.to_json(parts))
+        return _field_value(several, F.when(bad, "unresolved").otherwise("resolved"), "multiselect", F.when(bad, "unknown_enum"), F.lower(several))
+
+    def choice_() -> Column:
+        return _field_value(mapped, F.when(mapped.isNull(), "unresolved").otherwise("resolved"), "enum", F.when(mapped.isNull(), "unknown_enum"), mapped)
 
     def plain(name: str, made: Column) -> Column:
         return _field_value(made, F.when(made.isNull(), "invalid").otherwise("resolved"), name, F.when(made.isNull(), "invalid_value"), F.lower(made) if name == "email" else made)
 
-    flag = F.coalesce(mapped, boolean(c))
-    found = (
-        F.when(missing, _field_value(null, F.lit("missing"), "blank", null, null)).when(kind == "date", date).when(kind == "multiselect", multi).when(kind == "enum", choice_).when(kind == "email", plain("email", email(c)))
-        .when(kind == "phone", plain("phone", phone(c))).when(kind == "number", plain("number", number(c))).when(kind == "boolean", plain("boolean", flag)).otherwise(plain("string", t))
-    )
-    return found
+    makers = {
+        "date": date, "multiselect": multi, "enum": choice_, "email": lambda: plain("email", email(c)), "phone": lambda: plain("phone", phone(c)),
+        "number": lambda: plain("number", number(c)), "boolean": lambda: plain("boolean", F.coalesce(mapped, boolean(c))),
+    }
+    found = F.when(missing, _field_value(null, F.lit("missing"), "blank", null, null))
+    for name, made in makers.items():
+        if kinds is None or name in kinds:
+            found = found.when(kind == name, made())
+    return found.otherwise(plain("string", t))
 
 
 def _product(a: Column, b: float) -> tuple[Column, Column]:

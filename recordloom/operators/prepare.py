@@ -214,7 +214,7 @@ def dataset(snapshots_: DataFrame, eligibility: DataFrame, decisions: DataFrame
 ITEM = ["entity_key", "collection", "identity"]
 
 
-def job_items(rows: DataFrame, merged: DataFrame, contract, child_tables: Sequence[str], decisions: DataFrame | None = None, steps: Steps | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def job_items(rows: DataFrame, merged: DataFrame, contract, child_tables: Sequence[str], decisions: DataFrame | None = None, steps: Steps | None = None, paths: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """entity_key, collection, identity, values (field -> value), n_slots, conflicts, invalid, status of a job's items, per
     child table the rows without a parent: table_id, n_orphans, and the first of their keys and rows, and the slots of the
     items (see `item_variants`).
@@ -222,44 +222,59 @@ def job_items(rows: DataFrame, merged: DataFrame, contract, child_tables: Sequen
     rows are contributions of collection fields. A slot is a row of a child table, a numbered or single column, or a
     part of a delimited one; blank slots make no items. Slots of one identity are one item: equal values collapse,
     blanks are filled, and a field with several values is a conflict. decisions with an identity choose a variant or
-    correct a field of an item (see `chosen`, `corrected`)."""
+    correct a field of an item (see `chosen`, `corrected`). merged has the entities of the records; paths are those
+    that rows have, looked up if they are not given.
+
+    Rows are shuffled once, by entity, with numbers for their paths; a field is a column until items are made, so that
+    groups are found by sorting and none is held as a whole."""
     spark = rows.sparkSession
     decisions = decisions if decisions is not None and "identity" in decisions.columns else None
-    r = rows.select("entity_key", "table_id", "row_number", "slot", F.col("table_id").isin(list(child_tables)).alias("child"), F.split("path", r"\[\]\.").alias("p"), "fv").filter("fv.status <> 'missing'")
-    r = r.select("entity_key", "table_id", "row_number", F.coalesce("slot", F.lit(0)).alias("slot"), "child", F.col("p")[0].alias("collection"), F.col("p")[1].alias("field"), "fv.value", "fv.status")
+    filled = ~text.is_blank(F.col("raw")) if "raw" in rows.columns else F.col("fv.status") != "missing"  # a value is missing if it is blank
+    r = rows.filter(filled)
     known = merged.select("entity_key").distinct()
-    lost = r.filter("child").join(known, "entity_key", "left_anti").select("entity_key", "table_id", "row_number").distinct()
+    lost = r.filter(F.col("table_id").isin(list(child_tables))).join(known, "entity_key", "left_anti").select("entity_key", "table_id", "row_number").distinct()
     _, orphans = attach_children(lost, known)
     first = lost.withColumn("place", F.row_number().over(Window.partitionBy("table_id").orderBy("row_number"))).filter(F.col("place") <= VALUES)
     orphans = orphans.join(first.groupBy("table_id").agg(F.array_sort(F.collect_list("row_number")).alias("rows")), "table_id")
-    r = r.join(known, "entity_key", "left_semi")
-    by_slot = ["entity_key", "table_id", "row_number", "slot", "collection"]
-    slots = r.groupBy(*by_slot).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("field", F.struct("value", "status").alias("v"))))).alias("f"))  # a slot has the contract's fields at most
-    parts = spark.createDataFrame([(c.key, list(c.identity)) for c in contract.collections], "collection string, parts array<string>")
-    slots = slots.join(F.broadcast(parts), "collection")  # a row for each collection of the contract
-    part = F.transform("parts", lambda p: F.coalesce(F.lower(text.strip(F.try_element_at("f", p)["value"])), F.lit("")))
-    whole = F.concat(F.lit("~"), F.substring(F.sha1(F.to_json("f")), 1, 10))
-    slots = slots.withColumn("identity", F.when(F.exists(part, lambda x: x != ""), F.array_join(part, "|")).otherwise(whole))
-    variant = F.transform(F.map_entries("f"), lambda e: F.struct(e["key"].alias("field"), e["value"]["value"].alias("value")))
-    slots = slots.select(*ITEM, "table_id", "row_number", "f", variant.alias("variant"), F.substring(F.sha1(F.to_json(variant)), 1, 10).alias("variant_key"))
+    if paths is None:
+        paths = [x["path"] for x in rows.select("path").distinct().collect()]  # of the contract's fields
+    identities = {c.key: list(c.identity) for c in contract.collections}
+    at = [(c, f) for c, f in sorted(p.split("[].", 1) for p in paths) if c in identities] or [("", "")]  # without any there are no items
+    names, fields = sorted({c for c, _ in at}), sorted({f for _, f in at})
+    number = lambda of: F.try_element_at(F.create_map(*(F.lit(x) for c, f in at for x in (f"{c}[].{f}", of(c, f)))), F.col("path"))
+    v = F.struct(F.col("fv.value").alias("value"), F.col("fv.status").alias("status")).alias("v")
+    numbered = r.select("entity_key", "table_id", "row_number", F.coalesce("slot", F.lit(0)).alias("slot"), number(lambda c, _: names.index(c)).alias("c"), number(lambda _, f: fields.index(f)).alias("i"), v)
+    own = [F.when(F.col("i") == n, F.col("v")) for n in range(len(fields))]
+    slots = numbered.filter("c is not null").repartition("entity_key").groupBy("entity_key", "table_id", "row_number", "slot", "c").agg(*(x for n, v in enumerate(own) for x in (F.min(v).alias(f"v{n}"), F.max(v).alias(f"w{n}"))))
+    clash = F.raise_error(F.concat(F.lit("two values for a field in row "), F.col("row_number").cast("string"), F.lit(" of "), "table_id"))
+    once = (F.when(F.col(f"v{n}") != F.col(f"w{n}"), clash).otherwise(F.col(f"v{n}")).alias(f"v{n}") for n in range(len(fields)))
+    slots = slots.join(known, "entity_key", "left_semi").select("entity_key", "table_id", "row_number", "c", *once)
+    entries = lambda of: F.array_compact(F.array(*(F.when(F.col(f"v{n}").isNotNull(), F.struct(F.lit(f).alias("field"), of(F.col(f"v{n}")).alias("value"))) for n, f in enumerate(fields))))
+    whole = F.concat(F.lit("~"), F.substring(F.sha1(F.to_json(F.map_from_entries(entries(lambda v: v)))), 1, 10))
+    collection, identity, variant = F.lit(None).cast("string"), whole, entries(lambda v: v["value"])
+    for n, c in enumerate(names):
+        parts = [F.coalesce(F.lower(text.strip(F.col(f"v{fields.index(p)}")["value"])), F.lit("")) if p in fields else F.lit("") for p in identities.get(c, [])]
+        collection = F.when(F.col("c") == n, F.lit(c)).otherwise(collection)
+        if parts:
+            identity = F.when((F.col("c") == n) & (F.concat(*parts) != ""), F.concat_ws("|", *parts)).otherwise(identity)
+    values_ = [f"v{n}" for n in range(len(fields))]
+    slots = slots.select("entity_key", collection.alias("collection"), identity.alias("identity"), "table_id", "row_number", variant.alias("variant"), F.substring(F.sha1(F.to_json(variant)), 1, 10).alias("variant_key"), *values_)
     if steps is not None:
         slots = steps.table(slots, "slots")
     by = ITEM
     picked = slots.withColumn("picked", F.lit(False)) if decisions is None else chosen(slots, decisions)
-    good = F.col("v.status") == "resolved"
-    fields = picked.select(*by, "picked", F.explode("f").alias("field", "v")).groupBy(*by, "field").agg(
-        F.count_distinct(F.when(good, F.col("v.value"))).alias("k"), F.min(F.when(good, F.col("v.value"))).alias("value"), F.max((~good & ~F.col("picked")).cast("int")).alias("bad")
-    )
-    n = slots.groupBy(*by).agg(F.count("*").alias("n_slots"))
-    entry = F.when(F.col("k") == 1, F.struct("field", "value"))
-    items = fields.groupBy(*by).agg(
-        F.map_from_entries(F.array_sort(F.array_compact(F.collect_list(entry)))).alias("values"), F.array_sort(F.array_compact(F.collect_list(F.when(F.col("k") > 1, F.col("field"))))).alias("conflicts"),
-        F.array_sort(F.array_compact(F.collect_list(F.when((F.col("k") == 0) & (F.col("bad") == 1), F.col("field"))))).alias("invalid"),
+    good = [F.col(v)["status"] == "resolved" for v in values_]
+    told = [F.when(g, F.col(v)["value"]) for g, v in zip(good, values_, strict=True)]
+    aggs = [x for n, (g, v) in enumerate(zip(good, told, strict=True)) for x in (F.min(v).alias(f"a{n}"), F.max(v).alias(f"b{n}"), F.max((~g & ~F.col("picked")).cast("int")).alias(f"bad{n}"))]
+    some = lambda of: F.array_compact(F.array(*(of(F.col(f"a{n}"), F.col(f"b{n}"), F.col(f"bad{n}"), F.lit(f)) for n, f in enumerate(fields))))
+    items = picked.groupBy(*by).agg(*aggs, F.count("*").alias("n_slots")).select(
+        *by, F.map_from_entries(some(lambda a, b, _, f: F.when(a == b, F.struct(f.alias("field"), a.alias("value"))))).alias("values"),
+        some(lambda a, b, _, f: F.when(a != b, f)).alias("conflicts"), some(lambda a, _, bad, f: F.when(a.isNull() & (bad == 1), f)).alias("invalid"), "n_slots",
     )
-    if decisions is not None:
-        items = corrected(items, decisions, contract)
+    if decisions is not None:  # slots that were not chosen count too
+        items = corrected(items.drop("n_slots").join(slots.groupBy(*by).agg(F.count("*").alias("n_slots")), by), decisions, contract)
     status = F.when(F.size("conflicts") > 0, "conflict").when(F.size("invalid") > 0, "invalid").otherwise("resolved")
-    return items.join(n, by).withColumn("status", status), orphans, slots
+    return items.withColumn("status", status), orphans, slots
 
 
 def _last_of(decisions: DataFrame, action: str) -> DataFrame:
