@@ -125,7 +125,7 @@ def field_value(c: Column, kind: Column, *, order: Column, rules: Mapping[str, C
     """A FIELD_VALUE for a raw value whose type, date order, rules and labels are columns: one normaliser for each type,
     however many fields there are. mapped is the label that a value map or the contract's labels give (see `lookups` of
     the job); without a date order a date is read by itself. kinds are the types that occur, by default any: those of
-    others are left out, as the code of all of them together is too long for the JVM to compile. stripped is the value without
+    others are left out of the generated code. stripped is the value without
     white space at its ends, where it is there already."""
     t = strip(c) if stripped is None else stripped
     missing = c.isNull() | (t == "")

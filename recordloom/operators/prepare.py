@@ -60,11 +60,16 @@ def shared_email_issues(merged: DataFrame, path: str = "work_email") -> DataFram
 def attach_children(children: DataFrame, parents: DataFrame, key: str = "entity_key") -> tuple[DataFrame, DataFrame]:
     """Child rows with a parent, and per table the number of those without, with their first keys."""
     known = parents.select(key).distinct()
-    orphans = children.join(known, key, "left_anti")
+    return children.join(known, key, "left_semi"), orphans_of(children.join(known, key, "left_anti"), key)
+
+
+def orphans_of(orphans: DataFrame, key: str = "entity_key") -> DataFrame:
+    """table_id, n_orphans, keys: per table the number of rows without a parent, and their first keys. Whoever reads the
+    numbers alone makes no lists, as the joins are left ones on a table's one row."""
     by = Window.partitionBy("table_id").orderBy(key)
     named = orphans.select("table_id", key).distinct().withColumn("place", F.row_number().over(by)).filter(F.col("place") <= VALUES)
     listed = named.groupBy("table_id").agg(F.array_sort(F.collect_list(key)).alias("keys"))
-    return children.join(known, key, "left_semi"), orphans.groupBy("table_id").agg(F.count("*").alias("n_orphans")).join(listed, "table_id")
+    return orphans.groupBy("table_id").agg(F.count("*").alias("n_orphans")).join(listed, "table_id", "left")
 
 
 def merge_items(items: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -232,10 +237,11 @@ def job_items(rows: DataFrame, merged: DataFrame, contract, child_tables: Sequen
     filled = ~text.is_blank(F.col("raw")) if "raw" in rows.columns else F.col("fv.status") != "missing"  # a value is missing if it is blank
     r = rows.filter(filled)
     known = merged.select("entity_key").distinct()
-    lost = r.filter(F.col("table_id").isin(list(child_tables))).join(known, "entity_key", "left_anti").select("entity_key", "table_id", "row_number").distinct()
-    _, orphans = attach_children(lost, known)
+    lost = r.filter(F.col("table_id").isin(list(child_tables))).select("entity_key", "table_id", "row_number").repartition("entity_key").distinct()
+    lost = lost.join(known, "entity_key", "left_anti")
+    orphans = orphans_of(lost)
     first = lost.withColumn("place", F.row_number().over(Window.partitionBy("table_id").orderBy("row_number"))).filter(F.col("place") <= VALUES)
-    orphans = orphans.join(first.groupBy("table_id").agg(F.array_sort(F.collect_list("row_number")).alias("rows")), "table_id")
+    orphans = orphans.join(first.groupBy("table_id").agg(F.array_sort(F.collect_list("row_number")).alias("rows")), "table_id", "left")
     if paths is None:
         paths = [x["path"] for x in rows.select("path").distinct().collect()]  # of the contract's fields
     identities = {c.key: list(c.identity) for c in contract.collections}

@@ -73,3 +73,11 @@ def test_items_alone_store_nothing_and_are_shuffled_once(spark, monkeypatch):
     _, physical = plan(df)
     assert physical.count("Exchange hashpartitioning(entity_key") == 2 and "SortMergeJoin [table_id" not in physical  # the items' and the records'
     assert df.filter(F.col("invalid") == "type").count() > 0
+
+
+def test_orphans_alone_store_nothing_and_list_no_rows(spark, monkeypatch):
+    nothing_stored(monkeypatch)
+    df = records.job_orphans(spark, SF)
+    logical, physical = plan(df)
+    assert "Window" not in logical and physical.count("LeftAnti") == 1
+    assert df.first()["n_orphans"] > 0
